@@ -55,3 +55,22 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
+
+
+def map_documents(df: DataFrame, fn, schema: str, rows: int = 512) -> DataFrame:
+    """`fn(columns)` over slices of at most `rows` rows: a dict of lists in, a dict of lists out, as Arrow batches.
+
+    A slice at a time is turned into Python objects, so memory follows the slice and not the batch.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                yield pa.RecordBatch.from_pydict(fn(batch.slice(at, rows).to_pydict()), schema=arrow)
+
+    return df.mapInArrow(run, schema)

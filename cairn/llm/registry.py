@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import quality
+from cairn.llm import bpe, pii, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality_rules": quality.query,
+        "op3_byte_bpe": bpe.query,
+        "op5_pii": pii.query,
     }
 
 
