@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import bpe, pii, quality
+from cairn.llm import bpe, chat, fingerprint, mixing, pii, quality, tokencount, tokenfile
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,8 +14,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_rules": quality.query,
         "op3_byte_bpe": bpe.query,
         "op5_pii": pii.query,
+        "op6_token_counts": tokencount.query,
+        "op7_fingerprints": fingerprint.query,
+        "op8_source_mixing": mixing.query,
+        "op9_token_files": tokenfile.query,
+        "op10_chat_format": chat.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality.ORACLE_SQL}
+    return {"op2_quality_rules": quality.ORACLE_SQL, "op10_chat_format": chat.ORACLE_SQL}
