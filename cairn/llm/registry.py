@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import bpe, chat, fingerprint, mixing, pii, quality, tokencount, tokenfile
+from cairn.llm import bpe, chat, fingerprint, mixing, near, pii, quality, tokencount, tokenfile
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_near_duplicates": near.query,
         "op2_quality_rules": quality.query,
         "op3_byte_bpe": bpe.query,
         "op5_pii": pii.query,
