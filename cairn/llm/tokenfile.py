@@ -18,55 +18,102 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.bpe import cut
+from cairn.llm.bpe import OpenEnd, cut, explicit_spaces
 from cairn.llm.common import fresh_path, map_documents, narrow, read_table, text_or_empty
 
 SKIP_TABLE, SKIP_IDS, FOOTER = 0x184D2A5E, 0x184D2A5D, 0x8F92EAB1
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 500_000
+MARKS = ".,!?;:"
+LATIN_END = "\u0250"
+#: The byte-level alphabet: printable Latin-1 characters stand for themselves, other bytes for U+0100 and on, in order.
+PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+ALPHABET = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
 CACHE_CHARS = 48
 NO_ID = -(1 << 63)
 
 
 class FastTokenizer:
-    """The tokenizers library's byte-level BPE behind a cache of the pieces between spaces.
+    """The tokenizers library's byte-level BPE behind caches of pieces.
 
-    Its pattern never matches across a single space that stands between two non-space characters, so pieces cut there
-    are encoded apart; ids of short pieces are kept, up to CACHE_ENTRIES.
+    The library encodes each match of its splitting pattern apart, and the pattern never matches across a single space
+    between two non-space characters. So texts are cut at such spaces, a cut part that is new is split by the pattern,
+    and the library encodes the matches that are new. Parts with characters beyond the Latin letters, where versions
+    of Unicode differ, or with a piece of a special token go to the library whole.
     """
 
     def __init__(self, path: str):
+        import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kept: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.split = regex.compile(explicit_spaces(public_tokenizers.PATTERN)).findall
+        self.first = Generations(lambda part: self.part("", part))
+        self.rest = Generations(lambda part: self.part(" ", part))
+        self.pieces = Generations(self.piece)
+
+    def piece(self, text: str) -> bytes:
+        """Ids of one match of the pattern, by the library's model alone, its bytes spelt in the byte-level alphabet."""
+        spelt = text.translate(ALPHABET) if text.isascii() else text.encode().decode("latin-1").translate(ALPHABET)
+        return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def part(self, lead: str, part: str) -> bytes:
+        """A part between spaces: a word is one match of the pattern, a word and a mark after it are two."""
+        if part.isalpha() and (part.isascii() or max(part) < LATIN_END):
+            return self.piece(lead + part)
+        if not part or part[0].isspace() or part[-1].isspace():
+            raise OpenEnd
+        if part[-1] in MARKS and part[:-1].isalpha():
+            return (self.rest if lead else self.first)[part[:-1]] + self.pieces[part[-1]]
+        return self.chunk(lead + part)
+
+    def chunk(self, text: str) -> bytes:
+        if max(text) >= LATIN_END or any(s in text for s in self.special):
+            return self.whole(text)
+        return b"".join(map(self.pieces.__getitem__, self.split(text)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of whole texts."""
-        rows = [self.chunks(text) for text in texts]
-        if len(self.kept) > CACHE_ENTRIES:
-            self.kept.clear()
-        missing = list(set().union(*rows).difference(self.kept))
-        long: dict[str, bytes] = {}
-        for chunk, found in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-            (self.kept if len(chunk) <= CACHE_CHARS else long)[chunk] = np.array(found.ids, dtype="<u4").tobytes()
-        if long:
-            return [b"".join([long[c] if c in long else self.kept[c] for c in row]) for row in rows]
-        return [b"".join(map(self.kept.__getitem__, row)) for row in rows]
-
-    @staticmethod
-    def chunks(text: str) -> list[str]:
-        if not text:
-            return []
+        return [self.encode_text(text) if text else b"" for text in texts]
+
+    def encode_text(self, text: str) -> bytes:
         parts = text.split(" ")
-        if any(not p or p[0].isspace() or p[-1].isspace() for p in set(parts)):
-            return cut(text)
-        return [parts[0], *map(" ".__add__, parts[1:])]
+        try:
+            return b"".join([self.first[parts[0]], *map(self.rest.__getitem__, parts[1:])])
+        except OpenEnd:
+            return b"".join(map(self.chunk, cut(text)))
+
+
+class Generations(dict):
+    """A bounded cache: when it is full, its entries become the older generation, from which hits are taken over."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
+            if len(key) > CACHE_CHARS:
+                return found
+        if len(self) >= CACHE_ENTRIES:
+            self.older = dict(self)
+            self.clear()
+        self[key] = found
+        return found
 
 
 @lru_cache(maxsize=2)
