@@ -74,3 +74,11 @@ def map_documents(df: DataFrame, fn, schema: str, rows: int = 512) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(fn(batch.slice(at, rows).to_pydict()), schema=arrow)
 
     return df.mapInArrow(run, schema)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a `stored` table whose rows are no longer needed."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

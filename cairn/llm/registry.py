@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import bpe, chat, fingerprint, mixing, near, pii, quality, tokencount, tokenfile
+from cairn.llm import bpe, chat, fingerprint, mixing, near, pii, quality, repeats, tokencount, tokenfile
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_near_duplicates": near.query,
         "op2_quality_rules": quality.query,
         "op3_byte_bpe": bpe.query,
+        "op4_repeated_strings": repeats.query,
         "op5_pii": pii.query,
         "op6_token_counts": tokencount.query,
         "op7_fingerprints": fingerprint.query,
