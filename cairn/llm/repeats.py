@@ -165,19 +165,21 @@ def compared_blocks(contexts: list[bytes], windows: list[int], length: int, firs
     """For each context the runs of window starts that match at another start of any context; with `first`, at an earlier one.
 
     Contexts are in order of first occurrence. Symbols are hashes of length / 8 bytes, so a match of 8 symbols is a
-    match of `length` bytes; a symbol that would cross a context's end is unlike any other.
+    match of `length` bytes. After each context stands a gap of one symbol's length, and symbols that touch a gap are
+    unlike any other, so no match steps from one context into the next.
     """
     unit = length // 8 if length % 8 == 0 else 1
-    data = np.frombuffer(b"".join(contexts), dtype=np.uint8)
-    ends = np.cumsum([len(c) for c in contexts])
+    gap = bytes(unit)
+    data = np.frombuffer(b"".join([c + gap for c in contexts]), dtype=np.uint8)
+    sizes = np.array([len(c) for c in contexts], dtype=np.int64)
+    ends = np.cumsum(sizes + unit) - unit
     n = len(data)
     if unit > 1:
         symbols = ByteHash(data).spans(np.arange(n), np.minimum(np.arange(n) + unit, n)) >> np.uint64(1)
     else:
-        symbols = data.astype(np.uint64) + np.uint64(1 << 40)
-    own_end = np.repeat(ends, [len(c) for c in contexts])
-    crossing = np.flatnonzero(np.arange(n) + unit > own_end)
-    symbols[crossing] = (1 << 63) + crossing.astype(np.uint64)
+        symbols = data.astype(np.uint64)
+    touching = np.flatnonzero(np.arange(n) + unit > np.repeat(ends, sizes + unit))
+    symbols[touching] = (1 << 63) + touching.astype(np.uint64)
     cap = length // unit
     order, levels = suffix_order(symbols, cap, unit)
     lcp = neighbour_prefixes(order, levels, unit)
