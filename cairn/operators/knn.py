@@ -45,7 +45,7 @@ def _matrix(rows) -> tuple[np.ndarray, np.ndarray]:
 
 
 def nearest(queries: DataFrame, base: DataFrame, k: int, metric: str = "angular", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(i, j, rank, dist): the k nearest of `base` to each of `queries`, both (id, vec); rank from 1, ties by j.
+    """(i, j, rank, dist): the k nearest of `base` to each of `queries`, both (id, vec); rank from 1, ties by j, a point itself first.
 
     A point of both sides with one id is its own neighbour at distance 0. With fewer than k base points all are given.
     """
@@ -59,15 +59,15 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, metric: str = "angular"
                 i, a = _matrix(left)
                 j, m = _matrix(right)
                 d = distances(a, m, metric)
-                d[i[:, None] == j[None, :]] = 0.0
                 d = np.round(d, 12)
+                d[i[:, None] == j[None, :]] = -1.0  # first, also among equal points
                 kept = min(k, len(j))
                 by_id = np.argsort(j)
                 order = by_id[np.argsort(d[:, by_id], axis=1, kind="stable")[:, :kept]]
-                yield pd.DataFrame({"i": np.repeat(i, kept), "j": j[order].ravel(), "dist": np.take_along_axis(d, order, 1).ravel()})
+                yield pd.DataFrame({"i": np.repeat(i, kept), "j": j[order].ravel(), "dist": np.maximum(np.take_along_axis(d, order, 1).ravel(), 0.0)})
 
     found = pairs.mapInPandas(run, NEIGHBOUR)
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("dist", "j")))
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy(F.col("i") != F.col("j"), "dist", "j")))
     return ranked.where(F.col("rank") <= k).select("i", "j", "rank", "dist")
 
 
@@ -121,13 +121,13 @@ def knn_pruned(points: DataFrame, k: int, cells: int, metric: str = "angular", s
                     if low < high:
                         d = distances(x[None, :], m[low:high], metric)[0]
                         jj = j[low:high]
-                        d[jj == i[row]] = 0.0
                         d = np.round(d, 12)
+                        d[jj == i[row]] = -1.0
                         order = np.lexsort((jj, d))[:k]
-                        yield pd.DataFrame({"i": np.full(len(order), i[row]), "j": jj[order], "dist": d[order]})
+                        yield pd.DataFrame({"i": np.full(len(order), i[row]), "j": jj[order], "dist": np.maximum(d[order], 0.0)})
 
     found = asked.join(held.select("cell", "b"), "cell").select("q", "b").mapInPandas(search, NEIGHBOUR)
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("dist", "j")))
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy(F.col("i") != F.col("j"), "dist", "j")))
     return ranked.where(F.col("rank") <= k).select("i", "j", "rank", "dist")
 
 

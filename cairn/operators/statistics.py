@@ -8,11 +8,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from cairn.functions.special import hypergeometric_tail
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _tail(population: pd.Series, marked: pd.Series, drawn: pd.Series, hits: pd.Series) -> pd.Series:
     return pd.Series([hypergeometric_tail(*map(int, v)) for v in zip(population, marked, drawn, hits, strict=True)], dtype="float64")
 

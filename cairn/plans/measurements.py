@@ -183,9 +183,9 @@ def pair_sql(build):
     return " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {build(a, b)} FROM lineitem" for a, b in PAIR)
 
 
-@query("covariance_matrix", pair_sql(lambda a, b: f"round(covar_samp({a}, {b}), 3) AS cov"))
+@query("covariance_matrix", pair_sql(lambda a, b: f"round(covar_samp({a}, {b}), 3) + 0.0 AS cov"))
 def covariance_matrix(spark, d):
-    return aggregates.covariances(items(spark, d), CH).withColumn("cov", F.round("cov", 3))
+    return aggregates.covariances(items(spark, d), CH).withColumn("cov", F.round("cov", 3) + 0.0)
 
 
 @query("correlation_matrix", pair_sql(lambda a, b: f"round(corr({a}, {b}), 6) AS corr"))
