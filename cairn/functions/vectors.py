@@ -87,8 +87,13 @@ def to_sign_beyond_one(v: Column) -> Column:
     return F.transform(v, lambda x: F.when(F.abs(x) > 1, F.signum(x)).otherwise(x))
 
 
+def noise_suppressed(build: Callable[[Column, Column], Column], least: float = 1.0) -> Callable[[Column, Column], Column]:
+    """A distance after components of less than `least` are set to 0. The definition is ours."""
+    return lambda a, b: build(thresholded(a, least), thresholded(b, least))
+
+
 #: Distances by name; more can be registered as functions of two vector columns.
-METRICS: dict[str, Callable[[Column, Column], Column]] = {"angular": angular, "euclidean": euclidean, "manhattan": manhattan}
+METRICS: dict[str, Callable[[Column, Column], Column]] = {"angular": angular, "euclidean": euclidean, "manhattan": manhattan, "noise_suppressing_angular": noise_suppressed(angular), "noise_suppressing_euclidean": noise_suppressed(euclidean)}
 
 
 def register_metric(name: str, build: Callable[[Column, Column], Column]) -> None:

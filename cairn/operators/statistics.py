@@ -143,8 +143,11 @@ def permutation_null(rows: DataFrame, length: int, rounds: int, seed: int = 1) -
     return spark.range(rounds).mapInPandas(run, "round long, shared long")
 
 
-def random_discriminant(groups: np.ndarray, labels: np.ndarray, spark, tries: int, restarts: int, seed: int = 1, most_cosine: float = 0.2) -> tuple[np.ndarray, np.ndarray, float]:
-    """Two nearly uncorrelated axes of least within-group to total deviation, by random search; restarts are dealt to tasks.
+def random_discriminant(groups: np.ndarray, labels: np.ndarray, spark, tries: int, restarts: int, seed: int = 1, most_cosine: float = 0.2, objective: str = "within") -> tuple[np.ndarray, np.ndarray, float]:
+    """Two nearly uncorrelated axes by random search; restarts are dealt to tasks.
+
+    The objective, to be least, is "within" (within-group over total deviation) or "distances" (minus the correlation of
+    all pairwise distances before and after).
 
     `groups` are bounded data (rows by dimensions) that go to every task.
     """
@@ -152,8 +155,19 @@ def random_discriminant(groups: np.ndarray, labels: np.ndarray, spark, tries: in
         raise ValueError("the data of a random search go to every task; sample them first")
     dim = groups.shape[1]
 
+    if objective not in ("within", "distances"):
+        raise ValueError(f"unknown objective: {objective}")
+    upper = np.triu_indices(len(groups), 1)
+
+    def gaps(x):
+        return np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(2))[upper]
+
+    full = gaps(groups) if objective == "distances" else None
+
     def score(axes):
         p = groups @ axes.T
+        if full is not None:
+            return -float(np.corrcoef(full, gaps(p))[0, 1])
         within = sum(((p[labels == g] - p[labels == g].mean(0)) ** 2).sum() for g in np.unique(labels))
         return within / max(1e-12, ((p - p.mean(0)) ** 2).sum())
 

@@ -236,6 +236,57 @@ def random_discriminant(spark, d):
     return spark.createDataFrame([(a.tolist(), b.tolist(), float(score))], "a array<double>, b array<double>, score double")
 
 
+@query("random_discriminant_distances")
+def random_discriminant_distances(spark, d):
+    import numpy as np
+
+    rows = centroids(spark, d).orderBy("id").collect()  # label-level
+    a, b, score = statistics.random_discriminant(np.array([r["vec"] for r in rows]), np.array([r["id"] % 2 for r in rows]), spark, 200, 8, objective="distances")
+    return spark.createDataFrame([(a.tolist(), b.tolist(), float(score))], "a array<double>, b array<double>, score double")
+
+
+@query(
+    "node_attributes",
+    f"WITH {P} SELECT id, id % 7 + 1 AS \"group\", id % 7 = 3 AS selected, 1::BIGINT AS n_terms FROM p",
+)
+def node_attributes(spark, d):
+    from cairn.operators.registry import node_attributes as attributes
+
+    return attributes(points(spark, d), annotations(spark, d), "t3").withColumn("group", F.col("group").cast("long"))
+
+
+@query("kernel_grid")
+def kernel_grid(spark, d):
+    """Densities of all points over a grid of bandwidths."""
+    from cairn.operators.registry import kernel_grid as over
+
+    return over("gaussian", points(spark, d), [0.3, 0.6])
+
+
+@query("fitted_bandwidths")
+def fitted_bandwidths(spark, d):
+    from cairn.operators.registry import fit_bandwidth
+
+    centre = [float(x) for x in centroids(spark, d).where("id = 0").first()["vec"]]
+    own = points(spark, d).where("label = 0")
+    return spark.createDataFrame([(k, fit_bandwidth(k, own, centre)) for k in ("gaussian", "vmf", "nearest")], "kernel string, parameter double")
+
+
+@query("nearest_root_assignment")
+def nearest_root_assignment(spark, d):
+    from cairn.operators.registry import nearest_root
+    from cairn.plans.neighbours import links
+
+    return nearest_root(points(spark, d), links(spark, d))
+
+
+@query("algorithm_batch")
+def algorithm_batch(spark, d):
+    from cairn.operators.registry import batch
+
+    return batch("hierarchical", {"embeddings": points(spark, d)}, [{"threshold": 0.5}, {"threshold": 1.0, "method": "complete"}])
+
+
 @query("label_quality", "SELECT quality, toxic, count(*) AS n FROM labels SEMI JOIN documents USING (doc_id) GROUP BY 1, 2")
 def label_quality(spark, d):
     return table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id", "left_semi").groupBy("quality", "toxic").agg(F.count("*").alias("n"))
