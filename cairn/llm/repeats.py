@@ -183,9 +183,9 @@ def compared_blocks(contexts: list[bytes], windows: list[int], length: int, firs
     cap = length // unit
     order, levels = suffix_order(symbols, cap, unit)
     lcp = neighbour_prefixes(order, levels, unit)
-    found = previous_factors(order, lcp) >= cap
+    found = previous_factors(order, lcp, floor=cap) >= cap
     if not first:
-        found |= previous_factors(order, lcp, later=True) >= cap
+        found |= previous_factors(order, lcp, later=True, floor=cap) >= cap
     out = []
     for end, context, count in zip(ends.tolist(), contexts, windows, strict=True):
         hit = found[end - len(context) : end - len(context) + count].astype(np.int8)

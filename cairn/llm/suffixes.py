@@ -18,7 +18,7 @@ def suffix_order(symbols: np.ndarray, cap: int, unit: int = 1) -> tuple[np.ndarr
     _, rank = np.unique(symbols, return_inverse=True)
     rank = rank.astype(np.int64)
     levels = [(1, rank)]
-    order = np.argsort(rank, kind="stable")
+    order = None
     h = 1
     while h < cap and h * unit < n and (n and rank.max() + 1 < n):
         second = np.zeros(n, dtype=np.int64)
@@ -31,7 +31,7 @@ def suffix_order(symbols: np.ndarray, cap: int, unit: int = 1) -> tuple[np.ndarr
         rank = new
         h *= 2
         levels.append((h, rank))
-    return order, levels
+    return np.argsort(rank) if order is None else order, levels
 
 
 def neighbour_prefixes(order: np.ndarray, levels: list[tuple[int, np.ndarray]], unit: int = 1) -> np.ndarray:
@@ -54,30 +54,37 @@ def neighbour_prefixes(order: np.ndarray, levels: list[tuple[int, np.ndarray]],
     return lcp
 
 
-def _nearest_smaller(position: np.ndarray, lcp: np.ndarray) -> np.ndarray:
-    """For each rank the longest common prefix with the nearest earlier rank of smaller position; 0 if there is none."""
+def _nearest_smaller(position: np.ndarray, lcp: np.ndarray, floor: int) -> np.ndarray:
+    """For each rank the longest common prefix with the nearest earlier rank of smaller position; 0 if there is none.
+
+    Where that is under `floor`, any number under `floor`: the search ends as soon as the prefix on the way is.
+    """
     n = len(position)
     to = np.arange(n) - 1
     least = lcp.copy()
-    active = np.flatnonzero(to >= 0)
+    active = np.flatnonzero((to >= 0) & (lcp >= floor))
     active = active[position[to[active]] > position[active]]
     while len(active):
         via = to[active]
         least[active] = np.minimum(least[active], least[via])
         to[active] = to[via]
-        active = active[to[active] >= 0]
+        active = active[(to[active] >= 0) & (least[active] >= floor)]
         active = active[position[to[active]] > position[active]]
     least[to < 0] = 0
+    least[least < floor] = 0
     return least
 
 
-def previous_factors(order: np.ndarray, lcp: np.ndarray, later: bool = False) -> np.ndarray:
-    """For each position the length of its longest match that starts earlier (or, with `later`, later) in the string."""
+def previous_factors(order: np.ndarray, lcp: np.ndarray, later: bool = False, floor: int = 0) -> np.ndarray:
+    """For each position the length of its longest match that starts earlier (or, with `later`, later) in the string.
+
+    Lengths under `floor` are given as 0, which saves most of the search.
+    """
     n = len(order)
     position = n - 1 - order if later else order
-    before = _nearest_smaller(position, lcp)
+    before = _nearest_smaller(position, lcp, floor)
     turned = np.concatenate([lcp[1:], [0]])[::-1] if n else lcp
-    after = _nearest_smaller(position[::-1], turned)[::-1]
+    after = _nearest_smaller(position[::-1], turned, floor)[::-1]
     out = np.zeros(n, dtype=np.int64)
     out[order] = np.maximum(before, after)
     return out
