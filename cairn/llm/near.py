@@ -10,9 +10,10 @@ within the band of places that a similarity of 0.8 allows, must have L / (n + m
 a text, that alignment is a longest increasing run of places.
 
 Equal texts share one node from the start. In a bucket, members are compared with a pivot (the member with most
-bucket mates), in two rounds; then all pairs that are still in different components and were not compared yet are
-compared outright. So two texts of a bucket end up in one class or have been compared, no bucket is capped, and a
-large group of copies costs a few comparisons for each member.
+bucket mates), in two rounds. In buckets that still hold several components, texts of different components are then
+compared outright: pair by pair in buckets of up to SMALL_BUCKET members, and in larger ones by chunks of members, with
+exact overlaps from matrix products inside a task. So two texts of a bucket end up in one class or have been compared,
+no bucket is capped, and no row is made for each pair of a large group.
 
 Defined cases: null text is the empty text; texts without words are near only to equal texts; of a class the least
 doc_id (null last, then the text's hash) stays; repeated rows are one class, of which one row stays; other columns are
@@ -36,6 +37,9 @@ BANDS = 24
 TAKEN = 4
 PIVOT_ROUNDS = 2
 GROUP_BYTES = 1_000_000
+SMALL_BUCKET = 16
+CHUNK = 512
+SLICE = 8192
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 BYTE_VALUES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -201,19 +205,99 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return stored(map_documents(rows.select("a", "b", "ta", "tb"), run, "a binary, b binary", rows=128), "edges")
 
 
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many symbols each text of `left` shares with each of `right`: matrix products over slices of the shared symbols."""
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    a, b = (np.concatenate(x) if x else np.zeros(0, dtype=np.uint64) for x in (left, right))
+    common = np.intersect1d(a, b)
+    places = []
+    for values, texts in ((a, left), (b, right)):
+        row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        kept = np.isin(values, common)
+        column = np.searchsorted(common, values[kept])
+        order = np.argsort(column)
+        places.append((row[kept][order], column[order]))
+    for low in range(0, len(common), SLICE):
+        sides = []
+        for (row, column), texts in zip(places, (left, right), strict=True):
+            i, j = np.searchsorted(column, [low, low + SLICE])
+            side = np.zeros((len(texts), min(SLICE, len(common) - low)), dtype=np.float32)
+            side[row[i:j], column[i:j] - low] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def near_in_blocks(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Near pairs (a, b) within the buckets of `members` (bucket, n, key, label) that link different labels, stored.
+
+    A bucket's members are dealt to chunks of about CHUNK; a row is two chunks. Exact overlaps of all their texts come
+    from matrix products, and pairs that may be near are aligned, all inside the task, which gives a link only where it
+    joins what other links of the row have not joined yet.
+    """
+    dealt = members.join(texts, "key").withColumn("chunk", F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / CHUNK)))
+    chunks = dealt.groupBy("bucket", "chunk").agg(F.max("n").alias("n"), F.collect_list(F.struct("key", "label", "text")).alias("rows"))
+    left = chunks.withColumn("other", F.explode(F.sequence(F.col("chunk"), F.ceil(F.col("n") / CHUNK) - 1)))
+    right = chunks.select("bucket", F.col("chunk").alias("other"), F.col("rows").alias("others"))
+    pairs = left.join(right, ["bucket", "other"]).select((F.col("chunk") == F.col("other")).alias("same"), "rows", "others")
+
+    def run(columns):
+        out = {"a": [], "b": []}
+        for same, rows, others in zip(columns["same"], columns["rows"], columns["others"], strict=True):
+            left = [symbols([r["text"]])[0] for r in rows]
+            right = left if same else [symbols([r["text"]])[0] for r in others]
+            sizes = np.array([len(x) for x in left])[:, None] + np.array([len(x) for x in right])[None, :]
+            met: dict[bytes, bytes] = {}
+
+            def root(x, met=met):
+                while met.setdefault(x, x) != x:
+                    met[x] = met[met[x]]
+                    x = met[x]
+                return x
+
+            close = [(rows[i]["key"], others[j]["key"], i, j) for i, j in np.argwhere(9 * overlaps(left, right) >= 4 * sizes).tolist() if not same or i < j]
+            for _, _, i, j in sorted((min(x, y), max(x, y), i, j) for x, y, i, j in close):
+                a, b = root(rows[i]["label"]), root(others[j]["label"])
+                if a != b and near(left[i], right[j]):  # texts that are linked already need no further link
+                    met[max(a, b)] = min(a, b)
+                    out["a"].append(min(rows[i]["key"], others[j]["key"]))
+                    out["b"].append(max(rows[i]["key"], others[j]["key"]))
+        return out
+
+    return stored(map_documents(pairs, run, "a binary, b binary", rows=1).distinct(), "edges")
+
+
+def joined_labels(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """`labels` (node, label) after more `edges` (a, b): components of the labels that the edges join, carried to their nodes."""
+    if edges.isEmpty():
+        return edges.sparkSession.createDataFrame([], "node binary, label binary") if labels is None else labels
+    if labels is None:
+        return components(edges)
+    ends = edges
+    for end in ("a", "b"):
+        known = labels.select(F.col("node").alias(end), F.col("label").alias(f"l{end}"))
+        ends = ends.join(known, end, "left").withColumn(end, F.coalesce(f"l{end}", end)).drop(f"l{end}")
+    ends = stored(ends.where("a <> b").distinct(), "joins")
+    if ends.isEmpty():
+        return labels
+    merged = components(ends)
+    old = labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("now")), "label", "left").select("node", F.coalesce("now", "label").alias("label"))
+    return stored(old.unionByName(merged.join(labels.select("node"), "node", "left_anti")), "labels")
+
+
 def linked(docs: DataFrame, sketch: DataFrame) -> DataFrame:
     """(node, label) for all texts that are near to another text: node is a text's key."""
     texts_once = sketch.where(F.size("buckets") > 0).groupBy("key").agg(F.first("buckets").alias("buckets"))
     entries = texts_once.select("key", F.explode("buckets").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = stored(entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")  # apart from joins, so that Spark can split them
     members = stored(entries.join(shared, "bucket"), "members")
     if members.isEmpty():
         return docs.sparkSession.createDataFrame([], "node binary, label binary")
-    weights = members.groupBy("key").agg(F.sum("n").alias("weight"))
+    weights = stored(members.groupBy("key").agg(F.sum("n").alias("weight")), "weights")
     plain = narrow(docs, "doc_id", "text").select(F.expr("unhex(md5(cast(coalesce(cast(text AS string), '') AS binary)))").alias("key"), text_or_empty().alias("text"))
-    texts = stored(plain.join(weights.select("key"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "texts")
+    texts = stored(plain.join(weights.select("key").hint("merge"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "texts")
     members = stored(members.join(weights, "key"), "members")
-    edges = compared = labels = None
+    compared = labels = None
     for turn in range(PIVOT_ROUNDS + 1):
         if labels is None:
             now = members.withColumn("label", F.col("key"))
@@ -228,30 +312,20 @@ def linked(docs: DataFrame, sketch: DataFrame) -> DataFrame:
             used = pivots.select("bucket", F.col("pivot").alias("key"))
             pairs = open_rows.join(pivots, "bucket").where("label <> pivot_label").select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
         else:
-            by_label = open_rows.groupBy("bucket", "label").agg(F.count("*").alias("size"))
-            main = by_label.groupBy("bucket").agg(F.max(F.struct("size", "label")).alias("m")).select("bucket", F.col("m.label").alias("main"))
-            rest = open_rows.join(main, "bucket").where("label <> main").select("bucket", F.col("key").alias("x"), F.col("label").alias("x_label"), "main")
-            pairs = (
-                rest.join(open_rows.select("bucket", F.col("key").alias("y"), F.col("label").alias("y_label")), "bucket")
-                .where("x_label <> y_label AND (y_label = main OR x < y)")
-                .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-                .distinct()
-            )
+            in_blocks = near_in_blocks(open_rows.where(F.col("n") > SMALL_BUCKET).select("bucket", "n", "key", "label"), texts)
+            small = open_rows.where(F.col("n") <= SMALL_BUCKET)
+            others = small.select("bucket", F.col("key").alias("y"), F.col("label").alias("y_label"))
+            pairs = small.select("bucket", F.col("key").alias("x"), F.col("label").alias("x_label")).join(others, "bucket")
+            pairs = pairs.where("x < y AND x_label <> y_label").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
-        if pairs.isEmpty():
-            if turn == 0:
-                break
-            continue
         compared = pairs if compared is None else compared.unionByName(pairs)
         found = verified(pairs, texts)
-        edges = found if edges is None else edges.unionByName(found)
-        if edges.isEmpty():
-            labels = docs.sparkSession.createDataFrame([], "node binary, label binary")
-        else:
-            labels = components(edges)
-    return labels if labels is not None else docs.sparkSession.createDataFrame([], "node binary, label binary")
+        if turn == PIVOT_ROUNDS:
+            found = found.unionByName(in_blocks)
+        labels = joined_labels(labels, found)
+    return labels
 
 
 def classes(docs: DataFrame, sketch: DataFrame | None = None) -> DataFrame:
