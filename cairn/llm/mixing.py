@@ -94,7 +94,7 @@ def place(docs: DataFrame, weights: dict[str, int] | None = None, source: str =
         before += min(block_rows, counts[k] - block * block_rows)
     plan = spark.createDataFrame(slots, "__key string, __block long, __slot long, __before long")  # at most MAX_SLOTS rows
     buckets = spark.createDataFrame([(k, min(MOST_BUCKETS, -(-n // BUCKET_ROWS))) for k, n in counts.items()], "__key string, __buckets long")
-    dealt = keyed.join(F.broadcast(buckets), "__key").withColumn("__bucket", F.pmod("__hash", "__buckets"))
+    dealt = keyed.join(F.broadcast(buckets) if len(counts) <= MAX_SLOTS else buckets, "__key").withColumn("__bucket", F.pmod("__hash", "__buckets"))
     sizes = dealt.groupBy("__key", "__bucket").agg(F.count("*").alias("__n"))
     earlier = Window.partitionBy("__key").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("__key", "__bucket", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))

@@ -279,6 +279,7 @@ def repeated_spans(rows: DataFrame, packed: DataFrame, length: int = LENGTH, gra
     first = keep == "first"
     every = blocks(rows, length, gram)
     anchors = every.groupBy("anchor").agg(F.count("*").alias("copies"), F.min("block").alias("low"), F.max("block").alias("high")).where("copies > 1")
+    anchors = stored(anchors, "anchors")  # apart from the join, so that Spark can split a frequent anchor's rows there
     shared = stored(every.join(anchors, "anchor"), "shared")
     discard(every)
     place = F.struct("doc", "start")
