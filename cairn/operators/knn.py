@@ -102,10 +102,11 @@ def knn_pruned(points: DataFrame, k: int, cells: int, metric: str = "angular", s
                 d = np.sort(distances(a, m, metric), axis=1)
                 far = d[:, k - 1] if d.shape[1] >= k else np.full(len(i), np.inf)
                 to_centres = distances(a, centres, metric)
+                vectors = list(a)
                 for cell, radius in radii.items():
                     near = to_centres[:, cell] - radius <= far + 1e-7
                     if near.any():
-                        yield pd.DataFrame({"id": i[near], "vec": list(a[near]), "far": far[near], "cell": np.int32(cell), "to": to_centres[near, cell]})
+                        yield pd.DataFrame({"id": i[near], "vec": [vectors[n] for n in np.flatnonzero(near)], "far": far[near], "cell": np.int32(cell), "to": to_centres[near, cell]})
 
     wanted = own.join(held.select("cell", "b"), "cell").select("q", "b").mapInPandas(within, "id long, vec array<double>, far double, cell int, to double")
     asked = wanted.groupBy("cell").agg(F.collect_list(F.struct("id", "vec", "far", "to")).alias("q"))
@@ -116,6 +117,7 @@ def knn_pruned(points: DataFrame, k: int, cells: int, metric: str = "angular", s
                 i, a = _matrix(left)
                 j, m = _matrix(right)
                 to_centre = np.array([r["to_centre"] for r in right])
+                parts = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))]
                 for row, (x, far, to) in enumerate(zip(a, [r["far"] for r in left], [r["to"] for r in left], strict=True)):
                     low, high = np.searchsorted(to_centre, [to - far - 1e-7, to + far + 1e-7])
                     if low < high:
@@ -124,7 +126,8 @@ def knn_pruned(points: DataFrame, k: int, cells: int, metric: str = "angular", s
                         d = np.round(d, 12)
                         d[jj == i[row]] = -1.0
                         order = np.lexsort((jj, d))[:k]
-                        yield pd.DataFrame({"i": np.full(len(order), i[row]), "j": jj[order], "dist": np.maximum(d[order], 0.0)})
+                        parts.append((np.full(len(order), i[row]), jj[order], np.maximum(d[order], 0.0)))
+                yield pd.DataFrame(dict(zip(("i", "j", "dist"), map(np.concatenate, zip(*parts, strict=True)), strict=True)))
 
     found = asked.join(held.select("cell", "b"), "cell").select("q", "b").mapInPandas(search, NEIGHBOUR)
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy(F.col("i") != F.col("j"), "dist", "j")))
