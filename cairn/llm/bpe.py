@@ -262,14 +262,15 @@ def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> tuple[str, str]:
     return public_tokenizers.path(name), public_tokenizers.PATTERN
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id and ids (array of int) of every text."""
+def encode_documents(docs: DataFrame, path: str, pattern: str, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and ids (array of int) of every text, with the long columns `also` beside them."""
 
     def run(columns):
         c = codec(path, pattern)
-        return {"doc_id": columns["doc_id"], "ids": [np.frombuffer(c.encode(t), dtype="<u4").astype("int32") for t in columns["text"]]}
+        ids = [np.frombuffer(c.encode(t), dtype="<u4").astype("int32") for t in columns["text"]]
+        return {"doc_id": columns["doc_id"], "ids": ids, **{k: columns[k] for k in also}}
 
-    return map_documents(_rows(docs), run, "doc_id long, ids array<int>")
+    return map_documents(_rows(docs, *also), run, ", ".join(["doc_id long", "ids array<int>", *(f"{k} long" for k in also)]))
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -298,8 +299,8 @@ def digest_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return map_documents(_rows(docs), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    return narrow(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+def _rows(docs: DataFrame, *also: str) -> DataFrame:
+    return narrow(docs, "doc_id", "text", *also).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), *also)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -52,6 +52,21 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_written_order(df: DataFrame, name: str) -> DataFrame:
+    """`df`, read from Parquet files that Spark wrote, with `name`: each row's place (0, 1, ...) in the order of writing.
+
+    Reading keeps no order (files are packed by size), so places are counted from the numbers in the files' names and
+    the rows' places in their files. Only counts, a row for each file, meet in one task.
+    """
+    file, row = f"{name}_file", f"{name}_row"
+    rows = df.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
+    counts = df.groupBy(F.col("_metadata.file_path").alias(file)).agg(F.count("*").alias("n"))
+    part, piece = (F.regexp_extract(file, rf"{before}(\d+)[^/]*$", 1).try_cast("long") for before in ("/part-", r"/part-[^/]*-c"))
+    earlier = Window.orderBy(part, piece, file).rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    starts = counts.select(file, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(name))
+    return rows.join(F.broadcast(starts), file).withColumn(name, F.col(name) + F.col(row)).select(*df.columns, name)
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

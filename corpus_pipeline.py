@@ -1,7 +1,8 @@
 """A corpus pipeline over the documents table: quality rules, near duplicates, personal data, mixing, tokens.
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
-Parquet and read again as the next one's docs. All but the last return the columns of documents.
+Parquet and read again as the next one's docs. All but the last return the columns of documents. The order of the mix
+is in the files that source_mixing's result is written to; the last stage gives it as the column position.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cairn.llm import bpe, mixing, near, pii, quality
-from cairn.llm.common import read_table, stored
+from cairn.llm.common import in_written_order, read_table, stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +34,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and token ids of every document."""
-    return bpe.encode_documents(docs, *bpe.vocabulary())
+    """doc_id and token ids of every document, and its position in the mix: the order in which `docs` was written."""
+    return bpe.encode_documents(in_written_order(docs, "position"), *bpe.vocabulary(), also=("position",))
 
 
 STAGES = [

@@ -473,3 +473,20 @@ def test_pipeline(spark, sf, reference):
     assert {r.doc_id: tuple(r.ids) for r in corpus_pipeline.run(spark, sf).collect()} == want
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf).columns == docs.columns, name
+
+
+@pytest.mark.parametrize("most", [None, 20])
+def test_pipeline_positions_are_those_of_the_mix(spark, sf, monkeypatch, most):
+    import corpus_pipeline
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[-2:])
+    want = {r.doc_id: r["__position"] for r in mixing.place(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "20000"} | ({"spark.sql.files.maxRecordsPerFile": str(most)} if most else {})
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        got = {r.doc_id: r.position for r in corpus_pipeline.run(spark, sf).collect()}
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    assert got == want and sorted(got.values()) == list(range(len(want)))
