@@ -130,7 +130,7 @@ def k_sweep(spark, d):
 
 @query("auto_clusters")
 def auto_clusters(spark, d):
-    k, found = density.auto_clusters(points(spark, d), DIM, steps=5)
+    k, found = density.auto_clusters(points(spark, d), DIM)
     return found.withColumn("k", F.lit(k))
 
 

@@ -241,3 +241,16 @@ def test_samples_and_terms(spark):
     assert T.rescale(df.select(F.lit(1.0).alias("x")), ["x"]).first()["x"] == 1.0
     with pytest.raises(ValueError):
         T.transform(df, ["id"], "log")
+
+
+def test_automatic_k_depends_on_the_cluster_counts(spark, tmp_path):
+    from cairn.plans.neighbours import auto_clusters
+
+    chosen = set()
+    for groups, size in ((12, 10), (30, 8)):
+        rng = np.random.default_rng(1)
+        rows = np.concatenate([rng.normal(rng.normal(size=64) * 3, 0.3, (size, 64)) for _ in range(groups)])
+        embeddings = spark.createDataFrame([(i, [float(x) for x in v], 0) for i, v in enumerate(rows)], "vec_id long, embedding array<float>, label int")
+        embeddings.write.parquet(f"{tmp_path}/{groups}/embeddings.parquet")
+        chosen.add(auto_clusters(spark, f"{tmp_path}/{groups}").first()["k"])
+    assert len(chosen) == 2  # both have the same range of K
