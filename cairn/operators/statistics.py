@@ -123,9 +123,15 @@ def matched_f(table: DataFrame, truth: str, found: str) -> DataFrame:
 
 
 def permutation_null(rows: DataFrame, length: int, rounds: int, seed: int = 1) -> DataFrame:
-    """(round, shared): columns in which all of a few 0-padded vectors (id, vec) are non-zero after shuffling each; rounds are dealt to tasks."""
+    """(round, shared): columns in which all of a few 0-padded vectors (id, vec) are non-zero after shuffling each; rounds are dealt to tasks.
+
+    A vector that is longer than `length` is an error.
+    """
     spark = rows.sparkSession
-    sizes = [sum(1 for x in r["vec"] if x) for r in rows.orderBy("id").collect()]
+    ones = rows.select("id", F.size("vec").alias("length"), F.size(F.filter("vec", lambda x: x != 0)).alias("ones")).orderBy("id").collect()
+    if any(r["length"] > length for r in ones):
+        raise ValueError(f"a vector is longer than the {length} columns it is padded to")
+    sizes = [r["ones"] for r in ones]
 
     def run(frames):
         for frame in frames:

@@ -12,6 +12,9 @@ from cairn.session import table
 #: A second labeling to compare with: the id modulo 7.
 OTHER = "id % 7"
 
+#: The length to which the reference pads vectors for permutations.
+PADDING = 137_072
+
 
 def labels(spark, d):
     return points(spark, d).select("id", F.col("label").alias("truth"))
@@ -221,10 +224,13 @@ def first_component_spread(spark, d):
 
 @query("permutation_null")
 def permutation_null(spark, d):
-    """Shared non-zero columns of two 0-padded vectors (a one for each point of an even or odd label) after shuffling, 1000 rounds."""
+    """Shared non-zero columns of two 0-padded vectors (a one for each point of an even or odd label) after shuffling, 1000 rounds.
+
+    The padding is the reference's length, or the number of points where there are more.
+    """
     counts = points(spark, d).groupBy((F.col("label") % 2).cast("long").alias("id")).agg(F.count("*").alias("n"))
     vectors = counts.select("id", F.array_repeat(F.lit(1.0), F.col("n").cast("int")).alias("vec"))
-    return statistics.permutation_null(vectors, 4000, 1000)
+    return statistics.permutation_null(vectors, max(PADDING, points(spark, d).count()), 1000)
 
 
 @query("random_discriminant")

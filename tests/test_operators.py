@@ -254,3 +254,16 @@ def test_automatic_k_depends_on_the_cluster_counts(spark, tmp_path):
         embeddings.write.parquet(f"{tmp_path}/{groups}/embeddings.parquet")
         chosen.add(auto_clusters(spark, f"{tmp_path}/{groups}").first()["k"])
     assert len(chosen) == 2  # both have the same range of K
+
+
+def test_permutation_null_of_many_points(spark, tmp_path):
+    from cairn.plans.groups import permutation_null
+
+    embeddings = spark.range(20_000).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0)).alias("embedding"), (F.col("id") % 2).cast("int").alias("label"))
+    embeddings.write.parquet(f"{tmp_path}/embeddings.parquet")
+    shared = [r.shared for r in permutation_null(spark, str(tmp_path)).collect()]
+    assert len(shared) == 1000 and len(set(shared)) > 10
+    assert np.mean(shared) == pytest.approx(10_000 * 10_000 / 137_072, rel=0.02)
+    with pytest.raises(ValueError, match="longer"):
+        statistics.permutation_null(points_of(spark, [[1, 0, 1], [0, 1, 1]]), 2, 10)
+    assert {r.shared for r in statistics.permutation_null(points_of(spark, [[1, 0, 1], [0, 1, 1]]), 3, 50).collect()} == {1, 2}
