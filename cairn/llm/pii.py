@@ -1,8 +1,9 @@
 """Personal data: patterns propose spans, checksums confirm them, nearby words adjust the score.
 
 Kinds email, ip, card and phone follow the base patterns (leftmost, non-overlapping for each kind; a failing match is
-dropped without a retry). The method adds iban (mod-97), ssn and secret, which need a context word before them, and
-gives each span a score: its kind's own confidence, raised by a context word within CONTEXT_CHARS before it.
+dropped without a retry). The method adds iban (mod-97; of a failing match the shorter ends at its spaces are tried,
+then later starts), ssn and secret (of any length from LEAST_TOKEN), which need a context word before them, and gives
+each span a score: its kind's own confidence, raised by a context word within CONTEXT_CHARS before it.
 
 Defined cases: null text is the empty text, which has no spans; offsets are code points, end exclusive; long runs of
 one character class are scanned once, not once for each start; repeated rows are treated row by row; other columns
@@ -31,7 +32,11 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b")
 SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
-SECRET = re.compile(r"(?<![A-Za-z0-9_])(?=[A-Za-z0-9_+/-]*[0-9])(?=[A-Za-z0-9_+/-]*[A-Za-z])[A-Za-z0-9_+/-]{20,200}(?![A-Za-z0-9_+/-])")
+TOKEN = re.compile(r"[A-Za-z0-9_+/-]++")
+TOKEN_START = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z0-9_+/-]")
+LEAST_TOKEN = 20
+NOT_LETTERS = "0123456789_+/-"
+NOT_DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_+/-"
 KEYED = re.compile(r"(?i)(?:secret|token|passw|key|auth|bearer|credential)")
 
 #: (own confidence, words that raise it)
@@ -104,11 +109,17 @@ def phones(text: str) -> list[tuple[int, int]]:
 
 
 def ibans(text: str) -> list[tuple[int, int]]:
-    found = []
-    for m in IBAN.finditer(text):
-        bare = m[0].replace(" ", "")
-        if 15 <= len(bare) <= 34 and mod97(bare):
-            found.append(m.span())
+    found, m = [], IBAN.search(text)
+    while m:
+        spaces = [i for i in range(m.start(), m.end()) if text[i] == " "]
+        for end in [m.end(), *reversed(spaces)]:
+            bare = text[m.start() : end].replace(" ", "")
+            if 15 <= len(bare) <= 34 and mod97(bare):
+                found.append((m.start(), end))
+                break
+        else:
+            end = spaces[0] if spaces else m.end()
+        m = IBAN.search(text, end)
     return found
 
 
@@ -117,13 +128,24 @@ def ssns(text: str) -> list[tuple[int, int]]:
 
 
 def secrets(text: str) -> list[tuple[int, int]]:
-    """Long mixed tokens near a word that announces a key; only the text just after such words is searched."""
+    """Long tokens with a letter and a digit near a word that announces a key; only the text just after such words is searched.
+
+    A token has no greatest length. Its end, last letter and last digit are looked up once for all starts in it.
+    """
     found, last = [], 0
+    start = end = letter = digit = 0
     for k in KEYED.finditer(text):
-        m = SECRET.search(text, k.end(), k.end() + CONTEXT_CHARS + 200)
-        if m and m.start() - k.end() <= CONTEXT_CHARS and m.start() >= last:
-            found.append(m.span())
-            last = m.end()
+        for m in TOKEN_START.finditer(text, k.end(), k.end() + CONTEXT_CHARS + 1):
+            a = m.start()
+            if not start <= a < end:
+                start, end = TOKEN.match(text, a).span()
+                token = text[start:end]
+                letter, digit = (start + len(token.rstrip(others)) - 1 for others in (NOT_LETTERS, NOT_DIGITS))
+            if end - a >= LEAST_TOKEN and a <= letter and a <= digit:
+                if a >= last:
+                    found.append((a, end))
+                    last = end
+                break
     return found
 
 

@@ -490,3 +490,19 @@ def test_pipeline_positions_are_those_of_the_mix(spark, sf, monkeypatch, most):
         for k in settings:
             spark.conf.unset(k)
     assert got == want and sorted(got.values()) == list(range(len(want)))
+
+
+def test_pii_long_secrets_and_ibans_before_capitals():
+    def found(text):
+        return [(k, text[a:b]) for k, a, b, _ in pii.spans(text) if k in ("iban", "secret")]
+
+    for n in (10, 100, 101, 5000):
+        assert found(f"token: {'a1' * n}.") == [("secret", "a1" * n)]
+    assert found(f"token {'-' * 30}{'b2' * 150} {'c3' * 150}") == [("secret", "-" * 30 + "b2" * 150)]
+    assert found(f"key {'x' * 300} {'key' * 50_000}") == found(f"key {'1' * 300}") == []
+    spanish, german = "ES91 2100 0418 4502 0005 1332", "DE89 3704 0044 0532 0130 00"
+    for tail in ("", " EUR", " BANK", " BANK EUR", " A", "."):
+        assert found(f"IBAN {spanish}{tail}") == [("iban", spanish)]
+    assert found(f"{spanish} {german} {spanish} EUR") == [("iban", spanish), ("iban", german), ("iban", spanish)]
+    assert found(f"AB12 CDEF GHIJ {german} EUR") == [("iban", german)]
+    assert found("ES91 2100 0418 4502 0005 1333 EUR") == []
