@@ -16,7 +16,13 @@ that share an anchor place are a block (a run of window starts). Then:
 
 With keep="none" every repeated window is removed, with keep="first" all but the first in order of doc_id and place.
 
-Hashes are 64-bit polynomial hashes of bytes, an anchor and a block hash together for each comparison.
+The same steps find repeated passages of words: symbols are then 64-bit hashes of words, windows count words, and
+within=False asks for a match in another document.
+
+Steps 1 and 3 and equal blocks decide by hashes, not by bytes: 64-bit polynomial hashes mod 2^64 of random odd byte
+values, an anchor and a block (or core) hash together for each comparison. Two different blocks of one anchor are taken
+for equal with a chance of about 2^-64 for a pair, so over a group of m different blocks about m^2 / 2^65. A suffix order
+compares hashes of length / 8 bytes (or single words) with a chance of 2^-63 for a pair of places.
 
 Defined cases: null text is the empty text; texts shorter than `length` lose nothing; a null doc_id comes first in
 order; of repeated rows all are copies of each other under "none" and one document under "first"; other columns are
@@ -41,22 +47,48 @@ CELLS = (32, 8, 1)
 PLACE_BITS = 24
 PIECE = 1 << 22
 
+PASSAGE_WORDS = 50
+PASSAGE_GRAM = 4
+SALTS = 32
+
 BLOCK = "doc long, start long, windows int, lead int, anchor long, block long"
 
 
-class ByteHash:
-    """Prefix polynomial hashes mod 2^64 of a byte array."""
+class SpanHash:
+    """Prefix polynomial hashes mod 2^64 of an array of bytes, or of symbols that are hashes themselves."""
 
     def __init__(self, data: np.ndarray):
         n = len(data)
         self.sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(BYTE_VALUES[data] * _grown(0, BASE, n), out=self.sums[1:])
+        np.cumsum((BYTE_VALUES[data] if data.dtype == np.uint8 else data) * _grown(0, BASE, n), out=self.sums[1:])
         self.back = _grown(1, pow(BASE, -1, 1 << 64), n + 1)
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mixed((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64))
 
 
+def word_hashes(raw: bytes) -> np.ndarray:
+    """64-bit hashes of the words `[^\\x20\\x09-\\x0D]+` of a text, in order; a very long text goes in pieces that end between words."""
+    out, at = [], 0
+    while at < len(raw):
+        data = np.frombuffer(raw, dtype=np.uint8, offset=at, count=min(PIECE, len(raw) - at))
+        white = (data == 32) | (data >= 9) & (data <= 13)
+        if at + len(data) < len(raw) and white.any():  # the rest of a word goes to the next piece
+            data, white = (x[: np.flatnonzero(white)[-1] + 1] for x in (data, white))
+        elif at + len(data) < len(raw):
+            end = next((i for i in range(at + len(data), len(raw)) if raw[i] == 32 or 9 <= raw[i] <= 13), len(raw))
+            data, white = np.frombuffer(raw, dtype=np.uint8, offset=at, count=end - at), np.zeros(end - at, dtype=bool)
+        edge = np.diff(np.concatenate([[1], white.astype(np.int8), [1]]))
+        out.append(SpanHash(data).spans(np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)))
+        at += len(data)
+    return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
+
+
+def symbols_of(raw: bytes, unit: str) -> np.ndarray:
+    """A text as symbols: its bytes, or hashes of its words."""
+    return np.frombuffer(raw, dtype=np.uint8) if unit == "bytes" else word_hashes(raw)
+
+
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     """The least of each `width` neighbours: least so far from both sides of blocks of that width."""
     n = len(values)
@@ -77,7 +109,7 @@ def blocks_of(data: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> t
     n = len(data)
     if n < length:
         return empty
-    hashes = ByteHash(data)
+    hashes = SpanHash(data)
     grams = hashes.spans(np.arange(n - gram + 1), np.arange(gram, n + 1))
     low = np.uint64((1 << PLACE_BITS) - 1)
     least = sliding_least(grams & ~low | np.arange(len(grams), dtype=np.uint64), length - gram + 1)
@@ -96,8 +128,8 @@ def blocks_of(data: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> t
     return text_of[first], first - bounds[text_of[first]], windows, lead, grams[place], block
 
 
-def text_blocks(raw: list[bytes], length: int, gram: int):
-    """blocks_of for a list of byte texts; a very long one goes in pieces that overlap by a window."""
+def text_blocks(raw: list[np.ndarray], length: int, gram: int):
+    """blocks_of for a list of symbol arrays; a very long one goes in pieces that overlap by a window."""
     out: list[tuple[np.ndarray, ...]] = []
     small = [i for i, r in enumerate(raw) if len(r) <= PIECE]
     sizes = [len(raw[i]) for i in small]
@@ -107,14 +139,14 @@ def text_blocks(raw: list[bytes], length: int, gram: int):
         while end < len(small) and (end == at or total + sizes[end] <= PIECE):
             total += sizes[end]
             end += 1
-        data = np.frombuffer(b"".join([raw[i] for i in small[at:end]]), dtype=np.uint8)
+        data = np.concatenate([raw[i] for i in small[at:end]])
         found = blocks_of(data, np.concatenate([[0], np.cumsum(sizes[at:end], dtype=np.int64)]), length, gram)
         out.append((np.array(small[at:end], dtype=np.int64)[found[0]], *found[1:]))
         at = end
     for i, r in enumerate(raw):
         if len(r) > PIECE:
             for a in range(0, len(r) - length + 1, PIECE):
-                data = np.frombuffer(r, dtype=np.uint8, offset=a, count=min(PIECE + length - 1, len(r) - a))
+                data = r[a : a + PIECE + length - 1]
                 found = blocks_of(data, np.array([0, len(data)]), length, gram)
                 out.append((np.full(len(found[0]), i), found[1] + a, *found[2:]))
     return [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, dtype=np.int64)] * 6
@@ -146,38 +178,40 @@ def _unpacked(packed: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(packed)
 
 
-def blocks(rows: DataFrame, length: int, gram: int) -> DataFrame:
+def blocks(rows: DataFrame, length: int, gram: int, unit: str) -> DataFrame:
     """All blocks of the texts of `rows` (doc, text), stored."""
 
     def run(columns):
         out = {k.split()[0]: [] for k in BLOCK.split(", ")}
         for a, b in grouped(columns["text"]):
-            text, start, windows, lead, anchor, block = text_blocks([t.encode("utf-8", "surrogatepass") for t in columns["text"][a:b]], length, gram)
+            text, start, windows, lead, anchor, block = text_blocks([symbols_of(t.encode("utf-8", "surrogatepass"), unit) for t in columns["text"][a:b]], length, gram)
             out["doc"] += [columns["doc"][a + i] for i in text.tolist()]
             for k, v in (("start", start), ("windows", windows), ("lead", lead), ("anchor", anchor.view(np.int64)), ("block", block.view(np.int64))):
                 out[k] += v.tolist()
         return out
 
-    return stored(map_documents(rows.where(F.octet_length("text") >= length).select("doc", "text"), run, BLOCK), "blocks")
+    least = length if unit == "bytes" else 2 * length - 1  # words and the gaps between them
+    return stored(map_documents(rows.where(F.octet_length("text") >= least).select("doc", "text"), run, BLOCK), "blocks")
 
 
-def compared_blocks(contexts: list[bytes], windows: list[int], length: int, first: bool) -> list[list[tuple[int, int]]]:
+def compared_blocks(contexts: list[np.ndarray], windows: list[int], length: int, first: bool, owners: list[tuple[int, int]] | None = None) -> list[list[tuple[int, int]]]:
     """For each context the runs of window starts that match at another start of any context; with `first`, at an earlier one.
 
-    Contexts are in order of first occurrence. Symbols are hashes of length / 8 bytes, so a match of 8 symbols is a
-    match of `length` bytes. After each context stands a gap of one symbol's length, and symbols that touch a gap are
-    unlike any other, so no match steps from one context into the next.
+    Contexts are in order of first occurrence. Symbols are hashes of a part of a window (`unit` places), so a match of
+    a few symbols is a match of a window. After each context stands a gap of one symbol's length, and symbols that touch
+    a gap are unlike any other, so no match steps from one context into the next. `owners` gives the least and the
+    greatest document that holds each context; then a match must lie in another document.
     """
-    unit = length // 8 if length % 8 == 0 else 1
-    gap = bytes(unit)
-    data = np.frombuffer(b"".join([c + gap for c in contexts]), dtype=np.uint8)
+    unit = next(length // k for k in (8, 5, length) if length % k == 0)
+    gap = np.zeros(unit, dtype=contexts[0].dtype)
+    data = np.concatenate([x for c in contexts for x in (c, gap)])
     sizes = np.array([len(c) for c in contexts], dtype=np.int64)
     ends = np.cumsum(sizes + unit) - unit
     n = len(data)
     if unit > 1:
-        symbols = ByteHash(data).spans(np.arange(n), np.minimum(np.arange(n) + unit, n)) >> np.uint64(1)
+        symbols = SpanHash(data).spans(np.arange(n), np.minimum(np.arange(n) + unit, n)) >> np.uint64(1)
     else:
-        symbols = data.astype(np.uint64)
+        symbols = data.astype(np.uint64) >> np.uint64(data.dtype.itemsize == 8)
     touching = np.flatnonzero(np.arange(n) + unit > np.repeat(ends, sizes + unit))
     symbols[touching] = (1 << 63) + touching.astype(np.uint64)
     cap = length // unit
@@ -186,6 +220,11 @@ def compared_blocks(contexts: list[bytes], windows: list[int], length: int, firs
     found = previous_factors(order, lcp, floor=cap) >= cap
     if not first:
         found |= previous_factors(order, lcp, later=True, floor=cap) >= cap
+    if owners is not None:  # equal windows stand together in suffix order
+        heads = np.flatnonzero(lcp < cap)
+        lo, hi = (np.repeat(np.array([o[k] for o in owners], dtype=np.int64), sizes + unit)[order] for k in (0, 1))
+        apart = np.minimum.reduceat(lo, heads) < np.maximum.reduceat(hi, heads)
+        found[order] &= np.repeat(apart, np.diff(np.append(heads, n)))
     out = []
     for end, context, count in zip(ends.tolist(), contexts, windows, strict=True):
         hit = found[end - len(context) : end - len(context) + count].astype(np.int8)
@@ -197,7 +236,7 @@ def compared_blocks(contexts: list[bytes], windows: list[int], length: int, firs
 RUN = "anchor long, block long, a int, b int"
 
 
-def _by_suffixes(rows: DataFrame, length: int, first: bool, parts: int) -> DataFrame:
+def _by_suffixes(rows: DataFrame, length: int, first: bool, parts: int, dtype, within: bool) -> DataFrame:
     """Runs of repeated window starts of the blocks of small groups; groups are packed, whole, to about PACK_BYTES."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -208,7 +247,9 @@ def _by_suffixes(rows: DataFrame, length: int, first: bool, parts: int) -> DataF
     def solved(pack):
         pack.sort(key=lambda r: (r["first_doc"], r["first_start"]))
         out = {"anchor": [], "block": [], "a": [], "b": []}
-        for r, runs in zip(pack, compared_blocks([r["context"] for r in pack], [r["windows"] for r in pack], length, first), strict=True):
+        contexts = [np.frombuffer(r["context"], dtype=dtype) for r in pack]
+        owners = None if within else [(r["first_doc"], r["last_doc"]) for r in pack]
+        for r, runs in zip(pack, compared_blocks(contexts, [r["windows"] for r in pack], length, first, owners), strict=True):
             for a, b in runs:
                 for k, v in (("anchor", r["anchor"]), ("block", r["block"]), ("a", a), ("b", b)):
                     out[k].append(v)
@@ -227,19 +268,19 @@ def _by_suffixes(rows: DataFrame, length: int, first: bool, parts: int) -> DataF
         if pack:
             yield solved(pack)
 
-    dealt = rows.select("anchor", "block", "windows", "first_doc", "first_start", "context").repartition(parts, "anchor").sortWithinPartitions("anchor")
+    dealt = rows.select("anchor", "block", "windows", "first_doc", "last_doc", "first_start", "context").repartition(parts, "anchor").sortWithinPartitions("anchor")
     return dealt.mapInArrow(run, RUN)
 
 
-CELL = "anchor long, block long, a int, b int, n long, cell int, core long, full long, first_doc long, first_start long"
+CELL = "anchor long, block long, a int, b int, n long, cell int, core long, full long, first_doc long, last_doc long, first_start long"
 
 
-def _by_cells(rows: DataFrame, length: int, first: bool) -> DataFrame:
+def _by_cells(rows: DataFrame, length: int, first: bool, dtype, within: bool) -> DataFrame:
     """Runs for the blocks of large groups, by splitting window starts into ever smaller cells with a common core."""
     contexts = rows.select("anchor", "block", "lead", "context")
-    open_rows = rows.select("anchor", "block", F.lit(0).alias("a"), (F.col("windows") - 1).alias("b"), "n", "first_doc", "first_start")
+    open_rows = rows.select("anchor", "block", F.lit(0).alias("a"), (F.col("windows") - 1).alias("b"), "n", "first_doc", "last_doc", "first_start")
     found = None
-    for step in CELLS:
+    for step in (c for c in CELLS if c == 1 or 2 * c <= length):
 
         def run(columns, step=step):
             out = {k.split()[0]: [] for k in CELL.split(", ")}
@@ -248,7 +289,7 @@ def _by_cells(rows: DataFrame, length: int, first: bool) -> DataFrame:
                 cells = np.arange((a - lead) // step, (b - lead) // step + 1)
                 low, high = cells * step + lead, cells * step + step - 1 + lead  # window starts of the cell, in the context
                 start, end = np.maximum(low, a), np.minimum(high, b)
-                hashes = ByteHash(np.frombuffer(context, dtype=np.uint8))
+                hashes = SpanHash(np.frombuffer(context, dtype=dtype))
                 core = hashes.spans(high, low + length)
                 full = mixed(hashes.spans(start, end + length) + (start - low).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
                 out["a"] += start.tolist()
@@ -257,64 +298,69 @@ def _by_cells(rows: DataFrame, length: int, first: bool) -> DataFrame:
                 out["core"] += core.view(np.int64).tolist()
                 out["full"] += full.view(np.int64).tolist()
                 out["first_start"] += [columns["first_start"][i]] * len(cells)
-                for k in ("anchor", "block", "n", "first_doc"):
+                for k in ("anchor", "block", "n", "first_doc", "last_doc"):
                     out[k] += [columns[k][i]] * len(cells)
             return out
 
         cells = stored(map_documents(open_rows.join(contexts, ["anchor", "block"]), run, CELL), "cells")
         place = F.struct("first_doc", (F.col("first_start") + F.col("a")).alias("at"))
-        groups = cells.groupBy("anchor", "cell", "core").agg(F.min("full").alias("low"), F.max("full").alias("high"), F.sum("n").alias("copies"), F.count("*").alias("m"), F.min(place).alias("earliest"))
-        joined = cells.join(groups.where("m > 1 OR copies > 1"), ["anchor", "cell", "core"])
+        groups = cells.groupBy("anchor", "cell", "core").agg(F.min("full").alias("low"), F.max("full").alias("high"), F.sum("n").alias("copies"), F.count("*").alias("m"), F.min(place).alias("earliest"), F.min("first_doc").alias("lo"), F.max("last_doc").alias("hi"))
+        joined = cells.join(groups.where("m > 1 OR copies > 1" if within else "lo < hi"), ["anchor", "cell", "core"])
         done = joined.where("low = high" + (" AND NOT (struct(first_doc, first_start + a) = struct(earliest.first_doc, earliest.at))" if first else ""))
         done = done.select("anchor", "block", "a", "b")
         found = done if found is None else found.unionByName(done)
-        open_rows = joined.where("low <> high").select("anchor", "block", "a", "b", "n", "first_doc", "first_start")
+        open_rows = joined.where("low <> high").select("anchor", "block", "a", "b", "n", "first_doc", "last_doc", "first_start")
     return found
 
 
-def repeated_spans(rows: DataFrame, packed: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str = "none") -> DataFrame:
-    """doc and spans (array of byte starts and ends, not merged) of what goes."""
-    if keep not in ("none", "first"):
-        raise ValueError(f"unknown keep: {keep}")
-    first = keep == "first"
-    every = blocks(rows, length, gram)
-    anchors = every.groupBy("anchor").agg(F.count("*").alias("copies"), F.min("block").alias("low"), F.max("block").alias("high")).where("copies > 1")
-    anchors = stored(anchors, "anchors")  # apart from the join, so that Spark can split a frequent anchor's rows there
+def repeated_spans(rows: DataFrame, packed: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str = "none", unit: str = "bytes", within: bool = True) -> DataFrame:
+    """doc, s and e: spans (in bytes or words, not merged) of what goes; without `within`, of what also stands in another document."""
+    if keep not in ("none", "first") or unit not in ("bytes", "words"):
+        raise ValueError(f"unknown keep or unit: {keep}, {unit}")
+    first, dtype = keep == "first", np.uint8 if unit == "bytes" else np.uint64
+    every = blocks(rows, length, gram, unit)
+    anchors = every.groupBy("anchor").agg(F.count("*").alias("copies"), F.min("block").alias("low"), F.max("block").alias("high"), F.min("doc").alias("lo"), F.max("doc").alias("hi"))
+    anchors = stored(anchors.where("copies > 1" if within else "lo < hi").drop("lo", "hi"), "anchors")  # apart from the join, so that Spark can split a frequent anchor's rows there
     shared = stored(every.join(anchors, "anchor"), "shared")
     discard(every)
     place = F.struct("doc", "start")
     different = (
         shared.where("low <> high")
         .groupBy("anchor", "block")
-        .agg(F.count("*").alias("n"), F.min(F.struct("doc", "start", "windows", "lead")).alias("f"))
-        .select("anchor", "block", "n", F.col("f.doc").alias("first_doc"), F.col("f.start").alias("first_start"), F.col("f.windows").alias("windows"), F.col("f.lead").alias("lead"))
+        .agg(F.count("*").alias("n"), F.min(F.struct("doc", "start", "windows", "lead")).alias("f"), F.max("doc").alias("last_doc"))
+        .select("anchor", "block", "n", F.col("f.doc").alias("first_doc"), "last_doc", F.col("f.start").alias("first_start"), F.col("f.windows").alias("windows"), F.col("f.lead").alias("lead"))
     )
-    different = stored(different, "different")
-    wanted = different.groupBy(F.col("first_doc").alias("doc")).agg(F.collect_list(F.struct("anchor", "block", "n", "first_start", "windows", "lead")).alias("wanted"))
+    different = stored(different.withColumn("salt", F.pmod("block", F.lit(SALTS)).cast("int")), "different")
+    item = np.dtype(dtype).itemsize
+    sizes = different.groupBy("anchor").agg(F.count("*").alias("m"), F.sum((F.col("windows") + length) * item).alias("bytes"))
+    # of large groups, one anchor in GROUP_BLOCKS blocks at most, each is sent once for each salt, so that no group meets in one task
+    large = sizes.where(F.col("m") > GROUP_BLOCKS).select("anchor", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("large"))
+    total = sizes.agg(F.sum("bytes")).first()[0] or 0
+    kept = ("anchor", "block", "n", "last_doc", "first_start", "windows", "lead", "large")
+    wanted = different.join(large, ["anchor", "salt"], "left").withColumn("large", F.coalesce("large", F.lit(False)))
+    wanted = wanted.groupBy(F.col("first_doc").alias("doc")).agg(F.collect_list(F.struct(*kept)).alias("wanted"))
 
     def cut(columns):
-        out = {k: [] for k in ("anchor", "block", "n", "first_doc", "first_start", "windows", "lead", "context")}
+        out = {k: [] for k in (*kept, "first_doc", "context")}
         for doc, blob, wanted_here in zip(columns["doc"], columns["packed"], columns["wanted"], strict=True):
-            data = _unpacked(blob)
+            data = symbols_of(_unpacked(blob), unit)
             for w in wanted_here:
                 out["first_doc"].append(doc)
-                out["context"].append(data[w["first_start"] : w["first_start"] + w["windows"] - 1 + length])
-                for k in ("anchor", "block", "n", "first_start", "windows", "lead"):
+                out["context"].append(data[w["first_start"] : w["first_start"] + w["windows"] - 1 + length].tobytes())
+                for k in kept:
                     out[k].append(w[k])
         return out
 
     once = packed.select("doc", "packed").join(wanted, "doc")
-    contexts = map_documents(once, cut, "anchor long, block long, n long, first_doc long, first_start long, windows int, lead int, context binary")
+    contexts = map_documents(once, cut, "anchor long, block long, n long, last_doc long, first_start long, windows int, lead int, large boolean, first_doc long, context binary")
     contexts = stored(contexts.dropDuplicates(["anchor", "block"]) if _repeats(packed) else contexts, "contexts")
-    sizes = different.groupBy("anchor").agg(F.count("*").alias("m"), F.sum(F.col("windows") + length).alias("bytes"))
-    large = sizes.where(F.col("m") > GROUP_BLOCKS).select("anchor")
-    total = sizes.agg(F.sum("bytes")).first()[0] or 0
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // (8 * PACK_BYTES))
-    runs = _by_suffixes(contexts.join(large, "anchor", "left_anti"), length, first, parts).unionByName(_by_cells(contexts.join(large, "anchor", "left_semi"), length, first))
+    runs = _by_suffixes(contexts.where("NOT large"), length, first, parts, dtype, within).unionByName(_by_cells(contexts.where("large"), length, first, dtype, within))
     runs = stored(runs, "runs")
     if not first:  # blocks with equal copies are repeated whole
-        runs = runs.join(different.where("n = 1").select("anchor", "block"), ["anchor", "block"], "left_semi").unionByName(
-            different.where("n > 1").select("anchor", "block", F.lit(0).alias("a"), (F.col("windows") - 1).alias("b"))
+        copied = "n > 1" if within else "first_doc < last_doc"
+        runs = runs.join(different.where(f"NOT ({copied})").select("anchor", "block"), ["anchor", "block"], "left_semi").unionByName(
+            different.where(copied).select("anchor", "block", F.lit(0).alias("a"), (F.col("windows") - 1).alias("b"))
         )
         equal = shared.where("low = high")
         mixed_rows = shared.where("low <> high")
@@ -328,7 +374,7 @@ def repeated_spans(rows: DataFrame, packed: DataFrame, length: int = LENGTH, gra
         mixed_rows = mixed_rows.where("doc = first_doc AND start = first_start").drop("first_doc", "first_start")
     whole = equal.select("doc", F.col("start").alias("s"), (F.col("start") + F.col("windows") - 1 + length).alias("e"))
     partly = mixed_rows.join(runs, ["anchor", "block"]).select("doc", (F.col("start") + F.col("a")).alias("s"), (F.col("start") + F.col("b") + length).alias("e"))
-    return whole.unionByName(partly).groupBy("doc").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    return whole.unionByName(partly)
 
 
 def _repeats(packed: DataFrame) -> bool:
@@ -346,32 +392,45 @@ def merged(spans) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def trimmed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str = "none") -> DataFrame:
-    """doc_id, n_bytes, spans (what went, merged byte spans) and kept (binary: the bytes that stay) of every document."""
+def trimmed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str = "none", passage_words: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, spans (what went, merged byte spans) and kept (binary: the bytes that stay) of every document.
+
+    With `passage_words`, also n_passage_words: words in passages of so many words or more that stand in another document
+    too. They are only counted; what is removed does not depend on them.
+    """
     rows = _documents(docs)
     packed = _packed(rows)
-    spans = repeated_spans(rows, packed, length, gram, keep)
+    found = repeated_spans(rows, packed, length, gram, keep).withColumn("passage", F.lit(False))
+    if passage_words:
+        passages = repeated_spans(rows, packed, passage_words, min(PASSAGE_GRAM, passage_words), unit="words", within=False)
+        found = found.unionByName(passages.withColumn("passage", F.lit(True)))
+    of = lambda which: F.collect_set(F.when(which, F.struct("s", "e")))
+    spans = found.groupBy("doc").agg(of(~F.col("passage")).alias("spans"), of(F.col("passage")).alias("passages"))
 
     def run(columns):
-        out = {"doc_id": columns["doc_id"], "n_bytes": [], "spans": [], "kept": []}
-        for blob, found in zip(columns["packed"], columns["spans"], strict=True):
+        out = {"doc_id": columns["doc_id"], "n_bytes": [], "spans": [], "kept": [], "n_passage_words": []}
+        for blob, found, passages in zip(columns["packed"], columns["spans"], columns["passages"], strict=True):
             data, went = _unpacked(blob), merged(found)
             edges = [0, *(x for s in went for x in s), len(data)]
             out["n_bytes"].append(len(data))
             out["spans"].append([{"start": s, "end": e} for s, e in went])
             out["kept"].append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
+            out["n_passage_words"].append(sum(e - s for s, e in merged(passages)))
         return out
 
-    joined = packed.join(spans, "doc", "left").select("doc_id", "packed", "spans")
-    return map_documents(joined, run, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+    joined = packed.join(spans, "doc", "left").select("doc_id", "packed", "spans", "passages")
+    out = map_documents(joined, run, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary, n_passage_words long")
+    return out if passage_words else out.drop("n_passage_words")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    out = trimmed(read_table(spark, sf_dir, "documents"))
+    """The digest of what 400-byte strings remove, and n_passage_words: words in passages of 50 words that other documents hold too."""
+    out = trimmed(read_table(spark, sf_dir, "documents"), passage_words=PASSAGE_WORDS)
     return out.select(
         "doc_id",
         "n_bytes",
         (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        "n_passage_words",
     )

@@ -148,6 +148,41 @@ def test_repeats_brute_force(spark, monkeypatch, keep, most):
     assert [got[k] for k in range(len(texts))] == brute_repeats([t.encode() for t in texts], 40, keep == "first")
 
 
+def brute_passages(texts, length):
+    """Words of each text in windows of `length` words that another text holds too."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    windows = [[tuple(w[i : i + length]) for i in range(len(w) - length + 1)] for w in words]
+    holders = Counter(x for own in windows for x in set(own))
+    return [len({i + k for i, x in enumerate(own) if holders[x] > 1 for k in range(length)}) for own in windows]
+
+
+@pytest.mark.parametrize("most", [1, 200])
+def test_passages_brute_force(spark, sf, monkeypatch, most):
+    monkeypatch.setattr(repeats, "GROUP_BLOCKS", most)
+    rng = random.Random(most)
+    word = lambda: rng.choice(["aa", "b", "c", "dé", "ee"])
+    passage = [word() for _ in range(30)]
+    texts = ["", "b " * 60, " ".join(["c"] * 40), "short"]
+    for _ in range(40):
+        part = passage[rng.randint(0, 8) : 30 - rng.randint(0, 8)] if rng.random() < 0.7 else []
+        texts.append(rng.choice([" ", "\n"]).join([word() for _ in range(rng.randint(0, 25))] + part + [word() for _ in range(rng.randint(0, 25))]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_passage_words for r in repeats.trimmed(docs, length=40, gram=10, passage_words=10).collect()}
+    assert [got[k] for k in range(len(texts))] == brute_passages(texts, 10)
+    if most > 1:
+        all_texts = sorted(sf_texts(spark, sf).items())
+        got = {r.doc_id: r.n_passage_words for r in repeats.query(spark, sf).collect()}
+        assert [got[d] for d, _ in all_texts] == brute_passages([t for _, t in all_texts], 50)
+
+
+def test_words_of_long_texts_go_in_pieces(monkeypatch):
+    rng = random.Random(1)
+    raw = "".join(rng.choice("ab \n") for _ in range(400)).encode() + b"x" * 100 + b" end"
+    whole = repeats.word_hashes(raw)
+    monkeypatch.setattr(repeats, "PIECE", 16)
+    assert (repeats.word_hashes(raw) == whole).all() and len(whole) == len(raw.split())
+
+
 def test_repeats_cases(spark, sf, hard, none):
     texts = [(t or "").encode() for _, t, *_ in hard_rows()]
     got = Counter((r.doc_id, bytes(r.kept)) for r in repeats.trimmed(hard, length=40, gram=10).collect())
