@@ -6,12 +6,13 @@ A turn is a plain message unless its text is a JSON object of one of two shapes:
 graph of two levels, call before result, so a topological order is: by the later of a result's own turn and its
 call's turn, then level, then own turn. Arguments are checked against the tool's JSON schema (type, required,
 properties, additionalProperties, enum, items, minimum, maximum). Messages are serialised as canonical JSON: sorted
-keys, no spaces, characters as they are.
+keys, no spaces, characters as they are (a lone surrogate, which no text can hold, as its \\u escape).
 
 The result has one row for each message, so a long conversation never meets in one task; `assemble` joins messages to
 one text for each conversation where such a text is wanted.
 
-Defined cases: null text is empty content; a text that is not valid JSON of these shapes is plain content; where an id
+Defined cases: null text is empty content; a text that is not valid JSON of these shapes, or holds a number beyond a
+double (1e999) or NaN, is plain content; where an id
 is called twice the first call (turn, then place) is the one results link to; a result without a call is an orphan and
 keeps its place; a call without a result has linked false; repeated rows give repeated messages; other columns are
 ignored; an empty table gives an empty result.
@@ -20,17 +21,25 @@ ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import json
+import math
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import map_documents, narrow, read_table, text_or_empty
+from cairn.llm.common import map_documents, narrow, read_table, stored, text_or_empty
 
+SURROGATE = re.compile("[\ud800-\udfff]")
 TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
+def encodable(text: str) -> str:
+    """`text` with lone surrogates written as escapes."""
+    return SURROGATE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    return encodable(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
 
 
 def violations(value, schema: dict, at: str = "$") -> list[str]:
@@ -38,7 +47,7 @@ def violations(value, schema: dict, at: str = "$") -> list[str]:
     found = []
     kind = schema.get("type")
     if kind == "number" or kind == "integer":
-        if isinstance(value, bool) or not isinstance(value, (int, float)) or kind == "integer" and value != int(value):
+        if isinstance(value, bool) or not isinstance(value, (int, float)) or not math.isfinite(value) or kind == "integer" and value != int(value):
             return [f"{at}: not {kind}"]
         if "minimum" in schema and value < schema["minimum"] or "maximum" in schema and value > schema["maximum"]:
             found.append(f"{at}: out of range")
@@ -72,7 +81,7 @@ def parsed(role: str | None, text: str, schemas: dict[str, dict]) -> tuple[str,
                 return plain
             content = value.get("content", "")
             content = content if isinstance(content, str) else canonical(content)
-            return canonical({"role": role, "tool_call_id": value["tool_call_id"], "content": content}), [], value["tool_call_id"]
+            return canonical({"role": role, "tool_call_id": value["tool_call_id"], "content": content}), [], encodable(value["tool_call_id"])
         raw = value.get("tool_calls")
         if not isinstance(raw, list) or not all(isinstance(c, dict) and isinstance(c.get("id"), str) and isinstance(c.get("name"), str) for c in raw):
             return plain
@@ -86,11 +95,11 @@ def parsed(role: str | None, text: str, schemas: dict[str, dict]) -> tuple[str,
                     problems = ["$: not JSON"]
             if not problems:
                 problems = violations(arguments, schemas[c["name"]]) if c["name"] in schemas else ["unknown tool"]
-            calls.append({"id": c["id"], "name": c["name"], "arguments": canonical(arguments), "problems": problems})
+            calls.append({"id": encodable(c["id"]), "name": encodable(c["name"]), "arguments": canonical(arguments), "problems": [encodable(p) for p in problems]})
             shown.append({"id": c["id"], "name": c["name"], "arguments": arguments})
         content = value.get("content") or ""
         return canonical({"role": role, "content": content if isinstance(content, str) else canonical(content), "tool_calls": shown}), calls, None
-    except (ValueError, RecursionError):
+    except (ValueError, OverflowError, RecursionError):
         return plain
 
 
@@ -113,7 +122,7 @@ def messages(turns: DataFrame, schemas: dict[str, dict] | None = None) -> DataFr
 
 def formatted(turns: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:
     """One row for each message with its links, validity and place in the topological order (order_turn, order_level, turn)."""
-    parsed_turns = messages(turns, schemas)
+    parsed_turns = stored(messages(turns, schemas), "turns")  # six branches read it
     calls = parsed_turns.where(F.size("calls") > 0).select("conv_id", "turn", F.posexplode("calls").alias("place", "call"))
     first = calls.groupBy("conv_id", F.col("call.id").alias("answers")).agg(F.min(F.struct("turn", "place")).alias("f"))
     first = first.select("conv_id", "answers", F.col("f.turn").alias("call_turn"))

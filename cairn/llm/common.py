@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+SLICE_BYTES = 8_000_000
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table `name` of a data directory."""
@@ -27,13 +29,24 @@ def narrow(df: DataFrame, *names: str) -> DataFrame:
     return df.toDF(*kept).select(*names)
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, list[str], dict[str, str]]:
+    """`df` with its columns renamed c0, c1, ...; those names; and the new name of each old one (the first of equal ones).
+
+    A stage that works on such names can't meet a clash; `select(*places).toDF(*df.columns)` gives the old names back.
+    """
+    places = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*places), places, {c: p for c, p in reversed(list(zip(df.columns, places, strict=True)))}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests, local mode) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else (local mode only) a temporary one."""
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cairn-"))
         current = spark.sparkContext.getCheckpointDir()
     return current
@@ -67,11 +80,45 @@ def in_written_order(df: DataFrame, name: str) -> DataFrame:
     return rows.join(F.broadcast(starts), file).withColumn(name, F.col(name) + F.col(row)).select(*df.columns, name)
 
 
+def joined_spread(rows: DataFrame, side: DataFrame, key: str, size: str, over: int = 1000, salts: int = 32) -> DataFrame:
+    """`rows` joined to `side`, which has one row for each `key` and in `size` about how many of `rows` it meets.
+
+    A side row that meets more than `over` rows is sent once for each salt, so no key's rows meet in one task; there are
+    at most salts / over as many such copies as rows. The other keys are joined plainly.
+    """
+    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")
+    large = side.where(F.col(size) > over)
+    copies = large.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = rows.withColumn("__salt", salt)
+    spread = dealt.join(copies, [key, "__salt"]).drop("__salt")
+    flags = copies.select(key, "__salt")
+    rest = dealt.join(flags, [key, "__salt"], "left_anti").drop("__salt")
+    return spread.unionByName(rest.join(side.where(F.col(size) <= over), key))
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
 
+def slices(batch, rows: int = 512, most: int = SLICE_BYTES):
+    """Slices of an Arrow batch of at most `rows` rows and, but for a single longer row, about `most` bytes of text."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    long = [c for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type)]
+    sizes = np.zeros(batch.num_rows, dtype=np.int64)
+    for c in long:
+        sizes += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    until, at = np.cumsum(sizes), 0
+    while at < batch.num_rows:
+        end = int(np.searchsorted(until, most + (until[at - 1] if at else 0), side="right"))
+        end = min(max(end, at + 1), at + rows, batch.num_rows)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def map_documents(df: DataFrame, fn, schema: str, rows: int = 512) -> DataFrame:
     """`fn(columns)` over slices of at most `rows` rows: a dict of lists in, a dict of lists out, as Arrow batches.
 
@@ -85,8 +132,8 @@ def map_documents(df: DataFrame, fn, schema: str, rows: int = 512) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                yield pa.RecordBatch.from_pydict(fn(batch.slice(at, rows).to_pydict()), schema=arrow)
+            for piece in slices(batch, rows):
+                yield pa.RecordBatch.from_pydict(fn(piece.to_pydict()), schema=arrow)
 
     return df.mapInArrow(run, schema)
 

@@ -5,8 +5,9 @@
 binary search over span lengths. A fingerprint is the whole text's hash and length, and for each of BINS classes the
 least mixed hash among the spans of SPAN code points; the likeness of two fingerprints is the share of equal classes.
 
-Documents are put in ascending doc_id order (null first, then text for ties) by range partitioning; only the first
-and last row of each partition meet across partitions.
+Documents are put in ascending doc_id order (null first; ties by a hash of the text, then the text) by range
+partitioning on id and hash, so that many rows of one id are dealt to several tasks; only the first and last row of each
+partition meet across partitions.
 
 Defined cases: null text is the empty text; a text shorter than SPAN has one span, itself; the empty text has none and
 its likeness is 1 to itself and 0 to others; a single document is its own next one; repeated rows each count.
@@ -21,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import map_documents, narrow, read_table, stored, text_or_empty
+from cairn.llm.common import map_documents, narrow, read_table, slices, stored, text_or_empty
 
 PRIMES = (2147483647, 2147483629)
 BASES = (1_000_003, 998_244_353)
@@ -182,8 +183,8 @@ def with_next(docs: DataFrame) -> DataFrame:
         part = TaskContext.get().partitionId()
         last = None  # (doc_id, Print)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece, out = batch.slice(at, 256).to_pydict(), []
+            for part_of in slices(batch, 256):
+                piece, out = part_of.to_pydict(), []
                 for doc_id, text in zip(piece["doc_id"], piece["text"], strict=True):
                     now = Print(text)
                     if last is None:
@@ -196,7 +197,7 @@ def with_next(docs: DataFrame) -> DataFrame:
             row = (last[0], *blank, "last", part, last[1].text)
             yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(row, arrow, strict=True)], schema=arrow)
 
-    ordered = _rows(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = _rows(docs).withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")
     done = stored(ordered.mapInArrow(run, schema), "fingerprints")
     names = ["doc_id", *(f.split()[0] for f in FIELDS.split(","))]
     parts = sorted(r.part for r in done.where("edge = 'first'").select("part").collect())  # one small number for each partition

@@ -3,7 +3,10 @@
 Shingles are five words (a shorter text is one shingle). Equal shingles of a text are told apart by their occurrence
 number, so a text is a sequence of different symbols. Each of BANDS sketches hashes the symbols anew, takes the TAKEN
 least, and hashes them in text order, so texts meet in a bucket only if the same symbols stand in the same order:
-the chance is about s^4 for similarity s, and of two texts at 0.8 all 24 sketches differ once in 300,000 pairs.
+the chance is about s^4 for similarity s, and of two texts at 0.8 all 24 sketches differ once in 300,000 pairs. As the
+least symbols are different ones, the chance is lower for texts of few symbols (C(4,4) / C(5,4) for 4 against 5 symbols,
+which 24 sketches miss in 0.5 % of pairs), so texts of up to SHORT symbols have SHORT_BANDS further sketches of their two
+least symbols; then all differ once in ten million pairs, or seldomer.
 
 Candidates are verified by banded alignment: the longest common subsequence L of the two symbol sequences, sought only
 within the band of places that a similarity of 0.8 allows, must have L / (n + m - L) >= 0.8. As symbols are unique in
@@ -11,13 +14,13 @@ a text, that alignment is a longest increasing run of places.
 
 Equal texts share one node from the start. In a bucket, members are compared with a pivot (the member with most
 bucket mates), in two rounds. In buckets that still hold several components, texts of different components are then
-compared outright: pair by pair in buckets of up to SMALL_BUCKET members, and in larger ones by chunks of members, with
-exact overlaps from matrix products inside a task. So two texts of a bucket end up in one class or have been compared,
+compared outright: pair by pair in buckets of up to SMALL_BUCKET members, and in larger ones by chunks of members,
+bounded in rows and bytes, with exact overlaps from matrix products inside a task. So two texts of a bucket end up in one class or have been compared,
 no bucket is capped, and no row is made for each pair of a large group.
 
 Defined cases: null text is the empty text; texts without words are near only to equal texts; of a class the least
 doc_id (null last, then the text's hash) stays; repeated rows are one class, of which one row stays; other columns are
-ignored (classes) or kept as they are (deduplicated).
+ignored (classes) or kept as they are, whatever their names (deduplicated).
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import map_documents, narrow, read_table, stored, text_or_empty
+from cairn.llm.common import joined_spread, map_documents, narrow, numbered, read_table, stored, text_or_empty
 from cairn.llm.components import components
 
 WORDS = 5
@@ -39,12 +42,16 @@ PIVOT_ROUNDS = 2
 GROUP_BYTES = 1_000_000
 SMALL_BUCKET = 16
 CHUNK = 512
+CHUNK_BYTES = 4_000_000
 SLICE = 8192
+SHORT = 24
+SHORT_BANDS = 12
+SHORT_TAKEN = 2
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 BYTE_VALUES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 PLACE_FACTORS = _rng.integers(1, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-SEEDS = _rng.integers(1, 1 << 63, BANDS, dtype=np.uint64)
+SEEDS = _rng.integers(1, 1 << 63, BANDS + SHORT_BANDS, dtype=np.uint64)
 BASE = 0x9E3779B97F4A7C15
 _powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
@@ -100,19 +107,19 @@ def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return mixed(h + occurrence * np.uint64(0xD6E8FEB86659FD93)), bounds
 
 
-def sketches(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """BANDS hashes for each text with symbols: of its TAKEN least symbols under each hash, in text order."""
+def sketches(h: np.ndarray, bounds: np.ndarray, bands: range = range(BANDS), taken: int = TAKEN) -> np.ndarray:
+    """A hash for each of `bands` of each text with symbols: of its `taken` least symbols under that band's hash, in text order."""
     counts = np.diff(bounds)
     full = np.flatnonzero(counts)
-    out = np.zeros((len(counts), BANDS), dtype=np.uint64)
+    out = np.zeros((len(counts), len(bands)), dtype=np.uint64)
     if not len(full):
         return out
     at, sizes = bounds[full], counts[full]
     top = np.uint64(0xFFFFFFFFFFFFFFFF)
-    for b in range(BANDS):
+    for column, b in enumerate(bands):
         v = mixed(h ^ SEEDS[b])
-        chosen = np.zeros((len(full), TAKEN), dtype=np.int64)
-        for k in range(TAKEN):
+        chosen = np.zeros((len(full), taken), dtype=np.int64)
+        for k in range(taken):
             least = np.minimum.reduceat(v, at)
             hit = np.flatnonzero(v == np.repeat(least, sizes))
             owner = np.searchsorted(at, hit, side="right") - 1
@@ -120,9 +127,23 @@ def sketches(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
             v[hit] = top
         chosen.sort(axis=1)
         value = np.full(len(full), np.uint64(b + 1), dtype=np.uint64)
-        for k in range(TAKEN):
+        for k in range(taken):
             value = mixed(value * np.uint64(0x9FB21C651E98DF25) + h[chosen[:, k]])
-        out[full, b] = value
+        out[full, column] = value
+    return out
+
+
+def buckets_of(texts: list[str]) -> list[np.ndarray]:
+    """Each text's sketches: none without words; those of short texts have the further ones."""
+    h, bounds = symbols(texts)
+    counts = np.diff(bounds)
+    found = sketches(h, bounds).view(np.int64)
+    short = np.flatnonzero((counts > 0) & (counts <= SHORT))
+    inside = np.repeat((counts > 0) & (counts <= SHORT), counts)
+    more = sketches(h[inside], np.concatenate([[0], np.cumsum(counts[short])]), range(BANDS, BANDS + SHORT_BANDS), SHORT_TAKEN).view(np.int64)
+    out = [found[k] if counts[k] else found[k, :0] for k in range(len(texts))]
+    for row, k in enumerate(short.tolist()):
+        out[k] = np.concatenate([out[k], more[row]])
     return out
 
 
@@ -177,9 +198,7 @@ def sketched(docs: DataFrame) -> DataFrame:
     def run(columns):
         buckets: list[np.ndarray] = []
         for a, b in grouped(columns["text"]):
-            h, bounds = symbols(columns["text"][a:b])
-            found = sketches(h, bounds).view(np.int64)
-            buckets += [found[k] if bounds[k + 1] > bounds[k] else found[k, :0] for k in range(b - a)]
+            buckets += buckets_of(columns["text"][a:b])
         return {"doc_id": columns["doc_id"], "key": [hashlib.md5(t.encode("utf-8", "surrogatepass")).digest() for t in columns["text"]], "buckets": buckets}
 
     rows = narrow(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
@@ -231,13 +250,16 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 def near_in_blocks(members: DataFrame, texts: DataFrame) -> DataFrame:
     """Near pairs (a, b) within the buckets of `members` (bucket, n, key, label) that link different labels, stored.
 
-    A bucket's members are dealt to chunks of about CHUNK; a row is two chunks. Exact overlaps of all their texts come
+    A bucket's members are dealt to chunks of about CHUNK texts and CHUNK_BYTES; a row is two chunks. Exact overlaps of all their texts come
     from matrix products, and pairs that may be near are aligned, all inside the task, which gives a link only where it
     joins what other links of the row have not joined yet.
     """
-    dealt = members.join(texts, "key").withColumn("chunk", F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / CHUNK)))
-    chunks = dealt.groupBy("bucket", "chunk").agg(F.max("n").alias("n"), F.collect_list(F.struct("key", "label", "text")).alias("rows"))
-    left = chunks.withColumn("other", F.explode(F.sequence(F.col("chunk"), F.ceil(F.col("n") / CHUNK) - 1)))
+    sized = stored(members.join(texts.select("key", F.octet_length("text").alias("bytes")), "key"), "sized")
+    counts = sized.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("bytes") / CHUNK_BYTES)).alias("chunks"), F.count("*").alias("members"))
+    counts = stored(counts, "chunks")
+    dealt = joined_spread(sized.select("bucket", "key", "label"), counts, "bucket", "members").withColumn("chunk", F.pmod(F.xxhash64("key"), "chunks"))
+    chunks = dealt.join(texts, "key").groupBy("bucket", "chunk").agg(F.max("chunks").alias("chunks"), F.collect_list(F.struct("key", "label", "text")).alias("rows"))
+    left = chunks.withColumn("other", F.explode(F.sequence(F.col("chunk"), F.col("chunks") - 1)))
     right = chunks.select("bucket", F.col("chunk").alias("other"), F.col("rows").alias("others"))
     pairs = left.join(right, ["bucket", "other"]).select((F.col("chunk") == F.col("other")).alias("same"), "rows", "others")
 
@@ -295,7 +317,8 @@ def linked(docs: DataFrame, sketch: DataFrame) -> DataFrame:
         return docs.sparkSession.createDataFrame([], "node binary, label binary")
     weights = stored(members.groupBy("key").agg(F.sum("n").alias("weight")), "weights")
     plain = narrow(docs, "doc_id", "text").select(F.expr("unhex(md5(cast(coalesce(cast(text AS string), '') AS binary)))").alias("key"), text_or_empty().alias("text"))
-    texts = stored(plain.join(weights.select("key").hint("merge"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "texts")
+    once = plain.groupBy("key").agg(F.first("text").alias("text"))  # copies meet before the shuffle
+    texts = stored(once.join(weights.select("key").hint("merge"), "key", "left_semi"), "texts")
     members = stored(members.join(weights, "key"), "members")
     compared = labels = None
     for turn in range(PIVOT_ROUNDS + 1):
@@ -332,21 +355,24 @@ def classes(docs: DataFrame, sketch: DataFrame | None = None) -> DataFrame:
     """doc_id, key, class_id (least doc_id of the class), class_size and stays (whether this document represents it)."""
     sketch = sketched(docs) if sketch is None else sketch
     labels = linked(docs, sketch).withColumnRenamed("node", "key")
-    rows = sketch.select("doc_id", "key").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    best = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best"), F.count("*").alias("class_size"))
-    return rows.join(best, "label").select(
-        "doc_id", "key", F.col("best.doc_id").alias("class_id"), "class_size", F.expr("doc_id <=> best.doc_id AND key = best.key").alias("stays")
-    )
+    texts = sketch.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best"), F.count("*").alias("copies"))
+    texts = stored(texts.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key")), "texts")
+    found = texts.groupBy("label").agg(F.min("best").alias("best"), F.sum("copies").alias("class_size"), F.count("*").alias("members"))
+    found = stored(found.select("label", F.col("best.doc_id").alias("class_id"), F.col("best.key").alias("best_key"), "class_size", "members"), "classes")
+    of_text = stored(joined_spread(texts.select("key", "label", "copies"), found, "label", "members"), "classes")
+    rows = joined_spread(sketch.select("doc_id", "key"), of_text, "key", "copies")
+    return rows.select("doc_id", "key", "class_id", "class_size", F.expr("doc_id <=> class_id AND key = best_key").alias("stays"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that represent their classes, all columns unchanged; of repeated rows one."""
     sketch = sketched(docs)
-    staying = classes(docs, sketch).where("stays").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"))
+    staying = classes(docs, sketch).where("stays").select(F.col("doc_id").alias("__id"), F.col("key").alias("__kept"))
     repeated = not sketch.groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
-    keyed = docs.withColumn("__key", F.expr("unhex(md5(cast(coalesce(cast(text AS string), '') AS binary)))"))
-    kept = keyed.join(staying.distinct(), (keyed["__key"] == staying["__key"]) & keyed["doc_id"].eqNullSafe(staying["__id"]), "left_semi")
-    return (kept.dropDuplicates(["doc_id", "__key"]) if repeated else kept).drop("__key")
+    plain, places, at = numbered(docs)
+    keyed = plain.withColumn("__key", F.expr(f"unhex(md5(cast(coalesce(cast({at['text']} AS string), '') AS binary)))"))
+    kept = keyed.join(staying.distinct(), (F.col("__key") == F.col("__kept")) & F.col(at["doc_id"]).eqNullSafe(F.col("__id")), "left_semi")
+    return (kept.dropDuplicates([at["doc_id"], "__key"]) if repeated else kept).select(*places).toDF(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 Kinds email, ip, card and phone follow the base patterns (leftmost, non-overlapping for each kind; a failing match is
 dropped without a retry). The method adds iban (mod-97; of a failing match the shorter ends at its spaces are tried,
-then later starts), ssn and secret (of any length from LEAST_TOKEN), which need a context word before them, and gives
-each span a score: its kind's own confidence, raised by a context word within CONTEXT_CHARS before it.
+then later starts), ssn and secret (of any length from LEAST_TOKEN). Each span has a score: its kind's own confidence,
+raised by a context word within CONTEXT_CHARS before it. Added spans need LEAST_SCORE: the checksum alone is enough for
+an iban, while ssn and secret, which no checksum confirms, need the context word.
 
 Defined cases: null text is the empty text, which has no spans; offsets are code points, end exclusive; long runs of
 one character class are scanned once, not once for each start; repeated rows are treated row by row; other columns
@@ -19,7 +20,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import map_documents, narrow, read_table, text_or_empty
+from cairn.llm.common import map_documents, narrow, numbered, read_table, text_or_empty
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "ssn", "secret")
@@ -199,25 +200,31 @@ def redact(docs: DataFrame) -> DataFrame:
     def mask(texts):
         return texts.map(lambda t: None if t is None else masked(t, spans(t)))
 
-    out = docs.withColumn("text", mask(F.col("text").cast("string")))
-    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    plain, places, at = numbered(docs)
+    text = at["text"]
+    out = plain.withColumn(text, mask(F.col(text).cast("string")))
+    if "n_chars" in at:
+        out = out.withColumn(at["n_chars"], F.char_length(text).cast(plain.schema[at["n_chars"]].dataType))
+    return out.select(*places).toDF(*docs.columns)
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Counts of base spans, the digest of their list, and the list of all spans."""
+    """Counts of base spans, the digest of their list, the list of all spans, their number, and their scores in the same order."""
 
     def run(columns):
-        out = {"doc_id": columns["doc_id"], **{f"n_{k}": [] for k in BASE}, "base_sha256": [], "spans": []}
+        out = {"doc_id": columns["doc_id"], **{f"n_{k}": [] for k in BASE}, "base_sha256": [], "spans": [], "n_spans": [], "scores": []}
         for text in columns["text"]:
             found = spans(text)
             for k in BASE:
                 out[f"n_{k}"].append(sum(s[0] == k for s in found))
             out["base_sha256"].append(hashlib.sha256(listed(s for s in found if s[0] in BASE).encode()).hexdigest())
             out["spans"].append(listed(found))
+            out["n_spans"].append(len(found))
+            out["scores"].append(",".join(f"{s[3]:.2f}" for s in found))
         return out
 
     counts = ", ".join(f"n_{k} long" for k in BASE)
-    return map_documents(_rows(docs), run, f"doc_id long, {counts}, base_sha256 string, spans string")
+    return map_documents(_rows(docs), run, f"doc_id long, {counts}, base_sha256 string, spans string, n_spans long, scores string")
 
 
 def _rows(docs: DataFrame) -> DataFrame:

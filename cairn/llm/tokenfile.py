@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.bpe import OpenEnd, cut, explicit_spaces
-from cairn.llm.common import fresh_path, map_documents, narrow, read_table, text_or_empty
+from cairn.llm.common import fresh_path, map_documents, narrow, read_table, slices, text_or_empty
 
 SKIP_TABLE, SKIP_IDS, FOOTER = 0x184D2A5E, 0x184D2A5D, 0x8F92EAB1
 CACHE_ENTRIES = 500_000
@@ -203,7 +203,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0)
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    schema = "path string, first_id long, n_docs long, n_tokens long"
+    schema = "path string, first_id long, last_id long, n_docs long, n_tokens long"
     arrow = to_arrow_schema(StructType.fromDDL(schema))
     end = np.array([end_id], dtype="<u4").tobytes()
 
@@ -211,8 +211,8 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0)
         system, root = filesystem(folder)
         name, sink, writer = f"shard-{uuid.uuid4().hex}.zst", None, None
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                piece = batch.slice(at, 512).to_pydict()
+            for part in slices(batch):
+                piece = part.to_pydict()
                 if sink is None and piece["doc_id"]:
                     system.create_dir(root, recursive=True)
                     sink = system.open_output_stream(f"{root}/{name}", compression=None)  # the frames are the compression
@@ -222,12 +222,12 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0)
         if writer is not None:
             writer.close()
             sink.close()
-            row = {"path": [f"{folder}/{name}"], "first_id": [writer.doc_ids[0]], "n_docs": [len(writer.doc_ids)], "n_tokens": [writer.tokens]}
+            row = {"path": [f"{folder}/{name}"], "first_id": [writer.doc_ids[0]], "last_id": [writer.doc_ids[-1]], "n_docs": [len(writer.doc_ids)], "n_tokens": [writer.tokens]}
             yield pa.RecordBatch.from_pydict(row, schema=arrow)
 
     rows = narrow(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = sorted((r.asDict() for r in ordered.mapInArrow(run, schema).collect()), key=lambda r: r["first_id"])
+    ordered = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")
+    manifest = sorted((r.asDict() for r in ordered.mapInArrow(run, schema).collect()), key=lambda r: (r["first_id"], r["last_id"]))
     before = 0
     for r in manifest:
         r["tokens_before"] = before

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -33,7 +34,10 @@ def hard_rows():
 @pytest.fixture(scope="module")
 def hard(spark):
     docs = spark.createDataFrame(hard_rows(), EMPTY)
-    return docs.selectExpr("*", "'t' AS TEXT_2", "1 AS key", "2 AS block", "'x' AS __bucketx", "3 AS label", "4 AS start", "array(1) AS buckets")
+    return docs.selectExpr(
+        "*", "'t' AS TEXT", "'u' AS SOURCE", "5L AS Doc_ID", "1 AS key", "2 AS block", "'x' AS __bucket", "3 AS label", "4 AS start", "array(1) AS buckets",
+        "'k' AS __key", "'h' AS __hash", "'t' AS __text", "'s' AS __slot", "6 AS c0", "7 AS row", "8 AS tie", "9 AS salt", "true AS stays",
+    )
 
 
 @pytest.fixture(scope="module")
@@ -74,7 +78,8 @@ def test_quality_cases(hard, none):
     assert got == {(d, *brute_quality(t)) for d, t, *_ in hard_rows()}
     assert quality.judge(none).count() == 0 and quality.keep(none).count() == 0
     kept = quality.keep(hard)
-    assert kept.columns == hard.columns and {r.doc_id for r in kept.collect()} == {1, 2, 3}
+    assert kept.columns == hard.columns and {r[0] for r in kept.collect()} == {1, 2, 3}
+    assert {r[hard.columns.index("__text")] for r in kept.collect()} == {"t"}
 
 
 def test_cascade_order_does_not_change_verdicts(hard):
@@ -263,6 +268,26 @@ def test_token_counts(spark, hard, none, reference):
     assert tokencount.count_sections(none, *bpe.vocabulary()).count() == 0
 
 
+@pytest.mark.parametrize("rule", tokencount.RULES)
+def test_section_counts_by_brute_force(spark, sf, reference, rule):
+    """Every token of every text, byte by byte, given to one line by the rule."""
+    texts = sf_texts(spark, sf) | {10**6 + k: t or "" for k, (_, t, *_) in enumerate(hard_rows())}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = Counter({(r.doc_id, r.section): r.n_tokens for r in tokencount.count_sections(docs, *bpe.vocabulary(), rule=rule).collect() if r.n_tokens})
+    want = Counter()
+    for d, t in texts.items():
+        line_of, line = [], 0
+        for byte in t.encode():
+            line_of.append(line)
+            line += byte == 10
+        at = 0
+        for piece in reference.decode_tokens_bytes(reference.encode_ordinary(t)):
+            held = Counter(line_of[at : at + len(piece)])
+            at += len(piece)
+            want[d, {"start": min(held), "end": max(held), "majority": min(held, key=lambda x: (-held[x], x))}[rule]] += 1
+    assert got == want
+
+
 def test_boundary_rules():
     starts, ends = np.array([0, 3]), np.array([3, 9])
     sections = np.array([4, 9])
@@ -290,10 +315,46 @@ def test_fingerprints(spark, hard, none):
         want.append((d if known else None, len(t), hashlib.sha256(changed.encode()).hexdigest()))
     assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == Counter(want)
     assert len({r.fingerprint for r in got}) == len({t for *_, t in rows})
-    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+    near = Counter()
+    for k, (known, d, t) in enumerate(rows):
+        following = rows[(k + 1) % len(rows)][2]
+        near[d if known else None, len(t), brute_likeness(t, fingerprint.edited(t, following)), brute_likeness(t, following)] += 1
+    assert near == Counter((r.doc_id, r.n_chars, r.near_edited, r.near_next) for r in got)
     assert fingerprint.with_next(none).count() == 0
 
 
+def brute_hash(s):
+    """The hash of a span, by its polynomial."""
+    high, low = (sum((ord(c) + 1) * pow(base, i, prime) for i, c in enumerate(s)) % prime for prime, base in zip(fingerprint.PRIMES, fingerprint.BASES, strict=True))
+    return high << 31 | low
+
+
+def brute_likeness(a, b):
+    sides = []
+    for t in (a, b):
+        spans = {t[i : i + fingerprint.SPAN] for i in range(max(1, len(t) - fingerprint.SPAN + 1))} if t else set()
+        hashes = sorted(int(h) for h in fingerprint.mixed(np.array([brute_hash(s) for s in spans], dtype=np.uint64)))
+        least = {}
+        for h in hashes:
+            least.setdefault(h >> 58, h & 0xFFFF | 1)
+        sides.append(least)
+    either = sides[0].keys() | sides[1].keys()
+    return sum(sides[0].get(k) == sides[1].get(k) for k in either) / len(either) if either else 1.0
+
+
+def test_likeness_follows_shared_spans():
+    """Over random edits the likeness is near the share of spans that both texts hold."""
+    rng = random.Random(5)
+    errors = []
+    for _ in range(60):
+        a = "".join(rng.choice("abcdefghij") for _ in range(1500))
+        cut = rng.randrange(1500)
+        b = a[:cut] + "".join(rng.choice("abcdefghij") for _ in range(1500 - cut))
+        left, right = ({t[i : i + 8] for i in range(len(t) - 7)} for t in (a, b))
+        errors.append(fingerprint.likeness(fingerprint.Print(a).sketch, fingerprint.Print(b).sketch) - len(left & right) / len(left | right))
+    assert max(map(abs, errors)) < 0.25 and abs(sum(errors) / len(errors)) < 0.05
+
+
 def test_prefix_hash():
     rng = random.Random(4)
     a, b = ("".join(rng.choice("ab") for _ in range(300)) for _ in range(2))
@@ -311,24 +372,88 @@ def test_prefix_hash():
 
 def test_schedule_deviates_by_less_than_a_block():
     weights = {"a": 5, "b": 3, "c": 2}
-    order = mixing.schedule({"a": 100, "b": 40, "c": 30}, weights)
-    assert Counter(s for s, _ in order) == {"a": 100, "b": 40, "c": 30}
-    done = Counter()
-    for t, (s, block) in enumerate(order):
-        assert block == done[s]
+    blocks = {"a": 100, "b": 40, "c": 31}
+    order = brute_schedule(blocks, weights)
+    assert Counter(order) == blocks
+    left, done, began, active = dict(blocks), Counter(), 0, set(blocks)
+    for t, s in enumerate(order):  # in every phase, until its last source ends
         done[s] += 1
-        if max(done["b"] / 40, done["c"] / 30, done["a"] / 100) < 1:
-            assert all(abs(done[x] - w * (t + 1) / 10) < 1 for x, w in weights.items())
-
-
-def test_place(hard, none):
+        total = sum(weights[x] for x in active)
+        assert all(abs(done[x] - Fraction(weights[x] * (t + 1 - began), total)) < 1 for x in active)
+        left[s] -= 1
+        if not left[s]:
+            active.discard(s)
+            done, began = Counter(), t + 1
+
+
+def brute_schedule(blocks, weights):
+    """The source of every slot, slot by slot over the whole schedule: of the released blocks the one that is due first."""
+    order, left = [], {s: n for s, n in blocks.items() if n}
+    while left:
+        total, began, done = sum(weights[s] for s in left), len(order), dict.fromkeys(left, 0)
+        while all(left.values()):
+            t = len(order) - began
+            due = lambda s, i: -(-i * total // weights[s])  # noqa: B023, E731
+            ready = [(due(s, done[s] + 1), due(s, done[s] + 2), s) for s in left if done[s] * total // weights[s] <= t]
+            s = min(ready)[2]
+            order.append(s)
+            done[s] += 1
+            left[s] -= 1
+        left = {s: n for s, n in left.items() if n}
+    return order
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_phases_are_the_whole_schedule(seed):
+    rng = random.Random(seed)
+    sources = "abcdefg"[: rng.randint(1, 7)]
+    blocks = {s: rng.choice([0, 1, 3, 17, 60, 200]) for s in sources}
+    weights = {s: rng.choice([1, 2, 4, 7, 30]) for s in sources}
+    got = [p["order"][t % len(p["order"])] for p in mixing.phases(blocks, weights) for t in range(p["length"])]
+    assert got == brute_schedule(blocks, weights)
+
+
+@pytest.mark.parametrize("weights", [None, {"a": 5, "b": 2, None: 3}])
+def test_positions_by_brute_force(spark, weights):
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["a", "a", "a", "b", "c", None, "d"]), f"text {i}") for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.place(docs, weights, block_rows=4).collect()
+    counts = Counter(s for _, s, _ in rows)
+    key = lambda s: "n" if s is None else f"s:{s}"
+    given = mixing.default_weights({key(s): n for s, n in counts.items()}) if weights is None else {key(s): weights.get(s, 1) for s in counts}
+    left, want = {key(s): n for s, n in counts.items()}, []
+    for s in brute_schedule({k: -(-n // 4) for k, n in left.items()}, given):
+        want += [s] * min(4, left[s])
+        left[s] -= min(4, left[s])
+    assert [key(r.source) for r in sorted(got, key=lambda r: r["__position"])] == want
+    assert sorted(r["__position"] for r in got) == list(range(700)) and {r.doc_id for r in got} == set(range(700))
+    in_source = defaultdict(list)
+    for r in sorted(got, key=lambda r: r["__position"]):
+        in_source[r.source].append(r["__block"])
+    assert all(b == [k // 4 for k in range(len(b))] for b in in_source.values())
+
+
+def test_place(spark, hard, none, monkeypatch):
     rows = mixing.place(hard).collect()
     assert sorted(r["__position"] for r in rows) == list(range(len(hard_rows())))
     assert mixing.mixed(hard).columns == hard.columns
-    assert Counter(r.doc_id for r in mixing.mixed(hard).collect()) == Counter(d for d, *_ in hard_rows())
+    assert Counter(r[0] for r in mixing.mixed(hard).collect()) == Counter(d for d, *_ in hard_rows())
     assert mixing.mixed(none).count() == 0
+    for bad in ({"a": 0}, {"a": 1.5}, {"a": 10**6, "b": 7}):
+        with pytest.raises(ValueError):
+            mixing.place(hard, bad)
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 2)
     with pytest.raises(ValueError):
-        mixing.place(hard, {"a": 0})
+        mixing.place(hard)
+
+
+def test_place_is_the_same_rule_at_every_size(spark):
+    """Blocks have one length, and a document's slot does not depend on how many documents follow in its phase."""
+    few, many = (spark.range(n).selectExpr("id AS doc_id", "concat('s', id % 2) AS source", "'' AS text") for n in (400, 4000))
+    for docs in (few, many):
+        sizes = Counter((r.source, r["__block"]) for r in mixing.place(docs).collect())
+        assert max(sizes.values()) == mixing.BLOCK_ROWS
 
 
 # token files ---------------------------------------------------------------------------------------------------------
@@ -401,6 +526,65 @@ def test_chat_links(spark):
     assert chat.formatted(turns.limit(0)).count() == 0
 
 
+def test_chat_numbers_and_surrogates(spark):
+    long = "x" * 300_000
+    texts = [
+        json.dumps({"tool_calls": [{"id": "a", "name": "search", "arguments": '{"query": "q", "limit": 1e999}'}]}),
+        '{"tool_calls": [{"id": "b", "name": "search", "arguments": {"query": "q", "limit": 1e999}}]}',
+        '{"tool_calls": [{"id": "c\\ud800", "name": "\\udfff", "arguments": {"query": "\\ud83d"}}]}',
+        '{"tool_call_id": "c\\ud800", "content": "\\ud800"}', '{"tool_call_id": "c\\ud800", "content": NaN}', None, "", long, "[1]",
+    ]
+    rows = [(None if k == 5 else 1, k, "tool" if k in (3, 4) else "assistant", t) for k, t in enumerate(texts)]
+    got = {r.turn: r for r in chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), chat.TOOLS).collect()}
+    assert [got[k].n_calls for k in range(4)] == [0, 0, 1, 0] and got[2].n_linked == 1 and got[2].n_invalid == 1
+    assert got[3].call_turn == 2 and json.loads(got[3].message)["content"] == "\ud800" and got[4].answers_id is None
+    assert json.loads(got[7].message)["content"] == long and json.loads(got[5].message)["content"] == ""
+
+
+def brute_chat(rows):
+    """For each row (by its number) the links, straight from the JSON: n_calls, n_linked, n_invalid, call_turn, orphan."""
+    calls, results = [], []
+    for at, (conv, turn, role, text) in enumerate(rows):
+        value = json.loads(text) if text.startswith("{") else {}
+        if role == "assistant":
+            calls += [(conv, turn, place, c["id"], c, at) for place, c in enumerate(value.get("tool_calls", []))]
+        elif role == "tool":
+            results.append((conv, value["tool_call_id"], at))
+    out = []
+    for at, (conv, turn, role, _) in enumerate(rows):
+        own = [c for c in calls if c[5] == at]
+        linked = {c[3] for c in calls if (c[0], c[1]) == (conv, turn) and any(r[:2] == (conv, c[3]) for r in results)} if own else set()
+        bad = sum(c[4]["name"] not in chat.TOOLS or not isinstance(c[4]["arguments"].get("query"), str) or "more" in c[4]["arguments"] for c in own)
+        call_turn = None
+        for r in results:
+            if r[2] == at:
+                call_turn = min(((c[1], c[2]) for c in calls if (c[0], c[3]) == r[:2]), default=(None,))[0]
+        out.append((conv, turn, role, len(own), len(linked), bad, call_turn, role == "tool" and call_turn is None))
+    return Counter(out)
+
+
+def test_chat_brute_force(spark):
+    """Generated conversations with calls, answers before and after them, orphans, ids that are used twice, and repeated rows."""
+    rng = random.Random(6)
+    rows = []
+    for conv in range(60):
+        for turn in range(rng.randint(1, 14)):
+            kind = rng.random()
+            if kind < 0.35:
+                names = ["search", "search", "nothing"]
+                made = [{"id": f"c{rng.randint(0, 6)}", "name": rng.choice(names), "arguments": rng.choice([{"query": "q"}, {"query": 1}, {}, {"query": "é", "more": 2}])} for _ in range(rng.randint(1, 3))]
+                rows.append((conv, turn, "assistant", json.dumps({"tool_calls": made})))
+            elif kind < 0.7:
+                rows.append((conv, turn, "tool", json.dumps({"tool_call_id": f"c{rng.randint(0, 8)}", "content": {"b": turn}})))
+            else:
+                rows.append((conv, turn, rng.choice(["user", "assistant"]), f"plain {turn}"))
+    rows += rows[:20]
+    got = chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), chat.TOOLS).collect()
+    assert Counter((r.conv_id, r.turn, r.role, r.n_calls, r.n_linked, r.n_invalid, r.call_turn, r.orphan) for r in got) == brute_chat(rows)
+    assert all(r.order_turn == max(r.turn, r.call_turn or 0) and r.order_level == (r.call_turn is not None) for r in got)
+    assert sum(r.n_linked for r in got) > 50 and sum(r.orphan for r in got) > 10
+
+
 def test_schema_violations():
     schema = {"type": "object", "required": ["a"], "properties": {"a": {"type": "integer", "minimum": 1}, "b": {"type": "array", "items": {"enum": ["x"]}}}, "additionalProperties": False}
     assert chat.violations({"a": 1, "b": ["x"]}, schema) == []
@@ -474,10 +658,30 @@ def test_near_classes(spark, sf, hard, none):
     assert {(1, 1), (2, 1), (3, 1), (8, 8), (4, 4), (5, 4), (6, 6), (None, None)} <= got
     kept = near.deduplicated(hard)
     assert kept.columns == hard.columns
-    assert Counter(r.doc_id for r in kept.collect()) == Counter([1, 4, 6, 7, 8, None, 9])
+    assert Counter(r[0] for r in kept.collect()) == Counter([1, 4, 6, 7, 8, None, 9])
+    assert {r[hard.columns.index("__key")] for r in kept.collect()} == {"k"}
     assert near.classes(none).count() == 0 and near.deduplicated(none).count() == 0
 
 
+def test_short_texts_meet(spark):
+    """Pairs of 4 against 5 and of 8 against 10 symbols, at similarity 0.8 exactly, all share a bucket."""
+    rng = random.Random(3)
+    for n, m in ((8, 9), (12, 14), (12, 13)):
+        for _ in range(300):
+            words = [f"w{rng.randrange(10**9)}" for _ in range(m)]
+            a, b = near.buckets_of([" ".join(words[:n]), " ".join(words)])
+            assert set(a.tolist()) & set(b.tolist())
+
+
+def test_joined_spread(spark):
+    from cairn.llm.common import joined_spread
+
+    rows = spark.createDataFrame([("hot", i) for i in range(50)] + [("b", 1), ("none", 2), (None, 3)], "k string, v long")
+    side = spark.createDataFrame([("hot", 50, "h"), ("b", 1, "x"), ("c", 0, "y")], "k string, n long, w string")
+    got = Counter((r.k, r.v, r.w) for r in joined_spread(rows, side, "k", "n", over=10).collect())
+    assert got == Counter([("hot", i, "h") for i in range(50)] + [("b", 1, "x")])
+
+
 def test_large_group_of_variants(spark):
     """Many variants of one text that are near to it and not to each other, in large buckets: one class."""
     rng = random.Random(9)
