@@ -9,10 +9,10 @@ that share an anchor place are a block (a run of window starts). Then:
 2. Elsewhere the different blocks are compared: each group gets a suffix order with longest common prefixes, and
    longest-previous-factor arrays (nearest smaller positions before and after in suffix order), for earlier and for
    later matches. Groups are packed to about PACK_BYTES for one suffix order.
-3. An anchor with more than GROUP_BLOCKS different blocks (a passage in very many texts) is first split: the window
-   starts are cut into cells of 32, 8 and then 1 starts relative to the anchor. Windows of a cell share a core of
-   bytes, so blocks with different cores part, and blocks equal over the whole cell are one. So no group is capped and
-   none meets whole in one task.
+3. An anchor with more than GROUP_BLOCKS different blocks (a passage in very many texts) goes by hashes alone, without
+   a suffix order: the window starts are cut into cells of 32, 8 and then 1 starts relative to the anchor. Windows of a
+   cell share a core of bytes, so blocks with different cores part, and blocks equal over the whole cell are one. So no
+   group is capped and none meets whole in one task.
 
 With keep="none" every repeated window is removed, with keep="first" all but the first in order of doc_id and place.
 
@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import discard, map_documents, narrow, read_table, stored, text_or_empty
+from cairn.llm.common import discard, joined_spread, map_documents, narrow, read_table, stored, text_or_empty
 from cairn.llm.near import BASE, BYTE_VALUES, _grown, grouped, mixed
 from cairn.llm.suffixes import neighbour_prefixes, previous_factors, suffix_order
 
@@ -276,7 +276,11 @@ CELL = "anchor long, block long, a int, b int, n long, cell int, core long, full
 
 
 def _by_cells(rows: DataFrame, length: int, first: bool, dtype, within: bool) -> DataFrame:
-    """Runs for the blocks of large groups, by splitting window starts into ever smaller cells with a common core."""
+    """Runs for the blocks of large groups, by splitting window starts into ever smaller cells with a common core.
+
+    Cells of one content are repeated whole (with `first`, all but the earliest). Of each content that shares its core
+    with others one cell is split further, so the rows of a step follow the different contents, not the blocks.
+    """
     contexts = rows.select("anchor", "block", "lead", "context")
     open_rows = rows.select("anchor", "block", F.lit(0).alias("a"), (F.col("windows") - 1).alias("b"), "n", "first_doc", "last_doc", "first_start")
     found = None
@@ -297,19 +301,26 @@ def _by_cells(rows: DataFrame, length: int, first: bool, dtype, within: bool) ->
                 out["cell"] += cells.tolist()
                 out["core"] += core.view(np.int64).tolist()
                 out["full"] += full.view(np.int64).tolist()
-                out["first_start"] += [columns["first_start"][i]] * len(cells)
-                for k in ("anchor", "block", "n", "first_doc", "last_doc"):
+                for k in ("anchor", "block", "n", "first_doc", "last_doc", "first_start"):
                     out[k] += [columns[k][i]] * len(cells)
             return out
 
-        cells = stored(map_documents(open_rows.join(contexts, ["anchor", "block"]), run, CELL), "cells")
-        place = F.struct("first_doc", (F.col("first_start") + F.col("a")).alias("at"))
-        groups = cells.groupBy("anchor", "cell", "core").agg(F.min("full").alias("low"), F.max("full").alias("high"), F.sum("n").alias("copies"), F.count("*").alias("m"), F.min(place).alias("earliest"), F.min("first_doc").alias("lo"), F.max("last_doc").alias("hi"))
-        joined = cells.join(groups.where("m > 1 OR copies > 1" if within else "lo < hi"), ["anchor", "cell", "core"])
-        done = joined.where("low = high" + (" AND NOT (struct(first_doc, first_start + a) = struct(earliest.first_doc, earliest.at))" if first else ""))
-        done = done.select("anchor", "block", "a", "b")
+        cells = map_documents(open_rows.join(contexts, ["anchor", "block"]), run, CELL)
+        cells = stored(cells.withColumn("content", F.xxhash64("anchor", "cell", "core", "full")), "cells")
+        earliest = F.min(F.struct("first_doc", (F.col("first_start") + F.col("a")).alias("at"), "block", "a", "b", "first_start")).alias("f")
+        contents = cells.groupBy("anchor", "cell", "core", "full").agg(
+            F.first("content").alias("content"), earliest, F.sum("n").alias("copies"), F.count("*").alias("m"), F.min("first_doc").alias("lo"), F.max("last_doc").alias("hi")
+        )
+        contents = stored(contents, "contents")
+        repeated = contents.where("m > 1" if first else "copies > 1" if within else "lo < hi").select("content", "m", F.col("f.first_doc").alias("f_doc"), F.col("f.at").alias("f_at"))
+        done = joined_spread(cells.select("content", "anchor", "block", "a", "b", "first_doc", "first_start"), repeated, "content", "m")
+        done = (done.where("NOT (first_doc = f_doc AND first_start + a = f_at)") if first else done).select("anchor", "block", "a", "b")
         found = done if found is None else found.unionByName(done)
-        open_rows = joined.where("low <> high").select("anchor", "block", "a", "b", "n", "first_doc", "last_doc", "first_start")
+        shared = contents.groupBy("anchor", "cell", "core").agg(F.count("*").alias("m"), F.min("lo").alias("lowest"), F.max("hi").alias("highest"))
+        shared = stored(shared.where("m > 1" if within else "m > 1 AND lowest < highest").withColumn("group", F.xxhash64("anchor", "cell", "core")), "shared")
+        grouped_rows = contents.withColumn("group", F.xxhash64("anchor", "cell", "core"))
+        open_rows = joined_spread(grouped_rows.drop("m"), shared.select("group", "m"), "group", "m")
+        open_rows = open_rows.select("anchor", "f.block", "f.a", "f.b", F.col("copies").alias("n"), "f.first_doc", F.col("hi").alias("last_doc"), "f.first_start")
     return found
 
 
