@@ -10,16 +10,18 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import vectors as V
-from cairn.operators.knn import knn, nearest
+from cairn.operators.knn import distances, knn, nearest
 from cairn.session import cut_lineage
 
 #: Shares of the first root at which the path between two roots is probed.
 PROBES = tuple(round(0.05 * i, 2) for i in range(1, 19))
 DIGITS = 9
+MOST_ROOTS = 5_000
 
 
 def default_range(dim: int, n: int) -> dict[str, int]:
@@ -78,45 +80,79 @@ def roots_of(links: DataFrame) -> DataFrame:
             return now
 
 
-def gabriel_edges(points: DataFrame) -> DataFrame:
-    """(a, b): pairs of few points (id, vec) to whose midpoint no third point is nearer (Euclidean): an anti join."""
-    left, right, third = (points.select(F.col("id").alias(n), F.col("vec").alias(f"v{n}")) for n in ("a", "b", "c"))
-    pairs = left.join(right, F.col("a") < F.col("b"))
-    pairs = pairs.withColumn("mid", V.blend(F.col("va"), F.col("vb"), 0.5)).withColumn("half", V.euclidean(F.col("va"), F.col("vb")) / 2)
-    blocked = (F.col("c") != F.col("a")) & (F.col("c") != F.col("b")) & (V.euclidean(F.col("mid"), F.col("vc")) < F.col("half"))
-    return pairs.join(third, blocked, "left_anti").select("a", "b")
+def gabriel_edges(points: DataFrame, metric: str = "angular") -> DataFrame:
+    """(a, b): pairs of a cluster-level set (id, vec) to whose midpoint no third point is nearer than the two ends.
 
-
-def merged_roots(points: DataFrame, links: DataFrame, k: int, metric: str = "angular") -> DataFrame:
-    """`links` with each root tied to the most similar Gabriel neighbour among the roots that is denser and to which no probe of the path is thinner than the root itself."""
-    roots = cut_lineage(links.where("parent IS NULL").select("id", "density").join(points.select("id", "vec"), "id"))
-    edges = gabriel_edges(roots.select("id", "vec"))
+    Under the angular metric vectors count by direction alone: the midpoint is that of the unit vectors. Points on the
+    border (within 1e-9) do not part a pair. The set's size is checked before it is sent to the tasks, each of which
+    takes some of the first ends.
+    """
+    rows = points.select("id", "vec").limit(MOST_ROOTS + 1).collect()
+    if len(rows) > MOST_ROOTS:
+        raise ValueError(f"more than {MOST_ROOTS} points to test for adjacency")
+    ids = np.array(sorted(r["id"] for r in rows), dtype=np.int64)
+    vectors = np.array([r["vec"] for r in sorted(rows, key=lambda r: r["id"])], dtype=np.float64).reshape(len(rows), -1)
+    if metric == "angular":
+        vectors = unit_rows(vectors)
+
+    def run(frames):
+        for frame in frames:
+            for i in frame["id"]:
+                ends, found = np.arange(i + 1, len(ids)), []
+                for low in range(0, len(ends), 256):
+                    j = ends[low : low + 256]
+                    middle = (vectors[i] + vectors[j]) / 2
+                    far = distances(middle, vectors, metric)
+                    half = far[:, i].copy()
+                    far[:, i] = far[np.arange(len(j)), j] = np.inf
+                    found.append(j[far.min(1) >= half - 1e-9])
+                right = np.concatenate(found) if found else ends
+                yield pd.DataFrame({"a": np.full(len(right), ids[i]), "b": ids[right]})
+
+    spark = points.sparkSession
+    return spark.range(0, len(ids), 1, max(1, min(len(ids), spark.sparkContext.defaultParallelism))).mapInPandas(run, "a long, b long")
+
+
+def unit_rows(vectors: np.ndarray) -> np.ndarray:
+    """Rows at length 1; zero rows stay zero."""
+    size = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return vectors / np.where(size > 0, size, 1)
+
+
+def merged_roots(points: DataFrame, links: DataFrame, k: int, metric: str = "angular", digits: int = DIGITS) -> DataFrame:
+    """`links` with each root tied to the most similar Gabriel neighbour among the roots that is denser and to which no probe of the path is thinner than the root itself.
+
+    Under the angular metric adjacency, path and probes are those of the unit vectors.
+    """
+    end = V.unit(F.col("vec")) if metric == "angular" else F.col("vec")
+    roots = cut_lineage(links.where("parent IS NULL").select("id", "density").join(points.select("id", end.alias("vec")), "id"))
+    edges = gabriel_edges(roots.select("id", "vec"), metric)
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     low = roots.select(F.col("id").alias("a"), F.col("density").alias("da"), F.col("vec").alias("va"))
     high = roots.select(F.col("id").alias("b"), F.col("density").alias("db"), F.col("vec").alias("vb"))
     pairs = both.join(low, "a").join(high, "b").where("db > da OR (db = da AND b < a)")
     probes = pairs.withColumn("share", F.explode(F.array(*[F.lit(p) for p in PROBES])))
-    probes = probes.withColumn("vec", V.unit(V.blend(F.col("va"), F.col("vb"), F.col("share"))) if metric == "angular" else V.blend(F.col("va"), F.col("vb"), F.col("share")))
+    probes = probes.withColumn("vec", V.blend(F.col("va"), F.col("vb"), F.col("share")))
     numbered = cut_lineage(probes.withColumn("id", F.row_number().over(Window.orderBy("a", "b", "share")) - 10**12))  # roots are cluster-level
-    thickness = densities(nearest(numbered.select("id", "vec"), points.select("id", "vec"), k, metric), k)
+    thickness = densities(nearest(numbered.select("id", "vec"), points.select("id", "vec"), k, metric), k, digits)
     open_paths = numbered.join(thickness, "id").groupBy("a", "b").agg(F.bool_and(F.col("density") >= F.col("da")).alias("open"), F.first(V.metric(metric)(F.col("va"), F.col("vb"))).alias("dist"))
     tied = open_paths.where("open").groupBy(F.col("a").alias("id")).agg(F.min_by("b", F.struct("dist", "b")).alias("tied"))
     return links.join(tied, "id", "left").select("id", "density", F.coalesce("parent", "tied").alias("parent"))
 
 
-def clusters(points: DataFrame, k: int, reach: int, metric: str = "angular", merge: bool = True, neighbours: DataFrame | None = None) -> DataFrame:
-    """(id, cluster): the id of the root that each point's links lead to."""
-    table = knn(points, max(k, reach), metric) if neighbours is None else neighbours
-    links = cut_lineage(parents(table, densities(table, k), reach))
-    return roots_of(merged_roots(points, links, k, metric) if merge else links).withColumnRenamed("root", "cluster")
+def clusters(points: DataFrame, k: int, reach: int, metric: str = "angular", merge: bool = True, neighbours: DataFrame | None = None, digits: int = DIGITS) -> DataFrame:
+    """(id, cluster): the id of the root that each point's links lead to. The neighbour table is made once."""
+    table = cut_lineage(knn(points, max(k, reach), metric)) if neighbours is None else neighbours
+    links = cut_lineage(parents(table, densities(table, k, digits), reach))
+    return roots_of(merged_roots(points, links, k, metric, digits) if merge else links).withColumnRenamed("root", "cluster")
 
 
-def k_sweep(points: DataFrame, ks: list[int], reach: int, metric: str = "angular", merge: bool = False) -> DataFrame:
+def k_sweep(points: DataFrame, ks: list[int], reach: int, metric: str = "angular", merge: bool = False, digits: int = DIGITS) -> DataFrame:
     """(k, n_clusters) with one neighbour table for all k."""
     table = cut_lineage(knn(points, max([*ks, reach]), metric))
     out = None
     for k in ks:
-        one = clusters(points, k, reach, metric, merge, table).agg(F.countDistinct("cluster").alias("n_clusters")).select(F.lit(k).alias("k"), "n_clusters")
+        one = clusters(points, k, reach, metric, merge, table, digits).agg(F.countDistinct("cluster").alias("n_clusters")).select(F.lit(k).alias("k"), "n_clusters")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -188,7 +224,10 @@ def merge_by_mahalanobis(stats: list[dict], threshold: float = 2.0, shrink: floa
 
 
 def mean_shift(points: DataFrame, start: list[float], bandwidth: float, ratio: float = 1e-3, rounds: int = 50) -> list[float]:
-    """One centre moved to the Gaussian-weighted mean of all points until it moves by less than `ratio` of the bandwidth."""
+    """One centre moved to the Gaussian-weighted mean of all points until it moves by less than `ratio` of the bandwidth.
+
+    A centre that still moves after `rounds` is an error.
+    """
     centre, dim = list(start), len(start)
     for _ in range(rounds):
         at = F.array(*[F.lit(float(c)) for c in centre])
@@ -198,4 +237,4 @@ def mean_shift(points: DataFrame, start: list[float], bandwidth: float, ratio: f
         if math.dist(moved, centre) < ratio * bandwidth:
             return moved
         centre = moved
-    return centre
+    raise RuntimeError(f"the centre still moves after {rounds} rounds")

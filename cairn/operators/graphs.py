@@ -140,6 +140,16 @@ def force_layout(nodes: list[int], edges: list[tuple[int, int, float]], rounds:
     return {n: (float(pos[k, 0]), float(pos[k, 1])) for n, k in at.items()}
 
 
+def start_layout(points: DataFrame, dim: int, extent: float = 5000.0) -> DataFrame:
+    """(id, x, y): start positions from the two first principal components of (id, vec), scaled so that the farthest coordinate is `extent`."""
+    from cairn.operators.statistics import principal_components, projected
+
+    mean, axes, _ = principal_components(points, dim, 2)
+    flat = projected(points, mean, axes)
+    top = flat.agg(F.greatest(F.max(F.abs("pc1")), F.max(F.abs("pc2"))).alias("top")).first()["top"] or 1.0
+    return flat.select("id", (F.col("pc1") * (extent / top)).alias("x"), (F.col("pc2") * (extent / top)).alias("y"))
+
+
 def distance_preservation(high: DataFrame, low: DataFrame, anchors: int = 100) -> DataFrame:
     """(anchor, id, high, low): distances from the first `anchors` points by id in both spaces; (id, vec) each."""
     chosen = high.join(low.select("id", F.col("vec").alias("vl")), "id").orderBy("id").limit(anchors).select(F.col("id").alias("anchor"), F.col("vec").alias("ah"), F.col("vl").alias("al"))

@@ -5,38 +5,58 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.functions import vectors as V
-
-#: Centres are cluster-level; beyond this count they are joined in blocks instead of being sent to every task.
+#: Centres are cluster-level; beyond this count they are searched in blocks instead of being sent to every task.
 MOST_SENT_CENTRES = 20_000
+SLICE_ROWS = 1024
+
+
+def _least(points: DataFrame, centres: list, kind: str, distance) -> DataFrame:
+    """(id, centre, dist): for each point the centre of least distance(vectors), ties to the least centre; no shuffle, one row for each point."""
+    import numpy as np
+    import pandas as pd
+
+    names = [r["centre"] for r in centres]
+    key = points.schema["id"].dataType.simpleString()
+
+    def run(frames):
+        for frame in frames:
+            for low in range(0, len(frame), SLICE_ROWS):
+                part = frame.iloc[low : low + SLICE_ROWS]
+                d = np.round(distance(np.nan_to_num(np.stack(part["vec"].to_numpy()).astype(float), nan=0.0)), 12)
+                best = d.argmin(1)
+                yield pd.DataFrame({"id": part["id"], "centre": [names[i] for i in best], "dist": d[np.arange(len(d)), best]})
+
+    return points.select("id", "vec").mapInPandas(run, f"id {key}, centre {kind}, dist double")
 
 
 def nearest_centre(points: DataFrame, centres: DataFrame, metric: str = "angular", most: float | None = None) -> DataFrame:
     """(id, centre, dist) for points (id, vec) and centres (centre, profile); farther than `most` gives a null centre.
 
-    Ties go to the least centre. The centres' number is checked before they are sent to every task; a larger set is
-    searched in blocks with an equi-join.
+    Ties go to the least centre, and NaN counts as 0. The centres' number is checked before they are sent to every task;
+    a larger set is searched in blocks with an equi-join.
     """
-    n = centres.count()
-    if n <= MOST_SENT_CENTRES:
-        pairs = points.join(F.broadcast(centres.select("centre", "profile")))
-        best = pairs.withColumn("d", V.metric(metric)(F.col("vec"), F.col("profile"))).groupBy("id").agg(F.min(F.struct(F.round("d", 12).alias("dist"), "centre")).alias("best"))
-        found = best.select("id", F.col("best.centre").alias("centre"), F.col("best.dist").alias("dist"))
-    else:
-        from cairn.operators.knn import nearest
+    import numpy as np
+
+    from cairn.operators.knn import distances, nearest
 
+    rows = centres.select("centre", "profile").orderBy("centre").limit(MOST_SENT_CENTRES + 1).collect()
+    if len(rows) <= MOST_SENT_CENTRES:
+        profiles = np.nan_to_num(np.array([r["profile"] for r in rows], dtype=float), nan=0.0)
+        found = _least(points, rows, centres.schema["centre"].dataType.simpleString(), lambda x: distances(x, profiles, metric)) if rows else points.select("id", F.lit(None).cast(centres.schema["centre"].dataType).alias("centre"), F.lit(None).cast("double").alias("dist"))
+    else:
         found = nearest(points, centres.select(F.col("centre").alias("id"), F.col("profile").alias("vec")), 1, metric).select(F.col("i").alias("id"), F.col("j").alias("centre"), "dist")
     return found if most is None else found.withColumn("centre", F.when(F.col("dist") <= most, F.col("centre")))
 
 
 def nearest_mahalanobis(points: DataFrame, models: DataFrame, most: float | None = None) -> DataFrame:
     """(id, centre, dist) by diagonal Mahalanobis distance to models (centre, mean, spread); farther than `most` is unclassified (null)."""
-    if models.count() > MOST_SENT_CENTRES:
+    import numpy as np
+
+    rows = models.select("centre", "mean", "spread").orderBy("centre").limit(MOST_SENT_CENTRES + 1).collect()
+    if len(rows) > MOST_SENT_CENTRES:
         raise ValueError("too many models to send to every task")
-    pairs = points.join(F.broadcast(models.select("centre", "mean", "spread")))
-    scaled = F.zip_with(F.zip_with("vec", "mean", lambda x, m: x - m), "spread", lambda d, s: d * d / (s * s))
-    best = pairs.withColumn("d", F.sqrt(V.total(scaled))).groupBy("id").agg(F.min(F.struct(F.round("d", 12).alias("dist"), "centre")).alias("best"))
-    found = best.select("id", F.col("best.centre").alias("centre"), F.col("best.dist").alias("dist"))
+    scaled = [(np.array(r["mean"], float), np.array(r["spread"], float)) for r in rows]
+    found = _least(points, rows, models.schema["centre"].dataType.simpleString(), lambda x: np.stack([np.sqrt((((x - m) / s) ** 2).sum(1)) for m, s in scaled], axis=1))
     return found if most is None else found.withColumn("centre", F.when(F.col("dist") <= most, F.col("centre")))
 
 

@@ -28,7 +28,22 @@ def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     if metric == "euclidean":
         square = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)
         return np.sqrt(np.maximum(square, 0))
-    raise ValueError(f"no matrix form of distance {metric}")
+    if metric in MATRIX_METRICS:
+        return np.asarray(MATRIX_METRICS[metric](a, b), dtype=float)
+    raise ValueError(f"no matrix form of distance {metric}; known: angular, euclidean, {', '.join(sorted(MATRIX_METRICS))}")
+
+
+def manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.stack([np.abs(a - row).sum(1) for row in b], axis=1) if len(b) else np.zeros((len(a), 0))
+
+
+#: Further distances as functions of two matrices that give all distances of their rows; more can be registered.
+MATRIX_METRICS = {"manhattan": manhattan}
+
+
+def register_metric(name: str, between) -> None:
+    """Makes `between(a, b)` a distance of knn, nearest and nearest_centre; knn_pruned needs it to keep the triangle inequality."""
+    MATRIX_METRICS[name] = between
 
 
 def _blocks(points: DataFrame, label: str, rows: int) -> DataFrame:
@@ -134,6 +149,22 @@ def knn_pruned(points: DataFrame, k: int, cells: int, metric: str = "angular", s
     return ranked.where(F.col("rank") <= k).select("i", "j", "rank", "dist")
 
 
+def vmf_densities(points: DataFrame, dim: int, kappa: float) -> DataFrame:
+    """(id, density): over all points the sum of von Mises-Fisher densities of concentration `kappa`, with their constant."""
+    from cairn.functions.special import log_vmf_constant
+
+    constant = float(np.exp(log_vmf_constant(dim, kappa)))
+    return kernel_sums(points, "vmf", kappa).select("id", (F.col("density") * constant).alias("density"))
+
+
+def diagonal_gaussian_densities(points: DataFrame, spread: list[float]) -> DataFrame:
+    """(id, density): over all points the sum of Gaussian densities with a diagonal covariance (`spread`: standard deviations)."""
+    by = F.array(*[F.lit(float(s)) for s in spread])
+    constant = float(np.exp(-0.5 * len(spread) * np.log(2 * np.pi) - np.log(spread).sum()))
+    scaled = points.select("id", F.zip_with("vec", by, lambda x, s: x / s).alias("vec"))
+    return kernel_sums(scaled, "gaussian", 1.0).select("id", (F.col("density") * constant).alias("density"))
+
+
 def kernel_sums(points: DataFrame, kernel: str, param: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, density): over all points the sum of exp(-d^2 / (2 param^2)) ("gaussian") or exp(param * cosine) ("vmf"), by blocks."""
     q, _ = _blocks(points, "q", block_rows)

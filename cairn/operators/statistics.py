@@ -115,8 +115,9 @@ def matched_f(table: DataFrame, truth: str, found: str) -> DataFrame:
     if len(a) * len(b) > 25_000_000:
         raise ValueError("too many classes to match on the driver")
     f = np.zeros((len(a), len(b)))
+    at, bt = ({x: i for i, x in enumerate(names)} for names in (a, b))
     for r in rows:
-        f[a.index(r[0]), b.index(r[1])] = r[2]
+        f[at[r[0]], bt[r[1]]] = r[2]
     pairs = [(a[i], b[j], float(f[i, j])) for i, j in hungarian(-f)]
     kind = {x.name: x.dataType.simpleString() for x in table.schema}
     return table.sparkSession.createDataFrame(pairs, f"{truth} {kind[truth]}, {found} {kind[found]}, f double")

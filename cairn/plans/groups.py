@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from cairn.operators import aggregates, joins, statistics
 from cairn.operators import transforms as T
-from cairn.plans.base import DIM, C, P, centroids, points, query, r6
+from cairn.plans.base import DIM, C, P, angle, centroids, points, query, r6
+from cairn.plans.neighbours import LINKS
 from cairn.session import table
 
 #: A second labeling to compare with: the id modulo 7.
 OTHER = "id % 7"
 
-#: The length to which the reference pads vectors for permutations.
+#: The least length to which vectors are padded for permutations. Fixed value.
 PADDING = 137_072
 
 
@@ -209,11 +210,15 @@ def profile_text(spark, d):
     return text.select("cluster", F.split("text", "\t")[0].cast("double").alias("first"))
 
 
-@query("reassigned_rows")
+@query(
+    "reassigned_rows",
+    f"WITH {C}, q AS (SELECT p.id, c.id AS centre, round({angle('p.v', 'c.v')}, 12) AS dist FROM p, c) SELECT id, arg_min(centre, (dist, centre)) AS centre, round(min(dist), 6) AS dist FROM q GROUP BY id",
+)
 def reassigned_rows(spark, d):
     from cairn.sources.sinks import reassigned
 
-    return reassigned(points(spark, d), centroids(spark, d).select(F.col("id").alias("cluster"), F.col("vec").alias("profile")))
+    found = reassigned(points(spark, d), centroids(spark, d).select(F.col("id").alias("cluster"), F.col("vec").alias("profile")))
+    return found.select("id", "centre", r6("dist").alias("dist"))
 
 
 @query("first_component_spread")
@@ -226,7 +231,7 @@ def first_component_spread(spark, d):
 def permutation_null(spark, d):
     """Shared non-zero columns of two 0-padded vectors (a one for each point of an even or odd label) after shuffling, 1000 rounds.
 
-    The padding is the reference's length, or the number of points where there are more.
+    The padding is PADDING, or the number of points where there are more.
     """
     counts = points(spark, d).groupBy((F.col("label") % 2).cast("long").alias("id")).agg(F.count("*").alias("n"))
     vectors = counts.select("id", F.array_repeat(F.lit(1.0), F.col("n").cast("int")).alias("vec"))
@@ -261,12 +266,15 @@ def node_attributes(spark, d):
     return attributes(points(spark, d), annotations(spark, d), "t3").withColumn("group", F.col("group").cast("long"))
 
 
-@query("kernel_grid")
+@query(
+    "kernel_grid",
+    f"WITH {P} SELECT w::DOUBLE AS width, x.id, round(sum(exp(-power(list_distance(x.v, y.v), 2) / (2 * w * w))), 5) AS density FROM p x, p y, (VALUES (0.3), (0.6)) s(w) GROUP BY w, x.id",
+)
 def kernel_grid(spark, d):
     """Densities of all points over a grid of bandwidths."""
     from cairn.operators.registry import kernel_grid as over
 
-    return over("gaussian", points(spark, d), [0.3, 0.6])
+    return over("gaussian", points(spark, d), [0.3, 0.6]).withColumn("density", r6("density", 5))
 
 
 @query("fitted_bandwidths")
@@ -278,7 +286,11 @@ def fitted_bandwidths(spark, d):
     return spark.createDataFrame([(k, fit_bandwidth(k, own, centre)) for k in ("gaussian", "vmf", "nearest")], "kernel string, parameter double")
 
 
-@query("nearest_root_assignment")
+@query(
+    "nearest_root_assignment",
+    f"""WITH {LINKS}, q AS (SELECT p.id, links.id AS root, round({angle('p.v', 'o.v')}, 12) AS dist FROM p, links JOIN p o ON o.id = links.id WHERE parent IS NULL)
+SELECT id, arg_min(root, (dist, root)) AS cluster FROM q GROUP BY id""",
+)
 def nearest_root_assignment(spark, d):
     from cairn.operators.registry import nearest_root
     from cairn.plans.neighbours import links

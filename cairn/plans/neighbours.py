@@ -112,20 +112,43 @@ def gradient_cluster_profiles(spark, d):
     return aggregates.by_place(profiles, "profile", ["cluster", "size"]).withColumn("value", r6("value"))
 
 
-@query("root_merge")
+MIDDLE = "list_transform(list_zip({a}, {b}), lambda z: (z[1] + z[2]) / 2)"
+MERGED = LINKS + f""", r AS (SELECT links.id, links.density, list_transform(p.v, lambda x: x / sqrt(list_dot_product(p.v, p.v))) AS u FROM links JOIN p USING (id) WHERE parent IS NULL),
+g AS (SELECT x.id AS a, y.id AS b, x.density AS da, x.u AS va, y.u AS vb, {MIDDLE.format(a='x.u', b='y.u')} AS mid FROM r x JOIN r y ON y.density > x.density OR (y.density = x.density AND y.id < x.id)),
+parted AS (SELECT DISTINCT g.a, g.b FROM g JOIN r t ON t.id <> g.a AND t.id <> g.b AND {angle('g.mid', 't.u')} < {angle('g.mid', 'g.va')} - 1e-9),
+probe AS (SELECT a, b, da, share, list_transform(list_zip(va, vb), lambda z: share * z[1] + (1 - share) * z[2]) AS v
+  FROM g ANTI JOIN parted USING (a, b), (SELECT round(0.05 * i, 2) AS share FROM range(1, 19) s(i))),
+far AS (SELECT a, b, da, share, {angle('probe.v', 'p.v')} AS dist FROM probe, p),
+thick AS (SELECT a, b, da, share, round(-sum(dist), 6) AS density FROM (SELECT *, row_number() OVER (PARTITION BY a, b, share ORDER BY dist) AS n FROM far) WHERE n <= {K} GROUP BY a, b, da, share),
+opened AS (SELECT a, b FROM thick GROUP BY a, b HAVING bool_and(density >= da)),
+tied AS (SELECT a AS id, arg_min(b, (dist, b)) AS tied FROM (SELECT g.a, g.b, {angle('g.va', 'g.vb')} AS dist FROM g SEMI JOIN opened USING (a, b)) GROUP BY a),
+merged AS (SELECT links.id, links.density, coalesce(parent, tied) AS parent FROM links LEFT JOIN tied USING (id))"""
+
+
+@query("root_merge", f"WITH {MERGED} SELECT id, density, parent FROM merged")
 def root_merge(spark, d):
     """Links of all points after roots are tied along open paths."""
-    return density.merged_roots(points(spark, d), links(spark, d), K)
+    return density.merged_roots(points(spark, d), links(spark, d), K, digits=6)
 
 
-@query("density_clusters")
+@query(
+    "density_clusters",
+    f"""WITH RECURSIVE {MERGED}, walk AS (SELECT id, coalesce(parent, id) AS cur FROM merged UNION SELECT walk.id, coalesce(merged.parent, walk.cur) FROM walk JOIN merged ON merged.id = walk.cur)
+SELECT walk.id, walk.cur AS cluster FROM walk JOIN merged ON merged.id = walk.cur WHERE merged.parent IS NULL""",
+)
 def density_clusters(spark, d):
-    return density.clusters(points(spark, d), K, REACH)
+    return density.clusters(points(spark, d), K, REACH, digits=6)
 
 
-@query("k_sweep")
+@query(
+    "k_sweep",
+    f"""WITH {KNN}, near AS (SELECT * FROM k WHERE rank <= 20),
+dens AS (SELECT kk, i AS id, round(-sum(dist), 6) AS density FROM near, (VALUES (5), (10), (20)) s(kk) WHERE rank <= kk GROUP BY kk, i),
+linked AS (SELECT DISTINCT a.kk, a.id FROM dens a JOIN near ON near.i = a.id AND rank BETWEEN 2 AND {REACH} JOIN dens b ON b.id = near.j AND b.kk = a.kk WHERE b.density > a.density OR (b.density = a.density AND b.id < a.id))
+SELECT kk::INTEGER AS k, count(*) AS n_clusters FROM dens ANTI JOIN linked USING (kk, id) GROUP BY kk""",
+)
 def k_sweep(spark, d):
-    return density.k_sweep(points(spark, d), [5, 10, 20], REACH)
+    return density.k_sweep(points(spark, d), [5, 10, 20], REACH, digits=6)
 
 
 @query("auto_clusters")
@@ -199,11 +222,42 @@ def distance_matrix_rows(spark, d):
 
 @query(
     "gabriel_edges",
-    f"""WITH {C} SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON a.id < b.id WHERE NOT EXISTS (SELECT 1 FROM c t WHERE t.id <> a.id AND t.id <> b.id
-AND list_distance(list_transform(list_zip(a.v, b.v), lambda z: (z[1] + z[2]) / 2), t.v) < list_distance(a.v, b.v) / 2)""",
+    f"""WITH {C}, f AS (SELECT id, v[1:3] AS v FROM c), r AS (SELECT id, v, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM f),
+g AS (SELECT x.id AS a, y.id AS b, x.v AS va, {MIDDLE.format(a='x.v', b='y.v')} AS mid, x.u AS ua, {MIDDLE.format(a='x.u', b='y.u')} AS turn FROM r x JOIN r y ON x.id < y.id)
+SELECT 'euclidean' AS metric, a, b FROM g WHERE NOT EXISTS (SELECT 1 FROM r t WHERE t.id <> g.a AND t.id <> g.b AND list_distance(g.mid, t.v) < list_distance(g.mid, g.va) - 1e-9)
+UNION ALL SELECT 'angular', a, b FROM g WHERE NOT EXISTS (SELECT 1 FROM r t WHERE t.id <> g.a AND t.id <> g.b AND {angle('g.turn', 't.u')} < {angle('g.turn', 'g.ua')} - 1e-9)""",
 )
 def gabriel_edges(spark, d):
-    return density.gabriel_edges(centroids(spark, d))
+    """Adjacency of the centroids' first three dimensions under both metrics: in 64 dimensions no point parts a pair."""
+    flat = cut_lineage(centroids(spark, d).select("id", F.slice("vec", 1, 3).alias("vec")))
+    euclid, turned = (density.gabriel_edges(flat, m).select(F.lit(m).alias("metric"), "a", "b") for m in ("euclidean", "angular"))
+    return euclid.unionByName(turned)
+
+
+@query(
+    "vmf_density",
+    f"""WITH {P}, constant AS (SELECT 31 * ln(5.0) - 32 * ln(2 * pi()) - ln(sum(exp((2 * i + 31) * ln(2.5) - lgamma(i + 1) - lgamma(i + 32)))) AS c FROM range(0, 60) s(i))
+SELECT x.id, round(sum(exp(c + 5 * cos({angle('x.v', 'y.v')}))) / 1e20, 4) AS density FROM p x, p y, constant GROUP BY x.id""",
+)
+def vmf_density_normalised(spark, d):
+    """Densities with their constant, in units of 1e20."""
+    return knn.vmf_densities(points(spark, d), DIM, 5.0).select("id", r6(F.col("density") / 1e20, 4).alias("density"))
+
+
+@query(
+    "diagonal_gaussian_density",
+    f"""WITH {P} SELECT x.id, round(ln(sum(exp(-0.5 * list_sum(list_transform(list_zip(x.v, y.v, range(1, 65)), lambda z: power((z[1] - z[2]) / (0.2 + 0.005 * z[3]), 2))))))
+- 32 * ln(2 * pi()) - (SELECT sum(ln(0.2 + 0.005 * i)) FROM range(1, 65) s(i)), 6) AS log_density FROM p x, p y GROUP BY x.id""",
+)
+def diagonal_gaussian_density(spark, d):
+    found = knn.diagonal_gaussian_densities(points(spark, d), [0.2 + 0.005 * i for i in range(1, DIM + 1)])
+    return found.select("id", r6(F.ln("density")).alias("log_density"))
+
+
+@query("knn_manhattan", "WITH " + P + """, d AS (SELECT a.id AS i, b.id AS j, round(list_sum(list_transform(list_zip(a.v, b.v), lambda z: abs(z[1] - z[2]))), 9) AS dist FROM p a, p b),
+k AS (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY (i <> j), dist, j) AS rank, dist FROM d) SELECT i, j, rank, round(dist, 6) AS dist FROM k WHERE rank <= 6""")
+def knn_manhattan(spark, d):
+    return table_of(spark, d, 6, "manhattan").select("i", "j", F.col("rank").cast("long").alias("rank"), r6("dist").alias("dist"))
 
 
 @query("module_map_edges", PAIRS + " SELECT a, b, round(exp(10 * abs(cos(ang)) - 10) * sign(cos(ang)), 6) AS weight FROM q WHERE exp(10 * abs(cos(ang)) - 10) > 0.01")
@@ -216,36 +270,59 @@ def knn_graph_edges(spark, d):
     return graphs.knn_graph(table_of(spark, d, 5), 5).withColumn("dist", r6("dist"))
 
 
-@query("knn_graph_by_density")
+@query(
+    "knn_graph_by_density",
+    f"""WITH {DENS}, degree AS (SELECT id, round(2 + percent_rank() OVER (ORDER BY density) * 6)::INT AS degree FROM dens)
+SELECT least(i, j) AS a, greatest(i, j) AS b, round(min(dist), 6) AS dist FROM k JOIN degree ON degree.id = k.i WHERE rank <= degree + 1 AND i <> j GROUP BY 1, 2""",
+)
 def knn_graph_by_density(spark, d):
     near = cut_lineage(table_of(spark, d))
-    return graphs.knn_graph_by_density(near, densities(spark, d, near), 2, 8)
+    return graphs.knn_graph_by_density(near, densities(spark, d, near), 2, 8).withColumn("dist", r6("dist"))
 
 
-@query(
-    "connected_components",
-    f"""WITH RECURSIVE {KNN}, e AS (SELECT DISTINCT least(i, j) AS a, greatest(i, j) AS b FROM k WHERE rank <= 2 AND i <> j),
-s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), w AS (SELECT id, id AS r FROM p UNION SELECT w.id, s.b FROM w JOIN s ON s.a = w.r)
-SELECT id, min(r) AS component FROM w GROUP BY id""",
-)
+JOINED = f"""WITH RECURSIVE {KNN}, e AS (SELECT DISTINCT least(i, j) AS a, greatest(i, j) AS b FROM k WHERE rank <= 2 AND i <> j),
+s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), w AS (SELECT id, id AS r FROM p UNION SELECT w.id, s.b FROM w JOIN s ON s.a = w.r)"""
+
+
+@query("connected_components", JOINED + " SELECT id, min(r) AS component FROM w GROUP BY id")
 def connected_components(spark, d):
     return graphs.components(graphs.knn_graph(table_of(spark, d, 2), 2), points(spark, d))
 
 
-@query("connected_subgraph")
+@query("connected_subgraph", JOINED + " SELECT r AS id FROM w WHERE id = 0")
 def connected_subgraph(spark, d):
     return graphs.subgraph(graphs.knn_graph(table_of(spark, d, 2), 2), 0)
 
 
-@query("shortest_paths")
+@query(
+    "shortest_paths",
+    PAIRS.replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, s AS (SELECT a, b, power(ang, 3) AS w FROM q UNION ALL SELECT b, a, power(ang, 3) FROM q),
+t AS (SELECT 0::BIGINT AS id, 0.0::DOUBLE AS dist, 0 AS hops UNION ALL SELECT s.b, t.dist + s.w, hops + 1 FROM t JOIN s ON s.a = t.id WHERE hops < 5)
+SELECT id, round(min(dist), 6) AS dist FROM t GROUP BY id""",
+)
 def shortest_paths(spark, d):
-    edges = graphs.pairwise(centroids(spark, d)).withColumnRenamed("dist", "weight")
-    return graphs.shortest_paths(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")), 0)
+    """Paths between centroids over cubed angles, so that detours may be shorter."""
+    edges = graphs.pairwise(centroids(spark, d)).select("a", "b", F.pow("dist", F.lit(3)).alias("weight"))
+    found = graphs.shortest_paths(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")), 0)
+    return found.select("id", r6("dist").alias("dist"))
 
 
-@query("spanning_tree")
+@query(
+    "spanning_tree",
+    PAIRS.replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, e AS (SELECT a, b, cos(ang) AS w FROM q), s AS (SELECT a, b, w FROM e UNION ALL SELECT b, a, w FROM e),
+t AS (SELECT a, b, w, a AS node FROM e UNION SELECT t.a, t.b, t.w, s.b FROM t JOIN s ON s.a = t.node AND s.w > t.w),
+kept AS (SELECT a, b, w FROM e WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.a = e.a AND t.b = e.b AND t.node = e.b))
+SELECT a, b, round(5 * w / max(w) OVER (), 6) AS weight FROM kept""",
+)
 def spanning_tree(spark, d):
-    return graphs.similarity_tree(centroids(spark, d))
+    return graphs.similarity_tree(centroids(spark, d)).withColumn("weight", r6("weight"))
+
+
+@query("start_layout")
+def start_layout(spark, d):
+    return graphs.start_layout(centroids(spark, d), DIM)
 
 
 @query("force_layout")
@@ -320,7 +397,7 @@ def mahalanobis_merge(spark, d):
 
 @query("mean_shift_centre")
 def mean_shift_centre(spark, d):
-    return spark.createDataFrame([(density.mean_shift(points(spark, d), [0.1] * DIM, 0.6, rounds=4),)], "centre array<double>")
+    return spark.createDataFrame([(density.mean_shift(points(spark, d), [0.1] * DIM, 0.6),)], "centre array<double>")
 
 
 @query(

@@ -21,8 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """`df` checkpointed in spark.checkpoint.dir (a temporary folder only where none is set), so lost executors cost nothing before it."""
+    """`df` checkpointed in spark.checkpoint.dir (a temporary folder only in local mode where none is set), so lost executors cost nothing before it."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="cairn-"))
+        shared = context.getConf().get("spark.checkpoint.dir")
+        if not shared and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="cairn-"))
     return df.checkpoint()
