@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import vectors as V
-from cairn.operators.knn import distances, knn, nearest
+from cairn.operators.knn import distances, knn, nearest, resolved
 from cairn.session import cut_lineage
 
 #: Shares of the first root at which the path between two roots is probed.
@@ -94,6 +94,7 @@ def gabriel_edges(points: DataFrame, metric: str = "angular") -> DataFrame:
     vectors = np.array([r["vec"] for r in sorted(rows, key=lambda r: r["id"])], dtype=np.float64).reshape(len(rows), -1)
     if metric == "angular":
         vectors = unit_rows(vectors)
+    between = resolved(metric)
 
     def run(frames):
         for frame in frames:
@@ -102,7 +103,7 @@ def gabriel_edges(points: DataFrame, metric: str = "angular") -> DataFrame:
                 for low in range(0, len(ends), 256):
                     j = ends[low : low + 256]
                     middle = (vectors[i] + vectors[j]) / 2
-                    far = distances(middle, vectors, metric)
+                    far = distances(middle, vectors, between)
                     half = far[:, i].copy()
                     far[:, i] = far[np.arange(len(j)), j] = np.inf
                     found.append(j[far.min(1) >= half - 1e-9])

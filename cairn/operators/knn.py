@@ -19,8 +19,10 @@ BLOCK_ROWS = 4096
 NEIGHBOUR = "i long, j long, dist double"
 
 
-def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
-    """Pairwise distances of the rows of two matrices; NaN counts as 0."""
+def distances(a: np.ndarray, b: np.ndarray, metric) -> np.ndarray:
+    """Pairwise distances of the rows of two matrices by a distance's name or function; NaN counts as 0."""
+    if callable(metric):
+        return np.asarray(metric(a, b), dtype=float)
     if metric == "angular":
         na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
         cos = (a @ b.T) / np.where(na > 0, na, 1)[:, None] / np.where(nb > 0, nb, 1)[None, :]
@@ -28,11 +30,14 @@ def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     if metric == "euclidean":
         square = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)
         return np.sqrt(np.maximum(square, 0))
-    if metric in MATRIX_METRICS:
-        return np.asarray(MATRIX_METRICS[metric](a, b), dtype=float)
     raise ValueError(f"no matrix form of distance {metric}; known: angular, euclidean, {', '.join(sorted(MATRIX_METRICS))}")
 
 
+def resolved(metric: str):
+    """The function of a registered distance, which goes to the tasks with their code; or the name of a built-in one."""
+    return MATRIX_METRICS.get(metric, metric)
+
+
 def manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.stack([np.abs(a - row).sum(1) for row in b], axis=1) if len(b) else np.zeros((len(a), 0))
 
@@ -64,6 +69,7 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, metric: str = "angular"
 
     A point of both sides with one id is its own neighbour at distance 0. With fewer than k base points all are given.
     """
+    metric = resolved(metric)
     q, _ = _blocks(queries, "q", block_rows)
     b, count = _blocks(base, "b", block_rows)
     pairs = q.withColumn("b_block", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).join(b, "b_block").select("q", "b")
@@ -93,6 +99,7 @@ def knn(points: DataFrame, k: int, metric: str = "angular", block_rows: int = BL
 
 def knn_pruned(points: DataFrame, k: int, cells: int, metric: str = "angular", seed: int = 1) -> DataFrame:
     """knn() by cells around `cells` seed points: cells and members that the triangle inequality excludes are not read."""
+    metric = resolved(metric)
     seeds = points.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(cells).collect()  # `cells` rows
     centres = np.nan_to_num(np.array([s["vec"] for s in seeds], dtype=np.float64), nan=0.0)
     schema = "id long, vec array<double>, cell int, to_centre double"

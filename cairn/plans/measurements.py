@@ -381,3 +381,28 @@ def back_transform(spark, d):
     """asinh and back gives what went in."""
     there = T.transform(items(spark, d), ["l_quantity"])
     return there.select(*ID, r6(F.sinh("l_quantity") * 5.0).alias("l_quantity"))
+
+
+@query(
+    "scalar_functions",
+    r"""SELECT p_partkey AS id, contains(p_name, 'widget') AS has, instr(p_name, 'o')::INT AS place, substring(p_name, 2, 3) AS part, regexp_matches(p_brand, '#1[0-9]') AS alike,
+replace(p_name, ' ', '_') AS joined, rint AS rounded, p_retailprice = 'Infinity'::DOUBLE AS endless, array_to_string(list_sort(string_split(p_name, ' ')), ' ') AS sorted,
+list_position(string_split(p_name, ' '), 'widget')::BIGINT AS word, array_to_string(list_sort(string_split(p_type, '')), '') AS letters, true AS later
+FROM (SELECT *, round_even(p_retailprice, 0) AS rint FROM part)""",
+)
+def scalar_functions(spark, d):
+    """Functions of text, numbers and arrays that no other query uses; a shuffle is sorted again, and the clock only compared."""
+    return table(spark, d, "part").select(
+        F.col("p_partkey").alias("id"),
+        F.contains("p_name", F.lit("widget")).alias("has"),
+        F.instr("p_name", "o").alias("place"),
+        F.substring("p_name", 2, 3).alias("part"),
+        F.col("p_brand").rlike("#1[0-9]").alias("alike"),
+        F.replace("p_name", F.lit(" "), F.lit("_")).alias("joined"),
+        F.rint("p_retailprice").alias("rounded"),
+        (F.col("p_retailprice") == float("inf")).alias("endless"),
+        F.array_join(F.array_sort(F.split("p_name", " ")), " ").alias("sorted"),
+        F.coalesce(F.expr("nullif(array_position(split(p_name, ' '), 'widget'), 0)"), F.lit(None).cast("long")).alias("word"),
+        F.array_join(F.array_sort(F.shuffle(F.split("p_type", ""))), "").alias("letters"),
+        (F.current_timestamp() > F.lit("2000-01-01").cast("timestamp")).alias("later"),
+    )

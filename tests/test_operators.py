@@ -130,7 +130,7 @@ def test_hungarian_is_optimal(n, m, rng):
 
 def test_special_functions():
     assert special.bessel_i(0, 1.0) == pytest.approx(1.2660658777520084)
-    assert special.bessel_i(2.5, 3.0) == pytest.approx(1.5650, rel=0.1)
+    assert special.bessel_i(2.5, 3.0) == pytest.approx(1.5153, rel=0.1)
     assert special.chi_square_density(2, 1.0) == pytest.approx(0.5 * math.exp(-0.5))
     assert special.chi_density(1, 1.0) == pytest.approx(math.sqrt(2 / math.pi) * math.exp(-0.5))
     assert special.vmf_density(3, 2.0, 1.0) == pytest.approx(2 * math.exp(2) / (4 * math.pi * math.sinh(2)))
@@ -267,3 +267,65 @@ def test_permutation_null_of_many_points(spark, tmp_path):
     with pytest.raises(ValueError, match="longer"):
         statistics.permutation_null(points_of(spark, [[1, 0, 1], [0, 1, 1]]), 2, 10)
     assert {r.shared for r in statistics.permutation_null(points_of(spark, [[1, 0, 1], [0, 1, 1]]), 3, 50).collect()} == {1, 2}
+
+
+def test_angular_roots_count_by_direction(spark):
+    """Vectors of unequal length at 0, 90, 45 and about 84 degrees: neighbours by angle are 0-2, 2-3 and 3-1."""
+    pts = points_of(spark, [(1, 0), (0, 10), (5, 5), (0.3, 3)])
+    assert {(r.a, r.b) for r in density.gabriel_edges(pts, "angular").collect()} == {(0, 2), (2, 3), (1, 3)}
+    assert {(r.a, r.b) for r in density.gabriel_edges(pts, "euclidean").collect()} == {(0, 3), (1, 2), (1, 3), (2, 3)}
+    links = spark.createDataFrame([(i, d, None) for i, d in enumerate((-4.0, -1.0, -3.0, -2.0))], "id long, density double, parent long")
+    scaled = points_of(spark, [(7, 0), (0, 1), (0.2, 0.2), (0.1, 1)])
+    same = [{r.id: r.parent for r in density.merged_roots(p, links, 1).collect()} for p in (pts, scaled)]
+    assert same[0] == same[1] and same[0][1] is None
+
+
+def test_nearest_centres_clean_vectors_alike(spark, monkeypatch):
+    pts = points_of(spark, [(1, 0), (float("nan"), 2), (3, 3)])
+    centres = spark.createDataFrame([(7, [1.0, float("nan")]), (8, [0.0, 1.0])], "centre long, profile array<double>")
+    few = {(r.id, r.centre, round(r.dist, 9)) for r in joins.nearest_centre(pts, centres).collect()}
+    monkeypatch.setattr(joins, "MOST_SENT_CENTRES", 1)
+    assert {(r.id, r.centre, round(r.dist, 9)) for r in joins.nearest_centre(pts, centres).collect()} == few == {(0, 7, 0.0), (1, 8, 0.0), (2, 7, round(math.pi / 4, 9))}
+
+
+def test_registered_distances_reach_neighbours(spark):
+    knn.register_metric("largest", lambda a, b: np.abs(a[:, None, :] - b[None, :, :]).max(2))
+    rows = np.random.default_rng(2).normal(size=(40, 3))
+    got = {(r.i, r.rank): r.j for r in knn.knn(points_of(spark, rows), 4, "largest", block_rows=9).collect()}
+    d = np.abs(rows[:, None, :] - rows[None, :, :]).max(2)
+    assert got == {(i, r + 1): j for i in range(40) for r, j in enumerate(np.argsort(d[i])[:4].tolist())}
+
+
+def test_start_layout_and_mean_shift(spark):
+    rng = np.random.default_rng(4)
+    rows = rng.normal(size=(50, 4)) * [5, 2, 1, 1]
+    got = np.array([(r.x, r.y) for r in sorted(graphs.start_layout(points_of(spark, rows), 4).collect(), key=lambda r: r.id)])
+    centred = rows - rows.mean(0)
+    axes = np.linalg.svd(centred, full_matrices=False)[2][:2]
+    want = centred @ (axes * np.sign(axes[np.arange(2), np.abs(axes).argmax(1)])[:, None]).T
+    assert np.allclose(got, want * 5000 / np.abs(want).max())
+    centre = np.full(4, 0.5)
+    for _ in range(50):
+        w = np.exp(-((rows - centre) ** 2).sum(1) / (2 * 9))
+        moved = (rows * w[:, None]).sum(0) / w.sum()
+        if np.linalg.norm(moved - centre) < 3e-3:
+            break
+        centre = moved
+    assert np.allclose(density.mean_shift(points_of(spark, rows), [0.5] * 4, 3.0), moved)
+    with pytest.raises(RuntimeError):
+        density.mean_shift(points_of(spark, rows), [9.0] * 4, 3.0, rounds=1)
+
+
+def test_batch(spark, tmp_path):
+    from cairn.batch import run_batch
+    from cairn.sources.delimited import batch_config
+
+    rng = np.random.default_rng(7)
+    for name in ("a", "b"):
+        rows = np.concatenate([rng.normal([200, 5, 5], 4, (40, 3)), rng.normal([5, 5, 200], 4, (40, 3))])
+        (tmp_path / f"{name}.fcs").write_bytes(fcs.encode(["A", "B", "C"], ["A", "B", "C"], rows))
+    for extra in ("", "limit=60\n"):
+        settings = batch_config(f"features=1,3\nk=10\n{extra}")
+        done = run_batch(spark, settings, f"{tmp_path}/*.fcs", f"{tmp_path}/out{len(extra)}").collect()
+        sides = [{r.cluster for r in done if (r.idx < 40) == low} for low in (True, False)]
+        assert len({(r.file, r.idx) for r in done}) == len(done) == 160 and sides[0] and sides[1] and not sides[0] & sides[1]
