@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.operators.order import quantiles
+
 
 def by_place(df: DataFrame, vec: str, keys: list[str], value: str = "value") -> DataFrame:
     """Long form: keys, dim (from 0) and value."""
@@ -25,7 +27,8 @@ def weighted_profile(points: DataFrame, keys: list[str], dim: int, weight: str,
 
 
 def median_profile(points: DataFrame, keys: list[str], dim: int, vec: str = "vec") -> DataFrame:
-    return points.groupBy(*keys).agg(F.count("*").alias("size"), F.array(*[F.percentile(F.col(vec)[i], 0.5) for i in range(dim)]).alias("profile"))
+    found = quantiles(points, {f"__m{i}": F.col(vec)[i] for i in range(dim)}, 0.5, keys, [F.count("*").alias("size")])
+    return found.select(*keys, "size", F.array(*[f"__m{i}" for i in range(dim)]).alias("profile"))
 
 
 def group_statistics(points: DataFrame, members: DataFrame, annotations: DataFrame, dim: int) -> DataFrame:
@@ -172,4 +175,4 @@ def group_deviation(points: DataFrame, key: str, dim: int, vec: str = "vec") ->
 
     means = mean_profile(points, [key], dim, vec).select(key, "profile")
     far = points.join(means, key).withColumn("d", V.euclidean(F.col(vec), F.col("profile")))
-    return far.groupBy(key).agg(F.sum(F.asinh(F.col("d") * F.col("d"))).alias("sum_asinh"), F.percentile("d", 0.5).alias("median_dist"))
+    return quantiles(far, {"median_dist": F.col("d")}, 0.5, [key], [F.sum(F.asinh(F.col("d") * F.col("d"))).alias("sum_asinh")])

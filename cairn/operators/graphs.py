@@ -8,10 +8,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions import vectors as V
+from cairn.operators.order import percent_places
 from cairn.session import cut_lineage
 
 MOST_DRIVER_ROWS = 2_000_000
@@ -89,7 +90,7 @@ def knn_graph(neighbours: DataFrame, k: int) -> DataFrame:
 
 def knn_graph_by_density(neighbours: DataFrame, density: DataFrame, least: int, most: int) -> DataFrame:
     """As knn_graph, with a degree from `least` for the thinnest node to `most` for the densest, by rank of density."""
-    ranked = density.withColumn("share", F.percent_rank().over(Window.orderBy("density")))
+    ranked = percent_places(density, "density")
     degree = ranked.select(F.col("id").alias("i"), F.round(least + F.col("share") * (most - least)).cast("int").alias("degree"))
     near = neighbours.join(degree, "i").where((F.col("rank") <= F.col("degree") + 1) & (F.col("i") != F.col("j")))
     return near.groupBy(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg(F.min("dist").alias("dist"))

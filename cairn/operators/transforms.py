@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import vectors as V
+from cairn.operators import order as O
 
 
 def transform(df: DataFrame, cols: list[str], kind: str = "asinh", factor: float = 5.0) -> DataFrame:
@@ -28,10 +29,14 @@ def background(df: DataFrame, cols: list[str], subtract: float = 1.0, jitter: fl
 
 def rescale(df: DataFrame, cols: list[str], kind: str = "sd", quantile: float = 0.99, by: list[str] | None = None) -> DataFrame:
     """Columns over their standard deviation or a quantile, over all rows or for each group; a zero scale leaves them."""
-    measure = {"sd": F.stddev_samp, "quantile": lambda c: F.percentile(c, quantile)}
     if kind == "none":
         return df
-    scales = df.groupBy(*(by or [])).agg(*[measure[kind](c).alias(f"__scale_{c}") for c in cols])
+    if kind == "sd":
+        scales = df.groupBy(*(by or [])).agg(*[F.stddev_samp(c).alias(f"__scale_{c}") for c in cols])
+    elif kind == "quantile":
+        scales = O.quantiles(df, {f"__scale_{c}": F.col(c) for c in cols}, quantile, by or [])
+    else:
+        raise ValueError(f"unknown scale: {kind}")
     joined = df.join(scales, by) if by else df.join(F.broadcast(scales))  # without groups it is one row
     return joined.withColumns({c: F.coalesce(F.try_divide(F.col(c), F.col(f"__scale_{c}")), F.col(c)) for c in cols}).drop(*[f"__scale_{c}" for c in cols])
 
@@ -41,7 +46,7 @@ def at_least_length(df: DataFrame, cols: list[str], least: float) -> DataFrame:
 
 
 def first_rows(df: DataFrame, by: str, order: list[str], n: int) -> DataFrame:
-    """The first n rows of each group."""
+    """The first n rows of each group. Spark cuts each task's groups to n before the shuffle where n is small (spark.sql.optimizer.windowGroupLimitThreshold)."""
     return df.withColumn("__r", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("__r") <= n).drop("__r")
 
 
@@ -113,7 +118,9 @@ def clamp_bins(c: Column, bins: int = 7) -> Column:
 
 
 def equal_frequency_bins(df: DataFrame, value: str, bins: int, order: list[str], by: list[str] | None = None) -> DataFrame:
-    return df.withColumn("bin", F.ntile(bins).over(Window.partitionBy(*(by or [])).orderBy(value, *order)) - 1)
+    """`df` with `bin` (from 0): runs of rows by (value, order) within each group, whose sizes differ by one at most."""
+    placed = O.places(df, by or [], [value, *order])
+    return placed.withColumn("bin", O.bins_of(F.col("place"), F.col("group_rows"), bins)).drop("place", "group_rows")
 
 
 def rotated(x: Column, y: Column, angle: float, scale: float = 1.0) -> tuple[Column, Column]:

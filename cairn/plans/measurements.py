@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cairn.operators import aggregates, joins
+from cairn.operators import order as O
 from cairn.operators import transforms as T
 from cairn.plans.base import query, r6
 from cairn.session import table
@@ -311,7 +311,8 @@ def label_compose(spark, d):
 @query("numeric_sort_rank", "SELECT p_partkey, row_number() OVER (ORDER BY try_cast(string_split(p_brand, '#')[2] AS DOUBLE) NULLS LAST, p_brand, p_partkey) AS r FROM part")
 def numeric_sort_rank(spark, d):
     keyed = table(spark, d, "part").withColumn("k", F.expr("get(split(p_brand, '#'), 1)"))
-    return keyed.select("p_partkey", F.row_number().over(Window.orderBy(F.expr("try_cast(k AS double)").asc_nulls_last(), "p_brand", "p_partkey")).cast("long").alias("r"))
+    placed = O.places(keyed.select("p_partkey", "p_brand", "k"), [], [T.numeric_then_text("k")[0], "p_brand", "p_partkey"])
+    return placed.select("p_partkey", (F.col("place") + 1).alias("r"))
 
 
 @query("distinct_terms", "SELECT count(DISTINCT event_type) AS terms, count(DISTINCT user_id) AS users, max(event_id) + 1 AS next_id, min(event_id) AS first_id FROM events")
@@ -346,23 +347,24 @@ def group_by_prefix(spark, d):
 
 @query("row_order_in_file", f"SELECT {IDS}, l_returnflag, row_number() OVER (PARTITION BY l_returnflag ORDER BY {IDS}) - 1 AS idx FROM lineitem")
 def row_order_in_file(spark, d):
-    return table(spark, d, "lineitem").select(*ID, "l_returnflag", (F.row_number().over(Window.partitionBy("l_returnflag").orderBy(*ID)) - 1).cast("long").alias("idx"))
+    return O.places(table(spark, d, "lineitem").select(*ID, "l_returnflag"), ["l_returnflag"], ID).select(*ID, "l_returnflag", F.col("place").alias("idx"))
 
 
 @query("percentile_by_place", "SELECT l_returnflag, list_sort(list(l_extendedprice))[(count(*) * 0.05)::INT + 1] AS p5, round(quantile_cont(l_extendedprice, 0.5), 6) AS median FROM (SELECT * FROM lineitem) GROUP BY 1")
 def percentile_by_place(spark, d):
     """The value at place n / 20 of the sorted values (from 0), and the median."""
-    ranked = table(spark, d, "lineitem").select("l_returnflag", "l_extendedprice", (F.row_number().over(Window.partitionBy("l_returnflag").orderBy("l_extendedprice")) - 1).alias("place"), F.count("*").over(Window.partitionBy("l_returnflag")).alias("n"))
-    fifth = ranked.where("place = cast(round(n * 0.05) AS int)").select("l_returnflag", F.col("l_extendedprice").alias("p5"))
-    return fifth.join(table(spark, d, "lineitem").groupBy("l_returnflag").agg(r6(F.percentile("l_extendedprice", 0.5)).alias("median")), "l_returnflag")
+    rows = table(spark, d, "lineitem").select("l_returnflag", "l_extendedprice", *ID)
+    fifth = O.places(rows, ["l_returnflag"], ["l_extendedprice", *ID]).where("place = cast(round(group_rows * 0.05) AS bigint)").select("l_returnflag", F.col("l_extendedprice").alias("p5"))
+    return fifth.join(O.quantiles(rows, {"median": F.col("l_extendedprice")}, 0.5, ["l_returnflag"]).withColumn("median", r6("median")), "l_returnflag")
 
 
 @query("expression_colours", "SELECT event_id, round(percent_rank() OVER (PARTITION BY event_type ORDER BY value), 6) AS quantile, round((value - min(value) OVER (PARTITION BY event_type)) / nullif(max(value) OVER (PARTITION BY event_type) - min(value) OVER (PARTITION BY event_type), 0), 6) AS linear FROM events")
 def expression_colours(spark, d):
     """Node colour values on a quantile and on a linear scale."""
-    w = Window.partitionBy("event_type")
-    span = F.max("value").over(w) - F.min("value").over(w)
-    return table(spark, d, "events").select("event_id", r6(F.percent_rank().over(w.orderBy("value"))).alias("quantile"), r6(F.try_divide(F.col("value") - F.min("value").over(w), span)).alias("linear"))
+    events = table(spark, d, "events").select("event_id", "event_type", "value")
+    ends = events.groupBy("event_type").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    placed = O.percent_places(events, "value", ["event_type"]).join(ends, "event_type")
+    return placed.select("event_id", r6("share").alias("quantile"), r6(F.try_divide(F.col("value") - F.col("low"), F.col("high") - F.col("low"))).alias("linear"))
 
 
 @query("flat_view", "SELECT o.o_orderkey, o.o_orderstatus, o.o_totalprice, coalesce(t.terms, '') AS terms FROM orders o LEFT JOIN (SELECT l_orderkey, array_to_string(list_sort(list(DISTINCT l_returnflag)), ',') AS terms FROM lineitem GROUP BY 1) t ON t.l_orderkey = o.o_orderkey")
