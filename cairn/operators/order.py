@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,54 +59,53 @@ def quantiles(df: DataFrame, values: dict[str, Column], share: float, by: list[s
     if not 0 <= share <= 1:
         raise ValueError("a share between 0 and 1")
     step = 4.0 / ACCURACY
-    ends = F.array(F.lit(max(0.0, share - step)), F.lit(min(1.0, share + step)))
-    columns = {name: value.cast("double") for name, value in values.items()}
-    first = []
-    for k, value in enumerate(columns.values()):
-        first += [F.percentile_approx(value, ends, ACCURACY).alias(f"__e{k}"), F.count(value).alias(f"__n{k}")]
-    keys = [f"__by{i}" for i in range(len(by))]
-    brackets = df.groupBy(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)]).agg(*first, *(also or []))
-    brackets = cut_lineage(brackets)
+    ends = f"array({max(0.0, share - step)!r}D, {min(1.0, share + step)!r}D)"
+    keys, many = [f"__by{i}" for i in range(len(by))], range(len(values))
+    valued = df.select("*", *[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], *[v.cast("double").alias(f"__v{k}") for k, v in enumerate(values.values())])
+    # one text for each aggregate, since a profile has many
+    texts = [t for k in many for t in (f"percentile_approx(__v{k}, {ends}, {ACCURACY}) AS __e{k}", f"count(__v{k}) AS __n{k}")]
+    brackets = cut_lineage(valued.groupBy(*keys).agg(*map(F.expr, texts), *(also or [])))
+    kept = [c for c in brackets.columns if c not in keys]
+    brackets = brackets.withColumnsRenamed({k: f"{k}_" for k in keys})
     if brackets.count() <= MOST_SENT_GROUPS:
         brackets = F.broadcast(brackets)
-    rows = df.select(*[F.col(c).alias(f"__of{i}") for i, c in enumerate(by)], *[v.alias(f"__v{k}") for k, v in enumerate(columns.values())])
-    same = F.lit(True)
-    for i in range(len(by)):
-        same = same & F.col(f"__of{i}").eqNullSafe(F.col(f"__by{i}"))
-    joined = rows.join(brackets, same) if by else rows.join(brackets)  # without groups it is one row
-    second, kept = [], [c for c in brackets.columns if c not in keys]
-    for k in range(len(columns)):
-        v, low, high = F.col(f"__v{k}"), F.col(f"__e{k}")[0], F.col(f"__e{k}")[1]
+    rows = valued.select(*keys, *[f"__v{k}" for k in many])
+    same = F.expr(" AND ".join(f"{k} <=> {k}_" for k in keys) or "true")
+    second = []
+    for k in many:
+        v, low, high = f"__v{k}", f"__e{k}[0]", f"__e{k}[1]"
         parts = {
-            "below": F.count_if(v < low),
-            "at_low": F.count_if(v == low),
-            "inside": F.sort_array(F.collect_list(F.when((v > low) & (v < high), v))),
-            "next_below": F.max(F.when(v < low, v)),
-            "at_high": F.count_if((v == high) & (high > low)),
-            "next_above": F.min(F.when(v > high, v)),
+            "below": f"count_if({v} < {low})",
+            "at_low": f"count_if({v} = {low})",
+            "inside": f"collect_list(CASE WHEN {v} > {low} AND {v} < {high} THEN {v} END)",
+            "before": f"max(CASE WHEN {v} < {low} THEN {v} END)",
+            "at_high": f"count_if({v} = {high} AND {high} > {low})",
+            "after": f"min(CASE WHEN {v} > {high} THEN {v} END)",
         }
-        second.append(F.struct(*[c.alias(name) for name, c in parts.items()]).alias(f"__s{k}"))
-    counted = joined.groupBy(*keys).agg(*second, *[F.first(c).alias(c) for c in kept])
+        named = ", ".join(f"'{name}', {text}" for name, text in parts.items())
+        second.append(F.expr(f"named_struct('ends', first(__e{k}), 'n', first(__n{k}), {named}) AS __s{k}"))
+    extra = [c for c in kept if not c.startswith("__")]
+    counted = rows.join(brackets, same).groupBy(*keys).agg(*second, *[F.first(c).alias(c) for c in extra])
+    every = F.array(*[f"__s{k}" for k in many])
 
-    def at(k: int, place: Column) -> Column:
+    def at(s: Column, place: Column) -> Column:
         """The value at a place (from 0) of the sorted values."""
-        s, low, high = F.col(f"__s{k}"), F.col(f"__e{k}")[0], F.col(f"__e{k}")[1]
         beyond = place - s["below"]
         inner = beyond - s["at_low"]
         past = inner - F.size(s["inside"])
-        found = F.when(beyond == -1, s["next_below"]).when((beyond >= 0) & (inner < 0), low)
-        found = found.when((inner >= 0) & (past < 0), F.get(s["inside"], inner.cast("int")))
-        found = found.when((past >= 0) & (past < s["at_high"]), high).when(past == s["at_high"], s["next_above"])
+        found = F.when(beyond == -1, s["before"]).when((beyond >= 0) & (inner < 0), s["ends"][0])
+        found = found.when((inner >= 0) & (past < 0), F.get(F.array_sort(s["inside"]), inner.cast("int")))
+        found = found.when((past >= 0) & (past < s["at_high"]), s["ends"][1]).when(past == s["at_high"], s["after"])
         return found.otherwise(F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double"))
 
-    out = []
-    for k, name in enumerate(columns):
-        exact = (F.col(f"__n{k}") - 1) * F.lit(float(share))
+    def one(s: Column) -> Column:
+        exact = (s["n"] - 1) * F.lit(float(share))
         down = F.floor(exact)
-        low = at(k, down)
-        out.append(F.when(F.col(f"__n{k}") > 0, F.when(exact == down, low).otherwise(low + (exact - down) * (at(k, down + 1) - low))).alias(name))
-    extra = [c for c in kept if not c.startswith("__")]
-    return counted.select(*[F.col(k).alias(c) for k, c in zip(keys, by, strict=True)], *extra, *out)
+        beyond = F.when(exact > down, (exact - down) * (at(s, down + 1) - at(s, down))).otherwise(0.0)
+        return F.when(s["n"] > 0, at(s, down) + beyond)
+
+    found = counted.select(*[F.col(k).alias(c) for k, c in zip(keys, by, strict=True)], *extra, F.transform(every, one).alias("__found"))
+    return found.select(*by, *extra, *[F.col("__found")[k].alias(name) for k, name in enumerate(values)])
 
 
 def percent_places(df: DataFrame, value: str, by: list[str] | None = None, share: str = "share") -> DataFrame:
