@@ -4,18 +4,25 @@ Points (id, vec) are packed into blocks, one row each. Every query block meets e
 block numbers; each meeting is one matrix product and keeps k candidates for each query, and a second step keeps the k
 best of them. So nothing is broadcast or collected, and a task holds two blocks at a time.
 
-`knn_pruned` gives the same result with fewer meetings: base points are held by the cell of their nearest seed, sorted
-by distance to it, and a cell, or the rest of it, is skipped where the triangle inequality rules out a better neighbour.
+`knn_pruned` gives the same result with fewer meetings: points are held by the cell of their nearest seed, in blocks of
+like distance to it, and a cell, or a block of it, is skipped where the triangle inequality rules out a better neighbour.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.operators.order import places
+from cairn.session import cut_lineage
+
 BLOCK_ROWS = 4096
+CELL_BLOCK_ROWS = 1024
+MOST_CELLS = 1000
 NEIGHBOUR = "i long, j long, dist double"
 
 
@@ -64,6 +71,16 @@ def _matrix(rows) -> tuple[np.ndarray, np.ndarray]:
     return np.array([r["id"] for r in rows], dtype=np.int64), np.nan_to_num(np.array([r["vec"] for r in rows], dtype=np.float64), nan=0.0)
 
 
+def best(i: np.ndarray, a: np.ndarray, j: np.ndarray, m: np.ndarray, k: int, metric) -> pd.DataFrame:
+    """(i, j, dist): of base rows m with ids j the k nearest to each of the rows a with ids i; ties by j, a point itself first."""
+    d = np.round(distances(a, m, metric), 12)
+    d[i[:, None] == j[None, :]] = -1.0  # first, also among equal points
+    kept = min(k, len(j))
+    by_id = np.argsort(j)
+    order = by_id[np.argsort(d[:, by_id], axis=1, kind="stable")[:, :kept]]
+    return pd.DataFrame({"i": np.repeat(i, kept), "j": j[order].ravel(), "dist": np.maximum(np.take_along_axis(d, order, 1).ravel(), 0.0)})
+
+
 def nearest(queries: DataFrame, base: DataFrame, k: int, metric: str = "angular", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(i, j, rank, dist): the k nearest of `base` to each of `queries`, both (id, vec); rank from 1, ties by j, a point itself first.
 
@@ -79,17 +96,9 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, metric: str = "angular"
             for left, right in zip(frame["q"], frame["b"], strict=True):
                 i, a = _matrix(left)
                 j, m = _matrix(right)
-                d = distances(a, m, metric)
-                d = np.round(d, 12)
-                d[i[:, None] == j[None, :]] = -1.0  # first, also among equal points
-                kept = min(k, len(j))
-                by_id = np.argsort(j)
-                order = by_id[np.argsort(d[:, by_id], axis=1, kind="stable")[:, :kept]]
-                yield pd.DataFrame({"i": np.repeat(i, kept), "j": j[order].ravel(), "dist": np.maximum(np.take_along_axis(d, order, 1).ravel(), 0.0)})
-
-    found = pairs.mapInPandas(run, NEIGHBOUR)
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy(F.col("i") != F.col("j"), "dist", "j")))
-    return ranked.where(F.col("rank") <= k).select("i", "j", "rank", "dist")
+                yield best(i, a, j, m, k, metric)
+
+    return k_best(pairs.mapInPandas(run, NEIGHBOUR), k)
 
 
 def knn(points: DataFrame, k: int, metric: str = "angular", block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -97,12 +106,16 @@ def knn(points: DataFrame, k: int, metric: str = "angular", block_rows: int = BL
     return nearest(points, points, k, metric, block_rows)
 
 
-def knn_pruned(points: DataFrame, k: int, cells: int, metric: str = "angular", seed: int = 1) -> DataFrame:
-    """knn() by cells around `cells` seed points: cells and members that the triangle inequality excludes are not read."""
+def knn_pruned(points: DataFrame, k: int, cells: int | None = None, metric: str = "angular", seed: int = 1, block_rows: int = CELL_BLOCK_ROWS) -> DataFrame:
+    """knn() by cells around `cells` seed points: cells and blocks that the triangle inequality excludes are not read.
+
+    Without `cells` their number grows with the root of the number of points, up to MOST_CELLS. A cell of any size is
+    held in blocks of `block_rows` points by distance to its seed. A query's bound is its k-th distance in its own block.
+    """
     metric = resolved(metric)
+    cells = cells or min(MOST_CELLS, max(8, math.isqrt(points.count()) // 4))
     seeds = points.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(cells).collect()  # `cells` rows
     centres = np.nan_to_num(np.array([s["vec"] for s in seeds], dtype=np.float64), nan=0.0)
-    schema = "id long, vec array<double>, cell int, to_centre double"
 
     def deal(frames):
         for frame in frames:
@@ -111,47 +124,39 @@ def knn_pruned(points: DataFrame, k: int, cells: int, metric: str = "angular", s
                 cell = d.argmin(1)
                 yield frame.assign(cell=cell.astype("int32"), to_centre=d[np.arange(len(d)), cell])
 
-    dealt = points.select("id", "vec").mapInPandas(deal, schema)
-    held = dealt.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("to_centre", "id", "vec"))).alias("b"), F.max("to_centre").alias("radius"))
-    radii = {r["cell"]: r["radius"] for r in held.select("cell", "radius").collect()}  # `cells` rows
-    own = dealt.groupBy("cell").agg(F.collect_list(F.struct("id", "vec")).alias("q"))
+    dealt = places(points.select("id", "vec").mapInPandas(deal, "id long, vec array<double>, cell int, to_centre double"), ["cell"], ["to_centre", "id"])
+    blocks = dealt.groupBy("cell", F.floor(F.col("place") / block_rows).alias("block"))
+    held = cut_lineage(blocks.agg(F.collect_list(F.struct("id", "vec")).alias("b"), F.min("to_centre").alias("from"), F.max("to_centre").alias("up_to")))
+    radii = {r["cell"]: r["radius"] for r in held.groupBy("cell").agg(F.max("up_to").alias("radius")).collect()}  # `cells` rows
 
-    def within(frames):
+    def ask(frames):
+        """For each block and each cell that may hold neighbours of its points: those points, and the distances to the seed that matter."""
         for frame in frames:
-            for left, right in zip(frame["q"], frame["b"], strict=True):
-                i, a = _matrix(left)
-                _, m = _matrix(right)
-                d = np.sort(distances(a, m, metric), axis=1)
-                far = d[:, k - 1] if d.shape[1] >= k else np.full(len(i), np.inf)
+            for rows in frame["b"]:
+                i, a = _matrix(rows)
+                d = np.sort(distances(a, a, metric), axis=1)
+                far = (d[:, k - 1] if len(i) >= k else np.full(len(i), np.inf)) + 1e-7
                 to_centres = distances(a, centres, metric)
-                vectors = list(a)
                 for cell, radius in radii.items():
-                    near = to_centres[:, cell] - radius <= far + 1e-7
-                    if near.any():
-                        yield pd.DataFrame({"id": i[near], "vec": [vectors[n] for n in np.flatnonzero(near)], "far": far[near], "cell": np.int32(cell), "to": to_centres[near, cell]})
+                    to = to_centres[:, cell]
+                    near = np.flatnonzero(to - radius <= far)
+                    if len(near):
+                        low, high = float((to - far)[near].min()), float((to + far)[near].max())
+                        yield pd.DataFrame({"cell": np.int32(cell), "low": low, "high": high, "q": [[{"id": int(i[n]), "vec": a[n]} for n in near]]})
 
-    wanted = own.join(held.select("cell", "b"), "cell").select("q", "b").mapInPandas(within, "id long, vec array<double>, far double, cell int, to double")
-    asked = wanted.groupBy("cell").agg(F.collect_list(F.struct("id", "vec", "far", "to")).alias("q"))
+    asked = held.select("b").mapInPandas(ask, "cell int, low double, high double, q array<struct<id: long, vec: array<double>>>")
+    pairs = asked.join(held, "cell").where("up_to >= low AND from <= high").select("q", "b")
 
     def search(frames):
         for frame in frames:
             for left, right in zip(frame["q"], frame["b"], strict=True):
-                i, a = _matrix(left)
-                j, m = _matrix(right)
-                to_centre = np.array([r["to_centre"] for r in right])
-                parts = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))]
-                for row, (x, far, to) in enumerate(zip(a, [r["far"] for r in left], [r["to"] for r in left], strict=True)):
-                    low, high = np.searchsorted(to_centre, [to - far - 1e-7, to + far + 1e-7])
-                    if low < high:
-                        d = distances(x[None, :], m[low:high], metric)[0]
-                        jj = j[low:high]
-                        d = np.round(d, 12)
-                        d[jj == i[row]] = -1.0
-                        order = np.lexsort((jj, d))[:k]
-                        parts.append((np.full(len(order), i[row]), jj[order], np.maximum(d[order], 0.0)))
-                yield pd.DataFrame(dict(zip(("i", "j", "dist"), map(np.concatenate, zip(*parts, strict=True)), strict=True)))
-
-    found = asked.join(held.select("cell", "b"), "cell").select("q", "b").mapInPandas(search, NEIGHBOUR)
+                yield best(*_matrix(left), *_matrix(right), k, metric)
+
+    return k_best(pairs.mapInPandas(search, NEIGHBOUR), k)
+
+
+def k_best(found: DataFrame, k: int) -> DataFrame:
+    """(i, j, rank, dist): the k first candidates of each query."""
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy(F.col("i") != F.col("j"), "dist", "j")))
     return ranked.where(F.col("rank") <= k).select("i", "j", "rank", "dist")
 

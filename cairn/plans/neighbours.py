@@ -53,7 +53,7 @@ def knn_euclidean(spark, d):
 
 @query("knn_pruned", f"WITH {EUCLID} SELECT i, j, rank, round(dist, 6) AS dist FROM k WHERE rank <= 6")
 def knn_pruned(spark, d):
-    return knn.knn_pruned(points(spark, d), 6, 16, "euclidean").select("i", "j", F.col("rank").cast("long").alias("rank"), r6("dist").alias("dist"))
+    return knn.knn_pruned(points(spark, d), 6, metric="euclidean").select("i", "j", F.col("rank").cast("long").alias("rank"), r6("dist").alias("dist"))
 
 
 @query("knn_range_limited", f"WITH {KNN} SELECT k.i, k.j, k.rank FROM k JOIN p a ON a.id = k.i JOIN p b ON b.id = k.j WHERE rank <= 11 AND abs(a.label - b.label) <= 1")

@@ -41,7 +41,8 @@ def test_knn_blocks_and_cells_equal_brute_force(spark, metric):
     np.fill_diagonal(d, 0)
     want = {(i, r + 1): j for i in range(len(rows)) for r, j in enumerate(sorted(range(len(rows)), key=lambda j: (i != j, d[i, j], j))[:7])}
     assert {(r.i, r.rank): r.j for r in knn.knn(pts, 7, metric, block_rows=10).collect()} == want
-    assert {(r.i, r.rank): r.j for r in knn.knn_pruned(pts, 7, 6, metric).collect()} == want
+    for cells, block_rows in ((6, 1000), (6, 9), (None, 3), (1, 20)):
+        assert {(r.i, r.rank): r.j for r in knn.knn_pruned(pts, 7, cells, metric, block_rows=block_rows).collect()} == want
     assert knn.knn(points_of(spark, rows[:3]), 7, metric).count() == 9
 
 
