@@ -169,17 +169,28 @@ def nearest_centroid(spark, d):
     return found.select("id", "centre", r6("dist").alias("dist"))
 
 
-@query(
-    "nearest_with_reject",
-    f"""WITH {C}, q AS (SELECT p.id, c.id AS centre, round({angle('p.v', 'c.v')}, 12) AS dist FROM p, c),
+def reject_sql(most: float) -> str:
+    return f"""WITH {C}, q AS (SELECT p.id, c.id AS centre, round({angle('p.v', 'c.v')}, 12) AS dist FROM p, c),
 b AS (SELECT id, arg_min(centre, (dist, centre)) AS centre, min(dist) AS dist FROM q GROUP BY id)
-SELECT CASE WHEN dist <= 1.0 THEN centre END AS centre, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM b GROUP BY 1""",
-)
-def nearest_with_reject(spark, d):
-    found = joins.nearest_centre(points(spark, d), centroids(spark, d).select(F.col("id").alias("centre"), F.col("vec").alias("profile")), most=1.0)
+SELECT CASE WHEN dist <= {most} THEN centre END AS centre, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM b GROUP BY 1"""
+
+
+def rejecting(spark, d, most):
+    found = joins.nearest_centre(points(spark, d), centroids(spark, d).select(F.col("id").alias("centre"), F.col("vec").alias("profile")), most=most)
     return aggregates.shares(found, "centre").withColumn("share", r6("share"))
 
 
+@query("nearest_with_reject", reject_sql(1.0))
+def nearest_with_reject(spark, d):
+    return rejecting(spark, d, 1.0)
+
+
+@query("nearest_with_wide_reject", reject_sql(1.35))
+def nearest_with_wide_reject(spark, d):
+    """A limit that keeps about half of the given vectors, which are nearly at right angles to their centroids."""
+    return rejecting(spark, d, 1.35)
+
+
 MAHA = f"""WITH {MODELS}, q AS (SELECT l.id, mv.label AS centre, round(sqrt(sum(((l.x - mv.m) / mv.s) ** 2)), 12) AS dist FROM long l JOIN mv ON mv.d = l.d GROUP BY l.id, mv.label),
 b AS (SELECT id, arg_min(centre, (dist, centre)) AS centre, min(dist) AS dist FROM q GROUP BY id)"""
 
@@ -265,6 +276,12 @@ def module_map_edges(spark, d):
     return graphs.module_map(centroids(spark, d)).withColumn("weight", r6("weight"))
 
 
+@query("module_map_soft_edges", PAIRS + " SELECT a, b, round(exp(4 * abs(cos(ang)) - 4) * sign(cos(ang)), 6) AS weight FROM q WHERE exp(4 * abs(cos(ang)) - 4) > 0.03")
+def module_map_soft_edges(spark, d):
+    """A flatter curve than module_map_edges, by which some of the given centroids are tied."""
+    return graphs.module_map(centroids(spark, d), 4.0, 0.03).withColumn("weight", r6("weight"))
+
+
 @query("knn_graph_edges", f"WITH {KNN} SELECT least(i, j) AS a, greatest(i, j) AS b, round(min(dist), 6) AS dist FROM k WHERE rank <= 5 AND i <> j GROUP BY 1, 2")
 def knn_graph_edges(spark, d):
     return graphs.knn_graph(table_of(spark, d, 5), 5).withColumn("dist", r6("dist"))
