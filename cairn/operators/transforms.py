@@ -146,6 +146,12 @@ def subset_and_rest(df: DataFrame, id_col: str, n: int, seed: int = 0) -> tuple[
     return chosen, df.join(chosen.select(id_col), id_col, "left_anti")
 
 
+def renumbered(df: DataFrame, id_col: str, first: int = 0) -> DataFrame:
+    """`df` with ids from `first` on in the order of the old ones, which `old_id` keeps; equal ids get different new ones."""
+    placed = O.places(df.withColumnRenamed(id_col, "old_id"), [], ["old_id"])
+    return placed.withColumn(id_col, F.col("place") + first).drop("place", "group_rows")
+
+
 def numeric_then_text(c: Column) -> list[Column]:
     """Sort keys: numbers by value before other texts."""
     return [F.expr(f"try_cast({c} AS double)").asc_nulls_last() if isinstance(c, str) else c.try_cast("double").asc_nulls_last(), F.col(c).asc() if isinstance(c, str) else c.asc()]

@@ -176,6 +176,18 @@ def subset_and_rest(spark, d):
     return chosen.select(F.lit("subset").alias("part"), "event_id").unionByName(rest.select(F.lit("rest").alias("part"), "event_id"))
 
 
+@query(
+    "subset_renumbered",
+    """WITH s AS (SELECT event_id FROM events ORDER BY (event_id * 2654435761) % 4294967296, event_id LIMIT 1000), b AS (SELECT 'subset' AS part, event_id FROM s UNION ALL SELECT 'rest', event_id FROM events ANTI JOIN s USING (event_id))
+SELECT part, event_id AS old_id, row_number() OVER (PARTITION BY part ORDER BY event_id) - 1 AS event_id FROM b""",
+)
+def subset_renumbered(spark, d):
+    """Both parts of subset_and_rest with ids from 0 on."""
+    chosen, rest = T.subset_and_rest(table(spark, d, "events").select("event_id"), "event_id", 1000)
+    both = [T.renumbered(part, "event_id").withColumn("part", F.lit(name)) for name, part in (("subset", chosen), ("rest", rest))]
+    return both[0].unionByName(both[1])
+
+
 PAIR = [(a, b) for i, a in enumerate(CH) for b in CH[i:]]
 
 
