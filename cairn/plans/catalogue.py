@@ -6,7 +6,7 @@ from cairn.plans import base
 
 
 def _load() -> None:
-    from cairn.plans import groups, measurements, neighbours  # noqa: F401
+    from cairn.plans import connectors, groups, measurements, neighbours  # noqa: F401
 
 
 def queries():

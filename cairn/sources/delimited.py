@@ -67,6 +67,12 @@ def read_headerless(spark: SparkSession, path: str, names: list[str], dataset: s
     return placed.select(F.format_string(f"{dataset}.fcs Event %07d", event).alias("name"), *names)
 
 
+def read_named(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
+    """Columns by name of CSV files with a header, as the given types; a value that is not of its type is null."""
+    cells = spark.read.csv(path, header=True, inferSchema=False)
+    return cells.select(*[F.col(f"`{c}`").try_cast(t).alias(c) for c, t in columns.items()])
+
+
 def common_columns(frames: list[DataFrame], drop_default: bool = True) -> list[str]:
     """Columns of all frames, in the first one's order."""
     shared = set.intersection(*(set(f.columns) for f in frames)) if frames else set()

@@ -83,20 +83,32 @@ def read_fcs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
 
 
-def write_fcs(df: DataFrame, folder: str, cols: list[str], by: str, back: float | None = None) -> DataFrame:
-    """One FCS file for each value of `by` in `folder` (a path that all tasks share); the files written. `back` undoes asinh(x / back)."""
-    from pyspark.sql.functions import sinh
+#: Ways back from a transform, of a column and the transform's factor. The logarithm is the natural one.
+BACK = {"asinh": lambda c, factor: F.sinh(c) * factor, "log": lambda c, factor: F.exp(c), "none": lambda c, factor: F.col(c)}
 
-    rows = df.select(F.col(by).cast("string").alias("part"), *[(sinh(c) * back if back else F.col(c)).cast("double").alias(c) for c in cols])
+
+def write_fcs(df: DataFrame, folder: str, cols: list[str], by: str, back: float | None = None, kind: str = "asinh", rows_per_file: int = 1_000_000) -> DataFrame:
+    """FCS files for each value of `by` (a cluster, or an annotation's term) in `folder` (a path that all tasks share); the files written.
+
+    `back` undoes a transform of that `kind` with that factor. A value of more than `rows_per_file` rows has several
+    files of about that many at most, "<value>_<number>.fcs", so no task holds a large cluster.
+    """
+    if kind not in BACK:
+        raise ValueError(f"unknown transform: {kind}; known: {', '.join(sorted(BACK))}")
+    shown = [(BACK[kind](c, back) if back else F.col(c)).cast("double").alias(c) for c in cols]
+    rows = df.select(F.coalesce(F.col(by).cast("string"), F.lit("none")).alias("part"), *shown)
+    files = rows.groupBy("part").agg(F.ceil(F.count("*") / rows_per_file).cast("int").alias("files"))
+    dealt = rows.join(files, "part").withColumn("number", F.when(F.col("files") > 1, F.pmod(F.xxhash64(*cols), "files").cast("int")).otherwise(0))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         from pyarrow import fs
 
         system, root = fs.FileSystem.from_uri(folder)
         system.create_dir(root, recursive=True)
-        name = f"{root}/{frame['part'].iloc[0]}.fcs"
+        first = frame.iloc[0]
+        name = f"{root}/{first['part']}{'_' + str(first['number']) if first['files'] > 1 else ''}.fcs"
         with system.open_output_stream(name, compression=None) as out:
             out.write(encode(cols, cols, frame[cols].to_numpy()))
         return pd.DataFrame({"file": [name], "events": [len(frame)]})
 
-    return rows.groupBy("part").applyInPandas(run, "file string, events long")
+    return dealt.groupBy("part", "number").applyInPandas(run, "file string, events long")
