@@ -110,10 +110,11 @@ def hungarian(cost: np.ndarray) -> list[tuple[int, int]]:
 
 def matched_f(table: DataFrame, truth: str, found: str) -> DataFrame:
     """(truth, found, f): the one-to-one matching of greatest total F from precision_recall's table (class-level)."""
+    sizes = table.agg(F.countDistinct(truth), F.countDistinct(found)).first()
+    if sizes[0] * sizes[1] > 25_000_000:
+        raise ValueError("too many classes to match on the driver")
     rows = table.select(truth, found, "f").collect()
     a, b = sorted({r[0] for r in rows}), sorted({r[1] for r in rows})
-    if len(a) * len(b) > 25_000_000:
-        raise ValueError("too many classes to match on the driver")
     f = np.zeros((len(a), len(b)))
     at, bt = ({x: i for i, x in enumerate(names)} for names in (a, b))
     for r in rows:

@@ -112,6 +112,18 @@ def matched_f(spark, d):
     return statistics.matched_f(aggregates.precision_recall(contingency(spark, d), "truth", "found"), "truth", "found")
 
 
+@query(
+    "matched_f_total",
+    PRF.replace("WITH", "WITH RECURSIVE", 1)
+    + """, f AS (SELECT l.truth, o.found, coalesce(2 * pr * rc / (pr + rc), 0) AS f FROM (SELECT DISTINCT truth FROM t) l CROSS JOIN (SELECT DISTINCT found FROM t) o LEFT JOIN q USING (truth, found)),
+m(k, used, total) AS (SELECT 0, []::INT[], 0.0::DOUBLE UNION ALL SELECT k + 1, list_append(used, truth), total + f FROM m JOIN f ON found = k AND NOT list_contains(used, truth))
+SELECT k::BIGINT AS pairs, round(max(total), 6) AS total FROM m GROUP BY k ORDER BY k DESC LIMIT 1""",
+)
+def matched_f_total(spark, d):
+    """How many classes are matched one to one, and the greatest total F; against every way to match in SQL."""
+    return matched_f(spark, d).agg(F.count("*").alias("pairs"), r6(F.sum("f")).alias("total"))
+
+
 @query("max_overlap_parent", PRF + " SELECT found, arg_max(truth, (n, -truth)) AS parent, max(n) AS overlap FROM t GROUP BY found")
 def max_overlap_parent(spark, d):
     return aggregates.best_parent(contingency(spark, d), "found", "truth")

@@ -412,9 +412,17 @@ def mahalanobis_merge(spark, d):
     return spark.createDataFrame(sorted(density.merge_by_mahalanobis(stats, 8.0).items()), "cluster long, merged long")
 
 
-@query("mean_shift_centre")
+@query(
+    "mean_shift_centre",
+    f"""WITH RECURSIVE {P}, long AS (SELECT id, v, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM p), step(k, c, moved) AS (
+SELECT 0, list_transform(range(0, {DIM}), lambda i: 0.1::DOUBLE), 1e9::DOUBLE UNION ALL
+SELECT k + 1, list(m ORDER BY d), list_distance(list(m ORDER BY d), any_value(c)) FROM (
+  SELECT k, d, any_value(c) AS c, sum(x * exp(-pow(list_distance(v, c) / 0.6, 2) / 2)) / sum(exp(-pow(list_distance(v, c) / 0.6, 2) / 2)) AS m FROM step, long WHERE moved >= 0.0006 GROUP BY k, d) GROUP BY k)
+SELECT (generate_subscripts(c, 1) - 1)::INT AS dim, round(unnest(c), 6) + 0.0 AS value FROM (SELECT c FROM step ORDER BY k DESC LIMIT 1)""",
+)
 def mean_shift_centre(spark, d):
-    return spark.createDataFrame([(density.mean_shift(points(spark, d), [0.1] * DIM, 0.6),)], "centre array<double>")
+    centre = density.mean_shift(points(spark, d), [0.1] * DIM, 0.6)
+    return spark.createDataFrame(list(enumerate(centre)), "dim int, value double").withColumn("value", r6("value") + 0.0)
 
 
 @query(
