@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import bpe, chat, fingerprint, mixing, near, pii, quality, repeats, tokencount, tokenfile
+from cairn.llm import bpe, chat, fingerprint, mixing, near, phrases, pii, quality, repeats, tokencount, tokenfile
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_source_mixing": mixing.query,
         "op9_token_files": tokenfile.query,
         "op10_chat_format": chat.query,
+        "op11_phrases": phrases.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality.ORACLE_SQL, "op10_chat_format": chat.ORACLE_SQL}
+    return {"op2_quality_rules": quality.ORACLE_SQL, "op10_chat_format": chat.ORACLE_SQL, "op11_phrases": phrases.ORACLE_SQL}
