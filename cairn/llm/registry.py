@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import bpe, chat, fingerprint, mixing, near, phrases, pii, quality, repeats, spelling, tokencount, tokenfile
+from cairn.llm import bpe, chat, fingerprint, mixing, near, phrases, pii, quality, repeats, spelling, tokencount, tokenfile, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,9 +22,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_token_files": tokenfile.query,
         "op10_chat_format": chat.query,
         "op11_phrases": phrases.query,
+        "op12_exact_topk": topk.query,
         "op13_spelling_variants": spelling.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality.ORACLE_SQL, "op10_chat_format": chat.ORACLE_SQL, "op11_phrases": phrases.ORACLE_SQL, "op13_spelling_variants": spelling.ORACLE_SQL}
+    return {"op2_quality_rules": quality.ORACLE_SQL, "op10_chat_format": chat.ORACLE_SQL, "op11_phrases": phrases.ORACLE_SQL, "op12_exact_topk": topk.ORACLE_SQL, "op13_spelling_variants": spelling.ORACLE_SQL}
