@@ -7,12 +7,12 @@ frequent themselves. Buckets and frequent phrases go to the tasks as bitmaps of
 of them, so what is broadcast has a fixed size whatever the corpus holds. Where two phrases share a bit, some are counted
 in vain; results never depend on it. A corpus far beyond `buckets` different phrases wants more bits to prune well.
 
-Counts of a task are cut at the support in buckets (a sum that reaches it stays one), added up in the worker, and again
-before each shuffle, so a frequent word or passage is one row a task. Scores compare by whole numbers of up to 38 digits.
+A task adds up its counts, in buckets cut at the support (a sum that reaches it stays one); ranges of buckets are packed
+in a row each, and counts of phrases added again before their shuffle, so a frequent word or passage is one row a task. Scores compare by whole numbers of up to 38 digits.
 
 Defined cases: null text is the empty text, null lang is "und", repeated rows count each, other columns are ignored;
-phrases of equal score and count come in byte order. Memory of a task: the counters of the buckets (a byte each), and
-the words of BLOCK_BYTES of text with those of its slice; a longer text goes block by block. AQE splits the joins of
+phrases of equal score and count come in byte order. Memory of a task: the counters of the buckets (a byte each),
+MOST_WORDS different words and the tokens of BLOCK_BYTES of text; a longer text goes block by block. AQE splits the joins of
 phrases with their parts where a part is in very many.
 """
 
@@ -24,14 +24,18 @@ from itertools import islice
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from cairn.llm.common import discard, narrow, read_table, slices, stored
 
 SUPPORT, LONGEST, COVERED, MOST = 10, 3, 50, 2000
 BUCKETS = 1 << 26
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES, SLICE_BYTES = 1_000_000, 2_000_000
+MOST_WORDS, MOST_LANGS = 200_000, 1000
+RANGE = 1 << 16
 SPREAD = 32
-ROWS = "lang string, phrase string, bucket long, n long"
+ROWS = "lang string, phrase string, bucket long, n long, cells binary, counts binary"
 
 _BREAK = b"\xff"  # in no UTF-8 text
 _BYTES = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + _BREAK * 10 + b" ")
@@ -120,55 +124,98 @@ def _grouped(ids: np.ndarray, at: np.ndarray, m: int, size: int):
 
 
 def _pass(m: int, support: int, longest: int, buckets: int, shared, block: int):
-    """The function of pass m over Arrow batches of lang and text (bytes): exact counts of phrases of m words, with their bits, and buckets of m + 1."""
+    """The function of pass m over Arrow batches of lang and text (bytes).
+
+    Its rows are exact counts of phrases of m words, with their bits, and for each range of buckets the cells of phrases
+    of m + 1 words with their counts.
+    """
     import pyarrow as pa
 
-    schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("bucket", pa.int64()), ("n", pa.int64())])
-    mask = buckets - 1
+    schema, mask, size = to_arrow_schema(StructType.fromDDL(ROWS)), buckets - 1, min(RANGE, buckets)
 
-    def batch(lang, phrase, bucket, n):
+    def counted(lang, phrases, bucket, n):
         k = len(n)
-        columns = [pa.array([lang] * k, pa.string()), pa.nulls(k, pa.string()) if phrase is None else pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(bucket, pa.int64()), pa.array(n, pa.int64())]
+        columns = [pa.array([lang] * k, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(bucket, pa.int64()), pa.array(n, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())]
         return pa.RecordBatch.from_arrays(columns, schema=schema)
 
+    def words_of(states):
+        for lang, (known, n) in states.items():
+            yield counted(lang, [b""], [-1], [int(n[1:].sum())])
+            used = np.flatnonzero(n[1:]) + 1
+            for k in range(0, len(used), 100_000):
+                part = used[k : k + 100_000]
+                yield counted(lang, [known.words[i] for i in part.tolist()], (known.hashes[part] & np.uint64(mask)).astype(np.int64), n[part])
+
     def run(batches):
         bits = Bits({}, None) if shared is None else shared.value
-        filled = np.zeros(buckets if m < longest else 0, dtype=np.uint8 if support < 256 else np.uint32)
+        filled = np.zeros(buckets if m < longest else 0, dtype=np.uint8 if support < 128 else np.uint32)
+        states: dict[str, list] = {}
         for whole in batches:
-            for piece in slices(whole):
+            for piece in slices(whole, most=SLICE_BYTES):
                 texts: dict[str, list[bytes]] = defaultdict(list)
                 for lang, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
                     texts[lang].append(text)
+                if sum(len(known.words) for known, _ in states.values()) > MOST_WORDS or len(states) > MOST_LANGS:
+                    if m == 1:
+                        yield from words_of(states)
+                    states = {}
                 for lang, own in texts.items():
-                    known, before, total = Vocabulary(lang), np.empty(0, dtype=np.int64), 0
+                    known, total = states.setdefault(lang, [Vocabulary(lang), np.zeros(1, dtype=np.int64)])
+                    before = np.empty(0, dtype=np.int64)
                     for tokens in blocks(own, block):
                         ids = np.concatenate([before, known.of(tokens)])
                         fresh = len(before)
-                        total += int(np.count_nonzero(ids[fresh:]))
                         at, h = _survivors(ids, known.hashes, m, bits, mask)
                         if m < longest:
                             up, up_h = _longer(at, h, ids, known.hashes, m)
                             full, n = np.unique((up_h[up + m >= fresh] & np.uint64(mask)).astype(np.int64), return_counts=True)
-                            filled[full] = np.minimum(filled[full] + n, support)
-                        new = at + m - 1 >= fresh
-                        at, h = at[new], h[new]
-                        if len(at):
-                            first, n = _grouped(ids, at, m, len(known.words))
-                            words = known.words
-                            rows = [ids[at[first] + k].tolist() for k in range(m)]
-                            phrases = [b" ".join([words[i] for i in row]) for row in zip(*rows, strict=True)]
-                            yield batch(lang, phrases, (h[first] & np.uint64(mask)).astype(np.int64), n)
+                            filled[full] = np.minimum(filled[full] + np.minimum(n, support), support)
+                        if m == 1:
+                            n = np.bincount(ids[fresh:], minlength=len(known.words))
+                            n[: len(total)] += total
+                            states[lang][1] = total = n
+                        else:
+                            new = at + m - 1 >= fresh
+                            at, h = at[new], h[new]
+                            if len(at):
+                                first, n = _grouped(ids, at, m, len(known.words))
+                                words, rows = known.words, [ids[at[first] + k].tolist() for k in range(m)]
+                                yield counted(lang, [b" ".join([words[i] for i in row]) for row in zip(*rows, strict=True)], (h[first] & np.uint64(mask)).astype(np.int64), n)
                         before = ids[-m:]
-                    if m == 1 and total:
-                        yield batch(lang, [b""], [-1], [total])
-        used = np.flatnonzero(filled)
-        for k in range(0, len(used), 200_000):
-            part = used[k : k + 200_000]
-            yield batch(None, None, part, filled[part].astype(np.int64))
+        if m == 1:
+            yield from words_of(states)
+        for at in range(0, len(filled), size):
+            cells = np.flatnonzero(filled[at : at + size])
+            if len(cells):
+                n = filled[at : at + size][cells].astype("<u4" if support >= 128 else np.uint8)
+                columns = [pa.nulls(1, pa.string()), pa.nulls(1, pa.string()), pa.array([at // size], pa.int64()), pa.nulls(1, pa.int64()), pa.array([cells.astype("<u2").tobytes()]), pa.array([n.tobytes()])]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return run
 
 
+def _full(rows: DataFrame, support: int, buckets: int) -> np.ndarray:
+    """A bitmap of the buckets that the rows of ranges fill: each task adds up whole ranges, and sends a bit for each bucket."""
+    import pyarrow as pa
+
+    size = min(RANGE, buckets)
+
+    def run(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, cells, n in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                own = sums.setdefault(part, np.zeros(size, dtype=np.uint16 if support < 128 else np.uint32))
+                at = np.frombuffer(cells, dtype="<u2")
+                own[at] = np.minimum(own[at] + np.frombuffer(n, dtype="<u4" if support >= 128 else np.uint8), support)
+        yield pa.RecordBatch.from_pydict({"part": pa.array(list(sums), pa.int64()), "bits": pa.array([np.packbits(v >= support, bitorder="little").tobytes() for v in sums.values()], pa.binary())})
+
+    found = np.zeros(buckets // 8, dtype=np.uint8)
+    ranges = rows.where(F.col("phrase").isNull()).select(F.col("bucket").alias("part"), "cells", "counts").repartition("part")
+    for r in ranges.mapInArrow(run, "part long, bits binary").toLocalIterator():
+        found[r.part * (size // 8) : (r.part + 1) * (size // 8)] = np.frombuffer(r.bits, dtype=np.uint8)
+    return found
+
+
 def _bitmap(rows: DataFrame, buckets: int) -> np.ndarray:
     """The column bucket of `rows` as a bitmap; what comes to the driver is at most the bitmap."""
     own = F.col("bucket") + 1  # such positions start at 1
@@ -189,13 +236,15 @@ def frequent(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, bu
     for m in range(1, longest + 1):
         if m > 1:
             shared = spark.sparkContext.broadcast(Bits(dict(bits), full))
-        counted = rows.mapInArrow(_pass(m, support, longest, buckets, shared, block), ROWS).groupBy("lang", "phrase", "bucket").agg(F.sum("n").alias("n"))
+        made = stored(rows.mapInArrow(_pass(m, support, longest, buckets, shared, block), ROWS), "phrases-pass")
+        counted = made.where(F.col("phrase").isNotNull()).groupBy("lang", "phrase", "bucket").agg(F.sum("n").alias("n"))
         counted = stored(counted.where((F.col("n") >= support) | (F.col("phrase") == "")), f"phrases-{m}")
         if m == 1:
             found.append(counted.where(F.col("phrase") == ""))
         found.append(counted.where(F.col("phrase") != ""))
         if m < longest:
-            bits[m], full = _bitmap(found[-1], buckets), _bitmap(counted.where(F.col("phrase").isNull()), buckets)
+            bits[m], full = _bitmap(found[-1], buckets), _full(made, support, buckets)
+        discard(made)
         if shared is not None:
             shared.unpersist()
     return found
