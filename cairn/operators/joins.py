@@ -67,16 +67,6 @@ def models(points: DataFrame, key: str, dim: int, least_variance: float = 0.19)
     return points.groupBy(F.col(key).alias("centre")).agg(mean, spread)
 
 
-def within_limits(neighbours: DataFrame, params: DataFrame, limits: dict[str, float]) -> DataFrame:
-    """Neighbour pairs (i, j) whose parameters (id, ...) differ by at most the given limits."""
-    a = params.select(F.col("id").alias("i"), *[F.col(c).alias(f"a_{c}") for c in limits])
-    b = params.select(F.col("id").alias("j"), *[F.col(c).alias(f"b_{c}") for c in limits])
-    joined = neighbours.join(a, "i").join(b, "j")
-    for c, r in limits.items():
-        joined = joined.where(F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) <= r)
-    return joined.select(*neighbours.columns)
-
-
 def first_match(gated: DataFrame, rows: DataFrame, key: str, id_col: str) -> DataFrame:
     """For each key of `gated` the least id of `rows` with that key."""
     return gated.select(key).distinct().join(rows.groupBy(key).agg(F.min(id_col).alias(id_col)), key)

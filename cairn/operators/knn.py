@@ -1,28 +1,24 @@
-"""Exact nearest neighbours by blocks, and with cells and the triangle inequality.
+"""Exact nearest neighbours of any distance by blocks.
 
 Points (id, vec) are packed into blocks, one row each. Every query block meets every base block through an equi-join on
 block numbers; each meeting is one matrix product and keeps k candidates for each query, and a second step keeps the k
 best of them. So nothing is broadcast or collected, and a task holds two blocks at a time.
 
-`knn_pruned` gives the same result with fewer meetings: points are held by the cell of their nearest seed, in blocks of
-like distance to it, and a cell, or a block of it, is skipped where the triangle inequality rules out a better neighbour.
+`metric.py` gives the same result with fewer meetings where a distance keeps the triangle inequality.
 """
 
 from __future__ import annotations
 
-import math
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.operators.order import places
-from cairn.session import cut_lineage
 
 BLOCK_ROWS = 4096
-CELL_BLOCK_ROWS = 1024
-MOST_CELLS = 1000
+#: Distances that keep the triangle inequality.
+TRIANGLE = {"angular", "euclidean", "manhattan"}
 NEIGHBOUR = "i long, j long, dist double"
 
 
@@ -53,9 +49,10 @@ def manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 MATRIX_METRICS = {"manhattan": manhattan}
 
 
-def register_metric(name: str, between) -> None:
-    """Makes `between(a, b)` a distance of knn, nearest and nearest_centre; knn_pruned needs it to keep the triangle inequality."""
+def register_metric(name: str, between, triangle: bool = False) -> None:
+    """Makes `between(a, b)` a distance of knn, nearest and nearest_centre; `triangle` says that it keeps the triangle inequality."""
     MATRIX_METRICS[name] = between
+    (TRIANGLE.add if triangle else TRIANGLE.discard)(name)
 
 
 def _blocks(points: DataFrame, label: str, rows: int) -> DataFrame:
@@ -102,57 +99,16 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, metric: str = "angular"
 
 
 def knn(points: DataFrame, k: int, metric: str = "angular", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """nearest() of a set to itself; every point is its own first neighbour."""
-    return nearest(points, points, k, metric, block_rows)
-
+    """nearest() of a set to itself; every point is its own first neighbour.
 
-def knn_pruned(points: DataFrame, k: int, cells: int | None = None, metric: str = "angular", seed: int = 1, block_rows: int = CELL_BLOCK_ROWS) -> DataFrame:
-    """knn() by cells around `cells` seed points: cells and blocks that the triangle inequality excludes are not read.
-
-    Without `cells` their number grows with the root of the number of points, up to MOST_CELLS. A cell of any size is
-    held in blocks of `block_rows` points by distance to its seed. A query's bound is its k-th distance in its own block.
+    More points than one block holds are searched in blocks of a metric space, if the distance is known to keep the
+    triangle inequality; the result is the same.
     """
-    metric = resolved(metric)
-    cells = cells or min(MOST_CELLS, max(8, math.isqrt(points.count()) // 4))
-    seeds = points.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(cells).collect()  # `cells` rows
-    centres = np.nan_to_num(np.array([s["vec"] for s in seeds], dtype=np.float64), nan=0.0)
+    if metric in TRIANGLE and points.limit(block_rows + 1).count() > block_rows:
+        from cairn.operators.metric import nearest_in_metric
 
-    def deal(frames):
-        for frame in frames:
-            if len(frame):
-                d = distances(np.nan_to_num(np.stack(frame["vec"].to_numpy()).astype(float), nan=0.0), centres, metric)
-                cell = d.argmin(1)
-                yield frame.assign(cell=cell.astype("int32"), to_centre=d[np.arange(len(d)), cell])
-
-    dealt = places(points.select("id", "vec").mapInPandas(deal, "id long, vec array<double>, cell int, to_centre double"), ["cell"], ["to_centre", "id"])
-    blocks = dealt.groupBy("cell", F.floor(F.col("place") / block_rows).alias("block"))
-    held = cut_lineage(blocks.agg(F.collect_list(F.struct("id", "vec")).alias("b"), F.min("to_centre").alias("from"), F.max("to_centre").alias("up_to")))
-    radii = {r["cell"]: r["radius"] for r in held.groupBy("cell").agg(F.max("up_to").alias("radius")).collect()}  # `cells` rows
-
-    def ask(frames):
-        """For each block and each cell that may hold neighbours of its points: those points, and the distances to the seed that matter."""
-        for frame in frames:
-            for rows in frame["b"]:
-                i, a = _matrix(rows)
-                d = np.sort(distances(a, a, metric), axis=1)
-                far = (d[:, k - 1] if len(i) >= k else np.full(len(i), np.inf)) + 1e-7
-                to_centres = distances(a, centres, metric)
-                for cell, radius in radii.items():
-                    to = to_centres[:, cell]
-                    near = np.flatnonzero(to - radius <= far)
-                    if len(near):
-                        low, high = float((to - far)[near].min()), float((to + far)[near].max())
-                        yield pd.DataFrame({"cell": np.int32(cell), "low": low, "high": high, "q": [[{"id": int(i[n]), "vec": a[n]} for n in near]]})
-
-    asked = held.select("b").mapInPandas(ask, "cell int, low double, high double, q array<struct<id: long, vec: array<double>>>")
-    pairs = asked.join(held, "cell").where("up_to >= low AND from <= high").select("q", "b")
-
-    def search(frames):
-        for frame in frames:
-            for left, right in zip(frame["q"], frame["b"], strict=True):
-                yield best(*_matrix(left), *_matrix(right), k, metric)
-
-    return k_best(pairs.mapInPandas(search, NEIGHBOUR), k)
+        return nearest_in_metric(points, k, metric, block_rows=min(block_rows, 1024))
+    return nearest(points, points, k, metric, block_rows)
 
 
 def k_best(found: DataFrame, k: int) -> DataFrame:
@@ -177,8 +133,15 @@ def diagonal_gaussian_densities(points: DataFrame, spread: list[float]) -> DataF
     return kernel_sums(scaled, "gaussian", 1.0).select("id", (F.col("density") * constant).alias("density"))
 
 
-def kernel_sums(points: DataFrame, kernel: str, param: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(id, density): over all points the sum of exp(-d^2 / (2 param^2)) ("gaussian") or exp(param * cosine) ("vmf"), by blocks."""
+def kernel_sums(points: DataFrame, kernel: str, param: float, block_rows: int = BLOCK_ROWS, tolerance: float = 1e-12) -> DataFrame:
+    """(id, density): over all points the sum of exp(-d^2 / (2 param^2)) ("gaussian") or exp(param * cosine) ("vmf"), by blocks.
+
+    More points than one block holds are summed in blocks of a metric space; for n points such a sum is n * tolerance off at most.
+    """
+    if points.limit(block_rows + 1).count() > block_rows:
+        from cairn.operators.metric import kernel_sums_in_metric
+
+        return kernel_sums_in_metric(points, kernel, param, tolerance, min(block_rows, 1024))
     q, _ = _blocks(points, "q", block_rows)
     b, count = _blocks(points, "b", block_rows)
     pairs = q.withColumn("b_block", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).join(b, "b_block").select("q", "b")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairn.functions import vectors as V
-from cairn.operators import aggregates, density, graphs, hierarchy, joins, knn, statistics
+from cairn.operators import aggregates, density, graphs, hierarchy, joins, knn, metric, statistics
 from cairn.plans.base import DIM, C, P, angle, centroids, points, query, r6
 from cairn.session import cut_lineage
 
@@ -53,13 +53,16 @@ def knn_euclidean(spark, d):
 
 @query("knn_pruned", f"WITH {EUCLID} SELECT i, j, rank, round(dist, 6) AS dist FROM k WHERE rank <= 6")
 def knn_pruned(spark, d):
-    return knn.knn_pruned(points(spark, d), 6, metric="euclidean").select("i", "j", F.col("rank").cast("long").alias("rank"), r6("dist").alias("dist"))
+    return metric.nearest_in_metric(points(spark, d), 6, "euclidean").select("i", "j", F.col("rank").cast("long").alias("rank"), r6("dist").alias("dist"))
 
 
-@query("knn_range_limited", f"WITH {KNN} SELECT k.i, k.j, k.rank FROM k JOIN p a ON a.id = k.i JOIN p b ON b.id = k.j WHERE rank <= 11 AND abs(a.label - b.label) <= 1")
+@query(
+    "knn_range_limited",
+    f"""WITH {P}, d AS (SELECT a.id AS i, b.id AS j, CASE WHEN a.id = b.id THEN 0.0 ELSE {angle('a.v', 'b.v')} END AS dist FROM p a JOIN p b ON abs(a.label - b.label) <= 1)
+SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY dist, j) AS rank, round(dist, 6) AS dist FROM d QUALIFY rank <= 11""",
+)
 def knn_range_limited(spark, d):
-    near = table_of(spark, d, 11).select("i", "j", F.col("rank").cast("long").alias("rank"))
-    return joins.within_limits(near, points(spark, d).select("id", "label"), {"label": 1})
+    return metric.nearest_in_metric(points(spark, d), 11, limits={"label": 1}).select("i", "j", F.col("rank").cast("long").alias("rank"), r6("dist").alias("dist"))
 
 
 @query("knn_density", f"WITH {DENS} SELECT id, density FROM dens")

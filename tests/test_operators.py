@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from cairn.functions import special
 from cairn.functions import vectors as V
 from cairn.operators import density, graphs, hierarchy, joins, knn, statistics, synthetic
+from cairn.operators import metric as metric_search
 from cairn.operators import transforms as T
+from cairn.operators import metric as metric_search
 from cairn.sources import delimited, fcs
 from cairn.sources.catalog import Catalog
 from cairn.streaming.classify import classified
@@ -41,8 +43,8 @@ def test_knn_blocks_and_cells_equal_brute_force(spark, metric):
     np.fill_diagonal(d, 0)
     want = {(i, r + 1): j for i in range(len(rows)) for r, j in enumerate(sorted(range(len(rows)), key=lambda j: (i != j, d[i, j], j))[:7])}
     assert {(r.i, r.rank): r.j for r in knn.knn(pts, 7, metric, block_rows=10).collect()} == want
-    for cells, block_rows in ((6, 1000), (6, 9), (None, 3), (1, 20)):
-        assert {(r.i, r.rank): r.j for r in knn.knn_pruned(pts, 7, cells, metric, block_rows=block_rows).collect()} == want
+    for pivots, block_rows in ((6, 1000), (6, 9), (1, 20)):
+        assert {(r.i, r.rank): r.j for r in metric_search.nearest_in_metric(pts, 7, metric, block_rows=block_rows, pivots=pivots).collect()} == want
     assert knn.knn(points_of(spark, rows[:3]), 7, metric).count() == 9
 
 
