@@ -4,8 +4,9 @@ A turn is a plain message unless its text is a JSON object of one of two shapes:
 {"content"?, "tool_calls": [{"id", "name", "arguments"}]} (arguments an object or its JSON text), or a tool's
 {"tool_call_id", "content"}. Calls and results are linked by a hash join on conversation and id. The links form a
 graph of two levels, call before result, so a topological order is: by the later of a result's own turn and its
-call's turn, then level, then own turn. Arguments are checked against the tool's JSON schema (type, required,
-properties, additionalProperties, enum, items, minimum, maximum). Messages are serialised as canonical JSON: sorted
+call's turn, then level, then own turn. Arguments are checked against the tool's JSON schema (type or a list of
+types, required, properties, additionalProperties, enum, items, minimum, maximum; true and false are schemas), which are
+looked through before the job: one that can't be judged is a ValueError. Messages are serialised as canonical JSON: sorted
 keys, no spaces, characters as they are (a lone surrogate, which no text can hold, as its \\u escape).
 
 The result has one row for each message, so a long conversation never meets in one task; `assemble` joins messages to
@@ -14,7 +15,8 @@ one text for each conversation where such a text is wanted.
 Defined cases: null text is empty content; a text that is not valid JSON of these shapes, or holds a number beyond a
 double (1e999) or NaN, is plain content; where an id
 is called twice the first call (turn, then place) is the one results link to; a result without a call is an orphan and
-keeps its place; a call without a result has linked false; repeated rows give repeated messages; other columns are
+keeps its place; a call without a result is not counted in n_linked; a null conv_id is no conversation and a call without
+a turn has no place, so neither links to anything; repeated rows give repeated messages; other columns are
 ignored; an empty table gives an empty result.
 """
 
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from cairn.llm.common import map_documents, narrow, read_table, stored, text_or_empty
 
 SURROGATE = re.compile("[\ud800-\udfff]")
-TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
+TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None), "number": float, "integer": int}
 
 
 def encodable(text: str) -> str:
@@ -42,27 +44,62 @@ def canonical(value) -> str:
     return encodable(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
 
 
-def violations(value, schema: dict, at: str = "$") -> list[str]:
-    """What in `value` breaks `schema`, each as place and reason."""
-    found = []
-    kind = schema.get("type")
-    if kind == "number" or kind == "integer":
-        if isinstance(value, bool) or not isinstance(value, (int, float)) or not math.isfinite(value) or kind == "integer" and value != int(value):
-            return [f"{at}: not {kind}"]
-        if "minimum" in schema and value < schema["minimum"] or "maximum" in schema and value > schema["maximum"]:
-            found.append(f"{at}: out of range")
-    elif kind is not None and not isinstance(value, TYPES[kind]):
-        return [f"{at}: not {kind}"]
-    if "enum" in schema and value not in schema["enum"]:
+def checked(schema, at: str = "$") -> None:
+    """Raises ValueError where `schema` says what `violations` can't judge; other keywords are ignored, as JSON schema wants."""
+    if isinstance(schema, bool):
+        return
+    if not isinstance(schema, dict):
+        raise ValueError(f"{at}: a schema is an object or a boolean")
+    kinds = schema.get("type", [])
+    for kind in kinds if isinstance(kinds, list) else [kinds]:
+        if kind not in TYPES:
+            raise ValueError(f"{at}: unknown type {kind!r}")
+    for key in ("minimum", "maximum"):
+        if key in schema and (isinstance(schema[key], bool) or not isinstance(schema[key], (int, float))):
+            raise ValueError(f"{at}: {key} is not a number")
+    if not isinstance(schema.get("enum", []), list) or not isinstance(schema.get("required", []), list) or not isinstance(schema.get("properties", {}), dict):
+        raise ValueError(f"{at}: enum and required are lists, properties an object")
+    for k, v in schema.get("properties", {}).items():
+        checked(v, f"{at}.{k}")
+    for key in ("items", "additionalProperties"):
+        if key in schema:
+            checked(schema[key], f"{at}.{key}")
+
+
+def _is(value, kind: str) -> bool:
+    if kind in ("number", "integer"):
+        return isinstance(value, (int, float)) and not isinstance(value, bool) and math.isfinite(value) and (kind == "number" or value == int(value))
+    return isinstance(value, TYPES[kind])
+
+
+def _same(a, b) -> bool:
+    """Equality of JSON values: true is not 1, 1.0 is 1."""
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(_same, a, b))
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(_same(a[k], b[k]) for k in a)
+    return a == b
+
+
+def violations(value, schema, at: str = "$") -> list[str]:
+    """What in `value` breaks `schema` (an object, or true or false for anything or nothing), each as place and reason."""
+    if isinstance(schema, bool):
+        return [] if schema else [f"{at}: not allowed"]
+    found, kinds = [], schema.get("type", [])
+    kinds = kinds if isinstance(kinds, list) else [kinds]
+    if kinds and not any(_is(value, kind) for kind in kinds):
+        return [f"{at}: not {' or '.join(kinds)}"]
+    if _is(value, "number") and ("minimum" in schema and value < schema["minimum"] or "maximum" in schema and value > schema["maximum"]):
+        found.append(f"{at}: out of range")
+    if "enum" in schema and not any(_same(value, x) for x in schema["enum"]):
         found.append(f"{at}: not in enum")
     if isinstance(value, dict):
-        known = schema.get("properties", {})
+        known, others = schema.get("properties", {}), schema.get("additionalProperties", True)
         found += [f"{at}.{k}: missing" for k in schema.get("required", []) if k not in value]
         for k, v in sorted(value.items()):
-            if k in known:
-                found += violations(v, known[k], f"{at}.{k}")
-            elif schema.get("additionalProperties") is False:
-                found.append(f"{at}.{k}: not allowed")
+            found += violations(v, known.get(k, others), f"{at}.{k}")
     if isinstance(value, list) and "items" in schema:
         for i, v in enumerate(value):
             found += violations(v, schema["items"], f"{at}[{i}]")
@@ -109,6 +146,8 @@ MESSAGE = "conv_id long, turn long, role string, message string, calls array<str
 def messages(turns: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:
     """Each turn parsed: conv_id, turn, role, message (canonical JSON), calls, answers."""
     known = dict(schemas or {})
+    for name, schema in known.items():
+        checked(schema, name)
 
     def run(columns):
         done = [parsed(r, t, known) for r, t in zip(columns["role"], columns["text"], strict=True)]

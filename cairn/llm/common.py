@@ -69,15 +69,21 @@ def in_written_order(df: DataFrame, name: str) -> DataFrame:
     """`df`, read from Parquet files that Spark wrote, with `name`: each row's place (0, 1, ...) in the order of writing.
 
     Reading keeps no order (files are packed by size), so places are counted from the numbers in the files' names and
-    the rows' places in their files. Only counts, a row for each file, meet in one task.
+    the rows' places in their files. Only counts, a row for each file, meet in one task. The new column comes first, so
+    it is the one that `narrow` finds where `df` has such a column already. Files that are not named as Spark's own
+    writer names them are an error, for their order is unknown.
     """
-    file, row = f"{name}_file", f"{name}_row"
-    rows = df.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
-    counts = df.groupBy(F.col("_metadata.file_path").alias(file)).agg(F.count("*").alias("n"))
-    part, piece = (F.regexp_extract(file, rf"{before}(\d+)[^/]*$", 1).try_cast("long") for before in ("/part-", r"/part-[^/]*-c"))
-    earlier = Window.orderBy(part, piece, file).rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
-    starts = counts.select(file, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(name))
-    return rows.join(F.broadcast(starts), file).withColumn(name, F.col(name) + F.col(row)).select(*df.columns, name)
+    hidden = "_metadata"
+    while hidden in {c.lower() for c in df.columns}:  # Spark, too, makes way for a column of that name
+        hidden = f"_{hidden}"
+    places = [f"c{i}" for i in range(len(df.columns))]
+    rows = df.select("*", F.col(f"{hidden}.file_path"), F.col(f"{hidden}.row_index")).toDF(*places, "file", "row")
+    counts = rows.groupBy("file").agg(F.count("*").alias("n"))
+    part, piece = (F.regexp_extract("file", rf"{before}(\d+)[^/]*$", 1).try_cast("long") for before in ("/part-", r"/part-[^/]*-c"))
+    known = F.when(part.isNotNull() & piece.isNotNull(), F.col("n")).otherwise(F.raise_error(F.concat(F.lit("no place in the order of writing: "), "file")))
+    earlier = Window.orderBy(part, piece, "file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    starts = counts.withColumn("n", known).select("file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    return rows.join(F.broadcast(starts), "file").select(F.col("start") + F.col("row"), *places).toDF(name, *df.columns)
 
 
 def joined_spread(rows: DataFrame, side: DataFrame, key: str, size: str, over: int = 1000, salts: int = 32) -> DataFrame:

@@ -13,6 +13,7 @@ import numpy as np
 import pytest
 
 from cairn.llm import bpe, chat, fingerprint, mixing, near, pii, quality, repeats, tokencount, tokenfile
+from cairn.llm.common import in_written_order
 from cairn.llm.suffixes import neighbour_prefixes, previous_factors, suffix_order
 
 EMPTY = "doc_id long, text string, lang string, source string, n_chars long"
@@ -590,6 +591,28 @@ def test_schema_violations():
     assert chat.violations({"a": 1, "b": ["x"]}, schema) == []
     assert chat.violations({"a": True, "b": ["y"], "c": 1}, schema) == ["$.a: not integer", "$.b[0]: not in enum", "$.c: not allowed"]
     assert chat.violations({}, schema) == ["$.a: missing"] and chat.violations([], schema) == ["$: not object"]
+    either = {"type": ["string", "null"]}
+    assert chat.violations(None, either) == chat.violations("x", either) == [] and chat.violations(1, either) == ["$: not string or null"]
+    assert chat.violations(1, True) == [] and chat.violations(1, False) == ["$: not allowed"]
+    assert chat.violations({"a": 1, "b": 2}, {"properties": {"a": False}, "additionalProperties": {"type": "string"}}) == ["$.a: not allowed", "$.b: not string"]
+    assert chat.violations(True, {"enum": [1]}) == ["$: not in enum"] and chat.violations(1.0, {"enum": [True, 1]}) == [] and chat.violations([{"x": 0}], {"enum": [[{"x": False}]]}) == ["$: not in enum"]
+    assert chat.violations(5, {"minimum": 2, "maximum": 4}) == ["$: out of range"]
+
+
+@pytest.mark.parametrize("schema", [{"type": "text"}, {"type": ["string", 3]}, {"minimum": "1"}, {"maximum": True}, {"enum": "abc"}, {"required": "a"}, {"properties": []}, {"properties": {"a": {"type": "x"}}}, {"items": [1]}, 7, None])
+def test_schemas_that_cannot_be_judged_are_an_error_before_the_job(spark, schema):
+    with pytest.raises(ValueError):
+        chat.formatted(spark.createDataFrame([], "conv_id long, turn long, role string, text string"), {"f": schema})
+
+
+def test_tool_calls_with_any_schema_and_without_a_conversation(spark):
+    call = lambda **a: json.dumps({"tool_calls": [{"id": "1", "name": "f", "arguments": a}]})
+    answer = json.dumps({"tool_call_id": "1", "content": "ok"})
+    rows = [(1, 1, "assistant", call(q=None)), (1, 2, "tool", answer), (None, 1, "assistant", call(q="x")), (None, 2, "tool", answer), (2, None, "assistant", call(q=3)), (2, 1, "tool", answer)]
+    got = chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), {"f": {"properties": {"q": {"type": ["string", "null"]}}}}).collect()
+    assert {(r.conv_id, r.turn): (r.n_calls, r.n_linked, r.n_invalid, r.orphan) for r in got} == {
+        (1, 1): (1, 1, 0, False), (1, 2): (0, 0, 0, False), (None, 1): (1, 0, 0, False), (None, 2): (0, 0, 0, True), (2, None): (1, 0, 1, False), (2, 1): (0, 0, 0, True),
+    }
 
 
 # near duplicates -----------------------------------------------------------------------------------------------------
@@ -731,6 +754,32 @@ def test_pipeline_positions_are_those_of_the_mix(spark, sf, monkeypatch, most):
     assert got == want and sorted(got.values()) == list(range(len(want)))
 
 
+CLASHES = ["position", "position_file", "position_row", "_metadata", "__metadata", "a.b", "file", "row", "c0", "n", "start", "ids", "__key", "__hash", "__text", "slot", "label", "block", "key"]
+
+
+def test_stages_take_any_further_columns(spark, sf, tmp_path):
+    """Each stage, and then the last, on files whose columns have awkward names and whose rows are hard."""
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(*r, *("x" for _ in CLASHES)) for r in hard_rows()], f"{EMPTY}, " + ", ".join(f"`{c}` string" for c in CLASHES))
+    for name, stage in corpus_pipeline.STAGES:
+        docs.write.parquet(f"{tmp_path}/{name}")
+        docs = stage(spark, spark.read.parquet(f"{tmp_path}/{name}"), sf)
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert docs.columns == [*EMPTY.replace(",", "").split()[::2], *CLASHES]
+    got = docs.collect()
+    assert {r.doc_id for r in got} == {1, 3} or {r.doc_id for r in got} == {1}
+    assert sorted(r.position for r in got) == list(range(len(got)))
+
+
+def test_files_of_other_writers_have_no_order(spark, tmp_path):
+    import pandas as pd
+
+    pd.DataFrame({"doc_id": [1], "text": ["x"]}).to_parquet(tmp_path / "mine.parquet")
+    with pytest.raises(Exception, match="order of writing"):
+        in_written_order(spark.read.parquet(str(tmp_path)), "position").collect()
+
+
 def test_pii_long_secrets_and_ibans_before_capitals():
     def found(text):
         return [(k, text[a:b]) for k, a, b, _ in pii.spans(text) if k in ("iban", "secret")]
