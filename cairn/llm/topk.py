@@ -28,7 +28,7 @@ K, EVERY, SCALE = 20, 20, 64
 PIVOTS, SAMPLE = 16, 256
 BLOCK_ROWS, PACK_ROWS, SUPER_ROWS, CELLS = 2048, 1024, 1024, 1 << 19
 PAIRS = 1 << 21
-BLOCK = "block long, dim int, kind string, vecs binary, ids binary, sizes binary, far binary, asks binary, low array<float>, high array<float>, norm double"
+BLOCK = "block long, dim int, kind string, vecs binary, ids binary, sizes binary, far binary, asks binary, lengths binary, low array<float>, high array<float>, norm double"
 HOME = "key long, vec array<long>, far binary, score long, id long, top array<struct<score: long, id: long, own: boolean>>"
 PACK = "pack long, dim int, kind string, vecs binary, keys binary, far binary, reach binary"
 
@@ -225,7 +225,7 @@ def blocks(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
             far, (kind, vecs) = to_pivots(m, pivots).astype("<f4"), packed(m)
             flat = np.array([i for own in ids for i in own], dtype="<i8").tobytes()
             sizes, asks = np.array([len(own) for own in ids], dtype="<i4").tobytes(), np.array(part["asks"].to_pylist(), dtype=np.uint8).tobytes()
-            row = {"block": [number], "dim": pa.array([m.shape[1]], pa.int32()), "kind": [kind], "vecs": [vecs], "ids": [flat], "sizes": [sizes], "far": [far.tobytes()], "asks": [asks]}
+            row = {"block": [number], "dim": pa.array([m.shape[1]], pa.int32()), "kind": [kind], "vecs": [vecs], "ids": [flat], "sizes": [sizes], "far": [far.tobytes()], "asks": [asks], "lengths": [np.array(_sizes("vec")(part), dtype="<i4").tobytes()]}
             yield pa.RecordBatch.from_pydict(row | {"low": pa.array([far.min(0)], pa.list_(pa.float32())), "high": pa.array([far.max(0)], pa.list_(pa.float32())), "norm": [float(squares(m).max())]})
             number += 1
 
@@ -243,11 +243,12 @@ def at_home(held: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 b, who = Block(*(row[c] for c in ("dim", "kind", "vecs", "ids", "sizes", "far"))), np.flatnonzero(np.frombuffer(row["asks"], dtype=np.uint8))
+                lengths = np.frombuffer(row["lengths"], dtype="<i4")
                 out = {c: [] for c in ("key", "vec", "far", "score", "id", "top")}
                 for i, places, scores in best_in_bound_order(b.vecs[who], b.far[who], np.full(len(who), -np.inf), b.vecs, b.far, b.first, k + 1):
                     top = _entries(places, scores, b.ids, b.bounds, k, who[i])
                     last = top[k] if len(top) > k else (None, None)
-                    for c, v in zip(out, ((row["block"] << 12) + int(who[i]), b.vecs[who[i]], b.far[who[i]].tobytes(), last[0], last[1], [dict(zip(("score", "id", "own"), e, strict=True)) for e in top]), strict=True):
+                    for c, v in zip(out, ((row["block"] << 12) + int(who[i]), b.vecs[who[i], : lengths[who[i]]], b.far[who[i]].tobytes(), last[0], last[1], [dict(zip(("score", "id", "own"), e, strict=True)) for e in top]), strict=True):
                         out[c].append(v)
                 yield pa.RecordBatch.from_pydict(out, schema=schema)
 
