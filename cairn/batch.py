@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sys
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.operators import density
@@ -12,7 +12,7 @@ from cairn.operators import transforms as T
 from cairn.operators.aggregates import mean_profile
 from cairn.session import cut_lineage
 from cairn.sources.delimited import batch_config
-from cairn.sources.fcs import read_fcs
+from cairn.sources.fcs import read_fcs, write_with_clusters
 from cairn.sources.sinks import reassigned
 
 FILE_BITS = 33
@@ -23,7 +23,8 @@ def run_batch(spark: SparkSession, settings: dict, files: str, out: str) -> Data
 
     Settings: features (1-based channel numbers), k (a number, or "auto" for the elbow of a sweep), and as options
     limit (events of each file that are clustered; the others go to the nearest cluster profile), threshold (1.0),
-    factor (5.0) and metric (angular). An event's id is its file's number in order of name, and its place in the file.
+    factor (5.0), metric (angular) and fcs (a folder for FCS files that have the clusters, numbered from 1 by falling size,
+    as a channel). An event's id is its file's number in order of name, and its place in the file.
     """
     events = read_fcs(spark, files)
     channels = [c for c in events.columns if c not in ("file", "idx")]
@@ -46,7 +47,13 @@ def run_batch(spark: SparkSession, settings: dict, files: str, out: str) -> Data
         profiles = mean_profile(points.join(members, "id"), ["cluster"], len(features))
         members = reassigned(T.as_points(ready, "id", features).select("id", "vec"), profiles, metric).select("id", F.col("centre").alias("cluster"))
     ready.select("id", "file", "idx").join(members, "id").select("file", "idx", "cluster").write.mode("overwrite").parquet(out)
-    return spark.read.parquet(out)
+    found = spark.read.parquet(out)
+    if settings.get("fcs"):
+        order = Window.orderBy(F.desc("size"), "cluster")  # a row for each cluster
+        ordinals = found.groupBy("cluster").agg(F.count("*").alias("size")).select("cluster", F.row_number().over(order).alias("ordinal"))
+        numbered = found.join(ordinals, "cluster").select("file", "idx", F.col("ordinal").alias("cluster"))
+        write_with_clusters(numbered, settings["fcs"]).collect()  # a row for each file
+    return found
 
 
 def main(arguments: list[str]) -> None:

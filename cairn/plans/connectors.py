@@ -63,7 +63,21 @@ def fcs_events(spark, d):
     rows = points(spark, d).select("label", "id", *[F.col("vec")[i].alias(f) for i, f in enumerate(FEATURES)])
     fcs.write_fcs(rows, folder, ["id", *FEATURES], "label", rows_per_file=1000).collect()  # a row for each file
     part = F.regexp_extract("file", "([0-9]+)(_[0-9]+)?[.]fcs$", 1).alias("part")
-    return fcs.read_fcs(spark, f"{folder}/*.fcs").select(part, "id", *FEATURES)
+    fcs.register(spark)
+    return spark.read.format("fcs").option("bytesPerPartition", 4096).load(f"{folder}/*.fcs").select(part, "id", *FEATURES)
+
+
+@query("fcs_with_clusters", f"WITH {P} SELECT label::VARCHAR AS part, id::DOUBLE AS id, (id % 7)::DOUBLE AS cluster, {VALUES} FROM p")
+def fcs_with_clusters(spark, d):
+    """Files of each label, with a cluster of every event as a further channel, in parts of 40 events."""
+    folder, out = shared_folder(spark, "fcs"), shared_folder(spark, "fcs")
+    rows = points(spark, d).select("label", "id", *[F.col("vec")[i].alias(c) for i, c in enumerate(FEATURES)])
+    fcs.write_fcs(rows, folder, ["id", *FEATURES], "label").collect()  # a row for each file
+    fcs.register(spark)
+    events = spark.read.format("fcs").schema("file string, idx long, id double").load(f"{folder}/*.fcs")
+    fcs.write_with_clusters(events.select("file", "idx", (F.col("id") % 7).alias("cluster")), out, rows_per_file=40).collect()  # a row for each file
+    part = F.regexp_extract("file", "([0-9]+)(_[0-9]+)?[.]fcs$", 1).alias("part")
+    return spark.read.format("fcs").load(out).select(part, "id", "cluster", *FEATURES)
 
 
 @query("fcs_back_transforms", "SELECT p_size::VARCHAR AS part, count(*) AS n, round(sum(round(p_retailprice, 2)), 2) AS price, round(sum(p_partkey), 0) AS key FROM part GROUP BY 1")

@@ -1,6 +1,7 @@
 """Operators against plain Python and by their properties."""
 
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -328,7 +329,10 @@ def test_batch(spark, tmp_path):
         rows = np.concatenate([rng.normal([200, 5, 5], 4, (40, 3)), rng.normal([5, 5, 200], 4, (40, 3))])
         (tmp_path / f"{name}.fcs").write_bytes(fcs.encode(["A", "B", "C"], ["A", "B", "C"], rows))
     for extra in ("", "limit=60\n"):
-        settings = batch_config(f"features=1,3\nk=10\n{extra}")
+        settings = batch_config(f"features=1,3\nk=10\n{extra}fcs=file://{tmp_path}/fcs{len(extra)}")
         done = run_batch(spark, settings, f"{tmp_path}/*.fcs", f"{tmp_path}/out{len(extra)}").collect()
+        channel = {(name, i): c for name in "ab" for i, c in enumerate(fcs.decode((tmp_path / f"fcs{len(extra)}" / f"{name}.fcs").read_bytes())[2][:, 3])}
+        ordinal = {c: n for n, (_, c) in enumerate(sorted((-k, c) for c, k in Counter(r.cluster for r in done).items()), start=1)}
+        assert channel == {(r.file[-5], r.idx): ordinal[r.cluster] for r in done}
         sides = [{r.cluster for r in done if (r.idx < 40) == low} for low in (True, False)]
         assert len({(r.file, r.idx) for r in done}) == len(done) == 160 and sides[0] and sides[1] and not sides[0] & sides[1]
