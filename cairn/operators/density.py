@@ -21,7 +21,7 @@ from cairn.session import cut_lineage
 #: Shares of the first root at which the path between two roots is probed.
 PROBES = tuple(round(0.05 * i, 2) for i in range(1, 19))
 DIGITS = 9
-MOST_ROOTS = 5_000
+MOST_ROOTS, MOST_SETS = 5_000, 100
 
 
 def default_range(dim: int, n: int) -> dict[str, int]:
@@ -69,13 +69,29 @@ def parents(neighbours: DataFrame, density: DataFrame, reach: int) -> DataFrame:
     return density.join(linked, "id", "left")
 
 
-def roots_of(links: DataFrame) -> DataFrame:
-    """(id, root) by pointer doubling over (id, parent): each round halves every path, so rounds grow with the logarithm of the depth."""
-    now = cut_lineage(links.select("id", F.coalesce("parent", "id").alias("root")))
+def sweep_links(neighbours: DataFrame, ks: list[int], reach: int, digits: int = DIGITS) -> DataFrame:
+    """(k, id, density, parent) for every K at once, from one neighbour table.
+
+    One aggregate over the ranked distances gives a point's densities at all K as an array; neighbours are joined to
+    the arrays once, and only the parents are kept by K.
+    """
+    sums = [F.round(-F.sum(F.when(F.col("rank") <= k, F.col("dist"))), digits) for k in ks]
+    dens = cut_lineage(neighbours.where(F.col("rank") <= max(ks)).groupBy(F.col("i").alias("id")).agg(F.array(*sums).alias("dens")))
+    near = neighbours.where(F.col("rank").between(2, reach))
+    both = near.join(dens.select(F.col("id").alias("i"), F.col("dens").alias("di")), "i").join(dens.select(F.col("id").alias("j"), F.col("dens").alias("dj")), "j")
+    denser = F.expr(f"filter(sequence(0, {len(ks) - 1}), n -> dj[n] > di[n] OR (dj[n] = di[n] AND j < i))")
+    linked = both.select(F.col("i").alias("id"), "j", "dist", F.explode(denser).alias("n")).groupBy("id", "n").agg(F.min_by("j", F.struct("dist", "j")).alias("parent"))
+    every = dens.select("id", F.posexplode("dens").alias("n", "density")).join(linked, ["id", "n"], "left")
+    return every.select(F.array(*map(F.lit, ks))[F.col("n")].alias("k"), "id", "density", "parent")
+
+
+def roots_of(links: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, id, root) by pointer doubling over (keys, id, parent): each round halves every path, so rounds grow with the logarithm of the depth."""
+    now = cut_lineage(links.select(*keys, "id", F.coalesce("parent", "id").alias("root")))
     while True:
-        beyond = now.select(F.col("id").alias("root"), F.col("root").alias("next"))
-        step = cut_lineage(now.join(beyond, "root").select("id", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
-        now = step.select("id", "root")
+        beyond = now.select(*keys, F.col("id").alias("root"), F.col("root").alias("next"))
+        step = cut_lineage(now.join(beyond, [*keys, "root"]).select(*keys, "id", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
+        now = step.select(*keys, "id", "root")
         if step.where("moved").isEmpty():
             return now
 
@@ -87,31 +103,46 @@ def gabriel_edges(points: DataFrame, metric: str = "angular") -> DataFrame:
     border (within 1e-9) do not part a pair. The set's size is checked before it is sent to the tasks, each of which
     takes some of the first ends.
     """
-    rows = points.select("id", "vec").limit(MOST_ROOTS + 1).collect()
-    if len(rows) > MOST_ROOTS:
-        raise ValueError(f"more than {MOST_ROOTS} points to test for adjacency")
-    ids = np.array(sorted(r["id"] for r in rows), dtype=np.int64)
-    vectors = np.array([r["vec"] for r in sorted(rows, key=lambda r: r["id"])], dtype=np.float64).reshape(len(rows), -1)
+    return gabriel_edges_by(points.select(F.lit(0).alias("k"), "id", "vec"), metric).select("a", "b")
+
+
+def gabriel_edges_by(points: DataFrame, metric: str = "angular") -> DataFrame:
+    """(k, a, b): gabriel_edges of each of several cluster-level sets (k, id, vec), which may share points."""
+    sizes = points.groupBy("k").count().agg(F.max("count"), F.count("*")).first()
+    if (sizes[0] or 0) > MOST_ROOTS or (sizes[1] or 0) > MOST_SETS:
+        raise ValueError(f"more than {MOST_ROOTS} points to test for adjacency, or more than {MOST_SETS} sets of them")
+    rows = points.select("id", "vec").dropDuplicates(["id"]).limit(MOST_ROOTS * 4 + 1).collect()
+    if len(rows) > MOST_ROOTS * 4:
+        raise ValueError(f"more than {MOST_ROOTS * 4} points in all sets to test for adjacency")
+    rows.sort(key=lambda r: r["id"])
+    ids = np.array([r["id"] for r in rows], dtype=np.int64)
+    vectors = np.array([r["vec"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
     if metric == "angular":
         vectors = unit_rows(vectors)
-    between = resolved(metric)
+    between, sets = resolved(metric), {}
+    for r in points.select("k", "id").collect():  # MOST_ROOTS in each of MOST_SETS
+        sets.setdefault(r["k"], []).append(r["id"])
+    sets = {k: np.searchsorted(ids, np.unique(own)) for k, own in sets.items()}
 
     def run(frames):
         for frame in frames:
-            for i in frame["id"]:
-                ends, found = np.arange(i + 1, len(ids)), []
+            for k, n in zip(frame["k"], frame["n"], strict=True):
+                own = sets[k]
+                i, ends, found = own[n], own[n + 1 :], []
                 for low in range(0, len(ends), 256):
                     j = ends[low : low + 256]
                     middle = (vectors[i] + vectors[j]) / 2
-                    far = distances(middle, vectors, between)
-                    half = far[:, i].copy()
-                    far[:, i] = far[np.arange(len(j)), j] = np.inf
+                    far = distances(middle, vectors[own], between)
+                    half = far[:, n].copy()
+                    far[:, n] = far[np.arange(len(j)), np.searchsorted(own, j)] = np.inf
                     found.append(j[far.min(1) >= half - 1e-9])
                 right = np.concatenate(found) if found else ends
-                yield pd.DataFrame({"a": np.full(len(right), ids[i]), "b": ids[right]})
+                yield pd.DataFrame({"k": np.full(len(right), k, dtype=np.int32), "a": np.full(len(right), ids[i]), "b": ids[right]})
 
     spark = points.sparkSession
-    return spark.range(0, len(ids), 1, max(1, min(len(ids), spark.sparkContext.defaultParallelism))).mapInPandas(run, "a long, b long")
+    work = spark.createDataFrame([(int(k), len(own)) for k, own in sorted(sets.items())], "k int, size int").where("size > 0")
+    work = work.select("k", F.explode(F.expr("sequence(0, size - 1)")).alias("n")).repartition(spark.sparkContext.defaultParallelism)
+    return work.mapInPandas(run, "k int, a long, b long")
 
 
 def unit_rows(vectors: np.ndarray) -> np.ndarray:
@@ -125,20 +156,26 @@ def merged_roots(points: DataFrame, links: DataFrame, k: int, metric: str = "ang
 
     Under the angular metric adjacency, path and probes are those of the unit vectors.
     """
+    return merged_sweep(points, links.withColumn("k", F.lit(k)), k, metric, digits).select("id", "density", "parent")
+
+
+def merged_sweep(points: DataFrame, links: DataFrame, most: int, metric: str = "angular", digits: int = DIGITS) -> DataFrame:
+    """merged_roots() of the links (k, id, density, parent) of every K, the greatest of which is `most`, at once."""
     end = V.unit(F.col("vec")) if metric == "angular" else F.col("vec")
-    roots = cut_lineage(links.where("parent IS NULL").select("id", "density").join(points.select("id", end.alias("vec")), "id"))
-    edges = gabriel_edges(roots.select("id", "vec"), metric)
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = roots.select(F.col("id").alias("a"), F.col("density").alias("da"), F.col("vec").alias("va"))
-    high = roots.select(F.col("id").alias("b"), F.col("density").alias("db"), F.col("vec").alias("vb"))
-    pairs = both.join(low, "a").join(high, "b").where("db > da OR (db = da AND b < a)")
+    roots = cut_lineage(links.where("parent IS NULL").select("k", "id", "density").join(points.select("id", end.alias("vec")), "id"))
+    edges = gabriel_edges_by(roots.select("k", "id", "vec"), metric)
+    both = edges.unionByName(edges.select("k", F.col("b").alias("a"), F.col("a").alias("b")))
+    low = roots.select("k", F.col("id").alias("a"), F.col("density").alias("da"), F.col("vec").alias("va"))
+    high = roots.select("k", F.col("id").alias("b"), F.col("density").alias("db"), F.col("vec").alias("vb"))
+    pairs = both.join(low, ["k", "a"]).join(high, ["k", "b"]).where("db > da OR (db = da AND b < a)")
     probes = pairs.withColumn("share", F.explode(F.array(*[F.lit(p) for p in PROBES])))
     probes = probes.withColumn("vec", V.blend(F.col("va"), F.col("vb"), F.col("share")))
-    numbered = cut_lineage(probes.withColumn("id", F.row_number().over(Window.orderBy("a", "b", "share")) - 10**12))  # roots are cluster-level
-    thickness = densities(nearest(numbered.select("id", "vec"), points.select("id", "vec"), k, metric), k, digits)
-    open_paths = numbered.join(thickness, "id").groupBy("a", "b").agg(F.bool_and(F.col("density") >= F.col("da")).alias("open"), F.first(V.metric(metric)(F.col("va"), F.col("vb"))).alias("dist"))
-    tied = open_paths.where("open").groupBy(F.col("a").alias("id")).agg(F.min_by("b", F.struct("dist", "b")).alias("tied"))
-    return links.join(tied, "id", "left").select("id", "density", F.coalesce("parent", "tied").alias("parent"))
+    numbered = cut_lineage(probes.withColumn("id", -(10**12) - F.monotonically_increasing_id()))  # the checkpoint fixes the numbers
+    near = nearest(numbered.select("id", "vec"), points.select("id", "vec"), most, metric).join(numbered.select(F.col("id").alias("i"), "k"), "i")
+    thickness = near.where(F.col("rank") <= F.col("k")).groupBy(F.col("i").alias("id")).agg(F.round(-F.sum("dist"), digits).alias("thickness"))
+    open_paths = numbered.join(thickness, "id").groupBy("k", "a", "b").agg(F.bool_and(F.col("thickness") >= F.col("da")).alias("open"), F.first(V.metric(metric)(F.col("va"), F.col("vb"))).alias("dist"))
+    tied = open_paths.where("open").groupBy("k", F.col("a").alias("id")).agg(F.min_by("b", F.struct("dist", "b")).alias("tied"))
+    return links.join(tied, ["k", "id"], "left").select("k", "id", "density", F.coalesce("parent", "tied").alias("parent"))
 
 
 def clusters(points: DataFrame, k: int, reach: int, metric: str = "angular", merge: bool = True, neighbours: DataFrame | None = None, digits: int = DIGITS) -> DataFrame:
@@ -148,14 +185,22 @@ def clusters(points: DataFrame, k: int, reach: int, metric: str = "angular", mer
     return roots_of(merged_roots(points, links, k, metric, digits) if merge else links).withColumnRenamed("root", "cluster")
 
 
+def clusters_of_all(points: DataFrame, ks: list[int], reach: int, metric: str = "angular", merge: bool = False, digits: int = DIGITS, neighbours: DataFrame | None = None) -> DataFrame:
+    """(k, id, cluster) of every K by one chain of jobs: links, merging and pointer doubling go by (K, id)."""
+    table = cut_lineage(knn(points, max([*ks, reach]), metric)) if neighbours is None else neighbours
+    links = cut_lineage(sweep_links(table, ks, reach, digits))
+    if merge:
+        links = cut_lineage(merged_sweep(points, links, max(ks), metric, digits))
+    return roots_of(links, ("k",)).withColumnRenamed("root", "cluster")
+
+
 def k_sweep(points: DataFrame, ks: list[int], reach: int, metric: str = "angular", merge: bool = False, digits: int = DIGITS) -> DataFrame:
-    """(k, n_clusters) with one neighbour table for all k."""
+    """(k, n_clusters) of every K: the roots are the links' ends, so without assignment of the points."""
     table = cut_lineage(knn(points, max([*ks, reach]), metric))
-    out = None
-    for k in ks:
-        one = clusters(points, k, reach, metric, merge, table, digits).agg(F.countDistinct("cluster").alias("n_clusters")).select(F.lit(k).alias("k"), "n_clusters")
-        out = one if out is None else out.unionByName(one)
-    return out
+    links = sweep_links(table, ks, reach, digits)
+    if merge:
+        links = merged_sweep(points, cut_lineage(links), max(ks), metric, digits)
+    return links.where("parent IS NULL").groupBy("k").agg(F.count("*").alias("n_clusters"))
 
 
 def elbow(counts: dict[int, int]) -> int:
@@ -179,14 +224,15 @@ def elbow(counts: dict[int, int]) -> int:
     return best[1]
 
 
-def auto_clusters(points: DataFrame, dim: int, metric: str = "angular", steps: int = 12) -> tuple[int, DataFrame]:
-    """The K at the elbow of a sweep over the default range, and its clusters."""
+def auto_clusters(points: DataFrame, dim: int, metric: str = "angular", steps: int = 12, merge: bool = False) -> tuple[int, DataFrame]:
+    """The K at the elbow of a sweep over the default range, and its clusters (id, cluster), all from one neighbour table."""
     n = points.count()
     given = default_range(dim, n)
-    ks = [k for k in sweep(min(given["k_max"], n - 1), max(2, given["k_min"]), steps, quadratic=True)]
-    counts = {r["k"]: r["n_clusters"] for r in k_sweep(points, ks, given["reach"], metric).collect()}
+    ks = sweep(min(given["k_max"], n - 1), max(2, given["k_min"]), steps, quadratic=True)
+    every = cut_lineage(clusters_of_all(points, ks, given["reach"], metric, merge))
+    counts = {r["k"]: r["n"] for r in every.groupBy("k").agg(F.countDistinct("cluster").alias("n")).collect()}  # a row for each K
     k = elbow(counts)
-    return k, clusters(points, k, given["reach"], metric, merge=False)
+    return k, every.where(F.col("k") == k).select("id", "cluster")
 
 
 def merge_by_mahalanobis(stats: list[dict], threshold: float = 2.0, shrink: float = 1.03) -> dict[int, int]:

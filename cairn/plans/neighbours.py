@@ -143,19 +143,38 @@ def density_clusters(spark, d):
     return density.clusters(points(spark, d), K, REACH, digits=6)
 
 
-@query(
-    "k_sweep",
-    f"""WITH {KNN}, near AS (SELECT * FROM k WHERE rank <= 20),
-dens AS (SELECT kk, i AS id, round(-sum(dist), 6) AS density FROM near, (VALUES (5), (10), (20)) s(kk) WHERE rank <= kk GROUP BY kk, i),
-linked AS (SELECT DISTINCT a.kk, a.id FROM dens a JOIN near ON near.i = a.id AND rank BETWEEN 2 AND {REACH} JOIN dens b ON b.id = near.j AND b.kk = a.kk WHERE b.density > a.density OR (b.density = a.density AND b.id < a.id))
-SELECT kk::INTEGER AS k, count(*) AS n_clusters FROM dens ANTI JOIN linked USING (kk, id) GROUP BY kk""",
-)
+#: Every K of a sweep at once: densities, links and the numbers of roots. SWEPT takes the values of K, and the reach.
+SWEPT = KNN + """, ks AS (SELECT unnest([{ks}]) AS kk),
+dens AS (SELECT kk, i AS id, round(-sum(dist), 9) AS density FROM k JOIN ks ON rank <= kk GROUP BY kk, i),
+ups AS (SELECT a.kk, a.id, arg_min(k.j, (k.dist, k.j)) AS parent FROM dens a JOIN k ON k.i = a.id AND k.rank BETWEEN 2 AND {reach} JOIN dens b ON b.id = k.j AND b.kk = a.kk
+  WHERE b.density > a.density OR (b.density = a.density AND b.id < a.id) GROUP BY a.kk, a.id),
+links AS (SELECT dens.kk, dens.id, parent FROM dens LEFT JOIN ups USING (kk, id)),
+counts AS (SELECT kk, count(*) AS n FROM links WHERE parent IS NULL GROUP BY kk)"""
+SWEEP = density.sweep(60, 3, 30)
+AUTO = density.sweep(103, 3, 12, quadratic=True)  # the default range of 64 dimensions
+AUTO_REACH = 32
+
+
+@query("k_sweep", f"WITH {SWEPT.format(ks=', '.join(map(str, SWEEP)), reach=REACH)} SELECT kk::INTEGER AS k, n AS n_clusters FROM counts")
 def k_sweep(spark, d):
-    return density.k_sweep(points(spark, d), [5, 10, 20], REACH, digits=6)
+    """Numbers of clusters for 30 values of K, from one neighbour table by one chain of jobs."""
+    return density.k_sweep(points(spark, d), SWEEP, REACH)
 
 
-@query("auto_clusters")
+@query(
+    "auto_clusters",
+    f"""WITH RECURSIVE {SWEPT.format(ks=', '.join(map(str, AUTO)), reach=AUTO_REACH)},
+y AS (SELECT kk, n, row_number() OVER (ORDER BY kk) - 1 AS n_th FROM counts),
+fits AS (SELECT cut, regr_slope(ln(n), kk) FILTER (WHERE n_th < cut) AS a, regr_intercept(ln(n), kk) FILTER (WHERE n_th < cut) AS b, regr_slope(n, kk) FILTER (WHERE n_th >= cut) AS c, regr_intercept(n, kk) FILTER (WHERE n_th >= cut) AS e
+  FROM y, (SELECT unnest(range(2, {len(AUTO) - 2})) AS cut) GROUP BY cut),
+breaks AS (SELECT cut, sum(CASE WHEN n_th < cut THEN (exp(a * kk + b) - n) ** 2 ELSE (c * kk + e - n) ** 2 END) AS error FROM fits, y GROUP BY cut),
+chosen AS (SELECT kk FROM y WHERE n_th = (SELECT arg_min(cut, (error, cut)) FROM breaks)),
+own AS (SELECT id, parent FROM links WHERE kk = (SELECT kk FROM chosen)),
+walk AS (SELECT id, id AS cur FROM own UNION SELECT walk.id, own.parent FROM walk JOIN own ON own.id = walk.cur WHERE own.parent IS NOT NULL)
+SELECT walk.id, walk.cur AS cluster, (SELECT kk FROM chosen)::INTEGER AS k FROM walk JOIN own ON own.id = walk.cur WHERE own.parent IS NULL""",
+)
 def auto_clusters(spark, d):
+    """The elbow of the sweep over the default range, and the clusters at it."""
     k, found = density.auto_clusters(points(spark, d), DIM)
     return found.withColumn("k", F.lit(k))
 

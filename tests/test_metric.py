@@ -63,3 +63,18 @@ def test_kernel_sums_stay_within_their_tolerance(spark, kernel, param):
     for tolerance in (0.0, 1e-6, 1e-2):
         got = {r.id: r.density for r in metric.kernel_sums_in_metric(pts, kernel, param, tolerance, block_rows=15, pivots=6).collect()}
         assert len(got) == 200 and max(abs(got[i] - want[i]) for i in range(200)) <= 200 * tolerance + 1e-6
+
+
+@pytest.mark.parametrize("merge", [False, True])
+def test_all_k_at_once_equal_each_k_alone(spark, merge):
+    from cairn.operators import density
+
+    rng = np.random.default_rng(11)
+    rows = np.concatenate([rng.normal(size=(3, 4))[rng.integers(0, 3, 90)] * 5 + rng.normal(size=(90, 4)), np.ones((4, 4))])
+    pts, ks = frame(spark, rows, [(0.0,)] * 94).select("id", "vec"), [2, 5, 9, 20]
+    every = {}
+    for r in density.clusters_of_all(pts, ks, 8, "euclidean", merge).collect():
+        every.setdefault(r.k, {})[r.id] = r.cluster
+    for k in ks:
+        assert every[k] == {r.id: r.cluster for r in density.clusters(pts, k, 8, "euclidean", merge).collect()}
+    assert {r.k: r.n_clusters for r in density.k_sweep(pts, ks, 8, "euclidean", merge).collect()} == {k: len(set(c.values())) for k, c in every.items()}
