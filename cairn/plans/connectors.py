@@ -200,14 +200,18 @@ def stored_clusters(spark, d):
     return rows.select(F.lit(", ".join(r["method"] for r in sets)).alias("method"), F.lit(sum(r["n_clusters"] for r in sets)).cast("long").alias("n_clusters"), "place", "cluster", "size", "members")
 
 
-@query("stored_cache", f"WITH {P} SELECT id, round(v[1] * 2, 6) AS density, NULL::BIGINT AS after_delete FROM p UNION ALL SELECT NULL, NULL, 0")
+def times(factor):
+    return lambda x: x * factor
+
+
+@query("stored_cache", f"WITH {P} SELECT id, round(list_sum(v) * 2, 6) AS density, NULL::BIGINT AS after_delete FROM p UNION ALL SELECT NULL, NULL, 0")
 def stored_cache(spark, d):
     """A cached table that is written twice holds the second; without its dataset nothing is left."""
     made, found = store(spark, d)
     for factor in (1, 2):
-        made.cache(found, "densities", points(spark, d).select("id", F.array(F.col("vec")[0] * factor).alias("payload")))
+        made.cache(found, "densities", points(spark, d).select("id", F.transform("vec", times(factor)).alias("payload")))
     path = shared_folder(spark, "kept")
-    made.cached(found, "densities").select("id", r6(F.col("payload")[0]).alias("density")).write.parquet(path)
+    made.cached(found, "densities").select("id", r6(V.total(F.col("payload"))).alias("density")).write.parquet(path)
     made.delete_dataset(found)
     left = sum(made.table(t).count() for t in ("datasets", "points", "cached"))
     kept = spark.read.parquet(path).withColumn("after_delete", F.lit(None).cast("long"))
