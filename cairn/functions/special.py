@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from bisect import bisect_right
 
+import numpy as np
+
 
 def log_bessel_i(order: float, x: float) -> float:
     """ln I_order(x), the modified Bessel function of the first kind: its power series summed in logarithms."""
@@ -38,8 +40,76 @@ def vmf_density(dim: int, kappa: float, cosine: float) -> float:
 
 
 def fit_vmf_kappa(dim: int, mean_cosine: float, highest: int = 500) -> int:
-    """The whole kappa of greatest likelihood, which depends on the data through the mean cosine alone."""
-    return max(range(highest), key=lambda k: log_vmf_constant(dim, k) + k * mean_cosine)
+    """The whole kappa of greatest likelihood below `highest`, which depends on the data through the mean cosine alone.
+
+    The likelihood has one maximum, so kappa is doubled until it falls and then halved down between the last two values.
+    """
+
+    def rises(k: int) -> bool:
+        return log_vmf_constant(dim, k + 1) - log_vmf_constant(dim, k) + mean_cosine > 0
+
+    high = 1
+    while high < highest - 1 and rises(high):
+        high *= 2
+    low, high = 0, min(high, highest - 1)
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (middle + 1, high) if rises(middle) else (low, middle)
+    return low
+
+
+#: Points of a bin at which the density of a cosine is summed.
+BIN_POINTS = 64
+
+
+def cosine_bins(dim: int, bins: int, highest: int) -> np.ndarray:
+    """For kappa 0, 1, ... below `highest` the shares of the cosine to the mean direction in `bins` equal bins from -1 to 1.
+
+    A cosine t has density in proportion to exp(kappa t) (1 - t^2)^((dim - 3) / 2), here by the midpoint rule.
+    """
+    t = -1 + (np.arange(bins * BIN_POINTS) + 0.5) * 2 / (bins * BIN_POINTS)
+    logs = np.arange(highest)[:, None] * t[None, :] + (dim - 3) / 2 * np.log1p(-t * t)[None, :]
+    weights = np.exp(logs - logs.max(1, keepdims=True)).reshape(highest, bins, BIN_POINTS).sum(2)
+    return weights / weights.sum(1, keepdims=True)
+
+
+#: The least expected count that a bin of a chi-square test is taken to have.
+LEAST_EXPECTED = 1e-3
+
+
+def chi_square(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """Chi-square of counts against rows of expected counts."""
+    expected = np.maximum(expected, LEAST_EXPECTED)
+    return ((seen - expected) ** 2 / expected).sum(-1)
+
+
+def chi_square_tail(df: int, x: float) -> float:
+    """P(chi-square of `df` degrees > x): one minus the incomplete gamma function by its series, or its continued fraction beyond the mean."""
+    a, x = df / 2, x / 2
+    if x <= 0:
+        return 1.0
+    scale = a * math.log(x) - x - math.lgamma(a)
+    if x < a + 1:
+        term = total = 1 / a
+        k = 1
+        while term > total * 1e-16:
+            term *= x / (a + k)
+            total += term
+            k += 1
+        return max(0.0, 1 - math.exp(scale + math.log(total)))
+    tiny = 1e-300
+    b = x + 1 - a
+    c, d = 1 / tiny, 1 / b
+    h = d
+    for k in range(1, 1000):
+        step = -k * (k - a)
+        b += 2
+        d = 1 / (step * d + b or tiny)
+        c = b + step / c or tiny
+        h *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return math.exp(scale) * h
 
 
 def chi_density(df: int, x: float) -> float:

@@ -124,31 +124,92 @@ def matched_f(table: DataFrame, truth: str, found: str) -> DataFrame:
     return table.sparkSession.createDataFrame(pairs, f"{truth} {kind[truth]}, {found} {kind[found]}, f double")
 
 
-def permutation_null(rows: DataFrame, length: int, rounds: int, seed: int = 1) -> DataFrame:
-    """(round, shared): columns in which all of a few 0-padded vectors (id, vec) are non-zero after shuffling each; rounds are dealt to tasks.
+ROUND_KEYS = (1_000_003, 7_919, 104_729, 15_485_863, 1 << 20)
+FEISTEL_ROUNDS = 4
 
-    A vector that is longer than `length` is an error.
+
+def permuted(entries: DataFrame, length: int, rounds: int, seed: int = 1) -> DataFrame:
+    """(round, id, pos, value): the entries (id, pos, value) of sparse vectors, each vector shuffled anew in every round.
+
+    A round of a vector has a key, and a Feistel network under it is a permutation of a power of four; applying it again
+    until the place is below `length` makes it one of all places. So each entry moves alone, zeros are never made, and a
+    lost task gives the same places again. An entry at a place outside 0 to length - 1 is an error.
     """
-    spark = rows.sparkSession
-    ones = rows.select("id", F.size("vec").alias("length"), F.size(F.filter("vec", lambda x: x != 0)).alias("ones")).orderBy("id").collect()
-    if any(r["length"] > length for r in ones):
-        raise ValueError(f"a vector is longer than the {length} columns it is padded to")
-    sizes = [r["ones"] for r in ones]
+    half = max(1, (max(2, length - 1).bit_length() + 1) // 2)
+    low = (1 << half) - 1
+    by_round, by_id, by_step, by_seed, most = ROUND_KEYS
 
     def run(frames):
         for frame in frames:
-            shared = []
-            for r in frame["id"]:
-                rng = np.random.default_rng([seed, int(r)])
-                hit = np.ones(length, bool)
-                for s in sizes:
-                    own = np.zeros(length, bool)
-                    own[rng.permutation(length)[:s]] = True
-                    hit &= own
-                shared.append(int(hit.sum()))
-            yield pd.DataFrame({"round": frame["id"], "shared": shared})
-
-    return spark.range(rounds).mapInPandas(run, "round long, shared long")
+            pos, vector = frame["pos"].to_numpy().astype(np.int64), frame["id"].to_numpy().astype(np.int64)
+            if len(pos) and (pos.min() < 0 or pos.max() >= length):
+                raise ValueError(f"an entry lies outside the {length} places of its vector")
+            for r in range(rounds):
+                now, open_ = pos.copy(), np.arange(len(pos))
+                while len(open_):
+                    left, right = now[open_] >> half, now[open_] & low
+                    for step in range(FEISTEL_ROUNDS):
+                        key = (r * by_round + vector[open_] % most * by_id + step * by_step + seed * by_seed) % most
+                        left, right = right, left ^ ((((right * 40_503 + key) * 2_654_435_761) >> 16) & low)
+                    now[open_] = (left << half) | right
+                    open_ = open_[now[open_] >= length]
+                yield pd.DataFrame({"round": np.int64(r), "id": vector, "pos": now, "value": frame["value"]})
+
+    return entries.select(F.col("id").cast("long").alias("id"), F.col("pos").cast("long").alias("pos"), F.col("value").cast("double").alias("value")).mapInPandas(run, "round long, id long, pos long, value double")
+
+
+def permutation_null(entries: DataFrame, length: int, rounds: int, seed: int = 1) -> DataFrame:
+    """(round, covered): how many of the `length` columns have a sum above 0 when each vector of (id, pos, value) is shuffled."""
+    sums = permuted(entries, length, rounds, seed).groupBy("round", "pos").agg(F.sum("value").alias("total"))
+    return sums.groupBy("round").agg(F.sum((F.col("total") > 0).cast("long")).alias("covered"))
+
+
+def permutation_correlations(entries: DataFrame, length: int, rounds: int, seed: int = 1) -> DataFrame:
+    """(round, a, b, correlation): the correlations of every two shuffled vectors, zeros included; null where a vector is constant.
+
+    Means and deviations do not change by shuffling; products are made only where two vectors have an entry at one place.
+    """
+    moved = permuted(entries, length, rounds, seed)
+    left, right = (moved.select("round", "pos", F.col("id").alias(side), F.col("value").alias(f"v{side}")) for side in "ab")
+    products = left.join(right, ["round", "pos"]).where("a < b").groupBy("round", "a", "b").agg(F.sum(F.col("va") * F.col("vb")).alias("xy"))
+    stats = entries.groupBy(F.col("id").cast("long").alias("id")).agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
+    one, other = (stats.select(F.col("id").alias(side), F.col("s").alias(f"s{side}"), F.col("q").alias(f"q{side}")) for side in "ab")
+    pairs = one.join(other, F.col("a") < F.col("b"))  # vectors, not entries
+    every = pairs.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)).cast("array<bigint>"))).join(products, ["round", "a", "b"], "left")
+    n = F.lit(float(length))
+    spread = lambda side: F.col(f"q{side}") - F.col(f"s{side}") * F.col(f"s{side}") / n
+    product = F.sqrt(spread("a") * spread("b"))
+    return every.select("round", "a", "b", F.when(product > 0, (F.coalesce("xy", F.lit(0.0)) - F.col("sa") * F.col("sb") / n) / product).alias("correlation"))
+
+
+def concentrations(points: DataFrame, key: str, dim: int, bins: int = 21, highest: int = 500) -> DataFrame:
+    """key, n, mean_cosine, kappa, kappa_by_chi_square, chi_square, p_value: von Mises-Fisher fits of the groups of (id, vec, key).
+
+    Directions are taken about the group's mean direction. kappa is the whole number of greatest likelihood below
+    `highest`; kappa_by_chi_square that of least chi-square of the cosines in `bins` bins; chi_square and p_value test
+    kappa's fit by those bins, one parameter being fitted. Only counts of bins, a row for each group, reach the last step.
+    """
+    from cairn.functions import special
+    from cairn.functions import vectors as V
+
+    means = points.groupBy(key).agg(F.array(*[F.avg(F.col("vec")[i]) for i in range(dim)]).alias("mean"))
+    cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), V.dot(F.col("vec"), F.col("mean")) / F.sqrt(V.dot(F.col("vec"), F.col("vec")) * V.dot(F.col("mean"), F.col("mean")))))
+    seen = points.join(means, key).select(key, cosine.alias("cosine")).withColumn("bin", F.least(F.lit(bins - 1), F.floor((F.col("cosine") + 1) * bins / 2)).cast("int"))
+    groups = seen.groupBy(key).agg(F.count("*").alias("n"), F.avg("cosine").alias("mean_cosine"), *[F.sum((F.col("bin") == i).cast("long")).alias(f"n{i}") for i in range(bins)])
+    table = special.cosine_bins(dim, bins, highest)
+
+    def run(frames):
+        for frame in frames:
+            seen = frame[[f"n{i}" for i in range(bins)]].to_numpy(dtype=float)
+            n = frame["n"].to_numpy(dtype=float)
+            kappa = np.array([special.fit_vmf_kappa(dim, c, highest) for c in frame["mean_cosine"]], dtype=np.int64)
+            chi = np.stack([special.chi_square(row, table * total) for row, total in zip(seen, n, strict=True)]) if len(n) else np.zeros((0, highest))
+            own = chi[np.arange(len(n)), kappa]
+            out = frame[[key, "n", "mean_cosine"]].assign(kappa=kappa, kappa_by_chi_square=chi.argmin(1), chi_square=own)
+            yield out.assign(p_value=[special.chi_square_tail(bins - 2, x) for x in own])
+
+    kind = points.schema[key].dataType.simpleString()
+    return groups.mapInPandas(run, f"`{key}` {kind}, n long, mean_cosine double, kappa long, kappa_by_chi_square long, chi_square double, p_value double")
 
 
 def random_discriminant(groups: np.ndarray, labels: np.ndarray, spark, tries: int, restarts: int, seed: int = 1, most_cosine: float = 0.2, objective: str = "within") -> tuple[np.ndarray, np.ndarray, float]:

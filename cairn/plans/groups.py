@@ -239,15 +239,67 @@ def first_component_spread(spark, d):
     return statistics.projected(points(spark, d), mean, axes).agg(F.stddev_samp("pc1").alias("sd"))
 
 
-@query("permutation_null")
+#: A one in the vector of each label at the place of each of its points, shuffled as `permuted` does it: four steps of a
+#: network on 18 bits, again until the place is one of LENGTH.
+SHUFFLED = f"""{P}, size AS (SELECT greatest({PADDING}, max(id) + 1) AS length FROM p), half AS (SELECT length, greatest(1, ((length(bin(greatest(2, length - 1))) + 1) // 2))::INTEGER AS h FROM size),
+e AS (SELECT label::BIGINT AS id, p.id AS pos, length, h, ((1::BIGINT << h) - 1) AS low FROM p, half),
+moved AS (SELECT round, id, length, list_reduce(list_prepend(pos, range(0, 257)), lambda x, i: CASE WHEN x >= 1099511627776 THEN x WHEN i % 4 = 0 AND i > 0 AND x < length THEN x + 1099511627776
+  ELSE ((x & low) << h) | xor(x >> h, ((((x & low) * 40503 + (round * 1000003 + id % 1048576 * 7919 + i % 4 * 104729 + 15485863) % 1048576) * 2654435761) >> 16) & low) END) - 1099511627776 AS pos FROM e, (SELECT unnest(range(0, {{rounds}})) AS round))"""
+
+
+def label_entries(spark, d):
+    """A vector for each label with a one at the place of each of its points, and the vectors' length: PADDING, or more where ids are greater."""
+    pts = points(spark, d)
+    length = max(PADDING, (pts.agg(F.max("id")).first()[0] or 0) + 1)
+    return pts.select(F.col("label").cast("long").alias("id"), F.col("id").alias("pos"), F.lit(1.0).alias("value")), length
+
+
+@query("permutation_null", f"WITH {SHUFFLED.format(rounds=200)} SELECT round, count(DISTINCT pos) AS covered FROM moved GROUP BY round")
 def permutation_null(spark, d):
-    """Shared non-zero columns of two 0-padded vectors (a one for each point of an even or odd label) after shuffling, 1000 rounds.
+    """Columns that the shuffled vectors of all labels cover together, 200 rounds."""
+    entries, length = label_entries(spark, d)
+    return statistics.permutation_null(entries, length, 200)
+
 
-    The padding is PADDING, or the number of points where there are more.
-    """
-    counts = points(spark, d).groupBy((F.col("label") % 2).cast("long").alias("id")).agg(F.count("*").alias("n"))
-    vectors = counts.select("id", F.array_repeat(F.lit(1.0), F.col("n").cast("int")).alias("vec"))
-    return statistics.permutation_null(vectors, max(PADDING, points(spark, d).count()), 1000)
+@query(
+    "permutation_correlations",
+    f"""WITH {SHUFFLED.format(rounds=20)}, s AS (SELECT id, count(*)::DOUBLE AS s, max(length)::DOUBLE AS n FROM e GROUP BY id),
+xy AS (SELECT round, x.id AS a, y.id AS b, count(*)::DOUBLE AS xy FROM moved x JOIN moved y USING (round, pos) WHERE x.id < y.id GROUP BY ALL)
+SELECT r.round, x.id AS a, y.id AS b, round((coalesce(xy, 0) - x.s * y.s / x.n) / sqrt((x.s - x.s * x.s / x.n) * (y.s - y.s * y.s / x.n)), 9) AS correlation
+FROM s x JOIN s y ON x.id < y.id CROSS JOIN (SELECT unnest(range(0, 20)) AS round) r LEFT JOIN xy ON xy.round = r.round AND xy.a = x.id AND xy.b = y.id""",
+)
+def permutation_correlations(spark, d):
+    """Correlations of every two labels' shuffled vectors, 20 rounds."""
+    entries, length = label_entries(spark, d)
+    return statistics.permutation_correlations(entries, length, 20).withColumn("correlation", r6("correlation", 9))
+
+
+@query(
+    "concentration_fits",
+    f"""WITH {C}, cosines AS (SELECT p.label, greatest(-1.0, least(1.0, list_dot_product(p.v, c.v) / sqrt(list_dot_product(p.v, p.v) * list_dot_product(c.v, c.v)))) AS cosine FROM p JOIN c ON c.id = p.label),
+g AS (SELECT label, count(*) AS n, avg(cosine) AS mean_cosine FROM cosines GROUP BY label),
+seen AS (SELECT label, least(20, floor((cosine + 1) * 21 / 2))::INTEGER AS bin, count(*) AS n FROM cosines GROUP BY ALL),
+ks AS (SELECT unnest(range(0, 500)) AS k),
+series AS (SELECT k, i, (2 * i + 31) * ln(k / 2) - lgamma(i + 1) - lgamma(i + 32) AS t FROM ks, (SELECT unnest(range(0, 800)) AS i) WHERE k > 0),
+bessel AS (SELECT series.k, any_value(m) + ln(sum(exp(t - m))) AS log_i FROM series JOIN (SELECT k, max(t) AS m FROM series GROUP BY k) USING (k) GROUP BY series.k),
+norm AS (SELECT k, 31 * ln(k) - 32 * ln(2 * pi()) - log_i AS c FROM bessel UNION ALL SELECT 0, lgamma(32) - ln(2) - 32 * ln(pi())),
+fit AS (SELECT label, arg_max(k, c + k * mean_cosine) AS kappa FROM g, norm GROUP BY label),
+places AS (SELECT j // 64 AS bin, -1 + (j + 0.5) * 2 / 1344 AS t FROM (SELECT unnest(range(0, 1344)) AS j)),
+logs AS (SELECT k, bin, k * t + 30.5 * ln(1 - t * t) AS w FROM ks, places),
+tops AS (SELECT k, max(w) AS m FROM logs GROUP BY k),
+mass AS (SELECT k, bin, sum(exp(w - m)) AS w FROM logs JOIN tops USING (k) GROUP BY k, bin),
+share AS (SELECT k, bin, w / sum(w) OVER (PARTITION BY k) AS share FROM mass),
+chi AS (SELECT g.label, k, sum(power(coalesce(seen.n, 0) - greatest(g.n * share, 0.001), 2) / greatest(g.n * share, 0.001)) AS chi FROM g CROSS JOIN share LEFT JOIN seen ON seen.label = g.label AND seen.bin = share.bin GROUP BY g.label, k),
+lowest AS (SELECT label, arg_min(k, (chi, k)) AS k FROM chi GROUP BY label),
+own AS (SELECT fit.label, kappa, chi FROM fit JOIN chi ON chi.label = fit.label AND chi.k = kappa),
+tail AS (SELECT label, any_value(chi) AS chi, CASE WHEN any_value(chi) > 600 THEN 0 ELSE 1 - sum(exp((9.5 + i) * ln(chi / 2) - chi / 2 - lgamma(10.5 + i))) END AS p FROM own, (SELECT unnest(range(0, 2000)) AS i) GROUP BY label)
+SELECT g.label, g.n, round(mean_cosine, 6) AS mean_cosine, kappa, lowest.k AS kappa_by_chi_square, round(tail.chi, 3) AS chi_square, round(p, 6) AS p_value
+FROM g JOIN fit USING (label) JOIN lowest USING (label) JOIN tail USING (label)""",
+)
+def concentration_fits(spark, d):
+    """For the points of every label the fitted concentration about their mean direction, with a chi-square test."""
+    found = statistics.concentrations(points(spark, d), "label", DIM)
+    return found.withColumns({"mean_cosine": r6("mean_cosine"), "chi_square": r6("chi_square", 3), "p_value": r6("p_value")})
 
 
 @query("random_discriminant")

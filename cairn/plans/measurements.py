@@ -6,11 +6,11 @@ import math
 
 from pyspark.sql import functions as F
 
-from cairn.operators import aggregates, joins
+from cairn.operators import aggregates, contours, joins, postings
 from cairn.operators import order as O
 from cairn.operators import transforms as T
 from cairn.plans.base import query, r6
-from cairn.session import table
+from cairn.session import cut_lineage, table
 
 CH = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 ID = ["l_orderkey", "l_linenumber"]
@@ -244,6 +244,38 @@ def contour_levels(spark, d):
     return aggregates.levels(aggregates.smoothed(grid(spark, d), 20).withColumn("density", r6("density"))).select("bx", "by", "level")
 
 
+@query(
+    "contour_rings",
+    SMOOTH + """, r AS (SELECT bx, "by", round(density, 6) AS density FROM s)
+SELECT i::INTEGER AS level, bx, "by" FROM r, (SELECT unnest(range(1, 15)) AS i), (SELECT max(density) AS top FROM r) WHERE density > top * i / 15""",
+)
+def contour_rings(spark, d):
+    """The grid points that the closed contour lines of each level enclose, by crossings of the lines with the points' rows."""
+    density = cut_lineage(aggregates.smoothed(grid(spark, d), 20).withColumn("density", r6("density")))
+    return contours.enclosed(contours.contours(density), density)
+
+
+@query(
+    "term_intersections",
+    """WITH t AS (SELECT DISTINCT user_id AS id, event_type AS term FROM events) SELECT x.term AS a, y.term AS b, count(*) AS n FROM t x JOIN t y ON x.id = y.id AND x.term < y.term GROUP BY ALL""",
+)
+def term_intersections(spark, d):
+    """Users with two types of events, from posting lists."""
+    rows = table(spark, d, "events").select(F.col("user_id").alias("id"), F.col("event_type").alias("term"))
+    return postings.shared(cut_lineage(postings.index(rows, 64)))
+
+
+@query(
+    "term_searches",
+    """WITH t AS (SELECT DISTINCT l_orderkey AS id, l_returnflag || l_linestatus AS term FROM lineitem), w AS (SELECT * FROM (VALUES ('AF+NO', ['AF', 'NO']), ('RF+NO', ['RF', 'NO']), ('AF+NF+RF', ['AF', 'NF', 'RF']), ('AO+XX', ['AO', 'XX'])) v(query, terms))
+SELECT query, count(found.id) AS n FROM w LEFT JOIN (SELECT query AS q, id FROM t, w WHERE list_contains(terms, term) GROUP BY query, id, terms HAVING count(*) = len(terms)) found ON q = query GROUP BY query""",
+)
+def term_searches(spark, d):
+    """Orders whose lines have all the states asked for."""
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.concat("l_returnflag", "l_linestatus").alias("term"))
+    return postings.matching(cut_lineage(postings.index(rows)), [["AF", "NO"], ["RF", "NO"], ["AF", "NF", "RF"], ["AO", "XX"]])
+
+
 T_ = "(1 / (1 + 0.2316419 * abs(z)))"
 UP = f"({T_} * (0.319381530 + {T_} * (-0.356563782 + {T_} * (1.781477937 + {T_} * (-1.821255978 + {T_} * 1.330274429)))) * exp(-z * z / 2) / sqrt(2 * 3.141592653589793))"
 

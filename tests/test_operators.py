@@ -265,12 +265,56 @@ def test_permutation_null_of_many_points(spark, tmp_path):
 
     embeddings = spark.range(20_000).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0)).alias("embedding"), (F.col("id") % 2).cast("int").alias("label"))
     embeddings.write.parquet(f"{tmp_path}/embeddings.parquet")
-    shared = [r.shared for r in permutation_null(spark, str(tmp_path)).collect()]
-    assert len(shared) == 1000 and len(set(shared)) > 10
-    assert np.mean(shared) == pytest.approx(10_000 * 10_000 / 137_072, rel=0.02)
-    with pytest.raises(ValueError, match="longer"):
-        statistics.permutation_null(points_of(spark, [[1, 0, 1], [0, 1, 1]]), 2, 10)
-    assert {r.shared for r in statistics.permutation_null(points_of(spark, [[1, 0, 1], [0, 1, 1]]), 3, 50).collect()} == {1, 2}
+    covered = [r.covered for r in permutation_null(spark, str(tmp_path)).collect()]
+    assert len(covered) == 200 and len(set(covered)) > 10
+    assert np.mean(covered) == pytest.approx(137_072 * (1 - (1 - 10_000 / 137_072) ** 2), rel=0.0005)
+
+
+def test_shuffles_are_permutations_and_correlations_exact(spark):
+    rng = np.random.default_rng(2)
+    vectors = {i: np.where(rng.random(23) < 0.4, rng.normal(size=23).round(2), 0.0) for i in (-3, 4, 9)} | {11: np.full(23, 2.0)}
+    entries = spark.createDataFrame([(i, p, float(x)) for i, v in vectors.items() for p, x in enumerate(v) if x], "id long, pos long, value double")
+    moved, rounds = {}, 12
+    for r in statistics.permuted(entries, 23, rounds).collect():
+        moved.setdefault((r["round"], r["id"]), {})[r["pos"]] = r["value"]
+    for n in range(rounds):
+        for i, v in vectors.items():
+            assert sorted(moved[n, i].values()) == sorted(x for x in v if x) and set(moved[n, i]) <= set(range(23))
+    assert len({tuple(sorted(moved[n, 11])) for n in range(rounds)}) == 1 and len({tuple(sorted(moved[n, 4].items())) for n in range(rounds)}) > rounds // 2
+    dense = {k: np.array([v.get(p, 0.0) for p in range(23)]) for k, v in moved.items()}
+    got = {(r["round"], r["a"], r["b"]): r["correlation"] for r in statistics.permutation_correlations(entries, 23, rounds).collect()}
+    assert len(got) == rounds * 6
+    for (n, a, b), c in got.items():
+        assert c is None if 11 in (a, b) else c == pytest.approx(np.corrcoef(dense[n, a], dense[n, b])[0, 1])
+    covered = {r["round"]: r["covered"] for r in statistics.permutation_null(entries, 23, rounds).collect()}
+    assert covered == {n: int((sum(dense[n, i] for i in vectors) > 0).sum()) for n in range(rounds)}
+    with pytest.raises(Exception, match="outside"):
+        statistics.permuted(entries, 22, 1).collect()
+
+
+def test_concentration_fits(spark):
+    rng = np.random.default_rng(4)
+    dim, data = 5, []
+    for g, kappa in ((0, 3.0), (1, 40.0)):
+        while len([1 for x in data if x[2] == g]) < 800:  # by rejection from the cosine's density
+            t = rng.uniform(-1, 1)
+            if rng.random() < math.exp(kappa * (t - 1)) * (1 - t * t) / (1 if kappa < 5 else 0.1):
+                rest = rng.normal(size=dim - 1)
+                v = np.concatenate([[t], rest / np.linalg.norm(rest) * math.sqrt(1 - t * t)])
+                data.append((len(data), [float(x) for x in v * rng.uniform(0.9, 1.1)], g))
+    data += [(len(data) + i, [1.0, 0.0, 0.0, 0.0, 0.0], 2) for i in range(50)]
+    data += [(len(data) + i, [1.0, 1.2 * (-1) ** i, 0.0, 0.0, 0.0], 3) for i in range(400)]  # all at one angle: no such distribution
+    got = {r["label"]: r for r in statistics.concentrations(spark.createDataFrame(data, "id long, vec array<double>, label long"), "label", dim).collect()}
+    assert abs(got[0]["kappa"] - 3) <= 1 and abs(got[1]["kappa"] - 40) <= 5 and got[2]["kappa"] == 499
+    assert got[0]["p_value"] > 0.001 and got[1]["p_value"] > 0.001
+    assert got[3]["p_value"] < 1e-6
+    assert all(r["kappa"] == max(range(500), key=lambda k: special.log_vmf_constant(dim, k) + k * r["mean_cosine"]) for r in got.values())
+
+
+def test_chi_square_tail():
+    for df, x, p in ((1, 3.841458820694124, 0.05), (10, 18.307038053275146, 0.05), (19, 10.117013063859044, 0.95), (2, 2 * math.log(4), 0.25), (19, 43.820195964517531, 0.001)):
+        assert special.chi_square_tail(df, x) == pytest.approx(p, rel=1e-9)
+    assert special.chi_square_tail(5, 0) == 1 and special.chi_square_tail(3, 1e6) == 0
 
 
 def test_angular_roots_count_by_direction(spark):
