@@ -1,6 +1,6 @@
 """Quality rules as a short-circuit cascade, in DataFrame and SQL functions only.
 
-Each rule is a SQL predicate over the text (true: reject). `plan_cascade` measures every rule's rejection rate
+Each rule is a SQL predicate over the text (true: reject). `plan_cascade` estimates every rule's rejection rate
 and cost on a sample; `cascade` then evaluates the rules in order of rejection per cost inside one CASE, which
 stops at the first rule that rejects. The verdict does not depend on the order, only the work does.
 
@@ -12,7 +12,6 @@ chance about once in 10^11 texts of 20,000 words.
 
 from __future__ import annotations
 
-import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -21,9 +20,8 @@ from pyspark.sql import functions as F
 from cairn.llm.common import narrow, numbered, read_table, text_or_empty
 
 SPACE = r"[\\x20\\x09-\\x0D]"
-SYMBOLS = "[#*$%&|<>]"
+SYMBOLS = "#*$%&|<>"
 WINDOW = 5
-TIMINGS = 3
 
 #: Signals in terms of __text (never null), __words, __windows and the signals before them.
 WORDS = f"array_remove(split(__text, '{SPACE}+'), '')"
@@ -31,7 +29,7 @@ WINDOWS = f"""element_at(transform(array(transform(__words, w -> xxhash64(w))),
     CASE WHEN size(h) < {WINDOW} THEN cast(array() AS array<bigint>)
     ELSE transform(sequence(1, size(h) - {WINDOW - 1}), i -> xxhash64({', '.join(f'h[i + {k}]' for k in range(-1, WINDOW - 1))})) END), 1)"""
 WORD_CHARS = "char_length(array_join(__words, ''))"
-N_SYMBOLS = f"size(regexp_extract_all(__text, '{SYMBOLS}', 0))"
+N_SYMBOLS = f"char_length(__text) - char_length(translate(__text, '{SYMBOLS}', ''))"
 N_UPPER = r"size(regexp_extract_all(__text, '\\p{Lu}', 0))"
 LINES = rf"filter(split(__text, '\\n'), x -> x rlike '[^\\x20\\x09-\\x0D]')"
 N_DUP_LINES = "element_at(transform(array(__lines), l -> size(l) - size(array_distinct(l))), 1)"
@@ -66,6 +64,13 @@ SIGNALS = {
     "n_repeat_words": f"cast({N_REPEAT_WORDS} AS bigint)",
 }
 
+#: What a signal costs, in nanoseconds for each character, word or line, as measured once on prose; LEAST_COST is that of a comparison.
+COSTS = {
+    "__words": (60, "char"), "__windows": (250, "word"), "__lines": (25, "char"), "n_words": (0, "word"), "word_chars": (15, "word"), "n_symbols": (5, "char"),
+    "n_upper": (30, "char"), "n_lines": (0, "line"), "n_dup_lines": (60, "line"), "n_repeat_words": (400, "word"),
+}
+LEAST_COST = 20.0
+
 RULES = (
     Rule("too_short", "n_words < 10", ("__words", "n_words")),
     Rule("repeated_words", "100 * n_repeat_words > 20 * n_words", ("__words", "n_words", "__windows", "n_repeat_words")),
@@ -86,35 +91,24 @@ def with_signals(df: DataFrame, needed: tuple[str, ...] | list[str]) -> DataFram
     return df
 
 
-def _timed(df: DataFrame):
-    """The least seconds of TIMINGS runs, so that compiling and other work on the machine count little; and the only row."""
-    best = None
-    for _ in range(TIMINGS):
-        began = time.perf_counter()
-        row = df.first()
-        best = min(best or 1e9, time.perf_counter() - began)
-    return best, row
-
-
-def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000, seed: int = 7) -> list[dict]:
-    """Rules in order of rejection per cost: [{rule, rejection, cost}], measured on about `sample_rows` rows.
+def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000, seed: int = 7, given: tuple[str, ...] = ()) -> list[dict]:
+    """Rules in order of rejection per cost: [{rule, rejection, cost}], by one pass over about `sample_rows` rows.
 
-    Cost is the least seconds of TIMINGS passes that compute the rule's signals on the sample, the cost of reading it taken off.
-    Only the order of evaluation depends on the sample; verdicts do not. An empty table keeps the given order.
+    A rule's cost is that of the signals it needs and `given` does not hold, in units of COSTS by the sample's mean
+    numbers of characters, words and lines. Only the order of evaluation depends on the sample; verdicts do not. An
+    empty table keeps the given order.
     """
-    total = docs.count()
+    total = docs.count()  # of Parquet files the footers are read for it
     if not total:
-        return [{"rule": r, "rejection": 0.0, "cost": 1.0} for r in rules]
-    sample = docs.select("__text").sample(fraction=min(1.0, sample_rows / total), seed=seed).limit(2 * sample_rows).persist()
-    try:
-        sample.count()
-        floor, _ = _timed(sample.agg(F.max(F.length("__text"))))
-        found = []
-        for r in rules:
-            seconds, (n, hits) = _timed(with_signals(sample, r.needs).agg(F.count("*"), F.count_if(F.expr(r.rejects))))
-            found.append({"rule": r, "rejection": hits / max(1, n), "cost": max(1e-3, seconds - floor)})
-    finally:
-        sample.unpersist()
+        return [{"rule": r, "rejection": 0.0, "cost": LEAST_COST} for r in rules]
+    sample = docs.select("__text").sample(fraction=min(1.0, sample_rows / total), seed=seed).limit(2 * sample_rows)
+    seen = with_signals(sample, tuple(dict.fromkeys(c for r in rules for c in r.needs)) + ("__words", "__lines"))
+    hits = [F.count_if(F.expr(r.rejects)).alias(f"r{i}") for i, r in enumerate(rules)]
+    row = seen.agg(F.count("*").alias("n"), F.avg(F.length("__text")).alias("char"), F.avg(F.size("__words")).alias("word"), F.avg(F.size("__lines")).alias("line"), *hits).first()
+    found = []
+    for i, r in enumerate(rules):
+        cost = sum(price * (row[unit] or 0.0) for c in r.needs if c not in given for price, unit in [COSTS[c]])
+        found.append({"rule": r, "rejection": row[f"r{i}"] / max(1, row["n"]), "cost": max(LEAST_COST, cost)})
     return sorted(found, key=lambda x: -x["rejection"] / x["cost"])
 
 
@@ -145,10 +139,11 @@ def _qualified(text: str, names: list[str], by: str) -> str:
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000) -> DataFrame:
     """`docs` (doc_id, text) with all base signals, base_failed and kept: every document, kept or not."""
     rows = narrow(docs, "doc_id", "text").select("doc_id", text_or_empty().alias("__text"))
-    extra = [x["rule"] for x in plan_cascade(rows, rules, sample_rows) if x["rule"].name not in BASE_RULES]
     signals = ("__words", "__lines", "__windows", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    later = tuple(r for r in rules if r.name not in BASE_RULES)
+    extra = [x["rule"] for x in plan_cascade(rows, later, sample_rows, given=signals)]  # every row has the base signals: only others cost
     judged = with_signals(rows, signals).withColumn("base_failed", F.expr(" OR ".join(r.rejects for r in rules if r.name in BASE_RULES)))
-    inline = {c: SIGNALS[c] for c in SIGNALS if c not in signals}  # what only some rows need stands inside the CASE
+    inline = {c: SIGNALS[c] for c in SIGNALS if c not in (*signals, "n_lines")} | {"n_lines": "size(__lines)"}  # what only some rows need stands inside the CASE
     verdict = " ".join(f"WHEN {' '.join(inline.get(w, w) for w in r.rejects.split(' '))} THEN false" for r in extra)
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
