@@ -15,6 +15,8 @@ MOST_SENT_RANGES = 100_000
 MOST_SENT_GROUPS = 5_000
 #: percentile_approx misses a rank by at most one in this many rows; a bracket of four such steps holds what is sought.
 ACCURACY = 20_000
+#: Values of a group that one task may hold to give exact quantiles at once.
+MOST_HELD = 400_000
 
 
 def places(df: DataFrame, by: list[str], order: list[str | Column], partitions: int | None = None) -> DataFrame:
@@ -52,19 +54,49 @@ def bins_of(place: Column, rows: Column, bins: int) -> Column:
 def quantiles(df: DataFrame, values: dict[str, Column], share: float, by: list[str], also: list[Column] | None = None) -> DataFrame:
     """For each `by` group the exact quantile of each value by linear interpolation, under its name; nulls are left out.
 
-    A first pass brackets the quantile by approximate percentiles of bounded memory. A second counts the values below
-    the bracket and at its ends, and gathers those strictly inside: at most about 10 in ACCURACY of a group, since a more
-    frequent value would itself be an end. `also` are further aggregates of the first pass.
+    Groups are counted first. Those that hold MOST_HELD values at most go by Spark's own exact percentile, which holds a
+    group's different values in one task; larger ones go by brackets (`_by_brackets`), which no size can fill. `also`
+    are further aggregates.
     """
     if not 0 <= share <= 1:
         raise ValueError("a share between 0 and 1")
+    keys, also = [f"__by{i}" for i in range(len(by))], also or []
+    valued = df.select("*", *[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], *[v.cast("double").alias(f"__v{k}") for k, v in enumerate(values.values())])
+    sizes = cut_lineage(valued.groupBy(*keys).agg(F.count("*").alias("__rows")))
+    most = MOST_HELD // max(1, len(values))
+    groups = sizes.agg(F.count("*").alias("n"), F.max("__rows").alias("most")).first()
+    exact = [F.expr(f"percentile(__v{k}, {share!r}D) AS __q{k}") for k in range(len(values))]
+
+    def held(rows: DataFrame) -> DataFrame:
+        found = rows.groupBy(*keys).agg(*exact, *also)
+        others = [c for c in found.columns if c not in keys and not c.startswith("__q")]
+        return found.select(*[F.col(k).alias(c) for k, c in zip(keys, by, strict=True)], *others, *[F.col(f"__q{k}").alias(name) for k, name in enumerate(values)])
+
+    if (groups["most"] or 0) <= most:
+        return held(valued)
+    if not by:
+        return _by_brackets(valued, values, share, by, also)
+    sizes = sizes.withColumnsRenamed({k: f"{k}_" for k in keys})
+    if groups["n"] <= MOST_SENT_GROUPS:
+        sizes = F.broadcast(sizes)
+    sized = valued.join(sizes, F.expr(" AND ".join(f"{k} <=> {k}_" for k in keys) or "true")).drop(*(f"{k}_" for k in keys))
+    small, large = (sized.where(F.col("__rows") <= most).drop("__rows"), sized.where(F.col("__rows") > most).drop("__rows"))
+    return _by_brackets(large, values, share, by, also).unionByName(held(small))
+
+
+def _by_brackets(valued: DataFrame, values: dict[str, Column], share: float, by: list[str], also: list[Column]) -> DataFrame:
+    """quantiles() of rows with their keys (__by0, ...) and values (__v0, ...) by two passes of bounded memory.
+
+    The first brackets the quantile by approximate percentiles. The second counts the values below the bracket and at
+    its ends, and gathers those strictly inside: at most about 10 in ACCURACY of a group, since a more frequent value
+    would itself be an end.
+    """
     step = 4.0 / ACCURACY
     ends = f"array({max(0.0, share - step)!r}D, {min(1.0, share + step)!r}D)"
     keys, many = [f"__by{i}" for i in range(len(by))], range(len(values))
-    valued = df.select("*", *[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], *[v.cast("double").alias(f"__v{k}") for k, v in enumerate(values.values())])
     # one text for each aggregate, since a profile has many
     texts = [t for k in many for t in (f"percentile_approx(__v{k}, {ends}, {ACCURACY}) AS __e{k}", f"count(__v{k}) AS __n{k}")]
-    brackets = cut_lineage(valued.groupBy(*keys).agg(*map(F.expr, texts), *(also or [])))
+    brackets = cut_lineage(valued.groupBy(*keys).agg(*map(F.expr, texts), *also))
     kept = [c for c in brackets.columns if c not in keys]
     brackets = brackets.withColumnsRenamed({k: f"{k}_" for k in keys})
     if brackets.count() <= MOST_SENT_GROUPS:

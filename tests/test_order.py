@@ -37,10 +37,14 @@ def test_places_and_bins(rows, monkeypatch, sent):
     assert order.places(rows.where("false"), ["g"], ["id"]).count() == 0
 
 
-@pytest.mark.parametrize("accuracy", [20_000, 40])
+@pytest.mark.parametrize("accuracy,held", [(20_000, 0), (40, 0), (40, "middle"), (40, 10**6)])
 @pytest.mark.parametrize("share", [0.0, 0.05, 0.5, 0.77, 0.99, 1.0])
-def test_quantiles(rows, monkeypatch, accuracy, share):
+def test_quantiles(rows, monkeypatch, accuracy, held, share):
+    """By brackets, by Spark's percentile, and with some groups each way."""
+    sizes = sorted(len(m) for m in grouped(rows).values())
+    assert sizes[0] < sizes[-1]
     monkeypatch.setattr(order, "ACCURACY", accuracy)
+    monkeypatch.setattr(order, "MOST_HELD", 2 * sizes[-1] - 1 if held == "middle" else held)
     found = {r.g: r for r in order.quantiles(rows, {"q": F.col("v"), "minus": -F.col("v")}, share, ["g"], [F.count("*").alias("n")]).collect()}
     for g, members in grouped(rows).items():
         known = [r.v for r in members if r.v is not None]
@@ -50,7 +54,9 @@ def test_quantiles(rows, monkeypatch, accuracy, share):
     assert order.quantiles(rows, {"q": F.col("v")}, share, []).first().q == pytest.approx(np.quantile(whole, share))
 
 
-def test_quantiles_of_little(spark, rows):
+@pytest.mark.parametrize("held", [0, 10**6])
+def test_quantiles_of_little(spark, rows, monkeypatch, held):
+    monkeypatch.setattr(order, "MOST_HELD", held)
     assert order.quantiles(rows.where("v IS NULL"), {"q": F.col("v")}, 0.5, []).first().q is None
     assert order.quantiles(rows.where("false"), {"q": F.col("v")}, 0.5, ["g"]).count() == 0
     with pytest.raises(ValueError):
