@@ -133,29 +133,29 @@ def diagonal_gaussian_densities(points: DataFrame, spread: list[float]) -> DataF
     return kernel_sums(scaled, "gaussian", 1.0).select("id", (F.col("density") * constant).alias("density"))
 
 
-def kernel_sums(points: DataFrame, kernel: str, param: float, block_rows: int = BLOCK_ROWS, tolerance: float = 1e-12) -> DataFrame:
-    """(id, density): over all points the sum of exp(-d^2 / (2 param^2)) ("gaussian") or exp(param * cosine) ("vmf"), by blocks.
+def kernel_sums(points: DataFrame, kernel, param: float, block_rows: int = BLOCK_ROWS, tolerance: float = 1e-12) -> DataFrame:
+    """(id, density): over all points the sum of a kernel's values, by blocks; a Kernel, or the name of one.
 
-    More points than one block holds are summed in blocks of a metric space; for n points such a sum is n * tolerance off at most.
+    "gaussian" is exp(-d^2 / (2 param^2)) and "vmf" exp(param * cosine). More points than one block holds are summed in
+    blocks of a metric space; for n points such a sum is n * tolerance off at most.
     """
+    from cairn.operators import plugins
+
+    own = plugins.kernel(kernel) if isinstance(kernel, str) else kernel
     if points.limit(block_rows + 1).count() > block_rows:
         from cairn.operators.metric import kernel_sums_in_metric
 
-        return kernel_sums_in_metric(points, kernel, param, tolerance, min(block_rows, 1024))
+        return kernel_sums_in_metric(points, own, param, tolerance, min(block_rows, 1024))
     q, _ = _blocks(points, "q", block_rows)
     b, count = _blocks(points, "b", block_rows)
     pairs = q.withColumn("b_block", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).join(b, "b_block").select("q", "b")
+    metric, value = resolved(own.metric), own.value
 
     def run(frames):
         for frame in frames:
             for left, right in zip(frame["q"], frame["b"], strict=True):
                 i, a = _matrix(left)
                 _, m = _matrix(right)
-                if kernel == "gaussian":
-                    d = distances(a, m, "euclidean")
-                    v = np.exp(-(d * d) / (2 * param * param))
-                else:
-                    v = np.exp(param * np.cos(distances(a, m, "angular")))
-                yield pd.DataFrame({"id": i, "part": np.minimum(v.sum(1), np.finfo(float).max)})
+                yield pd.DataFrame({"id": i, "part": np.minimum(value(distances(a, m, metric), param).sum(1), np.finfo(float).max)})
 
     return pairs.mapInPandas(run, "id long, part double").groupBy("id").agg(F.sum("part").alias("density"))

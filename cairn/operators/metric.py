@@ -17,6 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.operators import plugins
 from cairn.operators.knn import NEIGHBOUR, distances, k_best, resolved
 from cairn.session import cut_lineage
 
@@ -234,7 +235,7 @@ def nearest_in_metric(points: DataFrame, k: int, metric: str = "angular", limits
     return k_best(homes.select("ids", "js", "dists").mapInArrow(own, NEIGHBOUR).unionByName(found), k)
 
 
-def kernel_sums_in_metric(points: DataFrame, kernel: str, param: float, tolerance: float = 0.0, block_rows: int = BLOCK_ROWS, pivots: int = PIVOTS) -> DataFrame:
+def kernel_sums_in_metric(points: DataFrame, kernel, param: float, tolerance: float = 0.0, block_rows: int = BLOCK_ROWS, pivots: int = PIVOTS) -> DataFrame:
     """(id, density) as kernel_sums gives it, each within `tolerance` of a kernel value for every point.
 
     Where the bounds of a query's distances to a block let the kernel vary by no more than twice the tolerance, the
@@ -243,8 +244,8 @@ def kernel_sums_in_metric(points: DataFrame, kernel: str, param: float, toleranc
     """
     import pyarrow as pa
 
-    metric = "euclidean" if kernel == "gaussian" else "angular"
-    value = (lambda d: np.exp(-(d * d) / (2 * param * param))) if kernel == "gaussian" else (lambda d: np.exp(param * np.cos(np.minimum(d, np.pi))))
+    own = plugins.kernel(kernel) if isinstance(kernel, str) else kernel
+    metric, value = resolved(own.metric), lambda d, f=own.value: f(d, param)
     held = blocks(points, metric, rows=block_rows, pivots=pivots)
     supers, count = _supers(held)
 

@@ -1,4 +1,4 @@
-"""Clustering algorithms and kernels by name, batches over datasets and parameters, and bandwidth fits."""
+"""Clustering algorithms and densities by name, batches over datasets and parameters, and bandwidth fits."""
 
 from __future__ import annotations
 
@@ -7,8 +7,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.functions.special import fit_vmf_kappa
-from cairn.operators import density, hierarchy, joins, knn
+from cairn.operators import density, hierarchy, joins, knn, plugins
 
 #: name -> f(points, **parameters) -> (id, cluster); more can be registered.
 ALGORITHMS: dict[str, Callable[..., DataFrame]] = {
@@ -16,10 +15,8 @@ ALGORITHMS: dict[str, Callable[..., DataFrame]] = {
     "hierarchical": hierarchy.cut_clusters,
 }
 
-#: name -> f(points, parameter) -> (id, density).
-KERNELS: dict[str, Callable[[DataFrame, float], DataFrame]] = {
-    "gaussian": lambda points, width: knn.kernel_sums(points, "gaussian", width),
-    "vmf": lambda points, kappa: knn.kernel_sums(points, "vmf", kappa),
+#: Densities that are no sums over all points: name -> f(points, parameter) -> (id, density).
+DENSITIES: dict[str, Callable[[DataFrame, float], DataFrame]] = {
     "nearest": lambda points, n: density.nearest_mean_kernel(knn.knn(points, int(n)), int(n)),
 }
 
@@ -28,8 +25,8 @@ def register_algorithm(name: str, run: Callable[..., DataFrame]) -> None:
     ALGORITHMS[name] = run
 
 
-def register_kernel(name: str, run: Callable[[DataFrame, float], DataFrame]) -> None:
-    KERNELS[name] = run
+def register_density(name: str, run: Callable[[DataFrame, float], DataFrame]) -> None:
+    DENSITIES[name] = run
 
 
 def run(name: str, points: DataFrame, **parameters) -> DataFrame:
@@ -52,26 +49,22 @@ def batch(name: str, datasets: dict[str, DataFrame], grid: Iterable[dict]) -> Da
 
 
 def kernel_grid(name: str, points: DataFrame, widths: Iterable[float]) -> DataFrame:
-    """(width, id, density) over a grid of bandwidths."""
+    """(width, id, density) over a grid of bandwidths, by a registered kernel or density."""
     out = None
     for w in widths:
-        one = KERNELS[name](points, w).select(F.lit(float(w)).alias("width"), "id", "density")
+        found = DENSITIES[name](points, w) if name in DENSITIES else knn.kernel_sums(points, plugins.kernel(name), w)
+        one = found.select(F.lit(float(w)).alias("width"), "id", "density")
         out = one if out is None else out.unionByName(one)
     return out
 
 
 def fit_bandwidth(name: str, members: DataFrame, centre: list[float]) -> float:
-    """A kernel's parameter from members (id, vec) around a centre: greatest distance over 1.96, the likeliest kappa, or their number."""
-    from cairn.functions import vectors as V
-
-    at = F.array(*[F.lit(float(c)) for c in centre])
-    if name == "gaussian":
-        return members.agg(F.max(V.euclidean(F.col("vec"), at))).first()[0] / 1.96
-    if name == "vmf":
-        return float(fit_vmf_kappa(len(centre), members.agg(F.avg(V.cosine(F.col("vec"), at))).first()[0]))
-    if name == "nearest":
+    """A kernel's parameter from members (id, vec) around a centre, by the kernel's own fit; for "nearest" their number."""
+    if name in DENSITIES:
         return float(members.count())
-    raise ValueError(f"unknown kernel: {name}")
+    group = F.lit(0).alias("group")
+    centres = members.sparkSession.createDataFrame([(0, [float(x) for x in centre])], "group int, centre array<double>")
+    return plugins.fitted(members.select(group, "id", "vec"), centres, "group", name, len(centre)).first()["parameter"]
 
 
 def nearest_root(points: DataFrame, links: DataFrame, metric: str = "angular") -> DataFrame:

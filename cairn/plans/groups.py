@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from cairn.operators import aggregates, joins, statistics
+from cairn.operators import aggregates, joins, plugins, statistics
 from cairn.operators import transforms as T
 from cairn.plans.base import DIM, C, P, angle, centroids, points, query, r6
 from cairn.plans.neighbours import LINKS
@@ -239,6 +240,13 @@ def first_component_spread(spark, d):
     return statistics.projected(points(spark, d), mean, axes).agg(F.stddev_samp("pc1").alias("sd"))
 
 
+#: Logarithms of the von Mises-Fisher normaliser of 64 dimensions for whole kappas, in SQL.
+NORM = """ks AS (SELECT unnest(range(0, 500)) AS k),
+series AS (SELECT k, i, (2 * i + 31) * ln(k / 2) - lgamma(i + 1) - lgamma(i + 32) AS t FROM ks, (SELECT unnest(range(0, 800)) AS i) WHERE k > 0),
+bessel AS (SELECT series.k, any_value(m) + ln(sum(exp(t - m))) AS log_i FROM series JOIN (SELECT k, max(t) AS m FROM series GROUP BY k) USING (k) GROUP BY series.k),
+norm AS (SELECT k, 31 * ln(k) - 32 * ln(2 * pi()) - log_i AS c FROM bessel UNION ALL SELECT 0, lgamma(32) - ln(2) - 32 * ln(pi()))"""
+
+
 #: A one in the vector of each label at the place of each of its points, shuffled as `permuted` does it: four steps of a
 #: network on 18 bits, again until the place is one of LENGTH.
 SHUFFLED = f"""{P}, size AS (SELECT greatest({PADDING}, max(id) + 1) AS length FROM p), half AS (SELECT length, greatest(1, ((length(bin(greatest(2, length - 1))) + 1) // 2))::INTEGER AS h FROM size),
@@ -279,10 +287,7 @@ def permutation_correlations(spark, d):
     f"""WITH {C}, cosines AS (SELECT p.label, greatest(-1.0, least(1.0, list_dot_product(p.v, c.v) / sqrt(list_dot_product(p.v, p.v) * list_dot_product(c.v, c.v)))) AS cosine FROM p JOIN c ON c.id = p.label),
 g AS (SELECT label, count(*) AS n, avg(cosine) AS mean_cosine FROM cosines GROUP BY label),
 seen AS (SELECT label, least(20, floor((cosine + 1) * 21 / 2))::INTEGER AS bin, count(*) AS n FROM cosines GROUP BY ALL),
-ks AS (SELECT unnest(range(0, 500)) AS k),
-series AS (SELECT k, i, (2 * i + 31) * ln(k / 2) - lgamma(i + 1) - lgamma(i + 32) AS t FROM ks, (SELECT unnest(range(0, 800)) AS i) WHERE k > 0),
-bessel AS (SELECT series.k, any_value(m) + ln(sum(exp(t - m))) AS log_i FROM series JOIN (SELECT k, max(t) AS m FROM series GROUP BY k) USING (k) GROUP BY series.k),
-norm AS (SELECT k, 31 * ln(k) - 32 * ln(2 * pi()) - log_i AS c FROM bessel UNION ALL SELECT 0, lgamma(32) - ln(2) - 32 * ln(pi())),
+{NORM},
 fit AS (SELECT label, arg_max(k, c + k * mean_cosine) AS kappa FROM g, norm GROUP BY label),
 places AS (SELECT j // 64 AS bin, -1 + (j + 0.5) * 2 / 1344 AS t FROM (SELECT unnest(range(0, 1344)) AS j)),
 logs AS (SELECT k, bin, k * t + 30.5 * ln(1 - t * t) AS w FROM ks, places),
@@ -341,13 +346,63 @@ def kernel_grid(spark, d):
     return over("gaussian", points(spark, d), [0.3, 0.6]).withColumn("density", r6("density", 5))
 
 
-@query("fitted_bandwidths")
+TRIWEIGHT = plugins.Kernel(
+    "triweight", "euclidean", lambda d, p: np.maximum(0.0, 1 - (d / p) ** 2) ** 3, lambda d, p: F.pow(F.greatest(F.lit(0.0), 1 - F.pow(d / p, F.lit(2))), F.lit(3)), F.max, lambda m, dim: m
+)
+ABOUT = "m AS (SELECT p.label, p.id, p.v, c.v AS centre, list_distance(p.v, c.v) AS d FROM p JOIN c ON c.id = p.label)"
+
+
+def groups_and_centres(spark, d):
+    centres = centroids(spark, d).select(F.col("id").cast("int").alias("label"), F.col("vec").alias("centre"))
+    return points(spark, d), centres
+
+
+@query(
+    "fitted_bandwidths",
+    f"""WITH {C}, {ABOUT}, {NORM}, cos AS (SELECT label, avg(greatest(-1.0, least(1.0, list_dot_product(v, centre) / sqrt(list_dot_product(v, v) * list_dot_product(centre, centre))))) AS mean FROM m GROUP BY label)
+SELECT label, 'gaussian' AS kernel, round(max(d) / 1.96, 6) AS parameter FROM m GROUP BY label UNION ALL SELECT label, 'triweight', round(max(d), 6) FROM m GROUP BY label
+UNION ALL SELECT label, 'vmf', arg_max(k, c + k * mean)::DOUBLE FROM cos, norm GROUP BY label""",
+)
 def fitted_bandwidths(spark, d):
-    from cairn.operators.registry import fit_bandwidth
+    """The parameters of two built-in kernels and a registered one for the points of every label."""
+    plugins.register_kernel(TRIWEIGHT)
+    members, centres = groups_and_centres(spark, d)
+    out = None
+    for name in ("gaussian", "triweight", "vmf"):
+        one = plugins.fitted(members, centres, "label", name, DIM).select("label", F.lit(name).alias("kernel"), r6("parameter").alias("parameter"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("registered_kernel", f"WITH {P} SELECT w::DOUBLE AS width, a.id, round(sum(power(greatest(0, 1 - power(list_distance(a.v, b.v) / w, 2)), 3)), 6) AS density FROM p a, p b, (VALUES (0.8), (1.2)) t(w) GROUP BY ALL")
+def registered_kernel(spark, d):
+    """Densities of all points by a kernel that a user registered, over a grid of widths."""
+    from cairn.operators.registry import kernel_grid as over
 
-    centre = [float(x) for x in centroids(spark, d).where("id = 0").first()["vec"]]
-    own = points(spark, d).where("label = 0")
-    return spark.createDataFrame([(k, fit_bandwidth(k, own, centre)) for k in ("gaussian", "vmf", "nearest")], "kernel string, parameter double")
+    plugins.register_kernel(TRIWEIGHT)
+    return over("triweight", points(spark, d), [0.8, 1.2]).withColumn("density", r6("density"))
+
+
+@query(
+    "kernel_weighted_means",
+    f"""WITH {C}, {ABOUT}, x AS (SELECT label, exp(-d * d / (2 * 0.5 * 0.5)) AS w, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS dim FROM m)
+SELECT label, dim::INTEGER AS dim, round(sum(w * x) / sum(w), 6) AS value FROM x GROUP BY label, dim""",
+)
+def kernel_weighted_means(spark, d):
+    members, centres = groups_and_centres(spark, d)
+    means = plugins.weighted_means(members, centres, "label", "gaussian", 0.5, DIM)
+    return means.select("label", F.posexplode("mean").alias("dim", "value")).withColumn("value", r6("value"))
+
+
+@query(
+    "filtered_scores",
+    f"WITH {P} SELECT id, round(sqrt(list_sum(list_transform(v, lambda x: x * x / 0.04)) + list_sum(list_transform(v[1:1], lambda x: x * x * (1 / 0.01 - 1 / 0.04)))), 6) AS score FROM p WHERE v[1] BETWEEN -0.2 AND 0.3 AND sqrt(list_dot_product(v, v)) >= 0.9",
+)
+def filtered_scores(spark, d):
+    """Points that two filters leave, with their lengths in units of a noise covariance."""
+    kept = plugins.filtered(points(spark, d), [("within", {"dim": 0, "low": -0.2, "high": 0.3}), ("min_length", {"least": 0.9})])
+    noise = np.diag([0.01] + [0.04] * (DIM - 1))
+    return plugins.scored(kept, "mahalanobis", noise=noise.tolist()).withColumn("score", r6("score"))
 
 
 @query(
