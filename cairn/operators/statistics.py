@@ -10,12 +10,40 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from cairn.functions.special import hypergeometric_tail
+#: Terms of tails that are summed at once.
+TERMS = 1_000_000
+
+
+def log_factorials(n: np.ndarray) -> np.ndarray:
+    """ln n! of whole numbers: sums up to 32, Stirling's series beyond."""
+    n = np.asarray(n, dtype=float)
+    few = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 33)))])[np.minimum(n, 32).astype(int)]
+    x = np.maximum(n, 1)
+    return np.where(n <= 32, few, x * np.log(x) - x + 0.5 * np.log(2 * np.pi * x) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5))
+
+
+def tails(n: np.ndarray, m: np.ndarray, d: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """For each row the hypergeometric chance of h or more of m marked among d drawn of n: about TERMS terms at once."""
+    low, high = np.maximum(np.maximum(h, d + m - n), 0), np.minimum(m, d)
+    out, left = np.zeros(len(n)), np.flatnonzero(high >= low)
+    choose = lambda a, b: log_factorials(a) - log_factorials(b) - log_factorials(a - b)
+    begin = low.copy()
+    while len(left):
+        sizes = np.minimum(high[left] - begin[left] + 1, TERMS)
+        own = left[: max(1, int(np.searchsorted(np.cumsum(sizes), TERMS, side="right")))]
+        sizes = sizes[: len(own)]
+        row = np.repeat(own, sizes)
+        k = begin[row] + np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        terms = np.exp(choose(m[row], k) + choose(n[row] - m[row], d[row] - k) - choose(n[row], d[row]))
+        out[own] += np.bincount(np.repeat(np.arange(len(own)), sizes), terms, minlength=len(own))
+        begin[own] += sizes
+        left = np.concatenate([own[begin[own] <= high[own]], left[len(own) :]])
+    return np.minimum(out, 1.0)
 
 
 @F.pandas_udf(DoubleType())
 def _tail(population: pd.Series, marked: pd.Series, drawn: pd.Series, hits: pd.Series) -> pd.Series:
-    return pd.Series([hypergeometric_tail(*map(int, v)) for v in zip(population, marked, drawn, hits, strict=True)], dtype="float64")
+    return pd.Series(tails(*(x.to_numpy(dtype=np.int64) for x in (population, marked, drawn, hits))))
 
 
 def enrichment_counts(members: DataFrame, annotations: DataFrame) -> DataFrame:

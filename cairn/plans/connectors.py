@@ -5,10 +5,12 @@ Files go to a new folder beside the session's checkpoints, which driver and exec
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from cairn.functions import special
 from cairn.functions import vectors as V
+from cairn.functions.scalars import on_columns
 from cairn.operators import density, graphs, synthetic
 from cairn.operators import transforms as T
 from cairn.plans.base import ACOS, DIM, C, P, centroids, points, query, r6
@@ -264,67 +266,92 @@ def vector_parts(spark, d):
 
 @query(
     "default_ranges",
-    """WITH n AS (SELECT count(*) AS n FROM events), d AS (SELECT unnest(range(1, 101)) AS dim) SELECT dim::BIGINT AS dim, trunc(least(1000, greatest(3, 2890 * pow(dim, -0.8))))::BIGINT AS k_max,
+    """WITH n AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1), d AS (SELECT unnest(range(1, 101)) AS dim) SELECT event_type, dim::BIGINT AS dim, trunc(least(1000, greatest(3, 2890 * pow(dim, -0.8))))::BIGINT AS k_max,
     trunc(least(1000, greatest(3, 1942 * pow(dim, -1.61))))::BIGINT AS k_min, greatest((dim + 1) // 2, -ceil(log2(0.01 / n)))::BIGINT AS reach,
     greatest(-12 * dim * dim + 1050, 150)::BIGINT AS older_max, greatest(5, trunc(-0.38 * pow(dim, 1.5) + 11))::BIGINT AS older_min FROM d, n""",
 )
 def default_ranges(spark, d):
-    """Search ranges for data of 1 to 100 dimensions and as many rows as there are events."""
-    n = table(spark, d, "events").count()
-    rows = [(dim, *density.default_range(dim, n).values(), *density.older_default_range(dim)) for dim in range(1, 101)]
-    return spark.createDataFrame(rows, "dim long, k_max long, k_min long, reach long, older_max long, older_min long")
+    """Search ranges of 1 to 100 dimensions for as many rows as each type of event has."""
+
+    def run(frames):
+        for frame in frames:
+            for kind, n in zip(frame["event_type"], frame["n"], strict=True):
+                rows = [(kind, dim, *density.default_range(dim, n).values(), *density.older_default_range(dim)) for dim in range(1, 101)]
+                yield pd.DataFrame(rows, columns=["event_type", "dim", "k_max", "k_min", "reach", "older_max", "older_min"])
+
+    groups = table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    return groups.mapInPandas(run, "event_type string, dim long, k_max long, k_min long, reach long, older_max long, older_min long")
 
 
 @query(
     "chi_densities",
-    """WITH g AS (SELECT df, x / 2.0 AS x FROM (SELECT unnest(range(1, 13)) AS df), (SELECT unnest(range(1, 41)) AS x))
-    SELECT df::BIGINT AS df, x::DOUBLE AS x, round(exp((1 - df / 2) * ln(2) + (df - 1) * ln(x) - x * x / 2 - lgamma(df / 2)), 9) + 0.0 AS chi, round(exp((df / 2 - 1) * ln(x) - x / 2 - (df / 2) * ln(2) - lgamma(df / 2)), 9) + 0.0 AS chi_square FROM g""",
+    """WITH g AS (SELECT l_linenumber::DOUBLE AS df, l_quantity / 8 AS x, count(*) AS n FROM lineitem GROUP BY ALL)
+    SELECT df, x, n, round(exp((1 - df / 2) * ln(2) + (df - 1) * ln(x) - x * x / 2 - lgamma(df / 2)), 9) + 0.0 AS chi, round(exp((df / 2 - 1) * ln(x) - x / 2 - (df / 2) * ln(2) - lgamma(df / 2)), 9) + 0.0 AS chi_square FROM g""",
 )
 def chi_densities(spark, d):
-    rows = [(df, x / 2, special.chi_density(df, x / 2), special.chi_square_density(df, x / 2)) for df in range(1, 13) for x in range(1, 41)]
-    return spark.createDataFrame(rows, "df long, x double, chi double, chi_square double").withColumns({c: F.round(c, 9) + 0.0 for c in ("chi", "chi_square")})
-
-
-BESSEL = """WITH g AS (SELECT o / 2.0 AS o, x::DOUBLE AS x FROM (SELECT unnest(range(0, 21)) AS o), (SELECT unnest(range(1, 41)) AS x)),
-    t AS (SELECT o, x, (2 * k + o) * ln(x / 2) - lgamma(k + 1) - lgamma(k + o + 1) AS t FROM g, (SELECT unnest(range(0, 120)) AS k)),
-    b AS (SELECT o, x, max(m) + ln(sum(exp(t - m))) AS b FROM (SELECT *, max(t) OVER (PARTITION BY o, x) AS m FROM t) GROUP BY o, x)"""
+    """Chi and chi-square densities at the quantities of all lines, with as many degrees as the line's number."""
+    g = table(spark, d, "lineitem").groupBy(F.col("l_linenumber").cast("double").alias("df"), (F.col("l_quantity") / 8).alias("x")).agg(F.count("*").alias("n"))
+    return g.withColumns({c: F.round(on_columns(f, "df", "x"), 9) + 0.0 for c, f in (("chi", special.chi_density), ("chi_square", special.chi_square_density))})
 
 
-@query("bessel_logs", BESSEL + " SELECT o::DOUBLE AS ord, x, round(b, 8) + 0.0 AS log_bessel FROM b")
+@query(
+    "bessel_logs",
+    """WITH g AS (SELECT l_linenumber / 2.0 AS ord, l_quantity AS x, count(*) AS n FROM lineitem GROUP BY ALL),
+    t AS (SELECT ord, x, n, (2 * k + ord) * ln(x / 2) - lgamma(k + 1) - lgamma(k + ord + 1) AS t FROM g, (SELECT unnest(range(0, 140)) AS k)),
+    m AS (SELECT *, max(t) OVER (PARTITION BY ord, x) AS m FROM t)
+    SELECT ord::DOUBLE AS ord, x, n, round(max(m) + ln(sum(exp(t - m))), 8) + 0.0 AS log_bessel FROM m GROUP BY ord, x, n""",
+)
 def bessel_logs(spark, d):
-    """ln I of whole and half orders."""
-    rows = [(o / 2, float(x), special.log_bessel_i(o / 2, x)) for o in range(21) for x in range(1, 41)]
-    return spark.createDataFrame(rows, "ord double, x double, log_bessel double").withColumn("log_bessel", F.round("log_bessel", 8) + 0.0)
+    """ln I of whole and half orders at the quantities of all lines."""
+    g = table(spark, d, "lineitem").groupBy((F.col("l_linenumber") / 2).alias("ord"), F.col("l_quantity").alias("x")).agg(F.count("*").alias("n"))
+    return g.withColumn("log_bessel", F.round(on_columns(special.log_bessel_i, "ord", "x"), 8) + 0.0)
 
 
-@query("vmf_densities", BESSEL + ", c AS (SELECT unnest([-1.0, -0.5, 0.0, 0.5, 1.0])::DOUBLE AS cosine) SELECT (2 * o + 2)::BIGINT AS dim, x AS kappa, cosine, round(o * ln(x) - (o + 1) * ln(2 * pi()) - b + x * cosine, 8) + 0.0 AS log_density FROM b, c")
+@query(
+    "vmf_densities",
+    f"""WITH {C}, ks AS (SELECT unnest(range(1, 92, 10)) AS k),
+    series AS (SELECT k, i, (2 * i + 31) * ln(k / 2) - lgamma(i + 1) - lgamma(i + 32) AS t FROM ks, (SELECT unnest(range(0, 300)) AS i)),
+    bessel AS (SELECT series.k, any_value(m) + ln(sum(exp(t - m))) AS log_i FROM series JOIN (SELECT k, max(t) AS m FROM series GROUP BY k) USING (k) GROUP BY series.k)
+    SELECT p.id, round(31 * ln(k) - 32 * ln(2 * pi()) - log_i + k * greatest(-1.0, least(1.0, list_dot_product(p.v, c.v) / sqrt(list_dot_product(p.v, p.v) * list_dot_product(c.v, c.v)))), 6) + 0.0 AS log_density
+    FROM p JOIN c ON c.id = p.label JOIN bessel ON k = 10 * p.label + 1""",
+)
 def vmf_densities(spark, d):
-    """Logarithms of von Mises-Fisher densities of 2 to 22 dimensions over a grid of kappa and cosines."""
-    rows = [(o + 2, float(k), c, special.log_vmf_constant(o + 2, k) + k * c) for o in range(21) for k in range(1, 41) for c in (-1.0, -0.5, 0.0, 0.5, 1.0)]
-    return spark.createDataFrame(rows, "dim long, kappa double, cosine double, log_density double").withColumn("log_density", F.round("log_density", 8) + 0.0)
+    """Logarithms of the von Mises-Fisher densities of all points about their label's mean, with a concentration for each label."""
+    centres = centroids(spark, d).select(F.col("id").alias("label"), F.col("vec").alias("centre"))
+    constant = on_columns(lambda kappa: special.log_vmf_constant(DIM, kappa), F.col("kappa").cast("double"))
+    rows = points(spark, d).join(centres, "label").withColumn("kappa", 10 * F.col("label") + 1)
+    return rows.select("id", (F.round(constant + F.col("kappa") * V.cosine(F.col("vec"), F.col("centre")), 6) + 0.0).alias("log_density"))
 
 
 @query(
     "tabled_functions",
-    "WITH g AS (SELECT unnest(range(0, 41)) / 4.0 AS x) SELECT x::DOUBLE AS x, round(floor(x) * floor(x) + (x - floor(x)) * (2 * floor(x) + 1), 9) + 0.0 AS squares, round(x * 3 + (10 - x) * 2, 9) + 0.0 AS plane FROM g",
+    """WITH g AS (SELECT l_quantity / 5 AS x, count(*) AS n FROM lineitem GROUP BY ALL)
+    SELECT x, n, round(floor(x) * floor(x) + (x - floor(x)) * (2 * floor(x) + 1), 9) + 0.0 AS squares, round(x * 3 + (10 - x) * 2, 9) + 0.0 AS plane FROM g""",
 )
 def tabled_functions(spark, d):
-    """Squares between whole numbers by a table, and a plane by a grid."""
-    table1, grid = [(float(i), float(i * i)) for i in range(11)], [float(i) for i in range(0, 11, 2)]
-    values = [[3 * x + 2 * y for y in grid] for x in grid]
-    rows = [(i / 4, special.interpolate(table1, i / 4), special.interpolate2(grid, grid, values, i / 4, 10 - i / 4)) for i in range(41)]
-    return spark.createDataFrame(rows, "x double, squares double, plane double").withColumns({c: F.round(c, 9) + 0.0 for c in ("squares", "plane")})
+    """Squares between whole numbers by a table, and a plane by a grid, at the quantities of all lines."""
+    squares, at = [(float(i), float(i * i)) for i in range(12)], [float(i) for i in range(0, 11, 2)]
+    values = [[3 * x + 2 * y for y in at] for x in at]
+    g = table(spark, d, "lineitem").groupBy((F.col("l_quantity") / 5).alias("x")).agg(F.count("*").alias("n"))
+    by_table, by_grid = on_columns(lambda x: special.interpolate(squares, x), "x"), on_columns(lambda x: special.interpolate2(at, at, values, x, 10 - x), "x")
+    return g.withColumns({"squares": F.round(by_table, 9) + 0.0, "plane": F.round(by_grid, 9) + 0.0})
 
 
 @query(
     "generated_points",
-    """SELECT * FROM (VALUES ('one_normal', 10000::BIGINT, 3::BIGINT, 1::BIGINT, true), ('two_normals', 4000, 40, 2, true), ('one_marker', 2000, 38, 2, true), ('trajectory', 50000, 50, 1000, true), ('mixture', 5000, 50, 10, true)) v(generator, n, dim, components, finite_density)""",
+    """WITH n AS (SELECT count(*) AS n FROM events) SELECT generator, n // parts * parts AS n, dim, least(components, n // parts * parts) AS components, true AS finite_density
+    FROM n, (VALUES ('one_normal', 1, 3::BIGINT, 1::BIGINT), ('two_normals', 2, 40, 2), ('one_marker', 2, 38, 2), ('trajectory', 50, 50, 50), ('mixture', 10, 50, 10)) v(generator, parts, dim, components)""",
 )
 def generated_points(spark, d):
-    """Each generator at its own size: rows, dimensions, components, and whether every stated log density is a number."""
+    """As many points of each generator as there are events: rows, dimensions, components, and whether every stated log density is a number."""
+    n = table(spark, d, "events").count()
+    made = {
+        "one_normal": synthetic.one_normal(spark, n), "two_normals": synthetic.two_normals(spark, n // 2), "one_marker": synthetic.one_marker(spark, n // 2),
+        "trajectory": synthetic.trajectory(spark, 50, n // 50), "mixture": synthetic.mixture(spark, n // 10 * 10),
+    }
     out = None
-    for name in ("one_normal", "two_normals", "one_marker", "trajectory", "mixture"):
-        rows = getattr(synthetic, name)(spark).select(F.size("vec").alias("dim"), F.col("side")[1].alias("component"), F.col("side")[0].alias("density"))
+    for name, df in made.items():
+        rows = df.select(F.size("vec").alias("dim"), F.col("side")[1].alias("component"), F.col("side")[0].alias("density"))
         one = rows.agg(F.count("*").alias("n"), F.max("dim").cast("long").alias("dim"), F.countDistinct("component").alias("components"), F.bool_and(F.col("density").isNotNull() & ~F.isnan("density")).alias("finite_density"))
         one = one.select(F.lit(name).alias("generator"), "n", "dim", "components", "finite_density")
         out = one if out is None else out.unionByName(one)

@@ -176,10 +176,10 @@ def cluster_size_filter(spark, d):
     return T.large_enough(sizes, pts.count())
 
 
-@query("cluster_volume", f"WITH {X}, r AS (SELECT label, d, max(x) - min(x) AS r FROM long WHERE d < 8 GROUP BY 1, 2) SELECT label, round(exp(sum(ln(r / 0.25))), 5) AS volume FROM r GROUP BY label")
+@query("cluster_volume", f"WITH {X}, r AS (SELECT label, d, max(x) - min(x) AS r FROM long GROUP BY 1, 2) SELECT label, round(sum(ln(r / 0.25)), 6) AS log_volume FROM r GROUP BY label")
 def cluster_volume(spark, d):
-    """Volume over the first eight dimensions: the product over all 64 leaves a double's useful digits."""
-    return aggregates.volume(points(spark, d), 8, [0.25] * 8, ["label"]).withColumn("volume", F.round("volume", 5))
+    """The logarithm of the volume over all dimensions."""
+    return aggregates.volume(points(spark, d), DIM, [0.25] * DIM, ["label"]).select("label", r6(F.ln("volume")).alias("log_volume"))
 
 
 @query(
@@ -206,21 +206,21 @@ def cluster_ordinals(spark, d):
     return numbered(members(spark, d), sizes).withColumn("ordinal", F.col("ordinal").cast("long"))
 
 
-@query("export_member_rows", f"WITH {P} SELECT label AS ClusterID, 'e' || id AS name, v[1] AS f0, v[2] AS f1 FROM p")
+@query("export_member_rows", f"WITH {P} SELECT label AS ClusterID, 'e' || id AS name, {', '.join(f'v[{i + 1}] AS f{i}' for i in range(DIM))} FROM p")
 def export_member_rows(spark, d):
     from cairn.sources.sinks import member_rows
 
     named = points(spark, d).select("id", F.concat(F.lit("e"), F.col("id").cast("string")).alias("name"), "vec")
-    return member_rows(members(spark, d), named, ["f0", "f1"])
+    return member_rows(members(spark, d), named, [f"f{i}" for i in range(DIM)])
 
 
-@query("profile_text", f"WITH {X} SELECT label AS cluster, round(avg(x), 6) AS first FROM long WHERE d = 0 GROUP BY label")
+@query("profile_text", f"WITH {X} SELECT label AS cluster, d::INTEGER AS dim, round(avg(x), 6) AS value FROM long GROUP BY label, d")
 def profile_text(spark, d):
-    """Profiles as tab-separated text; the first cell read back."""
+    """Profiles as tab-separated text; all cells read back."""
     from cairn.sources.sinks import profile_text as as_text
 
     text = as_text(aggregates.mean_profile(points(spark, d), ["label"], DIM).withColumnRenamed("label", "cluster"))
-    return text.select("cluster", F.split("text", "\t")[0].cast("double").alias("first"))
+    return text.select("cluster", F.posexplode(F.split("text", "\t")).alias("dim", "value")).withColumn("value", r6(F.col("value").cast("double")))
 
 
 @query(

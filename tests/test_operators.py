@@ -311,6 +311,25 @@ def test_concentration_fits(spark):
     assert all(r["kappa"] == max(range(500), key=lambda k: special.log_vmf_constant(dim, k) + k * r["mean_cosine"]) for r in got.values())
 
 
+@pytest.mark.parametrize("most", [1, 50, 10**6])
+def test_hypergeometric_tails(monkeypatch, most):
+    monkeypatch.setattr(statistics, "TERMS", most)
+    rng = np.random.default_rng(5)
+    n = rng.integers(1, 400, 60)
+    m, d = rng.integers(0, n + 1), rng.integers(0, n + 1)
+    h = rng.integers(0, np.minimum(m, d) + 2)
+    got = statistics.tails(n, m, d, h)
+    assert got == pytest.approx([special.hypergeometric_tail(*map(int, v)) for v in zip(n, m, d, h, strict=True)], abs=1e-9)
+    assert len(statistics.tails(*(np.array([], dtype=np.int64) for _ in range(4)))) == 0
+
+
+def test_scalar_functions_on_columns(spark):
+    from cairn.functions.scalars import on_columns
+
+    df = spark.createDataFrame([(1.0, 2.0), (1.0, 2.0), (3.0, None), (0.5, 4.0)], "a double, b double").repartition(1)
+    assert sorted(map(str, (r[0] for r in df.select(on_columns(lambda a, b: a * 10 + b, "a", "b")).collect()))) == ["12.0", "12.0", "9.0", "None"]
+
+
 def test_chi_square_tail():
     for df, x, p in ((1, 3.841458820694124, 0.05), (10, 18.307038053275146, 0.05), (19, 10.117013063859044, 0.95), (2, 2 * math.log(4), 0.25), (19, 43.820195964517531, 0.001)):
         assert special.chi_square_tail(df, x) == pytest.approx(p, rel=1e-9)
