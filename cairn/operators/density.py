@@ -242,7 +242,7 @@ def merge_by_mahalanobis(stats: list[dict], threshold: float = 2.0, shrink: floa
     Distance is the length of the mean difference over the mean of the two spreads (n - 1, divided by `shrink`); a
     single member or a dimension without spread blocks a merge.
     """
-    if len(stats) > 20_000:
+    if len(stats) > 2_000:
         raise ValueError("too many clusters to merge on the driver")
     have = {s["cluster"]: (s["n"], np.array(s["sums"], float), np.array(s["squares"], float), [s["cluster"]]) for s in stats}
 

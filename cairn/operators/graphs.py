@@ -34,22 +34,22 @@ def pairwise(points: DataFrame, metric: str = "angular") -> DataFrame:
     return left.join(F.broadcast(right), F.col("a") < F.col("b")).select("a", "b", V.metric(metric)(F.col("va"), F.col("vb")).alias("dist"))
 
 
-def spanning_tree(edges: DataFrame, weight: str = "weight") -> list[tuple[int, int, float]]:
-    """The spanning tree (or forest) of greatest total weight of cluster-level edges (a, b, weight), by Kruskal; ties by a, b."""
-    parent: dict = {}
-
-    def root(x):
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    tree = []
-    for r in sorted(_on_driver(edges), key=lambda r: (-r[weight], r["a"], r["b"])):
-        a, b = root(r["a"]), root(r["b"])
-        if a != b:
-            parent[a] = b
-            tree.append((r["a"], r["b"], r[weight]))
+def spanning_tree(edges: DataFrame, weight: str = "weight") -> DataFrame:
+    """(a, b, weight): the spanning tree (or forest) of greatest total weight of edges (a, b, weight), ties by a, b; by Boruvka's rounds.
+
+    In a round every component takes its best edge to another one, then components that an edge joins become one, so
+    there are at least half as few each round. Edges inside a component are dropped before the next.
+    """
+    left = cut_lineage(edges.select("a", "b", F.col(weight).alias("weight"), F.col("a").alias("ca"), F.col("b").alias("cb")).where("a <> b"))
+    tree = left.select("a", "b", "weight").limit(0)
+    while not left.isEmpty():
+        ends = left.select(F.explode(F.array("ca", "cb")).alias("c"), F.struct((-F.col("weight")).alias("less"), "a", "b", "ca", "cb").alias("edge"))
+        best = cut_lineage(ends.groupBy("c").agg(F.min("edge").alias("edge")).select("edge.*").distinct())
+        tree = cut_lineage(tree.unionByName(best.select("a", "b", (-F.col("less")).alias("weight"))))
+        joined = components(best.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        for side in ("ca", "cb"):
+            left = left.join(joined.select(F.col("id").alias(side), F.col("component").alias(f"{side}_now")), side)
+        left = cut_lineage(left.where("ca_now <> cb_now").select("a", "b", "weight", F.col("ca_now").alias("ca"), F.col("cb_now").alias("cb")))
     return tree
 
 
@@ -57,9 +57,7 @@ def similarity_tree(profiles: DataFrame) -> DataFrame:
     """Spanning tree of greatest cosine similarity between cluster profiles (id, vec); weights are 5 * similarity / the greatest."""
     edges = pairwise(profiles, "angular").select("a", "b", F.cos("dist").alias("weight"))
     tree = spanning_tree(edges)
-    top = max((w for *_, w in tree), default=1.0)
-    rows = [(a, b, 5 * w / top) for a, b, w in tree]
-    return profiles.sparkSession.createDataFrame(rows, "a long, b long, weight double")
+    return tree.crossJoin(F.broadcast(tree.agg(F.max("weight").alias("top")))).select("a", "b", (5 * F.col("weight") / F.col("top")).alias("weight"))  # one row
 
 
 def node_sizes(sizes: DataFrame) -> DataFrame:

@@ -38,13 +38,17 @@ def nearest_centre(points: DataFrame, centres: DataFrame, metric: str = "angular
     import numpy as np
 
     from cairn.operators.knn import distances, nearest, resolved
+    from cairn.operators.order import places
+    from cairn.session import cut_lineage
 
     rows = centres.select("centre", "profile").orderBy("centre").limit(MOST_SENT_CENTRES + 1).collect()
     if len(rows) <= MOST_SENT_CENTRES:
         profiles = np.nan_to_num(np.array([r["profile"] for r in rows], dtype=float), nan=0.0)
         found = _least(points, rows, centres.schema["centre"].dataType.simpleString(), lambda x, between=resolved(metric): distances(x, profiles, between)) if rows else points.select("id", F.lit(None).cast(centres.schema["centre"].dataType).alias("centre"), F.lit(None).cast("double").alias("dist"))
     else:
-        found = nearest(points, centres.select(F.col("centre").alias("id"), F.col("profile").alias("vec")), 1, metric).select(F.col("i").alias("id"), F.col("j").alias("centre"), "dist")
+        # numbers in the order of the centres, of any type, that no point has as its id
+        numbered = cut_lineage(places(centres.select("centre", "profile"), [], ["centre"]).select((F.col("place") - 2**62).alias("j"), "centre", "profile"))
+        found = nearest(points, numbered.select(F.col("j").alias("id"), F.col("profile").alias("vec")), 1, metric).join(numbered.select("j", "centre"), "j").select(F.col("i").alias("id"), "centre", "dist")
     return found if most is None else found.withColumn("centre", F.when(F.col("dist") <= most, F.col("centre")))
 
 

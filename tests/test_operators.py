@@ -97,11 +97,31 @@ def test_linkage_properties(rows, method):
         assert all(len(g) < len(rows) for g in groups)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_spanning_forests_equal_kruskal(spark, seed):
+    """Ties, several components, loops and repeated edges."""
+    rng = np.random.default_rng(seed)
+    rows = [(int(a), int(b), float(rng.integers(0, 4))) for a, b in rng.integers(0, 30, (45, 2))] + [(100, 101, -1.0), (101, 100, -1.0), (7, 7, 9.0)]
+    parent, want = {}, set()
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b, w in sorted(rows, key=lambda r: (-r[2], r[0], r[1])):
+        if root(a) != root(b):
+            parent[root(a)] = root(b)
+            want.add((a, b, w))
+    assert {tuple(r) for r in graphs.spanning_tree(spark.createDataFrame(rows, "a long, b long, weight double")).collect()} == want
+    assert graphs.spanning_tree(spark.createDataFrame([], "a long, b long, weight double")).count() == 0
+
+
 def test_spanning_tree_and_components(spark):
     rng = np.random.default_rng(2)
     edges = spark.createDataFrame([(a, b, float(rng.random())) for a in range(8) for b in range(a + 1, 8)], "a long, b long, weight double")
     tree = graphs.spanning_tree(edges)
-    assert len(tree) == 7 and graphs.components(spark.createDataFrame(tree, edges.schema)).select("component").distinct().count() == 1
+    assert tree.count() == 7 and graphs.components(tree).select("component").distinct().count() == 1
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     found = {r.id: r.component for r in graphs.components(chain).collect()}
     assert {found[i] for i in range(41)} == {0} and found[101] == 100
@@ -353,6 +373,10 @@ def test_nearest_centres_clean_vectors_alike(spark, monkeypatch):
     few = {(r.id, r.centre, round(r.dist, 9)) for r in joins.nearest_centre(pts, centres).collect()}
     monkeypatch.setattr(joins, "MOST_SENT_CENTRES", 1)
     assert {(r.id, r.centre, round(r.dist, 9)) for r in joins.nearest_centre(pts, centres).collect()} == few == {(0, 7, 0.0), (1, 8, 0.0), (2, 7, round(math.pi / 4, 9))}
+    # centres of any type, also numbers that points have as ids, and ties to the least
+    for kind, names in (("long", [1, 0, 2]), ("string", ["b", "a", "c"])):
+        many = spark.createDataFrame(list(zip(names, [[0.0, 1.0], [1.0, 0.0], [0.0, 2.0]], strict=True)), f"centre {kind}, profile array<double>")
+        assert {r.id: r.centre for r in joins.nearest_centre(pts, many).collect()} == {0: names[1], 1: names[0], 2: names[1]}
 
 
 def test_registered_distances_reach_neighbours(spark):
