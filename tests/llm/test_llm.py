@@ -686,6 +686,46 @@ def test_near_classes(spark, sf, hard, none):
     assert near.classes(none).count() == 0 and near.deduplicated(none).count() == 0
 
 
+def aligned_share(a, b):
+    """Similarity of two texts by labelled five-word shingles and a longest increasing run, from the words themselves."""
+    from bisect import bisect_left
+
+    def labelled(text):
+        words, seen = text.split(), Counter()
+        out = {}
+        for i in range(len(words) - 4):
+            w = tuple(words[i : i + 5])
+            out[w, seen[w]] = i
+            seen[w] += 1
+        return out
+
+    x, y = labelled(a), labelled(b)
+    ends = []
+    for place in (y[k] for k in x if k in y):
+        at = bisect_left(ends, place)
+        ends[at : at + 1] = [place]
+    return len(ends) / (len(x) + len(y) - len(ends))
+
+
+def test_recall_on_a_thousand_pairs_just_above_the_threshold(spark):
+    """Pairs of similarity 0.80 to 0.85, each of words of its own, and as many just below: all of the first meet, none of the others."""
+    rng, pairs = random.Random(17), {True: [], False: []}
+    while min(map(len, pairs.values())) < 1100:
+        n = rng.choice([40, 60, 120, 300, 700])
+        words = [f"w{rng.randrange(10**8)}" for _ in range(n)]
+        other = list(words)
+        for _ in range(max(1, round(n * rng.uniform(0.018, 0.045)))):
+            at = rng.randrange(len(other))
+            other[at : at + 1] = rng.choice([[f"n{rng.randrange(10**8)}"], [], [other[at], f"n{rng.randrange(10**8)}"]])
+        a, b = " ".join(words), " ".join(other)
+        share = aligned_share(a, b)
+        if 0.75 < share < 0.85 and len(pairs[share >= 0.8]) < 1100:
+            pairs[share >= 0.8].append((a, b))
+    texts = [t for own in pairs.values() for pair in own for t in pair]
+    found = {r.doc_id: r.class_id for r in near.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [found[2 * i] == found[2 * i + 1] for i in range(2200)] == [True] * 1100 + [False] * 1100
+
+
 def test_short_texts_meet(spark):
     """Pairs of 4 against 5 and of 8 against 10 symbols, at similarity 0.8 exactly, all share a bucket."""
     rng = random.Random(3)
