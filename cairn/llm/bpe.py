@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from cairn.llm.common import map_documents, narrow, read_table, text_or_empty
 
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES, PIECE_ENTRIES = 300_000, 20_000
 CACHE_CHARS = 48
 #: Unicode's White_Space, as the rank files' own library reads \s; Python's \s has four control characters more.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -140,7 +140,7 @@ class BytePairCodec:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging the bytes of `left` and `right` together leaves just these two tokens."""
-        key = (left, right)
+        key = left << 32 | right
         found = self.fits.get(key)
         if found is None:
             if len(self.fits) > CACHE_ENTRIES:
@@ -199,7 +199,7 @@ class BytePairCodec:
             if packed is None:
                 packed = np.array(self.encode_piece(piece.encode()), dtype="<u4").tobytes()
                 if len(piece) <= CACHE_CHARS:
-                    if len(self.pieces) > CACHE_ENTRIES:
+                    if len(self.pieces) > PIECE_ENTRIES:
                         self.pieces.clear()
                     self.pieces[piece] = packed
             found.append(packed)
