@@ -234,10 +234,18 @@ def reassigned_rows(spark, d):
     return found.select("id", "centre", r6("dist").alias("dist"))
 
 
-@query("first_component_spread")
+@query(
+    "first_component_spread",
+    f"""WITH RECURSIVE {C}, x AS (SELECT id, d, x - avg(x) OVER (PARTITION BY d) AS x FROM long), n AS (SELECT count(*) - 1 AS n FROM p),
+cov AS (SELECT a.d AS i, b.d AS j, sum(a.x * b.x) / any_value(n) AS c FROM x a JOIN x b USING (id) CROSS JOIN n GROUP BY ALL),
+m AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(c ORDER BY j) AS r FROM cov GROUP BY i)),
+power AS (SELECT 0 AS step, list_transform(range(1, {DIM + 1}), lambda k: 1.0 / k) AS v
+  UNION ALL SELECT step + 1, list_transform(w, lambda y: y / sqrt(list_dot_product(w, w))) FROM (SELECT step, list_transform(m, lambda r: list_dot_product(r, v)) AS w FROM power, m WHERE step < 600))
+SELECT round(sqrt(list_dot_product(v, list_transform(m, lambda r: list_dot_product(r, v)))), 6) AS sd FROM power, m WHERE step = 600""",
+)
 def first_component_spread(spark, d):
     mean, axes, _ = statistics.principal_components(points(spark, d), DIM, 1)
-    return statistics.projected(points(spark, d), mean, axes).agg(F.stddev_samp("pc1").alias("sd"))
+    return statistics.projected(points(spark, d), mean, axes).agg(r6(F.stddev_samp("pc1")).alias("sd"))
 
 
 #: Logarithms of the von Mises-Fisher normaliser of 64 dimensions for whole kappas, in SQL.

@@ -179,6 +179,19 @@ def auto_clusters(spark, d):
     return found.withColumn("k", F.lit(k))
 
 
+@query(
+    "density_batch",
+    f"""WITH RECURSIVE {SWEPT.format(ks='5, 10', reach=REACH)},
+walk AS (SELECT kk, id, id AS cur FROM links UNION SELECT walk.kk, walk.id, links.parent FROM walk JOIN links ON links.kk = walk.kk AND links.id = walk.cur WHERE links.parent IS NOT NULL)
+SELECT 'embeddings' AS dataset, 'k=' || walk.kk || ', merge=False, reach={REACH}' AS parameters, walk.id, walk.cur AS cluster FROM walk JOIN links ON links.kk = walk.kk AND links.id = walk.cur WHERE links.parent IS NULL""",
+)
+def density_batch(spark, d):
+    """An algorithm by name, over a grid of parameters."""
+    from cairn.operators.registry import batch
+
+    return batch("density", {"embeddings": points(spark, d)}, [{"k": k, "reach": REACH, "merge": False} for k in (5, 10)])
+
+
 MODELS = C + """, mv AS (SELECT label, d, avg(x) AS m, sqrt(greatest(coalesce(var_samp(x), 0), 0.19)) AS s FROM long GROUP BY label, d)"""
 
 
@@ -309,6 +322,18 @@ def knn_graph_edges(spark, d):
     return graphs.knn_graph(table_of(spark, d, 5), 5).withColumn("dist", r6("dist"))
 
 
+@query(
+    "knn_graph_in_range",
+    f"""WITH {P}, d AS (SELECT a.id AS i, b.id AS j, CASE WHEN a.id = b.id THEN 0.0 ELSE {angle('a.v', 'b.v')} END AS dist FROM p a JOIN p b ON abs(a.v[1] - b.v[1]) <= 0.1),
+k AS (SELECT i, j, dist FROM d QUALIFY row_number() OVER (PARTITION BY i ORDER BY dist, j) <= 5)
+SELECT least(i, j) AS a, greatest(i, j) AS b, round(min(dist), 6) AS dist FROM k WHERE i <> j GROUP BY 1, 2""",
+)
+def knn_graph_in_range(spark, d):
+    """A graph of the nearest points among those whose first component differs by 0.1 at most."""
+    rows = points(spark, d).withColumn("first", F.col("vec")[0])
+    return graphs.knn_graph(metric.nearest_in_metric(rows, 5, limits={"first": 0.1}), 5).withColumn("dist", r6("dist"))
+
+
 @query(
     "knn_graph_by_density",
     f"""WITH {DENS}, degree AS (SELECT id, round(2 + percent_rank() OVER (ORDER BY density) * 6)::INT AS degree FROM dens)
