@@ -247,6 +247,32 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def chunk_links(rows: list[dict], others: list[dict], same: bool) -> list[tuple[bytes, bytes]]:
+    """Near pairs (keys) of the texts of two chunks, or inside one, that link labels which no earlier pair has linked.
+
+    Inside one chunk `others` must be `rows` itself: the two sides of a join may gather a chunk in different orders.
+    """
+    left = [symbols([r["text"]])[0] for r in rows]
+    right = left if same else [symbols([r["text"]])[0] for r in others]
+    sizes = np.array([len(x) for x in left])[:, None] + np.array([len(x) for x in right])[None, :]
+    met: dict[bytes, bytes] = {}
+
+    def root(x):
+        while met.setdefault(x, x) != x:
+            met[x] = met[met[x]]
+            x = met[x]
+        return x
+
+    found = []
+    close = [(rows[i]["key"], others[j]["key"], i, j) for i, j in np.argwhere(9 * overlaps(left, right) >= 4 * sizes).tolist() if not same or i < j]
+    for low, high, i, j in sorted((min(x, y), max(x, y), i, j) for x, y, i, j in close):
+        a, b = root(rows[i]["label"]), root(others[j]["label"])
+        if a != b and near(left[i], right[j]):  # texts that are linked already need no further link
+            met[max(a, b)] = min(a, b)
+            found.append((low, high))
+    return found
+
+
 def near_in_blocks(members: DataFrame, texts: DataFrame) -> DataFrame:
     """Near pairs (a, b) within the buckets of `members` (bucket, n, key, label) that link different labels, stored.
 
@@ -264,27 +290,8 @@ def near_in_blocks(members: DataFrame, texts: DataFrame) -> DataFrame:
     pairs = left.join(right, ["bucket", "other"]).select((F.col("chunk") == F.col("other")).alias("same"), "rows", "others")
 
     def run(columns):
-        out = {"a": [], "b": []}
-        for same, rows, others in zip(columns["same"], columns["rows"], columns["others"], strict=True):
-            left = [symbols([r["text"]])[0] for r in rows]
-            right = left if same else [symbols([r["text"]])[0] for r in others]
-            sizes = np.array([len(x) for x in left])[:, None] + np.array([len(x) for x in right])[None, :]
-            met: dict[bytes, bytes] = {}
-
-            def root(x, met=met):
-                while met.setdefault(x, x) != x:
-                    met[x] = met[met[x]]
-                    x = met[x]
-                return x
-
-            close = [(rows[i]["key"], others[j]["key"], i, j) for i, j in np.argwhere(9 * overlaps(left, right) >= 4 * sizes).tolist() if not same or i < j]
-            for _, _, i, j in sorted((min(x, y), max(x, y), i, j) for x, y, i, j in close):
-                a, b = root(rows[i]["label"]), root(others[j]["label"])
-                if a != b and near(left[i], right[j]):  # texts that are linked already need no further link
-                    met[max(a, b)] = min(a, b)
-                    out["a"].append(min(rows[i]["key"], others[j]["key"]))
-                    out["b"].append(max(rows[i]["key"], others[j]["key"]))
-        return out
+        found = [link for same, rows, others in zip(columns["same"], columns["rows"], columns["others"], strict=True) for link in chunk_links(rows, rows if same else others, same)]
+        return {"a": [a for a, _ in found], "b": [b for _, b in found]}
 
     return stored(map_documents(pairs, run, "a binary, b binary", rows=1).distinct(), "edges")
 

@@ -745,6 +745,34 @@ def test_joined_spread(spark):
     assert got == Counter([("hot", i, "h") for i in range(50)] + [("b", 1, "x")])
 
 
+def test_chunks_in_any_order_give_near_pairs_only():
+    """Keys belong to the texts that were compared, in whatever order either side of a join gathers its rows."""
+    rng = random.Random(4)
+    rows = []
+    for g in range(6):
+        base = [f"b{g}_{i}" for i in range(120)]
+        for _ in range(5):
+            words = list(base)
+            for _ in range(rng.randint(1, 4)):
+                words[rng.randrange(120)] = f"n{rng.randrange(10**6)}"
+            text = " ".join(words)
+            key = hashlib.md5(text.encode()).digest()
+            rows.append({"key": key, "label": key, "text": text})
+    texts = {r["key"]: near.symbols([r["text"]])[0] for r in rows}
+    want = None
+    for _ in range(5):
+        rng.shuffle(rows)
+        other = rng.sample(rows, len(rows))
+        links = near.chunk_links(rows, rows, True)
+        assert links and all(near.near(texts[a], texts[b]) for a, b in links + near.chunk_links(rows[:15], other[:15], False))
+        parts = {k: k for k in texts}
+        for a, b in links:
+            low, high = sorted((parts[a], parts[b]))
+            parts = {k: low if v == high else v for k, v in parts.items()}
+        assert want in (None, parts)
+        want = parts
+
+
 def test_large_group_of_variants(spark):
     """Many variants of one text that are near to it and not to each other, in large buckets: one class."""
     rng = random.Random(9)
