@@ -29,7 +29,7 @@ WINDOWS = f"""element_at(transform(array(transform(__words, w -> xxhash64(w))),
     CASE WHEN size(h) < {WINDOW} THEN cast(array() AS array<bigint>)
     ELSE transform(sequence(1, size(h) - {WINDOW - 1}), i -> xxhash64({', '.join(f'h[i + {k}]' for k in range(-1, WINDOW - 1))})) END), 1)"""
 WORD_CHARS = "char_length(array_join(__words, ''))"
-N_SYMBOLS = f"char_length(__text) - char_length(translate(__text, '{SYMBOLS}', ''))"
+N_SYMBOLS = f"size(regexp_extract_all(__text, '[{SYMBOLS}]', 0))"
 N_UPPER = r"size(regexp_extract_all(__text, '\\p{Lu}', 0))"
 LINES = rf"filter(split(__text, '\\n'), x -> x rlike '[^\\x20\\x09-\\x0D]')"
 N_DUP_LINES = "element_at(transform(array(__lines), l -> size(l) - size(array_distinct(l))), 1)"
@@ -66,7 +66,7 @@ SIGNALS = {
 
 #: What a signal costs, in nanoseconds for each character, word or line, as measured once on prose; LEAST_COST is that of a comparison.
 COSTS = {
-    "__words": (60, "char"), "__windows": (250, "word"), "__lines": (25, "char"), "n_words": (0, "word"), "word_chars": (15, "word"), "n_symbols": (5, "char"),
+    "__words": (60, "char"), "__windows": (250, "word"), "__lines": (25, "char"), "n_words": (0, "word"), "word_chars": (15, "word"), "n_symbols": (15, "char"),
     "n_upper": (30, "char"), "n_lines": (0, "line"), "n_dup_lines": (60, "line"), "n_repeat_words": (400, "word"),
 }
 LEAST_COST = 20.0
@@ -101,7 +101,7 @@ def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows:
     total = docs.count()  # of Parquet files the footers are read for it
     if not total:
         return [{"rule": r, "rejection": 0.0, "cost": LEAST_COST} for r in rules]
-    sample = docs.select("__text").sample(fraction=min(1.0, sample_rows / total), seed=seed).limit(2 * sample_rows)
+    sample = docs.select("__text").sample(fraction=min(1.0, sample_rows / total), seed=seed)
     seen = with_signals(sample, tuple(dict.fromkeys(c for r in rules for c in r.needs)) + ("__words", "__lines"))
     hits = [F.count_if(F.expr(r.rejects)).alias(f"r{i}") for i, r in enumerate(rules)]
     row = seen.agg(F.count("*").alias("n"), F.avg(F.length("__text")).alias("char"), F.avg(F.size("__words")).alias("word"), F.avg(F.size("__lines")).alias("line"), *hits).first()
