@@ -4,10 +4,12 @@ Bytes are mapped to Latin-1 characters, so a pyahocorasick trie over the vocabul
 position. A sequence of tokens is the one that merging by rank gives exactly when every two neighbours are
 compatible: merging the bytes of the pair alone gives the pair back. So the encoder takes the longest token that is
 compatible with the one before it and, in a dead end, goes back to a shorter prefix; a bit per position marks dead
-ends, so each position is left at most once and the time is linear in the piece. Compatibility is memoised.
+ends, so each position is left at most once and the time is linear in the piece. For a token and the longest match
+behind it, the longest prefix of that match that is compatible is memoised.
 
 Texts are cut at single spaces between two non-space characters. The pattern never matches across such a cut, so the
-cut pieces are encoded apart and kept in a bounded cache; the cache changes speed only.
+parts are encoded apart. Words and other matches of the pattern are kept in bounded caches of two generations: when the
+younger is full it becomes the older, and what is asked for again comes back. Caches change speed only.
 
 Defined cases: null text is the empty text; an empty text has no tokens and decodes to no bytes; a text without
 spaces is one piece, encoded in linear time; repeated rows are encoded row by row; other columns are ignored.
@@ -18,6 +20,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -26,7 +29,12 @@ from pyspark.sql import functions as F
 
 from cairn.llm.common import map_documents, narrow, read_table, text_or_empty
 
-CACHE_ENTRIES, PIECE_ENTRIES = 300_000, 20_000
+#: The pattern of these rank files; under it letters are one match, with or without a space before them.
+WORDS_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+LATIN_END = "\u0250"  # below it Python's letters are those of every version of Unicode in use
+MARKS = frozenset(".,!?;:")
+#: Most entries of a generation of a cache, and of the memo of compatible tokens.
+WORD_ENTRIES, PIECE_ENTRIES, FIT_ENTRIES = 160_000, 40_000, 300_000
 CACHE_CHARS = 48
 #: Unicode's White_Space, as the rank files' own library reads \s; Python's \s has four control characters more.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -103,11 +111,14 @@ class BytePairCodec:
                 self.joined[pair] = i
             self.reached[token.decode("latin-1")] = i
             self.trie.add_word(token.decode("latin-1"), i)
+        self.sizes = list(map(len, self.bytes_of))
         self.shorter: dict[int, int] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.first = ChunkCache(self, "")
-        self.rest = ChunkCache(self, " ")
-        self.pieces: dict[str, bytes] = {}
+        self.fits: list[dict[int, int]] = [{} for _ in self.bytes_of]
+        self.n_fits = 0
+        self.words = pattern == WORDS_PATTERN
+        self.pieces = Pieces(self, "", PIECE_ENTRIES)
+        self.first = Parts(self, "", PIECE_ENTRIES)
+        self.rest = Parts(self, " ", WORD_ENTRIES)
 
     def merge(self, data: bytes, below: int) -> list[bytes]:
         """What merging by ranks under `below` leaves of `data`; for single tokens only."""
@@ -122,9 +133,13 @@ class BytePairCodec:
     def match(self, s: str, at: int) -> int:
         """The longest token that `s` has at `at`."""
         window = s[at : at + self.longest]
-        n = self.trie.longest_prefix(window)
-        while (found := self.reached.get(window[:n])) is None:
-            n -= 1
+        path = window[: self.trie.longest_prefix(window)]
+        found = self.reached.get(path)
+        if found is None:  # a part of a token that is none itself; its longest prefix that is one is kept beside the tokens
+            n = len(path) - 1
+            while (found := self.reached.get(path[:n])) is None:
+                n -= 1
+            self.reached[path] = found
         return found
 
     def prefix(self, token: int) -> int:
@@ -138,18 +153,24 @@ class BytePairCodec:
             self.shorter[token] = found
         return found
 
-    def compatible(self, left: int, right: int) -> bool:
-        """Whether merging the bytes of `left` and `right` together leaves just these two tokens."""
-        key = left << 32 | right
-        found = self.fits.get(key)
-        if found is None:
-            if len(self.fits) > CACHE_ENTRIES:
-                self.fits.clear()
-            found = self.fits[key] = self._stands(left, right)
+    def fitting(self, left: int, token: int) -> int:
+        """The longest of `token` and its prefixes that is compatible with `left` before it; -1 if there is none."""
+        found = token
+        while found >= 0 and not self.compatible(left, found):
+            found = self.prefix(found)
+        if self.n_fits >= FIT_ENTRIES:
+            for memo in self.fits:
+                memo.clear()
+            self.n_fits = 0
+        self.fits[left][token] = found
+        self.n_fits += 1
         return found
 
-    def _stands(self, left: int, right: int) -> bool:
-        """Undo the merges of both sides, latest first; the border stands if no pair across it would merge sooner."""
+    def compatible(self, left: int, right: int) -> bool:
+        """Whether merging the bytes of `left` and `right` together leaves just these two tokens.
+
+        Undoes the merges of both sides, latest first; the border stands if no pair across it would merge sooner.
+        """
         until = len(self.bytes_of)
         while True:
             across = self.joined.get((left, right))
@@ -172,38 +193,46 @@ class BytePairCodec:
             return [whole]
         s, n = data.decode("latin-1"), len(data)
         alive = bytearray(b"\x01") * (n + 1)
+        longest, to, reached = self.longest, self.trie.longest_prefix, self.reached
+        fits, sizes = self.fits, self.sizes
         out: list[int] = []
-        at, token = 0, self.match(s, 0)
+        at, left, token = 0, -1, self.match(s, 0)
         while True:
-            end = at + len(self.bytes_of[token])
-            if alive[end] and (not out or self.compatible(out[-1], token)):
-                out.append(token)
-                at = end
-                if at == n:
-                    return out
-                token = self.match(s, at)
-                continue
-            token = self.prefix(token)
-            while token < 0:
+            if left >= 0 and token >= 0:
+                found = fits[left].get(token)
+                token = self.fitting(left, token) if found is None else found
+            if token < 0:  # a dead end
                 alive[at] = 0
                 token = out.pop()
-                at -= len(self.bytes_of[token])
+                at -= sizes[token]
+                left = out[-1] if out else -1
+                token = self.prefix(token)
+                continue
+            end = at + sizes[token]
+            if not alive[end]:
                 token = self.prefix(token)
+                continue
+            out.append(token)
+            if end == n:
+                return out
+            at, left = end, token
+            window = s[at : at + longest]
+            token = reached.get(window[: to(window)])
+            if token is None:
+                token = self.match(s, at)
+
+    def packed(self, piece: str) -> bytes:
+        """encode_piece as little-endian unsigned 32-bit integers."""
+        ids = self.encode_piece(piece.encode())
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode_chunk(self, text: str) -> bytes:
         """Ids of `text` as little-endian unsigned 32-bit integers, each match of the pattern encoded apart."""
-        found = []
         pattern = self.pattern if text.isascii() or not self.later.search(text) else self.later_pattern
-        for piece in pattern.findall(text):
-            packed = self.pieces.get(piece)
-            if packed is None:
-                packed = np.array(self.encode_piece(piece.encode()), dtype="<u4").tobytes()
-                if len(piece) <= CACHE_CHARS:
-                    if len(self.pieces) > PIECE_ENTRIES:
-                        self.pieces.clear()
-                    self.pieces[piece] = packed
-            found.append(packed)
-        return b"".join(found)
+        found = pattern.findall(text)
+        if not self.words:
+            return b"".join(map(self.pieces.__getitem__, found))
+        return b"".join([self.rest[p[1:]] if p[0] == " " and p[1:].isalpha() and (p.isascii() or max(p) < LATIN_END) else self.pieces[p] for p in found])
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text, packed as in encode_chunk."""
@@ -223,22 +252,38 @@ class OpenEnd(Exception):
     """A part is empty or touches white space, so the space beside it is no place to cut."""
 
 
-class ChunkCache(dict):
-    """Packed ids by part of a text between spaces; `lead` is what stood before the part."""
+class Pieces(dict):
+    """Packed ids by match of the pattern, `lead` left out: the younger of two generations, with the older one beside it."""
 
-    def __init__(self, codec, lead: str):
+    def __init__(self, codec, lead: str, most: int):
         super().__init__()
-        self.codec, self.lead = codec, lead
+        self.codec, self.lead, self.most, self.older = codec, lead, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        packed = self.older.get(key)
+        if packed is None:
+            packed = self.codec.packed(self.lead + key)
+        if len(key) <= CACHE_CHARS:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[key] = packed
+        return packed
+
+
+class Parts(Pieces):
+    """The same by part of a text between spaces, `lead` before it. Words alone are kept; other parts are put together from pieces."""
 
     def __missing__(self, part: str) -> bytes:
+        codec = self.codec
+        if codec.words and (part.isascii() or max(part) < LATIN_END):
+            if part.isalpha():
+                return super().__missing__(part)
+            if part[-1:] in MARKS and part[:-1].isalpha():
+                return self[part[:-1]] + codec.pieces[part[-1]]
         if not part or part[0].isspace() or part[-1].isspace():
             raise OpenEnd
-        packed = self.codec.encode_chunk(self.lead + part)
-        if len(part) <= CACHE_CHARS:
-            if len(self) > CACHE_ENTRIES:
-                self.clear()
-            self[part] = packed
-        return packed
+        return codec.encode_chunk(self.lead + part)
 
 
 def cut(text: str) -> list[str]:

@@ -113,6 +113,29 @@ def test_bpe_equals_library(reference):
     assert np.frombuffer(codec.encode(long), "<u4").tolist() == reference.encode_ordinary(long)
 
 
+def test_bpe_caches_change_speed_only(reference, monkeypatch):
+    for name in ("WORD_ENTRIES", "PIECE_ENTRIES", "FIT_ENTRIES"):
+        monkeypatch.setattr(bpe, name, 5)
+    path, pattern = bpe.vocabulary()
+    codec = bpe.BytePairCodec(reference._mergeable_ranks, pattern)
+    rng = random.Random(6)
+    pool = ["thing", "ation", "Élan", "ß", "ⅷ", "日本", "ΐ", ".", ",", "?!", "'s", "'", "12", "\n", "  ", " ", " ", " ", "²", "ſ", "ˮ", "ɐ", "\xaa", "\u1c89"]
+    for _ in range(3000):
+        text = "".join(rng.choice(pool) for _ in range(rng.randint(0, 30)))
+        assert np.frombuffer(codec.encode(text), "<u4").tolist() == reference.encode_ordinary(text), ascii(text)
+
+
+def test_bpe_keeps_frequent_words_when_caches_fill(monkeypatch):
+    path, pattern = bpe.vocabulary()
+    codec, met = bpe.BytePairCodec(bpe.codec(path, pattern).ranks, pattern), Counter()
+    encode = codec.encode_piece
+    monkeypatch.setattr(codec, "encode_piece", lambda data: met.update([data]) or encode(data))
+    digits = str.maketrans("0123456789", "qxzjkvwyhg")
+    for at in range(0, 320_000, 1000):
+        codec.encode("so whenceforthly " + " ".join(str(i).translate(digits) for i in range(at, at + 1000)) + " whenceforthly. Whenceforthly")
+    assert met[b" whenceforthly"] == 1 and met[b" Whenceforthly"] == 1
+
+
 def test_bpe_documents(spark, hard, none, reference):
     got = Counter((r.doc_id, tuple(r.ids)) for r in bpe.encode_documents(hard, *bpe.vocabulary()).collect())
     assert got == Counter((d, tuple(reference.encode_ordinary(t or ""))) for d, t, *_ in hard_rows())
