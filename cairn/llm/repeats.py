@@ -6,7 +6,8 @@ least hash among its GRAM-byte grams, so equal windows have equal anchors and me
 that share an anchor place are a block (a run of window starts). Then:
 
 1. Blocks are counted by anchor hash. Where all blocks of an anchor are equal, they are repeated (or alone) as a whole.
-2. Elsewhere the different blocks are compared: each group gets a suffix order with longest common prefixes, and
+2. Elsewhere the different blocks are compared. Blocks that share no core of their windows, byte for byte, with another
+   block of their group match nothing and drop out; each group of the others gets a suffix order with longest common prefixes, and
    longest-previous-factor arrays (nearest smaller positions before and after in suffix order), for earlier and for
    later matches. Groups are packed to about PACK_BYTES for one suffix order.
 3. An anchor with more than GROUP_BLOCKS different blocks (a passage in very many texts) goes by hashes alone, without
@@ -31,6 +32,8 @@ ignored.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +45,11 @@ from cairn.llm.suffixes import neighbour_prefixes, previous_factors, suffix_orde
 LENGTH = 400
 GRAM = 100
 GROUP_BLOCKS = 200
-PACK_BYTES = 1_000_000
+CORES = 6
+#: Sizes at which the arrays of one step stay in a processor's cache.
+PACK_BYTES = 60_000
+TOGETHER = 1 << 16
+PART_BYTES = 8_000_000
 CELLS = (32, 8, 1)
 PLACE_BITS = 24
 PIECE = 1 << 22
@@ -129,14 +136,14 @@ def blocks_of(data: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> t
 
 
 def text_blocks(raw: list[np.ndarray], length: int, gram: int):
-    """blocks_of for a list of symbol arrays; a very long one goes in pieces that overlap by a window."""
+    """blocks_of for a list of symbol arrays, about TOGETHER symbols at a time; a very long one goes in pieces that overlap by a window."""
     out: list[tuple[np.ndarray, ...]] = []
     small = [i for i, r in enumerate(raw) if len(r) <= PIECE]
     sizes = [len(raw[i]) for i in small]
     at = 0
     while at < len(small):
         end, total = at, 0
-        while end < len(small) and (end == at or total + sizes[end] <= PIECE):
+        while end < len(small) and (end == at or total + sizes[end] <= TOGETHER):
             total += sizes[end]
             end += 1
         data = np.concatenate([raw[i] for i in small[at:end]])
@@ -216,7 +223,7 @@ def compared_blocks(contexts: list[np.ndarray], windows: list[int], length: int,
     symbols[touching] = (1 << 63) + touching.astype(np.uint64)
     cap = length // unit
     order, levels = suffix_order(symbols, cap, unit)
-    lcp = neighbour_prefixes(order, levels, unit)
+    lcp = neighbour_prefixes(order, levels, unit, floor=cap)
     found = previous_factors(order, lcp, floor=cap) >= cap
     if not first:
         found |= previous_factors(order, lcp, later=True, floor=cap) >= cap
@@ -236,13 +243,35 @@ def compared_blocks(contexts: list[np.ndarray], windows: list[int], length: int,
 RUN = "anchor long, block long, a int, b int"
 
 
-def _by_suffixes(rows: DataFrame, length: int, first: bool, parts: int, dtype, within: bool) -> DataFrame:
-    """Runs of repeated window starts of the blocks of small groups; groups are packed, whole, to about PACK_BYTES."""
+def meeting(group: list, length: int, gram: int, item: int) -> list:
+    """Those of the different blocks of one anchor that may share a window with another of them.
+
+    Equal windows start at the same distance from the anchor. The distances are cut into CORES ranges; all windows of a
+    range share a core of places, so blocks whose cores no other block has, byte for byte, share no window either.
+    """
+    if len(group) < 2:
+        return []
+    span, width = length - gram, -(-(length - gram + 1) // CORES)
+    own, of = [], {}
+    for i, r in enumerate(group):
+        context, lead, last = r["context"], r["lead"], r["windows"] - 1
+        for a in range(-span, 1, width):
+            b = min(a + width - 1, 0)
+            if -lead <= b and last - lead >= a:  # else the block has no window of this range
+                core = (a, context[(b + lead) * item : (a + length + lead) * item])
+                own.append((i, core))
+                of[core] = of.get(core, 0) + 1
+    return [group[i] for i in sorted({i for i, core in own if of[core] > 1})]
+
+
+def _by_suffixes(rows: DataFrame, length: int, gram: int, first: bool, parts: int, dtype, within: bool) -> DataFrame:
+    """Runs of repeated window starts of the blocks of small groups; what may match of a group is packed, whole, to about PACK_BYTES."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     arrow = to_arrow_schema(StructType.fromDDL(RUN))
+    item = np.dtype(dtype).itemsize
 
     def solved(pack):
         pack.sort(key=lambda r: (r["first_doc"], r["first_start"]))
@@ -256,19 +285,18 @@ def _by_suffixes(rows: DataFrame, length: int, first: bool, parts: int, dtype, w
         return pa.RecordBatch.from_pydict(out, schema=arrow)
 
     def run(batches):
-        pack, size, last = [], 0, None
-        for batch in batches:
-            for r in batch.to_pylist():
-                if r["anchor"] != last and size > PACK_BYTES:
-                    yield solved(pack)
-                    pack, size = [], 0
-                last = r["anchor"]
-                pack.append(r)
-                size += len(r["context"])
+        pack, size = [], 0
+        for _, group in itertools.groupby((r for batch in batches for r in batch.to_pylist()), key=lambda r: r["anchor"]):
+            if size > PACK_BYTES:
+                yield solved(pack)
+                pack, size = [], 0
+            kept = meeting(list(group), length, gram, item)
+            pack += kept
+            size += sum(len(r["context"]) for r in kept)
         if pack:
             yield solved(pack)
 
-    dealt = rows.select("anchor", "block", "windows", "first_doc", "last_doc", "first_start", "context").repartition(parts, "anchor").sortWithinPartitions("anchor")
+    dealt = rows.select("anchor", "block", "windows", "lead", "first_doc", "last_doc", "first_start", "context").repartition(parts, "anchor").sortWithinPartitions("anchor")
     return dealt.mapInArrow(run, RUN)
 
 
@@ -365,8 +393,8 @@ def repeated_spans(rows: DataFrame, packed: DataFrame, length: int = LENGTH, gra
     once = packed.select("doc", "packed").join(wanted, "doc")
     contexts = map_documents(once, cut, "anchor long, block long, n long, last_doc long, first_start long, windows int, lead int, large boolean, first_doc long, context binary")
     contexts = stored(contexts.dropDuplicates(["anchor", "block"]) if _repeats(packed) else contexts, "contexts")
-    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // (8 * PACK_BYTES))
-    runs = _by_suffixes(contexts.where("NOT large"), length, first, parts, dtype, within).unionByName(_by_cells(contexts.where("large"), length, first, dtype, within))
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // PART_BYTES)
+    runs = _by_suffixes(contexts.where("NOT large"), length, gram, first, parts, dtype, within).unionByName(_by_cells(contexts.where("large"), length, first, dtype, within))
     runs = stored(runs, "runs")
     if not first:  # blocks with equal copies are repeated whole
         copied = "n > 1" if within else "first_doc < last_doc"

@@ -34,23 +34,30 @@ def suffix_order(symbols: np.ndarray, cap: int, unit: int = 1) -> tuple[np.ndarr
     return np.argsort(rank) if order is None else order, levels
 
 
-def neighbour_prefixes(order: np.ndarray, levels: list[tuple[int, np.ndarray]], unit: int = 1) -> np.ndarray:
-    """lcp[r]: symbols that the suffixes at r - 1 and r in suffix order share, as far as the levels tell; lcp[0] is 0."""
+def neighbour_prefixes(order: np.ndarray, levels: list[tuple[int, np.ndarray]], unit: int = 1, floor: int = 0) -> np.ndarray:
+    """lcp[r]: symbols that the suffixes at r - 1 and r in suffix order share, as far as the levels tell; lcp[0] is 0.
+
+    Where that is under `floor`, any number under `floor`: if the longest level is no longer, it alone tells.
+    """
     n = len(order)
     lcp = np.zeros(n, dtype=np.int64)
     if n < 2:
         return lcp
-    a, b = order[:-1], order[1:]
-    got = np.zeros(n - 1, dtype=np.int64)
     top = levels[-1][0]
+    if top <= floor:
+        kept = np.flatnonzero(levels[-1][1][order[:-1]] == levels[-1][1][order[1:]])
+    else:
+        kept = np.arange(n - 1)
+    a, b = order[kept], order[kept + 1]
+    got = np.zeros(len(kept), dtype=np.int64)
     for h, rank in [levels[-1], *reversed(levels)]:  # the longest twice: what it covers may be matched again behind it
         x, y = a + got * unit, b + got * unit
         inside = (x < n) & (y < n) & ((got < top) if h == top else True)
-        same = np.zeros(n - 1, dtype=bool)
+        same = np.zeros(len(kept), dtype=bool)
         same[inside] = rank[x[inside]] == rank[y[inside]]
         same &= np.maximum(x, y) + h * unit <= n
         got[same] += h
-    lcp[1:] = got
+    lcp[1 + kept] = got
     return lcp
 
 

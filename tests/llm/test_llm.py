@@ -212,6 +212,39 @@ def test_words_of_long_texts_go_in_pieces(monkeypatch):
     assert (repeats.word_hashes(raw) == whole).all() and len(whole) == len(raw.split())
 
 
+def blocks_by_anchor(texts, length, gram):
+    """The different blocks of texts by anchor, in order of first occurrence."""
+    by = defaultdict(dict)
+    for i, start, windows, lead, anchor, block in zip(*map(np.ndarray.tolist, repeats.text_blocks([np.frombuffer(t, dtype=np.uint8) for t in texts], length, gram)), strict=True):
+        by[anchor].setdefault(block, {"windows": windows, "lead": lead, "context": texts[i][start : start + windows - 1 + length]})
+    return [list(group.values()) for group in by.values()]
+
+
+@pytest.mark.parametrize("length,gram", [(400, 100), (40, 10), (10, 4), (5, 4), (4, 4)])
+def test_blocks_that_drop_out_match_nothing(length, gram):
+    rng = random.Random(length)
+    passages = [bytes(rng.choices(b"abcdef", k=n)) for n in (length // 2, length - 1, length, length + 7, 2 * length) for _ in range(3)]
+    texts = [b"".join(rng.choice(passages) if rng.random() < 0.5 else bytes(rng.choices(b"abcdef", k=rng.randint(0, length))) for _ in range(8)) for _ in range(40)]
+    dropped = 0
+    for group in blocks_by_anchor(texts, length, gram):
+        kept = repeats.meeting(group, length, gram, 1)
+        dropped += len(group) - len(kept)
+        stays = {id(r) for r in kept}
+        windows = [{r["context"][k : k + length] for k in range(r["windows"])} for r in group]
+        for i, r in enumerate(group):
+            shares = any(windows[i] & w for j, w in enumerate(windows) if j != i)
+            assert id(r) in stays or not shares
+    assert dropped
+
+
+def test_passages_under_the_length_take_no_suffix_order():
+    rng = random.Random(3)
+    passage = bytes(rng.choices(range(97, 123), k=320))
+    texts = [bytes(rng.choices(range(97, 123), k=500)) + passage + bytes(rng.choices(range(97, 123), k=500)) for _ in range(50)]
+    groups = [g for g in blocks_by_anchor(texts, 400, 100) if len(g) > 1]
+    assert max(map(len, groups)) > 30 and not any(repeats.meeting(g, 400, 100, 1) for g in groups)
+
+
 def test_repeats_cases(spark, sf, hard, none):
     texts = [(t or "").encode() for _, t, *_ in hard_rows()]
     got = Counter((r.doc_id, bytes(r.kept)) for r in repeats.trimmed(hard, length=40, gram=10).collect())
