@@ -345,6 +345,20 @@ def test_section_counts_by_brute_force(spark, sf, reference, rule):
     assert got == want
 
 
+def test_counts_keep_frequent_words_when_caches_fill(reference, monkeypatch):
+    path, pattern = bpe.vocabulary()
+    codec, met = bpe.BytePairCodec(reference._mergeable_ranks, pattern), Counter()
+    encode = codec.encode_piece
+    monkeypatch.setattr(codec, "encode_piece", lambda data: met.update([data]) or encode(data))
+    monkeypatch.setattr(tokencount, "codec", lambda *_: codec)
+    letters = str.maketrans("0123456789", "qxzjkvwyhg")
+    for at in range(0, 320_000, 1000):
+        text = "so whenceforthly\n " + " ".join(str(i).translate(letters) for i in range(at, at + 1000)) + " whenceforthly.\nwords"
+        counts = tokencount.counted(text, tokencount.lines(text), path, pattern, "majority")
+        assert sum(counts) == len(codec.encode(text)) // 4
+    assert sum(counts) == len(reference.encode_ordinary(text)) and met[b" whenceforthly"] == 1
+
+
 def test_boundary_rules():
     starts, ends = np.array([0, 3]), np.array([3, 9])
     sections = np.array([4, 9])
