@@ -58,6 +58,12 @@ def with_typos(found: Counter, doc_id, typo: int = TYPO) -> Counter:
     return out
 
 
+def _met(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """An equi-join by sorting. Spark sizes rows that Python or an explode makes by those they come from, and Parquet by its
+    compressed bytes, so left to itself it sends a table of many times its broadcast threshold through the driver."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def words(docs: DataFrame, length: int = LENGTH, times: int = TIMES, typo: int = TYPO) -> DataFrame:
     """(id, word, n), stored: words of at least `length` code points that occur at least `times` times."""
 
@@ -138,9 +144,9 @@ def near_pairs(vocabulary: DataFrame) -> DataFrame:
     left = rows.where(F.col("kind") != DELETED).select("key", F.col("id").alias("a"), F.col("kind").alias("kind_a"))
     right = rows.where(F.col("kind") != OWN).select("key", F.col("id").alias("b"), F.col("kind").alias("kind_b"))
     alike = (F.col("kind_a") == SUB) & (F.col("kind_b") == SUB) & (F.col("a") < F.col("b"))
-    met = left.join(right, "key").where(alike | ((F.col("kind_a") == OWN) & (F.col("kind_b") == DELETED) & (F.col("a") != F.col("b")))).select("a", "b").distinct()
+    met = _met(left, right, "key").where(alike | ((F.col("kind_a") == OWN) & (F.col("kind_b") == DELETED) & (F.col("a") != F.col("b")))).select("a", "b").distinct()
     for side in ("a", "b"):
-        met = met.join(vocabulary.select(F.col("id").alias(side), F.col("word").alias(f"word_{side}"), F.col("n").alias(f"n_{side}")), side)
+        met = _met(met, vocabulary.select(F.col("id").alias(side), F.col("word").alias(f"word_{side}"), F.col("n").alias(f"n_{side}")), side)
     return met.where(F.levenshtein("word_a", "word_b", 1) == 1)
 
 
@@ -149,7 +155,7 @@ def roots(forms: DataFrame) -> DataFrame:
     now = stored(forms.select("id", F.coalesce("form", "id").alias("root")), "roots")
     while True:
         beyond = now.select(F.col("id").alias("root"), F.col("root").alias("next"))
-        then = stored(now.join(beyond, "root").select("id", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "roots")
+        then = stored(_met(now, beyond, "root").select("id", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "roots")
         now = then.select("id", "root")
         if then.where("moved").isEmpty():
             return now
@@ -163,9 +169,9 @@ def groups(docs: DataFrame, length: int = LENGTH, times: int = TIMES, greater: i
     near = pairs.select(F.explode(sides).alias("x")).select("x.*").groupBy("id").agg(F.count("*").alias("n_near"), F.min("near").alias("best"), F.first("n").alias("own"))
     good = -F.col("best.less") >= greater * F.col("own")
     near = near.select("id", "n_near", F.when(good, F.col("best.id")).alias("form"), F.when(good, F.col("best.word")).alias("form_word"), F.when(good, -F.col("best.less")).alias("form_n"))
-    forms = stored(vocabulary.join(near, "id", "left"), "forms")
-    last = roots(forms.select("id", "form")).join(vocabulary.select(F.col("id").alias("root"), F.col("word").alias("root_word")), "root").select("id", "root_word")
-    return forms.join(last, "id").select("word", F.col("form_word").alias("form"), F.col("root_word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "form_n")
+    forms = stored(_met(vocabulary, near, "id", "left"), "forms")
+    last = _met(roots(forms.select("id", "form")), vocabulary.select(F.col("id").alias("root"), F.col("word").alias("root_word")), "root").select("id", "root_word")
+    return _met(forms, last, "id").select("word", F.col("form_word").alias("form"), F.col("root_word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "form_n")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

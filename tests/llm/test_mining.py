@@ -247,3 +247,14 @@ def test_large_components_stay_exact():
     for i, p, s in topk.best_in_bound_order(q, far[:5], np.full(5, -np.inf), c, far, np.arange(50), 7):
         want = sorted((-sum(int(x) * int(y) for x, y in zip(q[i], w, strict=True)), n) for n, w in enumerate(c))[:7]
         assert [(-int(x), int(n)) for x, n in zip(s, p, strict=True)] == want
+
+
+def test_variants_send_no_table_to_all(spark):
+    """Keys are many times the vocabulary that Spark sizes them by, so no join may go by a broadcast, however small Spark thinks it."""
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i, "planet planet planets plane network networks") for i in range(4)], "doc_id long, text string")
+    vocabulary = spelling.words(docs)
+    for df in (spelling.near_pairs(vocabulary), spelling.roots(vocabulary.select("id", F.lit(None).cast("long").alias("form"))), spelling.groups(docs)):
+        df.collect()
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
