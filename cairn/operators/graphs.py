@@ -67,7 +67,8 @@ def node_sizes(sizes: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(id, component): the least id that edges (a, b) connect to each node; rounds grow with the logarithm of the diameter."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    edges = cut_lineage(edges.select("a", "b"))  # every round reads them
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     now = cut_lineage(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("component")))
     while True:
         near = both.join(now.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))

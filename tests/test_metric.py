@@ -78,3 +78,45 @@ def test_all_k_at_once_equal_each_k_alone(spark, merge):
     for k in ks:
         assert every[k] == {r.id: r.cluster for r in density.clusters(pts, k, 8, "euclidean", merge).collect()}
     assert {r.k: r.n_clusters for r in density.k_sweep(pts, ks, 8, "euclidean", merge).collect()} == {k: len(set(c.values())) for k, c in every.items()}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_vectors_are_shuffled_for_neighbours_and_kernels(spark):
+    """Where every block meets every block, a shuffle of pairs of blocks was the square of the points on disk."""
+    rows = np.random.default_rng(3).normal(size=(90, 8))
+    pts = frame(spark, rows, [(0.0,)] * 90).select("id", "vec")
+    for df in (metric.nearest_in_metric(pts, 4, block_rows=10), metric.kernel_sums_in_metric(pts, "gaussian", 1.0, block_rows=10), knn.nearest(pts, pts, 4, block_rows=10)):
+        plan = plan_of(df)
+        assert "CartesianProduct" in plan and "SortMergeJoin [a#" not in plan and "BroadcastHashJoin [a#" not in plan
+    got = {(r.i, r.j, r.rank) for r in knn.nearest(pts, pts, 4, block_rows=10).collect()}
+    assert got == brute(rows, [()] * 90, 4, "angular", ())
+
+
+def test_components_read_their_edges_once(spark):
+    from cairn.operators import graphs
+
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    chain = spark.range(60).selectExpr("id AS a", "id + 1 AS b").mapInArrow(run, "a long, b long")
+    assert graphs.subgraph(chain, 3).count() == 61 and made.value == 60
+
+
+def test_thin_paths_are_probed_once(spark, monkeypatch):
+    from cairn.operators import density
+
+    asked, plain = [], density.nearest
+    monkeypatch.setattr(density, "nearest", lambda queries, *more: asked.append(queries.count()) or plain(queries, *more))
+    rng = np.random.default_rng(2)
+    rows = np.concatenate([rng.normal(size=(20, 3)) * 0.1 + at for at in (0, 50, 100)])
+    pts = frame(spark, rows, [(0.0,)] * 60).select("id", "vec")
+    links = spark.createDataFrame([(0, -1.0, None), (20, -0.9, None), (40, -0.8, None)], "id long, density double, parent long")
+    assert {r.id: r.parent for r in density.merged_roots(pts, links, 5, "euclidean").collect()} == {0: None, 20: None, 40: None}
+    assert asked == [2, 0]
